@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hitloom.llm import bpe, exact_dedup, mixing
+from hitloom.llm import bpe, exact_dedup, mixing, neardup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op4_mixing": mixing.op4_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
