@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from hitloom.llm import bpe, exact_dedup, mixing, neardup
+from hitloom.llm import bpe, exact_dedup, hostrules, langid, mixing, neardup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_near_duplicates": neardup.op2_near_duplicates,
+    "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op6_quality_rules": hostrules.op6_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE_SQL = {"op4_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op4_mixing": mixing.ORACLE, "op6_quality_rules": hostrules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
