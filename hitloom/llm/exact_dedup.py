@@ -26,8 +26,12 @@ from hitloom.runtime import Scratch
 
 #: Digests of groups to check that one broadcast may hold (64 characters each).
 BROADCAST_KEYS = 500_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stream: state on disk, and a store closed once its task has committed, so that
+#: the executors' disks hold the stores of running tasks and not one of every partition.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 ARRIVAL = "digest string, doc_id long, locator string"
 
 
@@ -60,13 +64,15 @@ def run_stream(arrivals: DataFrame, log: str, checkpoint: str) -> None:
     def append(changed: DataFrame, batch: int) -> None:
         changed.select("digest", "keep.doc_id", "keep.locator", "group_size").write.mode("overwrite").parquet(f"{log}/batch={batch}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def latest(spark: SparkSession, log: str) -> DataFrame:
