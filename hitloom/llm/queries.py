@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from hitloom.llm import bpe, exact_dedup, hostrules, langid, mixing, neardup
+from hitloom.llm import bpe, exact_dedup, hostrules, langid, mixing, neardup, ordinal, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": hostrules.op6_quality_rules,
+    "op7_quality_grade": ordinal.op7_quality_grade,
+    "op9_token_counts": tokencount.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {"op4_mixing": mixing.ORACLE, "op6_quality_rules": hostrules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
