@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import bpe, exact_dedup, mixing
+from hitloom.llm import bpe, exact_dedup, langid, mixing, neardup
 from hitloom.llm.common import read
 from hitloom.runtime import Scratch
 
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row that the mix has taken."""
+    return bpe.digests(docs, bpe.word_bpe_path())
+
+
 STAGES = [
+    ("language_id", langid.language_stage),
     ("exact_dedup", exact_dedup.dedup_stage),
+    ("near_dedup", neardup.neardup_stage),
     ("mixing", mixing.mixing_stage),
-    ("bpe", lambda spark, docs, sf_dir: bpe.digests(docs, bpe.word_bpe_path())),
+    ("bpe", bpe_stage),
 ]
 
-#: None of the stages before the mix can be stated in SQL.
+#: SQL cannot state the language, near-duplicate and encoding stages.
 ORACLE_SQL = None
 
 

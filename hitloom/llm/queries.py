@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hitloom.llm import bpe, exact_dedup, hostrules, langid, mixing, neardup, ordinal, tokencount, toxicity
+from hitloom.llm import bpe, exact_dedup, hostrules, html_extract, langid, mixing, neardup, ordinal, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": hostrules.op6_quality_rules,
     "op7_quality_grade": ordinal.op7_quality_grade,
+    "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
