@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""Registered queries, by subject."""
+
+from hitloom.plans import positions  # noqa: F401

@@ -9,3 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "merge_clusters"
+
+
+def query(name: str, sql: str | None = None):
+    """Register the decorated function (spark, sf_dir) under ``name``, with its oracle."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
