@@ -1,3 +1,3 @@
 """Registered queries, by subject."""
 
-from hitloom.plans import positions  # noqa: F401
+from hitloom.plans import joins, positions, scans  # noqa: F401
