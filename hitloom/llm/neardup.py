@@ -11,11 +11,14 @@ and the number of trees follows from the target recall.
 
 Nodes of up to ``SMALL`` sets are compared exhaustively. In a larger node every
 set is compared with one pivot; what is linked already needs no comparison, so
-only nodes whose sets lie in several components branch on, and at the last
-level the sets outside a node's largest component are compared with all that
-lie in other components. No bucket is capped. Every candidate passes a size
-test that is exact and a sketch test whose chance to lose a pair is below
-1e-8; every link is then confirmed on the full sets.
+only nodes whose sets lie in several components go on. A node of which a good
+part resembles its pivot would keep together however far it branched: there,
+and in what is large on the last level, the sets outside the node's largest
+component are compared with all others in blocks of bounded bytes. A block
+counts common shingles along its inverted index and returns only links that
+join two components, never its pairs. No bucket is capped. Candidates pass a
+size test that is exact and, outside blocks, a sketch test whose chance to lose
+a pair is below 1e-8; every link is confirmed on the full sets.
 
 What is shuffled: one narrow row per set, tree and branch on the first level,
 and signatures of sets in large nodes on the further ones. Shingle sets are
@@ -41,6 +44,10 @@ from hitloom.runtime import Scratch
 BRANCH, LEVELS = 2, 3
 #: Sets of a node that are compared exhaustively.
 SMALL = 12
+#: Share of a large node that must resemble its pivot for the node to be compared in blocks at once.
+DENSE = 0.2
+#: Bytes of shingle sets on one side of a block.
+BLOCK = 4 << 20
 #: Sketch: two bits of each of 128 coordinates of their own.
 SKETCH = 128
 #: Identifiers of candidate documents that one broadcast may hold.
@@ -195,15 +202,18 @@ class _Join:
             child = F.when(F.col("place") == place, own) if child is None else child.when(F.col("place") == place, own)
         return signed.select(*self.narrow, F.explode(child).alias("at")).select("at.place", "at.node", *self.narrow)
 
-    def candidates(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
-        """All pairs of small nodes, and each set of a large node with the node's pivot."""
-        small = rows.join(counts.where(F.col("size") <= SMALL), ["place", "node"])
+    def small_pairs(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
+        """All pairs of small nodes."""
+        small = rows.join(counts.where(F.col("size") <= SMALL).select("place", "node"), ["place", "node"])
         a, b = small.alias("a"), small.alias("b")
         same = (F.col("a.place") == F.col("b.place")) & (F.col("a.node") == F.col("b.node")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-        near = a.join(b, same & _may_match(self.percent)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
-        large = rows.join(counts.where(F.col("size") > SMALL).select("place", "node", "pivot"), ["place", "node"])
-        star = large.alias("b").join(large.where("doc_id = pivot").alias("a"), ["place", "node"]).where((F.col("a.doc_id") < F.col("b.doc_id")) & _may_match(self.percent))
-        return near.unionAll(star.select(F.col("a.doc_id"), F.col("b.doc_id"))).distinct()
+        return a.join(b, same & _may_match(self.percent)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+
+    def star(self, large: DataFrame) -> DataFrame:
+        """Rows of large nodes with the node's pivot and whether the two may be linked."""
+        centre = large.where("doc_id = pivot").alias("a")
+        near = F.when(F.col("b.doc_id") == F.col("a.doc_id"), True).otherwise(_may_match(self.percent))
+        return large.alias("b").join(centre, ["place", "node"]).select("place", "node", *(F.col(f"b.{c}") for c in [*self.narrow, "pivot"]), near.alias("near"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Confirm candidates on the full sets."""
@@ -222,33 +232,83 @@ class _Join:
         rows = self.scratch.table(self.first_level(), "level")
         found: list[DataFrame] = []
         for level in range(LEVELS):
-            counts = rows.groupBy("place", "node").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where("size > 1")
-            counts = self.scratch.table(counts, "nodes")
-            found.append(self.links(self.candidates(rows, counts)))
-            if counts.where(F.col("size") > SMALL).isEmpty():
+            pivot = F.min_by("doc_id", F.xxhash64("doc_id", "place"))
+            counts = self.scratch.table(rows.groupBy("place", "node").agg(F.count("*").alias("size"), pivot.alias("pivot")).where("size > 1"), "nodes")
+            large = rows.join(counts.where(F.col("size") > SMALL).select("place", "node", "pivot"), ["place", "node"])
+            star = self.scratch.table(self.star(large), "stars")
+            ends = F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")
+            found.append(self.links(self.small_pairs(rows, counts).unionAll(star.where("near AND doc_id <> pivot").select(*ends)).distinct()))
+            self.scratch.release(rows, counts)
+            if star.isEmpty():
+                break
+            labels = self.scratch.table(connected_components(reduce(DataFrame.unionAll, found).distinct(), scratch=self.scratch), "components")
+            marked = star.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            marked = self.scratch.table(marked, "marked")
+            nodes = marked.groupBy("place", "node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.avg(F.col("near").cast("int")).alias("share"))
+            nodes = self.scratch.table(nodes.where("lo < hi").select("place", "node", "share"), "open")
+            last = level + 1 == LEVELS
+            found.append(self.block_links(marked.join(nodes.where(F.lit(last) | (F.col("share") >= DENSE)), ["place", "node"], "left_semi")))
+            self.scratch.release(star)
+            if last or nodes.where(F.col("share") < DENSE).isEmpty():
                 break
-            links = reduce(DataFrame.unionAll, found).distinct()
-            labels = self.scratch.table(connected_components(links, scratch=self.scratch), "components")
-            large = rows.join(counts.where(F.col("size") > SMALL).select("place", "node"), ["place", "node"], "left_semi")
-            large = large.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            mixed = large.groupBy("place", "node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("place", "node")
-            open_rows = self.scratch.table(large.join(mixed, ["place", "node"], "left_semi"), "open")
-            self.scratch.release(rows)
-            if level + 1 < LEVELS:
-                rows = self.scratch.table(self.next_level(open_rows, level + 1), "level")
-            else:
-                found.append(self.links(self.rest(open_rows)))
+            rows = self.scratch.table(self.next_level(marked.join(nodes.where(F.col("share") < DENSE), ["place", "node"], "left_semi"), level + 1), "level")
         return reduce(DataFrame.unionAll, found).distinct()
 
-    def rest(self, rows: DataFrame) -> DataFrame:
-        """Pairs of a last node in different components, of which one is not the node's largest."""
-        parts = rows.groupBy("place", "node", "component").agg(F.count("*").alias("m"))
-        top = parts.groupBy("place", "node").agg(F.max(F.struct("m", "component")).alias("t")).select("place", "node", F.col("t.component").alias("top"))
-        marked = rows.join(top, ["place", "node"])
-        a, b = marked.where("component <> top").alias("a"), marked.alias("b")
-        cond = (F.col("a.place") == F.col("b.place")) & (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-        pairs = a.join(b, cond & _may_match(self.percent))
-        return pairs.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+    def block_links(self, rows: DataFrame) -> DataFrame:
+        """Links between components of a node, found by comparing all but its largest component with all, in blocks."""
+        parts = rows.groupBy("place", "node", "component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+        whole = parts.groupBy("place", "node").agg(F.max(F.struct("m", "component", "shingles")).alias("t"), F.sum("shingles").alias("shingles"))
+        blocks = lambda c: F.greatest(F.lit(1), F.ceil(8 * c / F.lit(float(BLOCK)))).cast("int")
+        nodes = whole.select("place", "node", F.col("t.component").alias("top"), blocks(F.col("shingles")).alias("nb"), blocks(F.col("shingles") - F.col("t.shingles")).alias("na"))
+        known = self.scratch.table(rows.select("place", "node", "doc_id", "component").join(nodes, ["place", "node"]), "blocks")
+        ids = known.select("doc_id").distinct()
+        few = ids.count() <= BROADCAST_IDS
+        made = self.scratch.table(shingle_sets(self.texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), self.width), "sets")
+        at = lambda n: F.pmod(F.xxhash64("doc_id", "place"), F.col(n)).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        a = known.where("component <> top").withColumn("side", F.lit(0)).withColumn("i", at("na")).withColumn("j", F.explode(upto("nb")))
+        b = known.withColumn("side", F.lit(1)).withColumn("j", at("nb")).withColumn("i", F.explode(upto("na")))
+        keys = ["place", "node", "i", "j"]
+        both = a.select(*keys, "side", "doc_id", "component").unionByName(b.select(*keys, "side", "doc_id", "component")).join(made, "doc_id")
+        percent = self.percent
+        found = both.groupBy(*keys).applyInPandas(lambda block: compare_block(block, percent), "a bigint, b bigint")
+        out = self.scratch.table(found, "links")
+        self.scratch.release(made, known)
+        return out
+
+
+def compare_block(block, percent: int):
+    """Links of side 0 with side 1 that join two components of the block, exact on the full sets."""
+    import pandas as pd
+
+    left, right = block[block.side == 0], block[block.side == 1]
+    sets = [np.frombuffer(s, "<u8") for s in right.s]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    tokens = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    own = dict.fromkeys([*left.component, *right.component])
+    parent = {c: c for c in own}
+
+    def top(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    components, ids, links = right.component.to_numpy(), right.doc_id.to_numpy(), []
+    for doc, component, s in zip(left.doc_id, left.component, left.s, strict=True):
+        x = np.frombuffer(s, "<u8")
+        first, end = np.searchsorted(tokens, x), np.searchsorted(tokens, x, "right")
+        n = end - first
+        spots = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        common = np.bincount(owner[spots], minlength=len(sets))
+        for y in np.flatnonzero(100 * common >= percent * (len(x) + size - common)):
+            here, there = top(component), top(components[y])
+            if here != there:
+                parent[max(here, there)] = min(here, there)
+                links.append((min(doc, ids[y]), max(doc, ids[y])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, recall: float = 0.99999) -> DataFrame:
