@@ -91,7 +91,8 @@ BEAM = (0.0005, -0.0003, 0.0)
 
 def geometry(spark: SparkSession, planes: list[Plane]) -> DataFrame:
     """One row per plane; always small."""
-    return spark.createDataFrame([tuple(p.row().values()) for p in planes], SCHEMA)
+    rows = [tuple(float(v) if isinstance(v, float) else v for v in p.row().values()) for p in planes]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def with_geometry(df: DataFrame, geo: DataFrame) -> DataFrame:

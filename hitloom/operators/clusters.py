@@ -11,30 +11,27 @@ from hitloom.operators.joins import close_pairs
 EVENT = ["event_number", "dut"]
 
 
-def cluster_ids(hits: DataFrame, d_column: int, d_row: int, d_frame: int | None = None, rounds: int = 8) -> DataFrame:
+def cluster_ids(hits: DataFrame, d_column: int, d_row: int, d_frame: int | None = None) -> DataFrame:
     """``hits`` with the number of their cluster in the event, counted in the order of first hits, and ``n_cluster``.
 
-    Each hit takes the smallest ordinal among its neighbours, then the label of
-    its label, which doubles the reach: ``rounds`` rounds settle chains of
-    2 ** rounds hits. All joins are on (event, plane, ordinal).
+    An event's neighbour pairs are taken one by one and join the labels of
+    their two ends, so chains of any length are whole. Work per event is the
+    number of pairs times the number of hits, which suits events of up to some
+    hundred hits a plane; the union-find kernel does denser ones. The label of
+    a cluster is its smallest ordinal; ordinals are distinct in an event and plane.
     """
     near = (F.abs(F.col("a.column") - F.col("b.column")) <= d_column) & (F.abs(F.col("a.row") - F.col("b.row")) <= d_row)
     if d_frame is not None:
         near = near & (F.abs(F.col("a.frame") - F.col("b.frame")) <= d_frame)
-    half = close_pairs(hits, near, EVENT)
-    edges = half.unionByName(half.select(*EVENT, F.col("b").alias("a"), F.col("a").alias("b")))
-    # neighbours as one array per hit, so that labels spread inside an event without a join for each round
-    lists = edges.groupBy(*EVENT, "a").agg(F.collect_list("b").alias("near")).withColumnRenamed("a", "ordinal")
-    rows = hits.join(lists, [*EVENT, "ordinal"], "left")
-    event = rows.groupBy(*EVENT).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("near", F.array().cast("array<int>")).alias("near")))).alias("h"))
-    labels = F.transform("h", lambda h: h["ordinal"])
-    for _ in range(rounds):
-        spread = lambda c: F.transform("h", lambda h: F.array_min(F.concat(F.array(F.get(c, h["ordinal"] - 1)), F.transform(h["near"], lambda k: F.get(c, k - 1)))))
-        event = event.withColumn("l", labels)
-        event = event.withColumn("l", spread(F.col("l")))
-        event = event.withColumn("l", F.transform("l", lambda v: F.get("l", v - 1)))
-        labels = F.col("l")
-    number = F.transform("h", lambda h: F.struct(h["ordinal"].alias("ordinal"), (F.array_position(F.array_sort(F.array_distinct("l")), F.get("l", h["ordinal"] - 1)) - 1).cast("int").alias("cluster_id")))
+    pairs = close_pairs(hits, near, EVENT).groupBy(*EVENT).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    event = hits.groupBy(*EVENT).agg(F.sort_array(F.collect_list("ordinal")).alias("h")).join(pairs, EVENT, "left")
+
+    def join_ends(labels: Column, pair: Column) -> Column:
+        one, two = (F.get(labels, (F.array_position("h", pair[end]) - 1).cast("int")) for end in "ab")
+        return F.transform(labels, lambda v: F.when(v == F.greatest(one, two), F.least(one, two)).otherwise(v))
+
+    event = event.withColumn("l", F.when(F.col("pairs").isNull(), F.col("h")).otherwise(F.aggregate("pairs", F.col("h"), join_ends)))
+    number = F.transform("h", lambda o, i: F.struct(o.alias("ordinal"), (F.array_position(F.array_sort(F.array_distinct("l")), F.get("l", i)) - 1).cast("int").alias("cluster_id")))
     found = event.select(*EVENT, F.size(F.array_distinct("l")).alias("n_cluster"), F.explode(number).alias("x")).select(*EVENT, "n_cluster", "x.*")
     return hits.join(found, [*EVENT, "ordinal"])
 

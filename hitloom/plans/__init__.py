@@ -1,3 +1,3 @@
 """Registered queries, by subject."""
 
-from hitloom.plans import clusters, joins, positions, results, scans  # noqa: F401
+from hitloom.plans import clusters, joins, positions, results, scans, tracking  # noqa: F401
