@@ -38,7 +38,7 @@ NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar banner footer sidebar rail aside widget ad ads advert adverts"
     " advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter"
     " subscribe subscription signup login search share sharing social related recommended comment comments reply replies respond disqus"
-    " pagination pager toolbar copyright alert".split()
+    " pagination pager toolbar copyright alert links".split()
 )
 GOOD_NAMES = frozenset("article content post entry story main text body".split())
 WORTH = {"article": 1.3, "main": 1.15}
@@ -52,6 +52,12 @@ SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _off_topic(name: str) -> bool:
+    """Whether a class, id or role names something beside the article; the header of an article is its own."""
+    parts = {p.lower() for p in NAME_PART.findall(name)}
+    return bool(parts & (NAMES - {"header"} if parts & GOOD_NAMES else NAMES))
+
+
 class Page:
     """Elements in page order with their parents, and pieces of text with their element and block."""
 
@@ -119,7 +125,7 @@ class Page:
             for key, value in ATTRIBUTE.findall(inside):
                 key, value = key.lower(), html.unescape(value.strip("\"'"))
                 if key in ("class", "id", "role"):
-                    bad = bad or name not in ("html", "body") and any(p.lower() in NAMES for p in NAME_PART.findall(value))
+                    bad = bad or name not in ("html", "body") and any(map(_off_topic, value.split()))
                     if key == "class":
                         label = ".".join([name, *sorted({DIGITS.sub("#", v) for v in value.split()})])
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE_SQL = {"op4_mixing": mixing.ORACLE, "op6_quality_rules": hostrules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op2_near_duplicates": neardup.ORACLE, "op4_mixing": mixing.ORACLE, "op6_quality_rules": hostrules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

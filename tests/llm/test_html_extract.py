@@ -27,6 +27,8 @@ def own(source):
         (f"<article><table><tr><td>1<td>2<tr><td>3</table>{LONG}</article>", f"1 2\n3\n{LONG.strip()}"),
         (f'<article><p title="a > b">{LONG}</p><div hidden>h</div><div style="display: none">h</div><p>z</b></i></article>', f"{LONG.strip()}\nz"),
         (f'<header>top</header><article><header><h1>T</h1></header><p>{LONG}</p></article><div id="cookie-notice">c</div>', f"T\n{LONG.strip()}"),
+        (f"<div class='entry-content'><div class='entry-header'><h2>T</h2></div><p>{LONG}</p><div class='post-navigation'>n</div><section id='reader-comments'><article>c</article></section></div>", f"T\n{LONG.strip()}"),
+        (f"<div id='wrap'><div class='topBar'>t</div><ul class='main-menu'><li>m</ul><main><p>{LONG}</p><div class='newsletter-signup'>x</div></main><div class='page-footer'>f</div></div>", LONG.strip()),
     ],
 )
 def test_pages(source, text):
