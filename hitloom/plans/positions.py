@@ -233,6 +233,13 @@ def plane_normal(spark, sf_dir):
     return local_hits(spark, sf_dir).select(*KEYS, r6(nx).alias("nx"), r6(ny).alias("ny"), r6(-nz).alias("nz"))
 
 
+@query("skew", sql("SELECT event_number, dut, ordinal, round(-lx, 6) + 0e0 AS m12, round(ly, 6) + 0e0 AS m02, round(lx * ly, 6) + 0e0 AS m_ly FROM local_"))
+def skew(spark, sf_dir):
+    """Two entries of the skew matrix of (lx, ly, 0), and the third component of its product with (0, ly, 1)."""
+    m = X.skew((F.col("lx"), F.col("ly"), F.lit(0.0)))
+    return local_hits(spark, sf_dir).select(*KEYS, r6(m[1][2]).alias("m12"), r6(m[0][2]).alias("m02"), r6(m[2][1] * F.col("ly")).alias("m_ly"))
+
+
 @query("spherical", sql("""
     SELECT event_number, dut, ordinal, round(CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + 2 * pi() ELSE atan2(gy, gx) END, 6) + 0e0 AS phi,
       round(acos(gz / sqrt(gx * gx + gy * gy + gz * gz)), 6) + 0e0 AS theta, round(sqrt(gx * gx + gy * gy + gz * gz), 6) AS r FROM global_"""))
