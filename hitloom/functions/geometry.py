@@ -72,10 +72,12 @@ class Plane:
         return asdict(self) | {f"r{i + 1}{j + 1}": m[i][j] for i in range(3) for j in range(3)}
 
 
-SCHEMA = (
+FIELDS = (
     "dut int, name string, column_size double, row_size double, n_columns int, n_rows int, tx double, ty double, tz double, alpha double, beta double, gamma double,"
-    " x_lo double, x_hi double, y_lo double, y_hi double, material_budget double, resolution_x double, resolution_y double, cell_columns int, cell_rows int,"
-    " r11 double, r12 double, r13 double, r21 double, r22 double, r23 double, r31 double, r32 double, r33 double"
+    " x_lo double, x_hi double, y_lo double, y_hi double, material_budget double, resolution_x double, resolution_y double, cell_columns int, cell_rows int"
+)
+SCHEMA = FIELDS + (
+    ", r11 double, r12 double, r13 double, r21 double, r22 double, r23 double, r31 double, r32 double, r33 double"
 )
 
 #: Planes of the ``hits`` view and of the ``tracks`` view.
@@ -95,6 +97,18 @@ def geometry(spark: SparkSession, planes: list[Plane]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def save_geometry(spark: SparkSession, planes: list[Plane], path: str, version: int) -> None:
+    """Write the planes as one version; a version that is written again is replaced."""
+    spark.createDataFrame([tuple(asdict(p).values()) for p in planes], FIELDS).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def load_geometry(spark: SparkSession, path: str, version: int | None = None) -> list[Plane]:
+    """Planes of a version, by default the latest, in the order of their numbers."""
+    rows = spark.read.parquet(path)
+    version = rows.agg(F.max("version")).first()[0] if version is None else version
+    return [Plane(**{k: v for k, v in r.asDict().items() if k != "version"}) for r in rows.where(F.col("version") == version).orderBy("dut").collect()]
+
+
 def with_geometry(df: DataFrame, geo: DataFrame) -> DataFrame:
     """Attach plane constants by a broadcast join on ``dut``; a telescope has at most a few dozen planes."""
     return df.join(F.broadcast(geo), "dut")

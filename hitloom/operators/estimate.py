@@ -129,6 +129,34 @@ def prealign(hits: DataFrame, planes: list[Plane], reference: int, width: float)
     return [out[p.dut] for p in planes]
 
 
+def align_telescope(planes: list[Plane], selected: list[int], reference: int) -> list[Plane]:
+    """Turn and shift the whole telescope so that the line through the selected planes' centres is the z axis.
+
+    The reference plane's centre goes to x = y = 0; distances between planes stay.
+    """
+    centres = np.array([[p.tx, p.ty, p.tz] for p in planes if p.dut in selected])
+    mean = centres.mean(axis=0)
+    axis = np.linalg.svd(centres - mean)[2][0]
+    axis = axis * (1 if axis[2] >= 0 else -1)
+    v = np.cross(axis, [0.0, 0.0, 1.0])
+    s, c = np.linalg.norm(v), axis[2]
+    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    turn = np.eye(3) if s < 1e-15 else np.eye(3) + k + k @ k * ((1 - c) / s**2)
+    ref = next(p for p in planes if p.dut == reference)
+    origin = turn @ (np.array([ref.tx, ref.ty, ref.tz]) - mean) + mean
+    out = []
+    for p in planes:
+        r = turn @ np.array(rotation(p.alpha, p.beta, p.gamma))
+        t = turn @ (np.array([p.tx, p.ty, p.tz]) - mean) + mean - [origin[0], origin[1], origin[2] - ref.tz]
+        out.append(replace(p, tx=float(t[0]), ty=float(t[1]), tz=float(t[2]), **_angles(r)))
+    return out
+
+
+def _angles(r: np.ndarray) -> dict:
+    """Angles of a rotation matrix as the fields of a plane."""
+    return {"alpha": math.atan2(r[2, 1], r[2, 2]), "beta": -math.asin(max(-1.0, min(1.0, float(r[2, 0])))), "gamma": math.atan2(r[1, 0], r[0, 0])}
+
+
 def _design(p: list[Column]) -> list[list[Column | None]]:
     """Change of a global hit position with three small rotations and three shifts; None is zero."""
     one = F.lit(1.0)
@@ -163,31 +191,39 @@ def solve_alignment(sums: dict, plane: Plane, free: list[int]) -> Plane:
     r = (np.eye(3) + np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])) @ np.array(rotation(plane.alpha, plane.beta, plane.gamma))
     u, _, v = np.linalg.svd(r)
     r = u @ v
-    return replace(
-        plane, tx=plane.tx + step[3], ty=plane.ty + step[4], tz=plane.tz + step[5],
-        alpha=math.atan2(r[2, 1], r[2, 2]), beta=-math.asin(max(-1.0, min(1.0, r[2, 0]))), gamma=math.atan2(r[1, 0], r[0, 0]),
-    )
+    return replace(plane, tx=plane.tx + float(step[3]), ty=plane.ty + float(step[4]), tz=plane.tz + float(step[5]), **_angles(r))
 
 
-def align(local_hits: DataFrame, planes: list[Plane], fixed: list[int], iterations: int = 5, free: tuple = (2, 3, 4), max_chi: float | None = None, tolerance: float = 1e-3) -> tuple[list[Plane], list[dict]]:
+def align(
+    local_hits: DataFrame, planes: list[Plane], fixed: list[int], iterations: int = 5, free: tuple = (2, 3, 4), max_chi: float | None = None, tolerance: float = 1e-3,
+    find_from: int | None = None, telescope: tuple[list[int], int] | None = None,
+) -> tuple[list[Plane], list[dict]]:
     """Plane positions from straight tracks: fit all hits, one step per plane, until no shift exceeds ``tolerance``.
 
+    ``max_chi`` drops hits farther from their track; from round ``find_from`` on
+    hits are first re-associated with the geometry so far, and ``telescope``
+    (selected planes, reference plane) turns the telescope to the z axis after
+    each round.
+
     ``local_hits`` has event_number, ordinal, dut, x, y (local; null: no hit).
     ``fixed`` planes keep their place. State on the driver is the list of
     planes; the hits are written once and each round is one aggregate per step.
     Also returns the history of rounds.
     """
     from hitloom.functions import geometry as G
-    from hitloom.operators.tracking import TRACK, line_fit
+    from hitloom.operators.tracking import TRACK, find_tracks, line_fit
 
     spark = local_hits.sparkSession
     data = Scratch(spark, "align").table(local_hits.select(*TRACK, "dut", "x", "y").where("x IS NOT NULL"), "hits")
     history = []
-    for _ in range(iterations):
+    for round_ in range(iterations):
         rows = G.with_geometry(data, G.geometry(spark, planes))
         turned = G.rotate(F.col("x"), F.col("y"), F.lit(0.0))
         rows = rows.select(*TRACK, "dut", "tx", "ty", "tz", *(v.alias(f"p{a}") for v, a in zip(turned, "xyz", strict=True)))
         rows = rows.withColumns({a: F.col(f"p{a}") + F.col(f"t{a}") for a in "xyz"})
+        if find_from is not None and round_ >= find_from:
+            found = find_tracks(rows.select(*TRACK, "dut", "x", "y", "z"), planes).select("event_number", "dut", "was", F.col("ordinal").alias("now"))
+            rows = rows.withColumnRenamed("ordinal", "was").join(found, ["event_number", "dut", "was"]).withColumnRenamed("now", "ordinal").drop("was")
         fits = line_fit(rows, TRACK).where("n >= 3").drop("n")
         joined = rows.join(fits, TRACK)
         if max_chi is not None:
@@ -197,7 +233,7 @@ def align(local_hits: DataFrame, planes: list[Plane], fixed: list[int], iteratio
         sums = {r["dut"]: r.asDict() for r in alignment_sums(joined).collect()}
         new = [p if p.dut in fixed or p.dut not in sums else solve_alignment(sums[p.dut], p, list(free)) for p in planes]
         moved = max((max(abs(a.tx - b.tx), abs(a.ty - b.ty), abs(a.tz - b.tz)) for a, b in zip(new, planes, strict=True)), default=0.0)
-        planes = new
+        planes = align_telescope(new, *telescope) if telescope else new
         history.append({"moved": moved, "tracks": int(sum(s["n"] for s in sums.values()))})
         if moved < tolerance:
             break

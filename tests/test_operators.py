@@ -203,6 +203,23 @@ def test_alignment_closes(spark):
     assert all(abs(a.tx - b.tx) < 5 and abs(a.ty - b.ty) < 5 for a, b in zip(planes, truth, strict=True)) and history
 
 
+def test_telescope_turns_to_the_axis(spark, tmp_path):
+    planes = [G.Plane(i, tx=10.0 + 5 * i, ty=-3.0 * i, tz=1e4 * i, gamma=0.1) for i in range(4)]
+    out = E.align_telescope(planes, [0, 1, 2, 3], 0)
+    assert all(abs(p.tx) < 1e-6 and abs(p.ty) < 1e-6 for p in out)
+    gap = lambda a, b: math.dist((a.tx, a.ty, a.tz), (b.tx, b.ty, b.tz))
+    assert gap(out[0], out[3]) == pytest.approx(gap(planes[0], planes[3]))
+    G.save_geometry(spark, planes, str(tmp_path / "g"), 1)
+    G.save_geometry(spark, out, str(tmp_path / "g"), 2)
+    assert G.load_geometry(spark, str(tmp_path / "g"), 1) == planes and G.load_geometry(spark, str(tmp_path / "g")) == out
+
+
+def test_alignment_finds_tracks(spark):
+    truth, rows = P.shifted(spark, "/root/testdata/sf0.001")
+    planes, _ = E.align(rows.where("event_number < 1500"), truth, fixed=[0, 5], iterations=2, find_from=1, max_chi=60.0)
+    assert all(abs(a.tx - b.tx) < 5 and abs(a.ty - b.ty) < 5 for a, b in zip(planes, truth, strict=True))
+
+
 def test_histogram_fits(spark):
     x = np.arange(-30, 31)
     g = [(0, int(v), int(1000 * math.exp(-0.5 * ((v - 2) / 5) ** 2) + 0.5)) for v in x]
