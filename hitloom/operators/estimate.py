@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.geometry import Plane, rotation
 from hitloom.operators.joins import plane_pairs
-from hitloom.runtime import Scratch
+from hitloom.runtime import Scratch, ship
 
 
 def least_squares(model, start: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -53,6 +53,7 @@ def fit_histograms(hist: DataFrame, by: list[str], at: str, n: str = "n", shape:
 
     ``hist`` has one row per bin, so a group is as large as its number of bins.
     """
+    ship(hist.sparkSession)
     fields = hist.select(*by).schema
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -81,6 +82,7 @@ def reduce_background(cells: DataFrame, by: list[str]) -> DataFrame:
 
     A matrix is as large as the extents of two planes over the bin width.
     """
+    ship(cells.sparkSession)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by, "bin_ref", "bin").schema) + ", n double"
 
     def reduce_(g: pd.DataFrame) -> pd.DataFrame:

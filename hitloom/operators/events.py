@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from hitloom.runtime import ship
+
 
 def map_events(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "event_number", order: tuple = ("ordinal",)) -> DataFrame:
     """Apply ``fn`` to event-aligned batches; it may return any number of rows of ``schema``."""
@@ -32,6 +34,7 @@ def map_events(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
         if rest is not None and len(rest):
             yield fn(rest)
 
+    ship(df.sparkSession)
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 

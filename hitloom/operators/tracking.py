@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hitloom.functions.expressions import chi2_pvalue, in_window
 from hitloom.functions.geometry import Plane, rotation
 from hitloom.operators.events import event_slices, map_events
+from hitloom.runtime import ship
 
 TRACK = ["event_number", "ordinal"]
 
@@ -28,6 +29,7 @@ def line_fit(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", z:
     for a whole batch at once. Points with a null coordinate do not count; a
     single point has no direction (null).
     """
+    ship(points.sparkSession)
     known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     pairs = {"xx": (x, x), "xy": (x, y), "xz": (x, z), "yy": (y, y), "yz": (y, z), "zz": (z, z)}
     sums = known.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"o{a}") for a, c in zip("xyz", (x, y, z), strict=True)), *(F.covar_pop(*p).alias(k) for k, p in pairs.items()))
@@ -259,6 +261,7 @@ def kalman_fit(hits: DataFrame, planes: list[Plane], fit_duts: list[int], min_hi
     ``hits`` has local positions x, y (null: no hit) with errors x_err, y_err.
     The seed is the straight line through the first and last fit hit.
     """
+    ship(hits.sparkSession)
     smoother = Smoother(planes, set(fit_duts), energy, mass)
     order = [p.dut for p in smoother.planes]
     known = hits.where(F.col("dut").isin(order))

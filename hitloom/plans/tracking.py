@@ -16,7 +16,7 @@ from hitloom.operators.joins import plane_pairs
 from hitloom.plans.clusters import sql as cluster_sql
 from hitloom.plans.positions import sql
 from hitloom.plans.registry import query
-from hitloom.runtime import Scratch
+from hitloom.runtime import Scratch, ship
 from hitloom.sources import views
 from hitloom.streaming import running as R
 
@@ -86,6 +86,7 @@ def efficiency_interval(spark, sf_dir):
     from hitloom.plans.results import efficiency_total
 
     found = efficiency_total(spark, sf_dir)
+    ship(spark)
 
     @F.udf("lo double, hi double")
     def interval(k, n):

@@ -7,8 +7,11 @@ than once are written as Parquet below the folder that the cluster names in
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers find it without an installation."""
+    sc, root = spark.sparkContext, Path(__file__).parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    _shipped.add(sc.applicationId)
+    folder = Path(tempfile.mkdtemp(prefix="hitloom-"))  # executors fetch the archive from the driver as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = shutil.copytree(root, folder / "copy" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(folder / root.name), "zip", copy.parent, root.name))
+
+
 class Scratch:
     """Parquet tables of one computation, in a folder of their own."""
 
