@@ -18,8 +18,8 @@ def merge_planes(df: DataFrame, values: list[str], planes: list[int], only_event
     """
     rows = number_rows(df, "dut", "event_number")
     if only_events_of is not None:
-        last = df.where(F.col("dut") == only_events_of).agg(F.max("event_number").alias("last"))
-        rows = rows.join(F.broadcast(last)).where("event_number <= last").drop("last")
+        last = df.where(F.col("dut") == only_events_of).agg(F.max("event_number")).first()[0]
+        rows = rows.where(F.col("event_number") <= F.lit(last))
     at = lambda p, v: F.max(F.when(F.col("dut") == p, F.col(v))).alias(f"{v}_dut_{p}")
     flag = F.bit_or(F.expr("shiftleft(1L, dut)")).alias("hit_flag")
     return rows.groupBy("event_number", "k").agg(*(at(p, v) for p in planes for v in values), flag)

@@ -132,9 +132,8 @@ def noisy_cluster_drop(spark, sf_dir):
 @query("enabled_pixel_filter", sql("SELECT event_number, ordinal, dut FROM tracks WHERE NOT (CAST(floor(ix / 184e-1 + 576) + 1 AS INT) % 7 = 3 AND CAST(floor(iy / 184e-1 + 288) + 1 AS INT) % 5 = 2)"))
 def enabled_pixel_filter(spark, sf_dir):
     """Tracks whose nearest pixel is enabled; disabled ones are listed in a table of pixels."""
-    cols = spark.range(1, 1153).where("id % 7 = 3").select(F.col("id").cast("int").alias("col"))
-    rows = spark.range(1, 577).where("id % 5 = 2").select(F.col("id").cast("int").alias("row_"))
-    off = cols.crossJoin(rows)  # 1152 x 576 pixels at most
+    pixels = spark.range(1152 * 576).select((F.col("id") % 1152 + 1).cast("int").alias("col"), (F.floor(F.col("id") / 1152) + 1).cast("int").alias("row_"))
+    off = pixels.where("col % 7 = 3 AND row_ % 5 = 2")
     at = views.tracks(spark, sf_dir).withColumns({"col": (F.floor(F.col("ix") / 18.4 + 576) + 1).cast("int"), "row_": (F.floor(F.col("iy") / 18.4 + 288) + 1).cast("int")})
     return at.join(F.broadcast(off), ["col", "row_"], "left_anti").select(*TK, "dut")
 

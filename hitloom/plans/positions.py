@@ -139,9 +139,9 @@ def apply_alignment(spark, sf_dir):
 def intersect_plane(spark, sf_dir):
     """Lines through the hits of other planes, carried on to plane 2."""
     rows = global_hits(spark, sf_dir).where("dut <> 2").select(*KEYS, "gx", "gy", "gz")
-    target = G.geometry(spark, G.HIT_PLANES).where("dut = 2").drop("dut")
+    target = G.geometry(spark, G.HIT_PLANES).withColumnRenamed("dut", "target")
     p = G.intersect((F.col("gx"), F.col("gy"), F.col("gz")), (F.lit(1e-3), F.lit(-2e-3), F.lit(1.0)))
-    return rows.join(F.broadcast(target)).select(*KEYS, *(r6(c).alias(n) for c, n in zip(p, "xyz", strict=True)))
+    return rows.withColumn("target", F.lit(2)).join(F.broadcast(target), "target").select(*KEYS, *(r6(c).alias(n) for c, n in zip(p, "xyz", strict=True)))
 
 
 @query("charge_filter", sql("SELECT event_number, dut, ordinal, charge FROM hits WHERE charge BETWEEN 5 AND 40"))
@@ -269,7 +269,7 @@ def popcount(spark, sf_dir):
     return views.tracks(spark, sf_dir).select("event_number", "ordinal", "dut", F.bit_count("cluster_shape").alias("n"))
 
 
-@query("polygon_area", sql("SELECT event_number, dut, ordinal, abs(lx * ly - 0 + (lx + 100) * (ly + 50) - (lx + 100) * ly + 0) AS area FROM local_ WHERE false UNION ALL SELECT event_number, dut, ordinal, round(abs(column_size * \"column\" * row_size * \"row\") / 2, 6) AS area FROM local_"))
+@query("polygon_area", sql("SELECT event_number, dut, ordinal, round(abs(column_size * \"column\" * row_size * \"row\") / 2, 6) AS area FROM local_"))
 def polygon_area(spark, sf_dir):
     """Area of the triangle from the matrix corner over a hit's column to its row."""
     w, h = F.col("column_size") * F.col("column"), F.col("row_size") * F.col("row")

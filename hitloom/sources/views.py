@@ -31,10 +31,16 @@ SELECT event_number, ordinal, dut,
 FROM (SELECT base.*, CAST(d AS INT) AS dut, CAST(d * 150000 AS DOUBLE) AS z
   FROM (SELECT CAST(l_orderkey AS BIGINT) AS event_number, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS INT) AS ordinal,
       CAST(l_partkey AS BIGINT) AS p, CAST(l_suppkey AS BIGINT) AS s, CAST(l_linenumber AS INT) AS l, CAST(l_quantity AS DOUBLE) AS q FROM lineitem) AS base
-  CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) AS planes) AS crossed"""
+  <planes>) AS crossed"""
+
+
+#: The six planes of a track: a list of constants for DuckDB, an array that is unfolded for Spark.
+PLANES = "CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) AS planes"
+TRACKS = TRACKS.replace("<planes>", PLANES)
 
 
 def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    text = text.replace(PLANES, "LATERAL VIEW explode(sequence(0, 5)) planes AS d")
     return spark.sql(text.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
