@@ -12,11 +12,12 @@ def number_rows(df: DataFrame, *keys: str, by: tuple = ("ordinal",), name: str =
 
 
 def merge_planes(df: DataFrame, values: list[str], planes: list[int], only_events_of: int | None = None) -> DataFrame:
-    """Row k of an event holds the k-th row of each plane side by side: one shuffle on (event, k).
+    """Row k of an event holds the k-th row of each plane side by side.
 
+    Dealt by event once: the numbering and the grouping both find their rows together.
     ``only_events_of`` keeps events up to the last one of that plane.
     """
-    rows = number_rows(df, "dut", "event_number")
+    rows = number_rows(df.repartition("event_number"), "dut", "event_number")
     if only_events_of is not None:
         last = df.where(F.col("dut") == only_events_of).agg(F.max("event_number")).first()[0]
         rows = rows.where(F.col("event_number") <= F.lit(last))
@@ -54,9 +55,10 @@ def plane_pairs(df: DataFrame, bin_: Column, references: list[int]) -> DataFrame
     """Counts of (bin in a reference plane, bin in another plane) over all row pairs of one event.
 
     Each side is summed per event and bin first, so a busy event contributes
-    products of counts and not its pairs of rows.
+    products of counts and not its pairs of rows. Dealt by event once: the sums
+    and both sides of the join use that shuffle.
     """
-    cells = df.withColumn("bin", bin_).groupBy("event_number", "dut", "bin").agg(F.count("*").alias("n"))
+    cells = df.select("event_number", "dut", bin_.alias("bin")).repartition("event_number").groupBy("event_number", "dut", "bin").agg(F.count("*").alias("n"))
     ref = cells.where(F.col("dut").isin(references)).select("event_number", F.col("dut").alias("ref"), F.col("bin").alias("bin_ref"), F.col("n").alias("m"))
     return ref.join(cells, "event_number").where("ref <> dut").groupBy("ref", "dut", "bin_ref", "bin").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
 

@@ -9,6 +9,7 @@ from hitloom.functions import expressions as X
 from hitloom.functions import geometry as G
 from hitloom.functions.expressions import r6
 from hitloom.operators import joins as J
+from hitloom.operators.selection import isolation_flags, query_filter, select_tracks
 from hitloom.plans.positions import plane_tracks, sql
 from hitloom.plans.registry import query
 from hitloom.sources import views
@@ -78,16 +79,9 @@ def event_correlation(spark, sf_dir):
     SELECT event_number, ordinal, CAST(bit_or(CASE WHEN near THEN 0 ELSE 1 << dut END) AS BIGINT) AS isolated_flag
     FROM (SELECT a.event_number, a.ordinal, a.dut, coalesce(bool_or(((a.ix - b.ix) / 1000) ** 2 + ((a.iy - b.iy) / 1000) ** 2 <= 1), false) AS near
       FROM tracks AS a LEFT JOIN tracks AS b ON a.event_number = b.event_number AND a.dut = b.dut AND a.ordinal <> b.ordinal GROUP BY ALL) AS t GROUP BY ALL"""))
-def isolation_flags(spark, sf_dir):
+def isolation_flags_query(spark, sf_dir):
     """Bit per plane: no other track of the event within an ellipse of 1000 micrometres."""
-    t = views.tracks(spark, sf_dir).select("event_number", "ordinal", "dut", "ix", "iy")
-    a, b = t.alias("a"), t.alias("b")
-    dx, dy = (F.col(f"a.{c}") - F.col(f"b.{c}") for c in ("ix", "iy"))
-    near = (dx / 1000) * (dx / 1000) + (dy / 1000) * (dy / 1000) <= 1
-    crowded = a.join(b, (F.col("a.event_number") == F.col("b.event_number")) & (F.col("a.dut") == F.col("b.dut")) & (F.col("a.ordinal") != F.col("b.ordinal")) & near, "left_semi")
-    bits = lambda d, n: d.groupBy(*TK).agg(F.bit_or(F.expr("shiftleft(1L, dut)")).alias(n))
-    both = bits(t, "all_").join(bits(crowded, "near"), TK, "left")
-    return both.select(*TK, F.col("all_").bitwiseAND(F.bitwise_not(F.coalesce("near", F.lit(0).cast("long")))).alias("isolated_flag"))
+    return isolation_flags(views.tracks(spark, sf_dir), "ix", "iy", 1000.0, 1000.0)
 
 
 @query("nearest_pixel", sql("SELECT event_number, ordinal, dut, CAST(floor(ix / 184e-1 + 576) + 1 AS INT) AS col, CAST(floor(iy / 184e-1 + 288) + 1 AS INT) AS row_ FROM tracks WHERE abs(ix) < 105984e-1 AND abs(iy) < 52992e-1"))
@@ -187,31 +181,11 @@ def quality_flag(spark, sf_dir):
     return track_flags(spark, sf_dir).select(*TK, "quality_flag")
 
 
-def select_tracks(df, hit=(), no_hit=(), quality=(), isolated_track=(), isolated_hit=()):
-    """Tracks with all required hits, none of the forbidden, and quality and isolated-hit bits wherever the track has a hit; isolated-track bits always."""
-    flag = F.col("hit_flag")
-    keep = X.all_bits(flag, list(hit)) & X.no_bits(flag, list(no_hit))
-    for name, duts in (("quality_flag", quality), ("isolated_hit_flag", isolated_hit)):
-        if duts:
-            need = flag.bitwiseAND(F.lit(X.mask_of(list(duts))).cast("long"))
-            keep = keep & (F.col(name).bitwiseAND(need) == need)
-    if isolated_track:
-        keep = keep & X.all_bits(F.col("isolated_track_flag"), list(isolated_track))
-    return df.where(keep)
-
-
 @query("select_tracks", sql(f"SELECT event_number, ordinal, hit_flag, quality_flag FROM (SELECT event_number, ordinal, {FLAGS}, {QUALITY} FROM tracks GROUP BY ALL) AS t WHERE hit_flag & 3 = 3 AND hit_flag & 32 = 0 AND quality_flag & (hit_flag & 6) = hit_flag & 6"))
 def select_tracks_query(spark, sf_dir):
     return select_tracks(track_flags(spark, sf_dir), hit=[0, 1], no_hit=[5], quality=[1, 2]).drop("chi_red")
 
 
-def query_filter(df, text: str):
-    """Filter by a boolean text over columns that joins terms by ``&`` and ``|``; anything but one predicate is refused."""
-    if ";" in text or any(w in text.lower().split() for w in ("select", "from")):
-        raise ValueError("only a predicate over columns is allowed")
-    return df.where(F.expr(text.replace("&", " AND ").replace("|", " OR ").replace("==", "=")))
-
-
 @query("query_filter", sql("SELECT event_number, ordinal, dut FROM tracks WHERE (chi_red < 2 AND n_hits = 1) OR frame > 5"))
 def query_filter_query(spark, sf_dir):
     return query_filter(views.tracks(spark, sf_dir), "(chi_red < 2) & (n_hits == 1) | (frame > 5)").select(*TK, "dut")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
-from hitloom.functions.expressions import in_window, r6
+from hitloom.functions.expressions import r6
 from hitloom.operators import histograms as H
 from hitloom.operators import joins as J
+from hitloom.operators import results as R
+from hitloom.operators.results import distance, rx, ry
 from hitloom.plans.positions import plane_tracks, sql
 from hitloom.plans.registry import query
 from hitloom.sources import views
@@ -17,18 +19,6 @@ RES = 500.0  # bin width of the maps in micrometres
 BINS = "CAST(floor((ix + 6000) / 500) AS INT) AS bx, CAST(floor((iy + 3000) / 500) AS INT) AS by_"
 
 
-def rx():
-    return F.col("x") - F.col("ix")
-
-
-def ry():
-    return F.col("y") - F.col("iy")
-
-
-def distance():
-    return F.sqrt(rx() * rx() + ry() * ry())
-
-
 def bin_x():
     return F.floor((F.col("ix") + 6000) / RES).cast("int")
 
@@ -134,10 +124,6 @@ def hist_quantile_mask(spark, sf_dir):
 CUT = (4.0, 3.0)
 
 
-def valid_hit(cut=CUT):
-    return F.col("x").isNotNull() & F.coalesce(in_window(rx(), ry(), F.lit(cut[0]), F.lit(cut[1]), F.col("column_size"), F.col("row_size")), F.lit(False))
-
-
 V_SQL = "coalesce(abs(x - ix) <= 4 AND abs(y - iy) <= 3, false)"
 
 
@@ -147,18 +133,14 @@ V_SQL = "coalesce(abs(x - ix) <= 4 AND abs(y - iy) <= 3, false)"
     FROM tracks GROUP BY ALL HAVING count(*) >= 2"""))
 def efficiency_map(spark, sf_dir):
     """One pass over the tracks: counts, efficiency and means per bin; bins with fewer than two tracks are masked."""
-    t = plane_tracks(spark, sf_dir).withColumn("v", valid_hit())
-    of = lambda c: F.avg(F.when(F.col("v"), c))
-    rows = t.groupBy("dut", bin_x().alias("bx"), bin_y().alias("by_")).agg(
-        F.count("*").alias("n_tracks"), F.count_if("v").alias("n_valid"), F.count_if(F.col("x").isNotNull()).alias("n_hits_all"), F.round(100 * F.count_if("v") / F.count("*"), 6).alias("efficiency"),
-        r6(of(rx())).alias("mean_rx"), r6(of(F.col("charge"))).alias("mean_charge"), r6(of(F.col("n_hits"))).alias("mean_size"), (F.round(of(F.atan2("sy", "sz")), 9) + 0.0).alias("mean_alpha"),
-    )
-    return rows.where("n_tracks >= 2")
+    m = R.efficiency_map(plane_tracks(spark, sf_dir), CUT, (-6000.0, -3000.0), RES, least=2)
+    six = ["efficiency", "mean_rx", "mean_charge", "mean_size"]
+    return m.select("dut", "bx", "by_", "n_tracks", "n_valid", "n_hits_all", *(r6(F.col(c)).alias(c) for c in six), (F.round("mean_alpha", 9) + 0.0).alias("mean_alpha"))
 
 
 @query("efficiency_total", sql(f"SELECT dut, count(*) FILTER ({V_SQL}) AS k, count(*) AS n, round(count(*) FILTER ({V_SQL}) / CAST(count(*) AS DOUBLE), 9) AS efficiency FROM tracks GROUP BY dut"))
 def efficiency_total(spark, sf_dir):
-    t = plane_tracks(spark, sf_dir).withColumn("v", valid_hit())
+    t = plane_tracks(spark, sf_dir).withColumn("v", R.valid_hit(CUT))
     return t.groupBy("dut").agg(F.count_if("v").alias("k"), F.count("*").alias("n")).withColumn("efficiency", F.round(F.col("k") / F.col("n"), 9))
 
 
@@ -167,26 +149,19 @@ PIX = "CAST(floor(ix / 184e-1) AS INT) AS px, CAST(floor(iy / 184e-1) AS INT) AS
 
 @query("pixel_efficiency", sql(f"SELECT dut, {PIX}, count(*) AS n_tracks, count(*) FILTER ({V_SQL}) AS n_valid FROM tracks GROUP BY ALL"))
 def pixel_efficiency(spark, sf_dir):
-    return plane_tracks(spark, sf_dir).withColumn("v", valid_hit()).groupBy("dut", pixel_x(), pixel_y()).agg(F.count("*").alias("n_tracks"), F.count_if("v").alias("n_valid"))
+    return plane_tracks(spark, sf_dir).withColumn("v", R.valid_hit(CUT)).groupBy("dut", pixel_x(), pixel_y()).agg(F.count("*").alias("n_tracks"), F.count_if("v").alias("n_valid"))
 
 
 REGIONS = [("left", -5200.0, 0.0, -2000.0, 2000.0), ("right", 0.0, 4500.0, -2000.0, 2000.0), ("core", -1000.0, 1000.0, -1000.0, 1000.0)]
 _REG = ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in REGIONS)
 
 
-def in_regions(spark, df):
-    """Rows once for each open rectangle that holds their crossing point; a handful of regions is broadcast."""
-    regions = spark.createDataFrame(REGIONS, "region string, x_lo_r double, x_hi_r double, y_lo_r double, y_hi_r double")
-    inside = (F.col("ix") > F.col("x_lo_r")) & (F.col("ix") < F.col("x_hi_r")) & (F.col("iy") > F.col("y_lo_r")) & (F.col("iy") < F.col("y_hi_r"))
-    return df.join(F.broadcast(regions), inside)
-
-
 @query("region_efficiency", sql(f"""
     SELECT region, dut, count(*) AS n_tracks, count(*) FILTER ({V_SQL}) AS n_valid, round(avg(charge) FILTER ({V_SQL}), 6) AS mean_charge FROM tracks
     JOIN (VALUES {_REG}) AS r(region, a, b, c, d) ON ix > a AND ix < b AND iy > c AND iy < d GROUP BY ALL"""))
 def region_efficiency(spark, sf_dir):
-    t = in_regions(spark, plane_tracks(spark, sf_dir).withColumn("v", valid_hit()))
-    return t.groupBy("region", "dut").agg(F.count("*").alias("n_tracks"), F.count_if("v").alias("n_valid"), r6(F.avg(F.when(F.col("v"), F.col("charge")))).alias("mean_charge"))
+    e = R.efficiency_by(R.in_regions(plane_tracks(spark, sf_dir), REGIONS), CUT, "region", "dut")
+    return e.select("region", "dut", "n_tracks", "n_valid", r6(F.col("mean_charge")).alias("mean_charge"))
 
 
 _CELL = "CAST(floor((((ix + 105984e-1) % 184e-1 + 184e-1) % 184e-1) / 46e-1) AS INT)"
@@ -195,9 +170,7 @@ _CELLY = "CAST(floor((((iy + 52992e-1) % 184e-1 + 184e-1) % 184e-1) / 46e-1) AS
 
 def in_pixel(spark, sf_dir):
     """Tracks with the quarter of the primitive cell they cross."""
-    t = plane_tracks(spark, sf_dir).withColumn("v", valid_hit())
-    x, y = G.cell_position(F.col("ix"), F.col("iy"))
-    return t.withColumns({"bx": F.floor(x / 4.6).cast("int"), "by_": F.floor(y / 4.6).cast("int")})
+    return R.in_pixel(plane_tracks(spark, sf_dir).withColumn("v", R.valid_hit(CUT)), 4.6)
 
 
 @query("in_pixel_maps", sql(f"SELECT dut, {_CELL} AS bx, {_CELLY} AS by_, count(*) AS n_tracks, count(*) FILTER ({V_SQL}) AS n_valid, round(avg(charge) FILTER ({V_SQL}), 6) AS mean_charge FROM tracks GROUP BY ALL"))
@@ -215,13 +188,13 @@ def in_pixel_shape(spark, sf_dir):
 
 @query("efficiency_trend", sql(f"SELECT dut, CAST(floor(event_number / 500) AS BIGINT) AS chunk, count(*) AS n_tracks, count(*) FILTER ({V_SQL}) AS n_valid FROM tracks GROUP BY ALL"))
 def efficiency_trend(spark, sf_dir):
-    t = plane_tracks(spark, sf_dir).withColumn("v", valid_hit())
+    t = plane_tracks(spark, sf_dir).withColumn("v", R.valid_hit(CUT))
     return t.groupBy("dut", F.floor(F.col("event_number") / 500).alias("chunk")).agg(F.count("*").alias("n_tracks"), F.count_if("v").alias("n_valid"))
 
 
 @query("charge_frame_size_dists", sql(f"SELECT dut, kind, bin, count(*) AS n FROM (SELECT dut, unnest(['charge', 'frame', 'size']) AS kind, unnest([CAST(charge AS INT), frame, n_hits]) AS bin FROM tracks WHERE {V_SQL}) AS t GROUP BY ALL"))
 def charge_frame_size_dists(spark, sf_dir):
-    t = plane_tracks(spark, sf_dir).where(valid_hit())
+    t = plane_tracks(spark, sf_dir).where(R.valid_hit(CUT))
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("int").alias("bin")) for k, c in (("charge", "charge"), ("frame", "frame"), ("size", "n_hits")))))
     return t.select("dut", kinds.alias("a")).groupBy("dut", F.col("a.kind").alias("kind"), F.col("a.bin").alias("bin")).agg(F.count("*").alias("n"))
 
@@ -235,9 +208,8 @@ def size_shape_vs_angle(spark, sf_dir):
 @query("purity", sql(f"SELECT dut, CAST(floor((x + 6000) / 500) AS INT) AS bx, CAST(floor((y + 3000) / 500) AS INT) AS by_, count(*) AS n_hits, count(*) FILTER ({D_SQL} < 4) AS n_pure, round(100e0 * count(*) FILTER ({D_SQL} < 4) / count(*), 6) AS purity FROM tracks WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) >= 2"))
 def purity(spark, sf_dir):
     """Share of hits with a track within 4 micrometres; bins with fewer than two hits are masked."""
-    t = with_hit(spark, sf_dir).withColumn("pure", distance() < 4)
-    rows = t.groupBy("dut", F.floor((F.col("x") + 6000) / RES).cast("int").alias("bx"), F.floor((F.col("y") + 3000) / RES).cast("int").alias("by_")).agg(F.count("*").alias("n_hits"), F.count_if("pure").alias("n_pure"))
-    return rows.where("n_hits >= 2").withColumn("purity", F.round(100 * F.col("n_pure") / F.col("n_hits"), 6))
+    m = R.purity_map(views.tracks(spark, sf_dir), 4.0, (-6000.0, -3000.0), RES, least=2)
+    return m.withColumn("purity", F.round("purity", 6))
 
 
 @query("track_angle_hist", sql("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
 from hitloom.functions.expressions import r6
+from hitloom.operators import selection
 from hitloom.plans.positions import global_hits, sql
 from hitloom.plans.registry import query
 from hitloom.sources import tables as T
@@ -87,10 +88,7 @@ def top_k_bins(spark, sf_dir):
 @query("sample_events", sql("SELECT event_number, dut, ordinal FROM hits WHERE event_number IN (SELECT event_number FROM (SELECT DISTINCT event_number FROM hits) AS e ORDER BY md5(concat(CAST(event_number AS VARCHAR), '#7')), event_number LIMIT 300)"))
 def sample_events(spark, sf_dir):
     """Whole events, 300 of them, in the order of a seeded hash."""
-    hits = views.hits(spark, sf_dir)
-    key = F.md5(F.concat(F.col("event_number").cast("string"), F.lit("#7")).cast("binary"))
-    chosen = hits.select("event_number").distinct().orderBy(key, "event_number").limit(300)
-    return hits.join(F.broadcast(chosen), "event_number", "left_semi").select(*K)
+    return selection.sample_events(views.hits(spark, sf_dir), 300, "7").select(*K)
 
 
 @query("limit_tracks", sql("SELECT event_number, ordinal, chi2 FROM tracks WHERE dut = 0 ORDER BY event_number, ordinal LIMIT 500"))

@@ -30,6 +30,10 @@ def track_hits(spark, sf_dir):
     return rows.withColumns({"x_err": F.lit(PITCH), "y_err": F.lit(PITCH)})
 
 
+def plane_rows(spark, sf_dir):
+    return G.with_geometry(views.tracks(spark, sf_dir).drop("z"), geo(spark))
+
+
 def geo(spark):
     return G.geometry(spark, G.TRACK_PLANES)
 

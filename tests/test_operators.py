@@ -17,7 +17,9 @@ from hitloom.operators import estimate as E
 from hitloom.operators import events as EV
 from hitloom.operators import histograms as H
 from hitloom.operators import joins as J
+from hitloom.operators import results as RS
 from hitloom.operators import tracking as T
+from hitloom.plans import registry
 from hitloom.plans import tracking as P
 
 
@@ -231,6 +233,54 @@ def test_histogram_fits(spark):
     assert r.mean == pytest.approx(-1, abs=0.05) and r.half_width == pytest.approx(12, abs=0.1)
 
 
+def test_residual_range_follows_the_peak(spark):
+    tracks = P.plane_rows(spark, "/root/testdata/sf0.001")
+    h = RS.residual_histograms(tracks, bins=50, span=1.0)
+    per = h.groupBy("dut", "axis").agg(F.sum("n").alias("n"), F.max("bin").alias("top"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).collect()
+    assert len(per) == 12 and all(r.n > 4000 and r.top <= 49 and r.lo < 0 < r.hi for r in per)
+
+
+def test_periodic_padding(spark):
+    cells = spark.createDataFrame([(i, j, 10 * i + j) for i in range(4) for j in range(3)], "bx int, by_ int, n int")
+    got = {(r.bx, r.by_): r.n for r in RS.wrapped(cells, 4, 3, 1).collect()}
+    assert len(got) == 6 * 5 and got[-1, -1] == 32 and got[4, 0] == 0 and got[0, 3] == 0
+
+
+def test_total_purity(spark):
+    m = spark.createDataFrame([(0, 10, 5, 50.0), (0, 30, 30, 100.0)], "dut int, n_hits long, n_pure long, purity double")
+    r = RS.total_purity(m).first()
+    assert r.purity == pytest.approx(87.5) and r.weighted == pytest.approx(87.5)
+
+
+def test_own_hit_changes_the_fit(spark):
+    rows, geo = P.track_hits(spark, "/root/testdata/sf0.001").where("event_number < 200"), P.geo(spark)
+    biased = T.fit_tracks(rows, geo, [0, 1, 2, 3, 4, 5], [2, 3], exclude_own=False)
+    assert biased.groupBy("event_number", "ordinal").agg(F.countDistinct("sx").alias("n")).where("n > 1").count() == 0
+    unbiased = T.fit_tracks(rows, geo, [0, 1, 2, 3, 4, 5], [2, 3])
+    assert unbiased.groupBy("event_number", "ordinal").agg(F.countDistinct("sx").alias("n")).where("n > 1").count() > 0
+    one = T.fit_tracks(rows, geo, [0, 1, 3, 4, 5], [2], exclude_own=False)
+    key = ["event_number", "ordinal"]
+    a = {(r[0], r[1]): r.chi2 for r in unbiased.where("fit_dut = 2").select(*key, "chi2").collect()}
+    b = {(r[0], r[1]): r.chi2 for r in one.select(*key, "chi2").collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+@pytest.mark.parametrize("name", ["merge_clusters", "cluster_build", "efficiency_map", "event_delta", "find_tracks", "noisy_pixels", "plane_correlation", "isolation_flags"])
+def test_partitioning_does_not_matter(spark, name):
+    """The same rows whatever the number of partitions of reads and shuffles."""
+    keys = {"spark.sql.shuffle.partitions": ("1", "13"), "spark.sql.files.maxPartitionBytes": ("1g", "20k"), "spark.sql.files.openCostInBytes": ("4m", "1k")}
+    before, found = {k: spark.conf.get(k) for k in keys}, []
+    try:
+        for i in (0, 1):
+            for k, v in keys.items():
+                spark.conf.set(k, v[i])
+            found.append(sorted(map(str, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1]
+
+
 def test_interval_and_background(spark):
     lo, hi = E.shortest_interval(90, 100)
     assert lo == pytest.approx(-0.033, abs=0.004) and hi == pytest.approx(0.027, abs=0.004)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hitloom.plans.joins import query_filter, select_tracks
+from hitloom.operators.selection import query_filter, select_tracks
 from hitloom.runtime import Scratch
 from hitloom.sources import tables as T
 from hitloom.sources import views
