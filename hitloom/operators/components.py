@@ -14,13 +14,9 @@ from pyspark.sql import functions as F
 from hitloom.runtime import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.expr("bit_xor(xxhash64(hi, lo))").alias("x"),
-        F.sum(F.col("lo").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return row["n"], row["x"], row["s"]
+def _write(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a table, with a count and checksums taken while writing."""
+    return scratch.counted(edges, "edges", x=F.expr("bit_xor(xxhash64(hi, lo))"), s=F.sum(F.col("lo").cast("decimal(38,0)")))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
@@ -33,9 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch:
     scratch = scratch or Scratch(edges.sparkSession, "components")
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     loops = pairs.where("a = b").select(F.col("a").alias("id"))
-    now = scratch.table(pairs.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    now, state = _write(scratch, pairs.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while state["n"]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo"), F.col("hi")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -47,11 +42,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch:
             .where("hi <> lo")
             .distinct()
         )
-        new = scratch.table(small, "edges")
+        new, after = _write(scratch, small)
         scratch.release(now)
-        now, before = new, state
-        state = _state(now)
-        if state == before:
+        done = after == state
+        now, state = new, after
+        if done:
             break
     stars = now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id")
     roots = now.select(F.col("lo").alias("id"), F.col("lo").alias("component"))

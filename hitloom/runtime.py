@@ -13,7 +13,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -60,6 +61,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str = "t", **more: Column) -> tuple[DataFrame, dict]:
+        """The same, with the number of rows ``n`` and further aggregates taken while writing."""
+        seen = Observation()
+        out = self.table(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items())), name)
+        return out, seen.get
+
     def release(self, *frames: DataFrame) -> None:
         """Delete the files of tables that nothing reads any more."""
         for df in frames:
