@@ -200,4 +200,4 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return run
 
     at = docs.columns.index("text")
-    return map_rows(docs, make, docs._jdf.schema().toDDL())
+    return map_rows(docs, make, docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from hitloom.llm.common import Recent, map_rows, read
 from hitloom.operators.components import connected_components
-from hitloom.runtime import Scratch
+from hitloom.runtime import Scratch, ship
 
 #: Signature coordinates named by one node, and levels of a tree.
 BRANCH, LEVELS = 2, 3
@@ -47,7 +47,7 @@ SMALL = 12
 #: Share of a large node that must resemble its pivot for the node to be compared in blocks at once.
 DENSE = 0.2
 #: Bytes of shingle sets on one side of a block.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Sketch: two bits of each of 128 coordinates of their own.
 SKETCH = 128
 #: Identifiers of candidate documents that one broadcast may hold.
@@ -217,10 +217,11 @@ class _Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Confirm candidates on the full sets."""
-        pairs = self.scratch.table(pairs, "candidates")
+        pairs, seen = self.scratch.counted(pairs, "candidates")
+        if not seen["n"]:
+            return pairs
         ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        n = ids.count()
-        texts = self.texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        texts = self.texts.join(F.broadcast(ids) if 2 * seen["n"] <= BROADCAST_IDS else ids, "doc_id", "left_semi")
         made = self.scratch.table(shingle_sets(texts, self.width), "sets")
         # a repeated identifier would repeat its set
         both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
@@ -235,23 +236,25 @@ class _Join:
             pivot = F.min_by("doc_id", F.xxhash64("doc_id", "place"))
             counts = self.scratch.table(rows.groupBy("place", "node").agg(F.count("*").alias("size"), pivot.alias("pivot")).where("size > 1"), "nodes")
             large = rows.join(counts.where(F.col("size") > SMALL).select("place", "node", "pivot"), ["place", "node"])
-            star = self.scratch.table(self.star(large), "stars")
+            star, stars = self.scratch.counted(self.star(large), "stars")
             ends = F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")
             found.append(self.links(self.small_pairs(rows, counts).unionAll(star.where("near AND doc_id <> pivot").select(*ends)).distinct()))
             self.scratch.release(rows, counts)
-            if star.isEmpty():
+            if not stars["n"]:
                 break
             labels = self.scratch.table(connected_components(reduce(DataFrame.unionAll, found).distinct(), scratch=self.scratch), "components")
             marked = star.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             marked = self.scratch.table(marked, "marked")
             nodes = marked.groupBy("place", "node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.avg(F.col("near").cast("int")).alias("share"))
-            nodes = self.scratch.table(nodes.where("lo < hi").select("place", "node", "share"), "open")
             last = level + 1 == LEVELS
-            found.append(self.block_links(marked.join(nodes.where(F.lit(last) | (F.col("share") >= DENSE)), ["place", "node"], "left_semi")))
+            nodes = nodes.where("lo < hi").select("place", "node", (F.lit(last) | (F.col("share") >= DENSE)).alias("dense"))
+            nodes, seen = self.scratch.counted(nodes, "open", dense=F.count_if("dense"))
+            if seen["dense"]:
+                found.append(self.block_links(marked.join(nodes.where("dense"), ["place", "node"], "left_semi")))
             self.scratch.release(star)
-            if last or nodes.where(F.col("share") < DENSE).isEmpty():
+            if seen["n"] == seen["dense"]:
                 break
-            rows = self.scratch.table(self.next_level(marked.join(nodes.where(F.col("share") < DENSE), ["place", "node"], "left_semi"), level + 1), "level")
+            rows = self.scratch.table(self.next_level(marked.join(nodes.where("NOT dense"), ["place", "node"], "left_semi"), level + 1), "level")
         return reduce(DataFrame.unionAll, found).distinct()
 
     def block_links(self, rows: DataFrame) -> DataFrame:
@@ -260,9 +263,9 @@ class _Join:
         whole = parts.groupBy("place", "node").agg(F.max(F.struct("m", "component", "shingles")).alias("t"), F.sum("shingles").alias("shingles"))
         blocks = lambda c: F.greatest(F.lit(1), F.ceil(8 * c / F.lit(float(BLOCK)))).cast("int")
         nodes = whole.select("place", "node", F.col("t.component").alias("top"), blocks(F.col("shingles")).alias("nb"), blocks(F.col("shingles") - F.col("t.shingles")).alias("na"))
-        known = self.scratch.table(rows.select("place", "node", "doc_id", "component").join(nodes, ["place", "node"]), "blocks")
+        known, seen = self.scratch.counted(rows.select("place", "node", "doc_id", "component").join(nodes, ["place", "node"]), "blocks")
         ids = known.select("doc_id").distinct()
-        few = ids.count() <= BROADCAST_IDS
+        few = seen["n"] <= BROADCAST_IDS
         made = self.scratch.table(shingle_sets(self.texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), self.width), "sets")
         at = lambda n: F.pmod(F.xxhash64("doc_id", "place"), F.col(n)).cast("int")
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -271,6 +274,7 @@ class _Join:
         keys = ["place", "node", "i", "j"]
         both = a.select(*keys, "side", "doc_id", "component").unionByName(b.select(*keys, "side", "doc_id", "component")).join(made, "doc_id")
         percent = self.percent
+        ship(rows.sparkSession)
         found = both.groupBy(*keys).applyInPandas(lambda block: compare_block(block, percent), "a bigint, b bigint")
         out = self.scratch.table(found, "links")
         self.scratch.release(made, known)
@@ -319,7 +323,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     and a component's id is its smallest key; ``kept`` marks that document.
     Null and empty texts have no shingles and are linked with nothing; repeated
     rows and equal texts are in one component. Rows with a null key form no
-    link and have a null component. Other columns are not read. An empty table
+    link and have a null component. Rows that share a key but not the text are
+    told apart and linked like others. Other columns are not read. An empty table
     gives an empty result.
     """
     spark = docs.sparkSession
@@ -330,9 +335,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     full = made.where("n > 0 AND doc_id IS NOT NULL")
     groups = scratch.table(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "groups")
     sets = scratch.table(made.join(groups.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "sets")
-    once = sets.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if not once:
-        raise ValueError(f"{key} must tell apart rows with different texts")
+    if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _apart(texts, key, width, percent, recall)
     links = _Join(texts, sets.drop("k1", "k2"), width, percent, trees, scratch).run()
     labels = connected_components(links, scratch=scratch)
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
@@ -342,6 +346,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return linked.unionAll(alone).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def _apart(texts: DataFrame, key: str, width: int, percent: int, recall: float) -> DataFrame:
+    """Where one key stands for different texts, each (key, text) is a document of its own until components are named."""
+    own = texts.withColumn("v", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    own = Scratch(texts.sparkSession, "apart").table(own, "texts")
+    found = near_duplicates(own, "v", "text", width, percent, recall).select("v", "n_shingles", F.col("component_id").alias("c")).dropDuplicates(["v"])
+    rows = own.select("doc_id", "v").join(found, "v")
+    least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = rows.join(least, "c").select("doc_id", "n_shingles", "component_id")
+    alone = near_duplicates(own.where("v IS NULL").select(F.col("v").alias("doc_id"), "text"), "doc_id", "text", width, percent, recall)
+    both = named.unionAll(alone.select("doc_id", "n_shingles", "component_id"))
+    return both.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 

@@ -94,6 +94,10 @@ def test_cases(spark):
     assert N.near_duplicates(docs.limit(0)).count() == 0
     odd = docs.unionAll(docs.where("doc_id = 3")).unionAll(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")).select(docs.columns))
     assert N.near_duplicates(odd).count() == 10
+    text = "a b c d e f g h"
+    same = spark.createDataFrame([(1, text), (1, "other words altogether"), (2, text), (2, text), (3, "other words altogether"), (None, text)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in N.near_duplicates(same).collect())
+    assert got == [("1", "1"), ("1", "1"), ("2", "1"), ("2", "1"), ("3", "1"), ("None", "None")]
     kept = N.neardup_stage(spark, docs, "")
     assert kept.columns == docs.columns and kept.count() == 7
 
