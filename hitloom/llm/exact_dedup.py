@@ -18,6 +18,7 @@ rows reaches its task as one row for each upstream task.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: Copies of one text that are compared with the kept one in one task, about.
+GROUP_ROWS = 500
 ARRIVAL = "digest string, doc_id long, locator string"
 
 
@@ -44,9 +47,7 @@ def located(docs: DataFrame, scratch: Scratch) -> DataFrame:
     where = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
     try:
         return docs.withColumn("locator", where)
-    except Exception as e:
-        if "UNRESOLVED_COLUMN" not in str(e):
-            raise
+    except AnalysisException:  # no file metadata: the frame is not a plain read
         return scratch.table(docs, "documents").withColumn("locator", where)
 
 
@@ -104,8 +105,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     hits = state.where("group_size > 1")
     hits = F.broadcast(hits) if hits.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hits
     copies = rows.select(digest(F.col("text")).alias("digest"), "doc_id", "locator", "text").join(hits, "digest")
-    kept_text = copies.where("locator = keep_locator").select("digest", F.col("text").alias("keep_text"))
-    clash = copies.join(kept_text, "digest").where("text <> keep_text").select("digest").distinct()
+    # a large group is dealt to several tasks, and its kept text to each of them
+    shares = F.ceil(F.col("group_size") / F.lit(float(GROUP_ROWS)))
+    kept_text = copies.where("locator = keep_locator").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.col("text").alias("keep_text"))
+    dealt = copies.withColumn("share", F.pmod(F.xxhash64("locator"), shares))
+    clash = dealt.join(kept_text, ["digest", "share"]).where("text <> keep_text").select("digest").distinct()
     clash = scratch.table(clash, "clashes")
 
     found = arrivals.join(state, "digest")

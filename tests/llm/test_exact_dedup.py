@@ -31,6 +31,14 @@ def test_cases(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6]
 
 
+def test_large_groups_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(E, "GROUP_ROWS", 3)
+    docs = spark.range(40).selectExpr("id AS doc_id", "IF(id < 30, 'same', concat('t', id % 2)) AS text")
+    weak = lambda c: F.when(F.length(c) == 4, F.lit("x")).otherwise("y")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in E.exact_dedup(docs, digest=weak).collect()}
+    assert got[0] == (29, 30) and got[30] == (38, 5) and got[31] == (39, 5)
+
+
 def test_null_key_and_colliding_digest(spark):
     rows = [(None, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "bb")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
