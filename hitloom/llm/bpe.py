@@ -59,7 +59,7 @@ class WordBpe:
         self.find = regex.compile(split.replace(r"\s", SPACE), regex.V0).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.words = Recent(self._word)
+        self.words = Recent(self._word, 60_000)
         self.chunks = Recent(self._chunk)
         self.spaces = regex.compile(f"[{SPACE}]+")
 

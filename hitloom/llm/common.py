@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from hitloom.runtime import ship
+
 #: Words of the contracts: runs of anything but ASCII space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one Python call handles; texts of any length stay whole.
@@ -20,13 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str | StructType) -> DataFrame:
     """Apply ``make()`` (called once per task) to column lists, ``ROWS`` rows at a time.
 
     The function gets one list per column of ``df`` and returns one list per
     field of ``schema``, of any common length.
     """
-    fields = StructType(_parse_datatype_string(schema).fields)
+    fields = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,6 +39,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
                 out = fn([c.to_pylist() for c in part.columns])
                 yield pa.record_batch([pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, fields)
 
 
@@ -48,7 +51,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 class Recent(dict):
     """A dictionary that computes missing values and keeps the last two generations of ``size`` entries."""
 
-    def __init__(self, compute: Callable, size: int = 300_000):
+    def __init__(self, compute: Callable, size: int = 120_000):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 

@@ -53,7 +53,7 @@ class Hasher:
     """Sparse features of one text; remembers recent chunks."""
 
     def __init__(self):
-        self.chunks = Recent(_chunk, 200_000)
+        self.chunks = Recent(_chunk)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Bucket numbers and values of unit length."""
