@@ -182,7 +182,7 @@ class _Join:
 
     def first_level(self) -> DataFrame:
         nodes = [F.struct(F.lit(t * BRANCH + j).alias("place"), F.xxhash64(F.lit(t * BRANCH + j), _token(self.coordinate(t, 0, j))).alias("node")) for t in range(self.trees) for j in range(BRANCH)]
-        return self.sets.select(*self.narrow, F.explode(F.array(*nodes)).alias("at")).select("at.place", "at.node", *self.narrow)
+        return self.sets.select("doc_id", F.explode(F.array(*nodes)).alias("at")).select("at.place", "at.node", "doc_id")
 
     def coordinate(self, tree: int, level: int, branch: int) -> int:
         """Of the ``branch``-th child on ``level`` of a tree; every branch of a level and tree has its own."""
@@ -200,11 +200,20 @@ class _Join:
                 for j in range(BRANCH)
             ])
             child = F.when(F.col("place") == place, own) if child is None else child.when(F.col("place") == place, own)
-        return signed.select(*self.narrow, F.explode(child).alias("at")).select("at.place", "at.node", *self.narrow)
+        return signed.select("doc_id", F.explode(child).alias("at")).select("at.place", "at.node", "doc_id")
 
-    def small_pairs(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    def shared(self, rows: DataFrame) -> DataFrame:
+        """Rows of nodes with two sets or more, with the node's size and pivot and the set's size and sketch.
+
+        Most nodes hold one set: only three numbers a row are shuffled to find
+        that out, and what is left meets its sketch.
+        """
+        pivot = F.min_by("doc_id", F.xxhash64("doc_id", "place"))
+        counts = rows.groupBy("place", "node").agg(F.count("*").alias("size"), pivot.alias("pivot")).where("size > 1")
+        return rows.join(counts, ["place", "node"]).join(self.sets.select(*self.narrow), "doc_id")
+
+    def small_pairs(self, small: DataFrame) -> DataFrame:
         """All pairs of small nodes."""
-        small = rows.join(counts.where(F.col("size") <= SMALL).select("place", "node"), ["place", "node"])
         a, b = small.alias("a"), small.alias("b")
         same = (F.col("a.place") == F.col("b.place")) & (F.col("a.node") == F.col("b.node")) & (F.col("a.doc_id") < F.col("b.doc_id"))
         return a.join(b, same & _may_match(self.percent)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
@@ -233,15 +242,16 @@ class _Join:
         rows = self.scratch.table(self.first_level(), "level")
         found: list[DataFrame] = []
         for level in range(LEVELS):
-            pivot = F.min_by("doc_id", F.xxhash64("doc_id", "place"))
-            counts = self.scratch.table(rows.groupBy("place", "node").agg(F.count("*").alias("size"), pivot.alias("pivot")).where("size > 1"), "nodes")
-            large = rows.join(counts.where(F.col("size") > SMALL).select("place", "node", "pivot"), ["place", "node"])
-            star, stars = self.scratch.counted(self.star(large), "stars")
-            ends = F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")
-            found.append(self.links(self.small_pairs(rows, counts).unionAll(star.where("near AND doc_id <> pivot").select(*ends)).distinct()))
-            self.scratch.release(rows, counts)
-            if not stars["n"]:
+            shared, seen = self.scratch.counted(self.shared(rows), "nodes", large=F.count_if(F.col("size") > SMALL))
+            pairs = self.small_pairs(shared.where(F.col("size") <= SMALL))
+            self.scratch.release(rows)
+            if not seen["large"]:
+                found.append(self.links(pairs.distinct()))
                 break
+            star = self.scratch.table(self.star(shared.where(F.col("size") > SMALL)), "stars")
+            ends = F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")
+            found.append(self.links(pairs.unionAll(star.where("near AND doc_id <> pivot").select(*ends)).distinct()))
+            self.scratch.release(shared)
             labels = self.scratch.table(connected_components(reduce(DataFrame.unionAll, found).distinct(), scratch=self.scratch), "components")
             marked = star.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             marked = self.scratch.table(marked, "marked")
