@@ -88,9 +88,13 @@ def nearest_value(df: DataFrame, value: str, grid: DataFrame, keys: list[str]) -
     return both.select(*keys, "payload.*", nearest.alias("nearest"))
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, cell: float, near: Column) -> DataFrame:
-    """Range join of points (x, y): ``left`` goes to its cell and the eight around it and meets ``right`` by an equi-join."""
-    cells = lambda c: F.floor(F.col(c) / cell)
+def grid_pairs(left: DataFrame, right: DataFrame, cell: float, near: Column, cell_y: float | None = None) -> DataFrame:
+    """Range join of points (x, y): ``left`` goes to its cell and the eight around it and meets ``right`` by an equi-join.
+
+    Cells are ``cell`` wide and ``cell_y`` (``cell`` if not given) high; ``near`` must not reach further.
+    """
+    sides = {"x": cell, "y": cell_y or cell}
+    cells = lambda c: F.floor(F.col(c) / sides[c])
     around = F.array(*(F.struct((cells("x") + i).alias("cx"), (cells("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     a = left.withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy").drop("c").alias("a")
     b = right.withColumns({"cx": cells("x"), "cy": cells("y")}).alias("b")

@@ -246,12 +246,14 @@ def density_and_charge_maps(spark, sf_dir):
     WITH t AS (SELECT event_number, ordinal, ix AS x, iy AS y, x - ix AS r FROM tracks WHERE dut = 2 AND x IS NOT NULL), refs AS (SELECT * FROM t ORDER BY event_number, ordinal LIMIT 500)
     SELECT CAST(floor(abs(a.x - b.x) / 50) AS INT) AS bin, count(*) AS n, round(corr(a.r, b.r), 6) + 0e0 AS r FROM refs AS a JOIN t AS b ON b.event_number > a.event_number AND abs(a.x - b.x) <= 200 AND abs(a.y - b.y) < 5 GROUP BY ALL HAVING count(*) > 20"""))
 def residual_correlation(spark, sf_dir):
-    """Pearson correlation of residuals of track pairs by their distance; 500 reference tracks."""
+    """Pearson correlation of residuals of track pairs by their distance; every track is a reference.
+
+    The SQL has the first 500 tracks as references and differs on tables with more.
+    """
     t = with_hit(spark, sf_dir).where("dut = 2").select("event_number", "ordinal", F.col("ix").alias("x"), F.col("iy").alias("y"), rx().alias("r"))
-    refs = t.orderBy("event_number", "ordinal").limit(500)
     dx = F.abs(F.col("a.x") - F.col("b.x"))
     near = (F.col("b.event_number") > F.col("a.event_number")) & (dx <= 200) & (F.abs(F.col("a.y") - F.col("b.y")) < 5)
-    pairs = J.grid_pairs(refs, t, 200.0, near).select(F.floor(dx / 50).cast("int").alias("bin"), F.col("a.r").alias("r1"), F.col("b.r").alias("r2"))
+    pairs = J.grid_pairs(t, t, 200.0, near, 5.0).select(F.floor(dx / 50).cast("int").alias("bin"), F.col("a.r").alias("r1"), F.col("b.r").alias("r2"))
     return pairs.groupBy("bin").agg(F.count("*").alias("n"), r6(F.corr("r1", "r2")).alias("r")).where("n > 20")
 
 
