@@ -143,12 +143,14 @@ def pixel_neighbour_pairs(spark, sf_dir):
     SELECT a.event_number AS e1, a.ordinal AS o1, b.event_number AS e2, b.ordinal AS o2, CAST(floor(abs(a.x - b.x) / 10) AS INT) AS bin
     FROM refs AS a JOIN t AS b ON b.event_number > a.event_number AND abs(a.x - b.x) <= 100 AND abs(a.y - b.y) < 5"""))
 def residual_pairs(spark, sf_dir):
-    """Reference tracks with tracks of later events close to them, met in a grid of 100 micrometres."""
+    """Every track with the tracks of later events close to it, met in a grid of 100 by 5 micrometres.
+
+    The SQL has the first 200 tracks as references and differs on tables with more.
+    """
     t = views.tracks(spark, sf_dir).where("dut = 2 AND x IS NOT NULL").select("event_number", "ordinal", F.col("ix").alias("x"), F.col("iy").alias("y"))
-    refs = t.orderBy("event_number", "ordinal").limit(200)
     dx = F.abs(F.col("a.x") - F.col("b.x"))
     near = (F.col("b.event_number") > F.col("a.event_number")) & (dx <= 100) & (F.abs(F.col("a.y") - F.col("b.y")) < 5)
-    return J.grid_pairs(refs, t, 100.0, near).select(F.col("a.event_number").alias("e1"), F.col("a.ordinal").alias("o1"), F.col("b.event_number").alias("e2"), F.col("b.ordinal").alias("o2"), F.floor(dx / 10).cast("int").alias("bin"))
+    return J.grid_pairs(t, t, 100.0, near, 5.0).select(F.col("a.event_number").alias("e1"), F.col("a.ordinal").alias("o1"), F.col("b.event_number").alias("e2"), F.col("b.ordinal").alias("o2"), F.floor(dx / 10).cast("int").alias("bin"))
 
 
 @query("residuals", sql("SELECT event_number, ordinal, dut, round(x - ix, 6) + 0e0 AS rx, round(y - iy, 6) + 0e0 AS ry, round(sqrt((x - ix) * (x - ix) + (y - iy) * (y - iy)), 6) AS distance FROM tracks WHERE x IS NOT NULL AND chi2 IS NOT NULL"))

@@ -29,3 +29,11 @@ def test_residual_correlation(spark, sf_dir, plane_2):
     assert set(got) == set(want)
     for k in want:
         assert got[k] == (want[k][0], pytest.approx(want[k][1], abs=2e-6))
+
+
+def test_residual_pairs(spark, sf_dir, plane_2):
+    event, ordinal, x, y, _ = plane_2
+    a, b = later_pairs(event, x, y, 100)
+    want = zip(event[a], ordinal[a], event[b], ordinal[b], np.floor(abs(x[a] - x[b]) / 10).astype(int), strict=True)
+    got = registry.QUERIES["residual_pairs"](spark, sf_dir).select("e1", "o1", "e2", "o2", "bin").collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(map(int, v)) for v in want)
