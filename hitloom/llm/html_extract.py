@@ -4,7 +4,8 @@ Each page's containers are scored by their running text against link text and
 boilerplate below them, and the page votes for the tag-class path of its best
 container (digits generalised). Votes are counted per host by Spark, and every
 page is extracted again from the elements on its host's winning path; a page
-that has none, or no text there, falls back to its own best container.
+that has none, or no text there, falls back to its own best container. An
+off-topic name condemns an element only if the page's article is not in it.
 
 Two scans of the pages; between them only (host, path) votes are shuffled,
 summed in the task first, so a host with a third of all pages is no hot task.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,9 @@ NAMES = frozenset(
     " subscribe subscription signup login search share sharing social related recommended comment comments reply replies respond disqus"
     " pagination pager toolbar copyright alert links".split()
 )
+#: Names of what may hold article elements or long texts of its own beside the page's article.
+OTHERS = frozenset("recommended related comment comments reply replies respond disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_NAMES = frozenset("article content post entry story main text body".split())
 WORTH = {"article": 1.3, "main": 1.15}
 
@@ -52,10 +57,10 @@ SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _off_topic(name: str) -> bool:
-    """Whether a class, id or role names something beside the article; the header of an article is its own."""
+def _off_topic(name: str) -> int:
+    """Whether a class, id or role names something beside the article (1; 2 if it is of ``OTHERS``); the header of an article is its own."""
     parts = {p.lower() for p in NAME_PART.findall(name)}
-    return bool(parts & (NAMES - {"header"} if parts & GOOD_NAMES else NAMES))
+    return (2 if parts & OTHERS else 1) if parts & (NAMES - {"header"} if parts & GOOD_NAMES else NAMES) else 0
 
 
 class Page:
@@ -63,9 +68,14 @@ class Page:
 
     def __init__(self, source: str | None):
         self.tag, self.label, self.parent, self.bad = ["document"], ["document"], [-1], [False]
+        self.named = [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.stack, self.open, self.block = [0], Counter(), 0
         self._parse(source or "")
+        if any(self.named):
+            self._clear_wrappers()
+            for i in range(1, len(self.tag)):
+                self.bad[i] = self.bad[i] or self.named[i] > 0 or self.bad[self.parent[i]]
 
     def _parse(self, s: str) -> None:
         at, quotes_close = 0, True
@@ -110,27 +120,84 @@ class Page:
             self._close(name, None, frozenset(CLOSES_ITSELF[name].split()))
         if name in VOID:
             return
-        label, bad = self._judge(name, inside)
+        label, bad, named = self._judge(name, inside)
         self.tag.append(name)
         self.label.append(label)
         self.parent.append(self.stack[-1])
         self.bad.append(bad or self.bad[self.stack[-1]])
+        self.named.append(named)
         if not inside.endswith("/") or name not in RAW:
             self.stack.append(len(self.tag) - 1)
             self.open[name] += 1
 
-    def _judge(self, name: str, inside: str) -> tuple[str, bool]:
-        label, bad = name, name in NOT_ARTICLE or name in RAW or name == "header" and not (self.open["article"] or self.open["main"])
+    def _judge(self, name: str, inside: str) -> tuple[str, bool, int]:
+        label, named, bad = name, 0, name in NOT_ARTICLE or name in RAW or name == "header" and not (self.open["article"] or self.open["main"])
         if inside.strip("/ \t\r\n"):
             for key, value in ATTRIBUTE.findall(inside):
                 key, value = key.lower(), html.unescape(value.strip("\"'"))
                 if key in ("class", "id", "role"):
-                    bad = bad or name not in ("html", "body") and any(map(_off_topic, value.split()))
+                    if name not in ("html", "body"):
+                        named = max(named, *map(_off_topic, value.split()), 0)
                     if key == "class":
                         label = ".".join([name, *sorted({DIGITS.sub("#", v) for v in value.split()})])
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
                     bad = True
-        return label, bad
+        return label, bad, named
+
+    def _clear_wrappers(self) -> None:
+        """Take the mark of its name from each element that holds the page's article.
+
+        That is one with a main element, with articles that are no teasers beside
+        the unmarked text, or with most of the page's running text, unless a
+        container of unmarked content says that the article is there. Elements
+        are judged by size, those inside a marked one once that is cleared.
+        """
+        n = len(self.tag)
+        skip, content, article = [False] * n, [False] * n, [False] * n
+        mark, has_main = [0] * n, [False] * n  # mark: the innermost marked element around
+        for i in range(1, n):
+            up, tag = self.parent[i], self.tag[i]
+            skip[i] = skip[up] or self.bad[i] or tag == "a" or tag in HEADINGS
+            article[i] = article[up] or tag in WORTH
+            content[i] = content[up] or tag in WORTH or self._good_name(i)
+            mark[i] = i if self.named[i] else mark[up]
+            has_main[i] = tag == "main" and not self.bad[i]
+        text, articles, own, own_content, own_article = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        for node, _, piece in self.pieces:
+            size = len(piece) - piece.count(" ") - piece.count("\n")
+            if not self.bad[node]:
+                own_article[mark[node]] += size * article[node]
+            if not skip[node]:
+                text[node] += size
+                articles[node] += size * article[node]
+                own[mark[node]] += size
+                own_content[mark[node]] += size * content[node]
+        inner: dict[int, list[int]] = {}
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            text[up] += text[i]
+            articles[up] += articles[i]
+            has_main[up] = has_main[up] or has_main[i]
+            if self.named[i]:
+                inner.setdefault(mark[up], []).append(i)
+        clean, clean_content, clean_article = own[0], own_content[0], own_article[0]
+        queue = [(-text[i], i) for i in inner.get(0, ())]
+        heapify(queue)
+        while queue:
+            size, i = heappop(queue)
+            other = self.named[i] > 1
+            elsewhere = clean_content > 0 if other else -size < 4 * clean_content or clean_article > 0 and not article[self.parent[i]]
+            wraps = has_main[i] or not other and 4 * articles[i] > clean and articles[i] > 4 * clean_content or -2 * size > text[0] and not elsewhere
+            if size and wraps:
+                self.named[i] = 0
+                clean += own[i]
+                clean_content += own_content[i]
+                clean_article += own_article[i]
+                for j in inner.get(i, ()):
+                    heappush(queue, (-text[j], j))
+
+    def _good_name(self, node: int) -> bool:
+        return any(p.lower() in GOOD_NAMES for p in NAME_PART.findall(self.label[node].partition(".")[2]))
 
     def _end(self, name: str) -> None:
         if name not in INLINE:
@@ -172,7 +239,7 @@ class Page:
         first, top = 0, good[0] - 2.0 * other[0]
         for i in range(1, n):
             if good[i] and not self.bad[i] and self.tag[i] not in INLINE and self.tag[i] not in ("p", "li", "ul", "ol", "html", "blockquote"):
-                worth = WORTH.get(self.tag[i], 1.0) * (1.15 if any(p.lower() in GOOD_NAMES for p in NAME_PART.findall(self.label[i].partition(".")[2])) else 1.0)
+                worth = WORTH.get(self.tag[i], 1.0) * (1.15 if self._good_name(i) else 1.0)
                 if good[i] * worth - 2.0 * other[i] >= top:
                     first, top = i, good[i] * worth - 2.0 * other[i]
         return first, good[first]

@@ -68,3 +68,23 @@ def test_long_page():
     assert len(own("<div>" * 3000 + LONG * 20_000)) > 10**6
     assert own('<a "' * 30_000) == ""
     assert own("<b>" * 50_000 + "x") == "x"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        *((f"<body><div class='{name}'><article><p>{LONG}</p></article><div class='sidebar'><p>s</p></div></div></body>", LONG.strip()) for name in ("no-sidebar", "with-sidebar", "has-sidebar", "content-sidebar-wrap", "ad-free")),
+        (f"<div class='has-sidebar'><div class='content-sidebar-wrap'><div class='left'><p>{LONG}</p></div><div class='sidebar'><p>s</p></div></div></div>", LONG.strip()),
+        (f"<div class='sidebar'><article>teaser</article></div><div class='with-sidebar'><article><p>{LONG}</p></article></div>", LONG.strip()),
+        (f"<div class='with-sidebar'><article><p>{LONG}</p></article><div class='sidebar'><p>{LONG * 3}</p></div></div>", LONG.strip()),
+        (f"<div class='comments-open'><main><p>{LONG}</p></main><div id='comments'><article>{LONG * 2}</article></div></div>", LONG.strip()),
+        (f"<div class='ad'>{LONG}</div><article><h1>T</h1><p>short</article>", "T\nshort"),
+        (f"<div class='post'><p>{LONG}</p></div><section id='comments'><article>{LONG * 9}</article></section>", LONG.strip()),
+    ],
+)
+def test_layout_wrappers(source, text):
+    assert own(source) == text
+
+
+def test_nested_wrappers():
+    assert own("<div class=has-sidebar>" * 20_000 + LONG) == LONG.strip()
