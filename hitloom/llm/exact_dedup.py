@@ -42,13 +42,21 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def located(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with a column ``locator`` (file and row); frames not read from files are written first."""
+def located(docs: DataFrame, scratch: Scratch, name: str = "locator") -> DataFrame:
+    """``docs`` with a column ``name`` (file and row); frames not read from files are written first."""
     where = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
     try:
-        return docs.withColumn("locator", where)
+        return docs.withColumn(name, where)
     except AnalysisException:  # no file metadata: the frame is not a plain read
-        return scratch.table(docs, "documents").withColumn("locator", where)
+        return scratch.table(docs, "documents").withColumn(name, where)
+
+
+def unused(docs: DataFrame, name: str = "locator") -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def run_stream(arrivals: DataFrame, log: str, checkpoint: str) -> None:

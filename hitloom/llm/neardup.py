@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import Recent, map_rows, read
+from hitloom.llm.exact_dedup import located, unused
 from hitloom.operators.components import connected_components
 from hitloom.runtime import Scratch, ship
 
@@ -103,8 +104,8 @@ def minwise(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     return best
 
 
-def signatures(docs: DataFrame, key: str, text: str, width: int, coords: int) -> DataFrame:
-    """Per row: doc_id, n (set size), k1 and k2 (identity of the set), sig (minwise tokens), s1 to s4 (sketch)."""
+def signatures(docs: DataFrame, key: str, text: str, width: int, coords: int, row: str | None = None) -> DataFrame:
+    """Per row: doc_id, n (set size), k1 and k2 (identity of the set), sig (minwise tokens), s1 to s4 (sketch), and ``row`` if given."""
 
     def make():
         shingle = Shingler(width)
@@ -112,22 +113,23 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, coords: int) ->
 
         def run(c):
             out = [[] for _ in range(9)]
-            for key_, text_ in zip(*c, strict=True):
+            for key_, text_ in zip(*c[:2], strict=True):
                 s = shingle(text_)
                 low = minwise(s, mul, add)
                 digest = blake2b(s.tobytes(), digest_size=16).digest()
                 # tokens keep their best 32 bits mixed, so that a path's hash is of the whole token
                 bits = (low[coords:] * np.uint32(0x85EBCA6B)) >> np.uint32(16)
                 planes = np.packbits(np.stack([bits & 1, (bits >> 1) & 1]).astype(np.uint8), axis=1).view(">i8").ravel()
-                row = [key_, len(s), *np.frombuffer(digest, "<i8").tolist(), low[:coords].tobytes(), *planes.tolist()]
-                for column, v in zip(out, row, strict=True):
+                values = [key_, len(s), *np.frombuffer(digest, "<i8").tolist(), low[:coords].tobytes(), *planes.tolist()]
+                for column, v in zip(out, values, strict=True):
                     column.append(v)
-            return out
+            return [*out, *c[2:]]
 
         return run
 
     schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary, s1 bigint, s2 bigint, s3 bigint, s4 bigint"
-    return map_rows(docs.select(F.col(key).cast("long"), text), make, schema)
+    carry = [row] if row else []
+    return map_rows(docs.select(F.col(key).cast("long"), text, *carry), make, ", ".join([schema, *(f"`{c}` string" for c in carry)]))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -325,8 +327,8 @@ def compare_block(block, percent: int):
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, recall: float = 0.99999) -> DataFrame:
-    """One row for each row of ``docs``: key, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, recall: float = 0.99999, row: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: key, n_shingles, component_id, kept, and ``row_id`` if ``row`` names a string that tells rows apart.
 
     Words are as in the contract, shingles have ``width`` words (a shorter text
     is one shingle), sets are linked at 100 * intersection >= percent * union,
@@ -340,33 +342,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     trees = trees_for(percent / 100, recall)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = scratch.table(signatures(texts, "doc_id", "text", width, coordinates(trees)), "signatures")
+    carry = ["row_id"] if row else []
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(row).alias(c) for c in carry))
+    made = scratch.table(signatures(texts, "doc_id", "text", width, coordinates(trees), *carry), "signatures")
     full = made.where("n > 0 AND doc_id IS NOT NULL")
     groups = scratch.table(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "groups")
-    sets = scratch.table(made.join(groups.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "sets")
+    sets = scratch.table(made.drop(*carry).join(groups.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "sets")
     if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return _apart(texts, key, width, percent, recall)
-    links = _Join(texts, sets.drop("k1", "k2"), width, percent, trees, scratch).run()
+        return _apart(texts, key, width, percent, recall, carry)
+    links = _Join(texts.drop(*carry), sets.drop("k1", "k2"), width, percent, trees, scratch).run()
     labels = connected_components(links, scratch=scratch)
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    rows = made.select("doc_id", "n", "k1", "k2")
-    linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(named, ["k1", "k2"]).select("doc_id", "n", "component")
-    alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
-    return linked.unionAll(alone).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+    rows = made.select("doc_id", "n", "k1", "k2", *carry)
+    linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(named, ["k1", "k2"]).select("doc_id", "n", "component", *carry)
+    alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"), *carry)
+    return linked.unionAll(alone).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), *carry)
 
 
-def _apart(texts: DataFrame, key: str, width: int, percent: int, recall: float) -> DataFrame:
+def _apart(texts: DataFrame, key: str, width: int, percent: int, recall: float, carry: list[str]) -> DataFrame:
     """Where one key stands for different texts, each (key, text) is a document of its own until components are named."""
     own = texts.withColumn("v", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
     own = Scratch(texts.sparkSession, "apart").table(own, "texts")
     found = near_duplicates(own, "v", "text", width, percent, recall).select("v", "n_shingles", F.col("component_id").alias("c")).dropDuplicates(["v"])
-    rows = own.select("doc_id", "v").join(found, "v")
+    rows = own.select("doc_id", "v", *carry).join(found, "v")
     least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = rows.join(least, "c").select("doc_id", "n_shingles", "component_id")
-    alone = near_duplicates(own.where("v IS NULL").select(F.col("v").alias("doc_id"), "text"), "doc_id", "text", width, percent, recall)
-    both = named.unionAll(alone.select("doc_id", "n_shingles", "component_id"))
-    return both.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = rows.join(least, "c").select("doc_id", "n_shingles", "component_id", *carry)
+    alone = near_duplicates(own.where("v IS NULL").select(F.col("v").alias("doc_id"), "text", *carry), "doc_id", "text", width, percent, recall, *carry)
+    both = named.unionAll(alone.select("doc_id", "n_shingles", "component_id", *carry))
+    return both.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *carry)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,9 +377,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), with the same columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates (five words, 0.8), with the same columns; each row follows its own verdict."""
+    name = unused(docs)
+    rows = located(docs, Scratch(spark, "stage"), name)
+    kept = near_duplicates(rows, row=name).where("kept").select(F.col("row_id").alias(name))
+    return rows.join(kept, name, "left_semi").drop(name)
 
 
 ORACLE = r"""

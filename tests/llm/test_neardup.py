@@ -105,3 +105,19 @@ def test_cases(spark):
 def test_trees():
     assert N.trees_for(0.85, 0.99999) == 4
     assert N.trees_for(1.0, 0.999) == 1
+
+
+def test_stage_by_row(spark):
+    """Rows without an identifier stay, and rows that share one follow their own verdicts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, ""), (1, a), (2, a + " end"), (2, b), (3, c), (4, c), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("locator", F.lit("own"))
+    out = N.neardup_stage(spark, docs, "")
+    assert out.columns == docs.columns and {r.locator for r in out.collect()} == {"own"}
+    want = [(None, a), (None, b), (None, ""), (1, a), (2, b), (3, c), (5, None)]
+    assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == sorted(map(repr, want))
+
+
+def test_stage_keeps_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (1, "g h i")], "doc_id long, text string")
+    assert sorted(r.text for r in N.neardup_stage(spark, docs, "").collect()) == ["a b c", "d e f", "g h i"]
