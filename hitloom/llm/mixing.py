@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitloom.llm.common import WORD, read
+from hitloom.llm.exact_dedup import located, unused
 from hitloom.runtime import Scratch
 
 WEIGHTS = (5, 2, 1)
@@ -64,8 +65,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES)
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(top * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, emphasis: str | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """One row for each row of ``docs``: key, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, emphasis: str | None = None, scratch: Scratch | None = None, row: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: key, size, source_size, target, copies, taken, and ``row_id`` if ``row`` names a column that tells rows apart.
 
     A null source is a source of its own, null and empty texts have size 0 and
     are not copied, repeated rows are rows like others and rows of equal rank
@@ -74,9 +75,11 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     copies. Other columns are not read. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
+    carry = ["row_id"] if row else []
     rows = docs.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), uniform(key, seed).alias("u"),
         (F.coalesce(F.col(emphasis), F.lit(1)).cast("double") if emphasis else F.lit(1.0)).alias("e"),
+        *(F.col(row).alias(c) for c in carry),
     )
     rows = scratch.table(rows, "sizes")
     sums = scratch.table(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("e")).alias("felt"), F.count("*").alias("n")), "sources")
@@ -105,12 +108,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     states = scratch.table(states, "cells")
     small = states.count() <= 1_000_000
     joined = known.join(F.broadcast(states) if small else states, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")), "left").drop("s", "c")
-    in_order = Window.partitionBy("source", "cell").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("source", "cell").orderBy("rank", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     met = joined.where("open").withColumn("so_far", F.col("done") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     met = met.withColumn("more", (F.col("so_far") + F.col("size") / 2 <= F.col("need")).cast("long")).drop("so_far")
     rest = joined.where(~F.coalesce(F.col("open"), F.lit(False))).withColumn("more", F.coalesce(F.col("all_in"), F.lit(False)).cast("long"))
     copies = F.col("whole") + F.col("more")
-    return met.unionByName(rest).select(F.col("doc_id").alias(key), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return met.unionByName(rest).select(F.col("doc_id").alias(key), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *carry)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,18 +123,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the same columns.
 
-    Rows are met by key; rows that repeat a key are numbered among themselves.
+    Each row is met by its place in the files, so rows may repeat a key.
     """
+    name = unused(docs)
     scratch = Scratch(spark, "stage")
-    order = Window.partitionBy("doc_id").orderBy("size", "copies")
-    chosen = mix(docs, scratch=scratch).where("copies > 0").withColumn("k", F.row_number().over(order)).select("doc_id", "k", "copies")
-    again = Window.partitionBy("doc_id").orderBy(words("text"), F.xxhash64("text"))
-    rows = docs.where("text IS NOT NULL").withColumn("k", F.row_number().over(again))
-    return (
-        rows.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.k") == F.col("c.k")))
-        .select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-        .select(docs.columns)
-    )
+    rows = located(docs, scratch, name)
+    chosen = mix(rows, scratch=scratch, row=name).where("copies > 0").select(F.col("row_id").alias(name), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("copies"))
+    copies = unused(rows, "copies")
+    found = rows.join(chosen.withColumnRenamed("copies", copies), name).drop(name)
+    return found.withColumn(copies, F.explode(copies)).drop(copies)
 
 
 ORACLE = r"""

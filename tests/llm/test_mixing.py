@@ -73,3 +73,22 @@ def test_emphasis(spark):
     assert abs(sum(got.values()) - 4000) <= 1
     assert sum(got[i] for i in range(2000)) == pytest.approx(3000, rel=0.05)
     assert all(got[i] >= 1 for i in range(2000)) and all(got[i] <= 1 for i in range(2000, 4000))
+
+
+@pytest.mark.parametrize("other", ["x", "y"])
+def test_stage_by_row(spark, other):
+    """Rows under one key or none get their own copies, and own columns stay as they are."""
+    rows = [(1, "", other), (1, "a b", "x"), (None, "", "x"), (None, "c", "x"), (None, "d e f", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("k", "copy", "copies", "locator", "row_id"):
+        docs = docs.withColumn(name, F.concat(F.lit("own "), "text"))
+    want = defaultdict(int)
+    for r in M.mix(docs.withColumn("t", F.col("text")), row="t").collect():
+        want[r.row_id] += r.copies
+    out = M.mixing_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        got[r.text] += 1
+        assert {r.k, r.copy, r.copies, r.locator, r.row_id} == {"own " + r.text}
+    assert got == {t: n for t, n in want.items() if n} and "" not in got
