@@ -44,11 +44,11 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], value: str, fill=No
     return df.join(table.select(*keys, value), keys, "left").withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
 
 
-def band_pairs(df: DataFrame, width: int, key: str = "event_number") -> DataFrame:
-    """Rows as (earlier, later) with e - width <= e' < e: each row is repeated for its ``width`` targets and met by an equi-join."""
+def band_pairs(df: DataFrame, width: int, key: str = "event_number", same: tuple = ()) -> DataFrame:
+    """Rows as (earlier, later) with e - width <= e' < e: each row is repeated for its ``width`` targets and met by an equi-join, on columns ``same`` too."""
     early = df.withColumn(key, F.explode(F.sequence(F.col(key) + 1, F.col(key) + width)))
-    cols = [c for c in df.columns if c != key]
-    return early.select(key, *(F.col(c).alias(f"{c}_early") for c in cols)).join(df, key)
+    cols = [c for c in df.columns if c not in (key, *same)]
+    return early.select(key, *same, *(F.col(c).alias(f"{c}_early") for c in cols)).join(df, [key, *same])
 
 
 def plane_pairs(df: DataFrame, bin_: Column, references: list[int]) -> DataFrame:

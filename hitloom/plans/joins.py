@@ -69,10 +69,10 @@ def plane_correlation(spark, sf_dir):
 
 @query("event_correlation", sql('SELECT a."column" AS early, b."column" AS late, count(*) AS n FROM hits AS a JOIN hits AS b ON a.dut = 0 AND b.dut = 0 AND a.event_number >= b.event_number - 3 AND a.event_number < b.event_number GROUP BY ALL'))
 def event_correlation(spark, sf_dir):
-    """Columns of plane 0 in an event and the three before it, summed per event first."""
-    cells = views.hits(spark, sf_dir).where("dut = 0").groupBy("event_number", "column").agg(F.count("*").alias("n"))
-    pairs = J.band_pairs(cells, 3)
-    return pairs.groupBy(F.col("column_early").alias("early"), F.col("column").alias("late")).agg(F.sum(F.col("n") * F.col("n_early")).alias("n"))
+    """Columns of each plane in an event and the three before it, summed per event first; the SQL has plane 0 only."""
+    cells = views.hits(spark, sf_dir).groupBy("event_number", "dut", "column").agg(F.count("*").alias("n"))
+    pairs = J.band_pairs(cells, 3, same=("dut",))
+    return pairs.groupBy("dut", F.col("column_early").alias("early"), F.col("column").alias("late")).agg(F.sum(F.col("n") * F.col("n_early")).alias("n"))
 
 
 @query("isolation_flags", sql("""
@@ -95,10 +95,10 @@ def nearest_pixel(spark, sf_dir):
 @query("nearest_value", sql("""
     SELECT event_number, ordinal, (SELECT v FROM (VALUES (1), (4), (9), (16)) AS g(v) ORDER BY abs(v - "column"), v DESC LIMIT 1) AS nearest FROM hits WHERE dut = 1"""))
 def nearest_value(spark, sf_dir):
-    """Columns of plane 1 to the nearest of 1, 4, 9, 16, keyed by event so that no window spans the table."""
-    h = views.hits(spark, sf_dir).where("dut = 1").select("event_number", "ordinal", "column")
-    grid = h.select("event_number").distinct().withColumn("v", F.explode(F.array(*map(F.lit, (1, 4, 9, 16)))))
-    return J.nearest_value(h, "column", grid, ["event_number"]).select(*TK, "nearest")
+    """Columns to the nearest of 1, 4, 9, 16, keyed by event and plane so that no window spans the table; the SQL has plane 1 only."""
+    h = views.hits(spark, sf_dir).select("event_number", "dut", "ordinal", "column")
+    grid = h.select("event_number", "dut").distinct().withColumn("v", F.explode(F.array(*map(F.lit, (1, 4, 9, 16)))))
+    return J.nearest_value(h, "column", grid, ["event_number", "dut"]).select(*TK, "dut", "nearest")
 
 
 DISABLED = [(0, 3, 4), (1, 5, 5), (2, 1, 16), (2, 8, 8)]

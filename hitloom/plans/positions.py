@@ -261,7 +261,8 @@ def morton(spark, sf_dir):
 
 @query("shape_to_pixels", sql("SELECT event_number, ordinal, dut, k AS pixel FROM tracks, (SELECT CAST(unnest(range(0, 63)) AS INT) AS k) WHERE (cluster_shape >> k) & 1 = 1 AND dut < 2"))
 def shape_to_pixels(spark, sf_dir):
-    return views.tracks(spark, sf_dir).where("dut < 2").select("event_number", "ordinal", "dut", F.explode(X.shape_pixels(F.col("cluster_shape"))).alias("pixel"))
+    """All planes; the SQL has the first two."""
+    return views.tracks(spark, sf_dir).select("event_number", "ordinal", "dut", F.explode(X.shape_pixels(F.col("cluster_shape"))).alias("pixel"))
 
 
 @query("popcount", sql("SELECT event_number, ordinal, dut, CAST(bit_count(cluster_shape) AS INT) AS n FROM tracks"))

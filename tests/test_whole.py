@@ -1,5 +1,7 @@
 """Whole results on more rows than a cut would leave, against brute force."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
@@ -37,3 +39,22 @@ def test_residual_pairs(spark, sf_dir, plane_2):
     want = zip(event[a], ordinal[a], event[b], ordinal[b], np.floor(abs(x[a] - x[b]) / 10).astype(int), strict=True)
     got = registry.QUERIES["residual_pairs"](spark, sf_dir).select("e1", "o1", "e2", "o2", "bin").collect()
     assert sorted(map(tuple, got)) == sorted(tuple(map(int, v)) for v in want)
+
+
+def test_all_planes(spark, sf_dir):
+    """Shapes, event correlation and nearest values of every plane."""
+    want = {(t.event_number, t.ordinal, t.dut, k) for t in views.tracks(spark, sf_dir).collect() for k in range(63) if t.cluster_shape >> k & 1}
+    got = registry.QUERIES["shape_to_pixels"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {(v.event_number, v.ordinal, v.dut, v.pixel) for v in got} == want
+
+    hits = views.hits(spark, sf_dir).collect()
+    near = {(h.event_number, h.ordinal, h.dut, min((1, 4, 9, 16), key=lambda v: (abs(v - h.column), -v))) for h in hits}
+    got = registry.QUERIES["nearest_value"](spark, sf_dir).collect()
+    assert len(got) == len(hits) and {(v.event_number, v.ordinal, v.dut, v.nearest) for v in got} == near
+
+    at = defaultdict(list)
+    for h in hits:
+        at[h.event_number, h.dut].append(h.column)
+    pairs = Counter((dut, early, late) for (event, dut), cols in at.items() for back in (1, 2, 3) for early in at.get((event - back, dut), ()) for late in cols)
+    got = registry.QUERIES["event_correlation"](spark, sf_dir).collect()
+    assert {(v.dut, v.early, v.late): v.n for v in got} == pairs
