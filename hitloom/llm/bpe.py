@@ -7,7 +7,7 @@ looked up again. Words that are too long for scanning use the same rule with a
 heap over the boundaries, so that a text without spaces stays cheap.
 
 Documents are independent: one scan, no shuffle. Each task loads the tokenizer
-file once and remembers the codes of recent words, within a fixed number.
+file once and remembers the codes of recent short words, within a bound on their lengths.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm.common import Recent, map_rows, read
+from hitloom.llm.common import Recent, map_rows, read, sent
 
 #: Words above this many symbols are merged with a heap.
 LONG = 64
@@ -59,7 +59,7 @@ class WordBpe:
         self.find = regex.compile(split.replace(r"\s", SPACE), regex.V0).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.words = Recent(self._word, 60_000)
+        self.words = Recent(self._word, 12_000_000)
         self.chunks = Recent(self._chunk)
         self.spaces = regex.compile(f"[{SPACE}]+")
 
@@ -136,7 +136,7 @@ _loaded: dict[str, WordBpe] = {}
 
 
 def tokenizer(path: str) -> WordBpe:
-    """One tokenizer for each Python worker and file."""
+    """One tokenizer for each Python worker and file; the operators send the file at ``path`` on the driver to the executors."""
     if path not in _loaded:
         _loaded[path] = WordBpe(path)
     return _loaded[path]
@@ -149,8 +149,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     and null keys stay as they are; other columns are not read.
     """
 
+    file = sent(docs.sparkSession, path)
+
     def make():
-        bpe = tokenizer(path)
+        bpe = tokenizer(file())
         return lambda c: [c[0], [np.frombuffer(bpe.encode(t), "<u4").tolist() for t in c[1]]]
 
     return map_rows(docs.select(key, text), make, f"{_field(docs, key)}, ids array<bigint>")
@@ -159,8 +161,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows ``(key, text)`` from arrays of ids; null arrays give empty texts."""
 
+    file = sent(encoded.sparkSession, path)
+
     def make():
-        bpe = tokenizer(path)
+        bpe = tokenizer(file())
         return lambda c: [c[0], [bpe.decode(np.array(i or [], "<u4").tobytes()) for i in c[1]]]
 
     return map_rows(encoded.select(key, ids), make, f"{_field(encoded, key)}, text string")
@@ -172,8 +176,10 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     Same cases as :func:`encode`; a row without ids has the digests of nothing.
     """
 
+    file = sent(docs.sparkSession, path)
+
     def make():
-        bpe = tokenizer(path)
+        bpe = tokenizer(file())
 
         def run(c):
             ids = [bpe.encode(t) for t in c[1]]

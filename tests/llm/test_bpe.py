@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hitloom.llm import bpe
+from hitloom.llm import common as C
 
 PATH = bpe.word_bpe_path()
 LIB = Tokenizer.from_file(PATH)
@@ -62,3 +63,13 @@ def test_edges(spark):
     assert bpe.decode(out, PATH).count() == 5
     assert bpe.digests(docs, PATH).where("doc_id = 2").count() == 2
     assert bpe.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_memory_of_recent_words():
+    """Long words are not kept, and short ones only up to the bound."""
+    kept = C.Recent(len)
+    assert sum(kept[f"{i:010d}" * 1000] for i in range(200_000)) == 2_000_000_000 and not kept and not kept.old
+    kept = C.Recent(len, 100_000)
+    for i in range(5000):
+        assert kept[f"{i:0100d}"] == 100
+    assert (len(kept) + len(kept.old)) * (100 + C.Recent.EACH) <= 2 * (100_000 + 300) and kept[f"{4999:0100d}"] == 100
