@@ -68,13 +68,38 @@ def test_cases(spark):
 
 
 def test_emphasis(spark):
-    docs = spark.range(4000).selectExpr("id AS doc_id", "'s' AS source", "'a b c' AS text", "IF(id < 2000, 1.5, 0.5) AS e")
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'s' AS source", "'a b c' AS text", "IF(id < 2000, 3, 1) AS e")
     got = {r.doc_id: r.copies for r in M.mix(docs, emphasis="e").collect()}
     assert abs(sum(got.values()) - 4000) <= 1
     assert sum(got[i] for i in range(2000)) == pytest.approx(3000, rel=0.05)
     assert all(got[i] >= 1 for i in range(2000)) and all(got[i] <= 1 for i in range(2000, 4000))
 
 
+def test_probabilities_are_unequal(spark):
+    """Long documents are taken less often, each as often as its emphasis says, and the words still meet the target."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "IF(id < 4000, 's', 't') AS source", "repeat('w ', IF(id % 2 = 0, 4, 256)) AS text")
+    rows = M.mix(docs).collect()
+    check(rows)
+    for low, high in ((0, 4000), (4000, 6000)):
+        short, long = (sum(r.copies for r in rows if low <= r.doc_id < high and r.doc_id % 2 == k) for k in (0, 1))
+        assert short / long == pytest.approx(22 / 16, rel=0.06)
+
+
+@pytest.mark.parametrize("target", [10, 400, 1000, 2900, 3000])
+def test_full_classes(spark, target):
+    """Expected words meet every target that three copies of each document can meet."""
+    classes = [(7, 300), (3, 500), (1, 200)]
+    df = spark.createDataFrame([("s", float(target), g, w) for g, w in classes], "source string, target double, g long, words long")
+    copies = {r.g: 3.0 if r.full else r.left * r.g / r.rest for r in M.shares(df).collect()}
+    assert sum(copies[g] * w for g, w in classes) == pytest.approx(target) and max(copies.values()) <= 3
+    free = [copies[g] / g for g, _ in classes if copies[g] < 3]
+    assert all(v == pytest.approx(free[0]) for v in free)
+
+
+def test_columns(spark, sf_dir):
+    assert M.op4_mixing(spark, sf_dir).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+
+
 @pytest.mark.parametrize("other", ["x", "y"])
 def test_stage_by_row(spark, other):
     """Rows under one key or none get their own copies, and own columns stay as they are."""
