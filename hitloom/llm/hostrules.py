@@ -3,7 +3,8 @@
 One scan computes per document the counts that the rules read. Failures of
 each rule are summed by host (a partial aggregate, so a host with a third of
 all rows is no hot task), a host's rates are shrunk towards the corpus by a
-beta prior fitted to the rates of all hosts by moments, and a host is rejected
+beta prior fitted to the hosts' failures by beta-binomial moments (the noise of
+counting is taken off, hosts weigh by their documents), and a host is rejected
 if the shrunk rate of any rule is above ``HOST_LIMIT``. The verdicts, one
 narrow row per host, are joined back to documents: broadcast below a counted
 bound, else by a shuffle join that AQE can split.
@@ -26,6 +27,8 @@ SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
 #: Shrunk failure rate above which a host is rejected.
 HOST_LIMIT = 0.5
+#: Documents that the prior weighs: where the hosts tell nothing, at least, and at most.
+FEW_DOCS, LEAST_DOCS, MOST_DOCS = 10.0, 0.01, 10_000.0
 BROADCAST_HOSTS = 500_000
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -102,31 +105,42 @@ def rules() -> dict[str, Column]:
     }
 
 
-def beta_prior(mean: float | None, var: float | None) -> tuple[float, float]:
-    """Beta parameters with the mean and variance of the hosts' rates.
+def beta_prior(hosts: int, docs: int, squares: float, failed: int, ratio: float) -> tuple[float, float]:
+    """Beta parameters of hosts' failure rates by beta-binomial moments.
 
-    Rates that do not vary, or vary more than a beta can, say nothing about
-    how far to trust a host: the prior then weighs as much as one document.
+    ``squares`` is the sum of n^2 over hosts and ``ratio`` that of k^2 / n, for
+    k failures among a host's n documents. With m the overall rate and rho the
+    correlation of two documents of one host, sum n (k / n - m)^2 is expected
+    to be m (1 - m) ((H - 1) + (N - sum n^2 / N - (H - 1)) rho). The prior's
+    strength is (1 - rho) / rho documents, at most ``MOST_DOCS`` where hosts
+    differ by chance alone; where nothing can be told (one host, one document
+    a host, no failure or nothing but failures) it is ``FEW_DOCS``.
     """
-    mean, var = mean or 0.0, var or 0.0
-    spread = mean * (1 - mean)
-    strength = spread / var - 1 if 0 < var < spread else 1.0
+    mean = failed / docs if docs else 0.0
+    spread, span = mean * (1 - mean), docs - (squares / docs if docs else 0.0) - (hosts - 1)
+    strength = FEW_DOCS
+    if spread > 0 and span > 0:
+        rho = ((ratio - failed * mean) / spread - (hosts - 1)) / span
+        strength = min(max((1 - rho) / rho, LEAST_DOCS), MOST_DOCS) if rho > 0 else MOST_DOCS
     return mean * strength, (1 - mean) * strength
 
 
 def host_verdicts(found: DataFrame) -> DataFrame:
     """Rows (host, n_docs, rate_<rule> shrunk, host_ok) from per-document metrics."""
-    names = list(rules())
-    hosts = found.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(v).alias(k) for k, v in rules().items()))
-    hosts = Scratch(found.sparkSession, "hosts").table(hosts, "hosts")
-    moments = hosts.agg(*(f(F.col(k) / F.col("n_docs")).alias(f"{p}_{k}") for k in names for p, f in (("m", F.avg), ("v", F.var_pop)))).first()
-    prior = {k: beta_prior(moments[f"m_{k}"], moments[f"v_{k}"]) for k in names}
-    rate = {k: (F.col(k) + F.lit(a)) / (F.col("n_docs") + F.lit(a + b)) for k, (a, b) in prior.items()}
+    names, scratch = list(rules()), Scratch(found.sparkSession, "hosts")
+    hosts = scratch.table(found.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(v).alias(k) for k, v in rules().items())), "hosts")
+    n = F.col("n_docs")
+    sums = hosts.agg(
+        F.count("*").alias("hosts"), F.sum(n).alias("docs"), F.sum(n.cast("double") * n).alias("squares"),
+        *(e for k in names for e in (F.sum(k).alias(f"k_{k}"), F.sum(F.col(k).cast("double") * F.col(k) / n).alias(f"r_{k}"))),
+    ).first()
+    prior = {k: beta_prior(sums["hosts"], sums["docs"] or 0, sums["squares"] or 0.0, sums[f"k_{k}"] or 0, sums[f"r_{k}"] or 0.0) for k in names}
+    rate = {k: (F.col(k) + F.lit(a)) / (n + F.lit(a + b)) for k, (a, b) in prior.items()}
     return hosts.select("host", "n_docs", *(r.alias(f"rate_{k}") for k, r in rate.items()), (F.greatest(*rate.values()) <= HOST_LIMIT).alias("host_ok"))
 
 
 def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: key, the counts, base_failed, host_ok, kept.
+    """One row for each row of ``docs``: key, the counts, base_failed, kept, then n_lines and host_ok.
 
     Null and empty texts have no words and fail. A null host is a host of its
     own. Repeated rows count as often as they stand; other columns are not
@@ -138,7 +152,8 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     few = verdicts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     judged = found.join(F.broadcast(verdicts) if few else verdicts, F.col("host").eqNullSafe(F.col("h")))
     base = rules()["short"] | rules()["repeated"]
-    return judged.select(F.col("doc_id").alias(key), *METRICS, base.alias("base_failed"), "host_ok", (~base & F.col("host_ok")).alias("kept"))
+    counts = [m for m in METRICS if m != "n_lines"]
+    return judged.select(F.col("doc_id").alias(key), *counts, base.alias("base_failed"), (~base & F.col("host_ok")).alias("kept"), "n_lines", "host_ok")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,9 +184,14 @@ hosts AS (
   SELECT source AS h, count(*) AS n, unnest([1, 2, 3, 4, 5]) AS rule,
     unnest([count(*) FILTER (f1), count(*) FILTER (f2), count(*) FILTER (f3), count(*) FILTER (f4), count(*) FILTER (f5)]) AS k
   FROM failed GROUP BY source),
-moments AS (SELECT rule AS q, avg(k / CAST(n AS DOUBLE)) AS m, var_pop(k / CAST(n AS DOUBLE)) AS v FROM hosts GROUP BY rule),
-prior AS (SELECT q, m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1e0 END AS s FROM moments),
+moments AS (
+  SELECT rule AS q, CAST(count(*) AS DOUBLE) AS n_hosts, CAST(sum(n) AS DOUBLE) AS docs, sum(CAST(n AS DOUBLE) * n) AS squares,
+    sum(k) / CAST(sum(n) AS DOUBLE) AS m, sum(k) AS failed, sum(CAST(k AS DOUBLE) * k / n) AS ratio FROM hosts GROUP BY rule),
+spreads AS (SELECT *, m * (1 - m) AS v, docs - squares / docs - (n_hosts - 1) AS span FROM moments),
+rhos AS (SELECT *, CASE WHEN v > 0 AND span > 0 THEN ((ratio - failed * m) / v - (n_hosts - 1)) / span END AS rho FROM spreads),
+prior AS (
+  SELECT q, m, CASE WHEN rho IS NULL THEN 1e1 WHEN rho > 0 THEN least(greatest((1 - rho) / rho, 1e-2), 1e4) ELSE 1e4 END AS s FROM rhos),
 verdicts AS (SELECT h, max((k + m * s) / (n + s)) <= 5e-1 AS host_ok FROM hosts JOIN prior ON rule = q GROUP BY h)
-SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, host_ok, NOT (f1 OR f2) AND host_ok AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND host_ok AS kept, n_lines, host_ok
 FROM failed JOIN verdicts ON source IS NOT DISTINCT FROM h
 """

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -31,11 +32,40 @@ def test_as_sql(spark, sf_dir):
     assert sorted(tuple(r) for r in H.op6_quality_rules(spark, sf_dir).collect()) == sorted(con.sql(H.ORACLE).fetchall())
 
 
-def test_prior():
-    a, b = H.beta_prior(0.2, 0.01)
-    assert a / (a + b) == pytest.approx(0.2) and a * b / ((a + b) ** 2 * (a + b + 1)) == pytest.approx(0.01)
-    assert H.beta_prior(0.0, 0.0) == (0.0, 1.0)
-    assert H.beta_prior(None, None) == (0.0, 1.0)
+def prior(counts):
+    """Of hosts given as (documents, failures)."""
+    n, k = zip(*counts, strict=True)
+    return H.beta_prior(len(n), sum(n), float(sum(v * v for v in n)), sum(k), sum(b * b / a for a, b in counts))
+
+
+def test_prior_recovers_beta():
+    rng = np.random.default_rng(3)
+    rates = rng.beta(2.0, 8.0, 4000)
+    for sizes in (np.full(4000, 40), rng.integers(1, 12, 4000)):
+        a, b = prior(list(zip(sizes.tolist(), rng.binomial(sizes, rates).tolist(), strict=True)))
+        assert a / (a + b) == pytest.approx(0.2, rel=0.05) and a + b == pytest.approx(10, rel=0.25)
+
+
+def test_prior_of_little():
+    """Hosts of one document tell nothing of how hosts differ: a failure does not condemn its host."""
+    a, b = prior([(1, int(i % 10 == 0)) for i in range(1000)])
+    assert (1 + a) / (1 + a + b) < 0.25
+    assert prior([(50, 5)] * 200) == pytest.approx((0.1 * H.MOST_DOCS, 0.9 * H.MOST_DOCS))
+    assert H.beta_prior(0, 0, 0.0, 0, 0.0) == prior([(5, 0), (7, 0)]) == (0.0, H.FEW_DOCS)
+    assert prior([(9, 4)]) == pytest.approx((4 / 9 * H.FEW_DOCS, 5 / 9 * H.FEW_DOCS))
+
+
+def test_columns(spark, sf_dir):
+    assert H.op6_quality_rules(spark, sf_dir).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def test_small_hosts(spark):
+    """Hosts of one document, one in ten with a failing one, stay; a large host that fails goes."""
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, ("# " * 40 if i % 10 == 0 else "") + good, f"h{i}") for i in range(500)]
+    docs = spark.createDataFrame(rows + [(1000 + i, "# " * 40 + good, "bad") for i in range(300)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.host_ok for r in H.apply_rules(docs).collect()}
+    assert not got[1000] and all(got[i] for i in range(500) if i % 10)
 
 
 def test_host_verdict_reaches_documents(spark):
