@@ -10,9 +10,11 @@ as 64-bit numbers, of equal sums the one whose last piece starts first stays, a
 character that is no piece costs ten below the least score and counts as one
 token for each of its UTF-8 bytes (byte fallback).
 
-Every piece has its word-start signs at its beginning, so a text is cut before
-each run of them without changing any path, and recent stretches are
-remembered. One scan, no shuffle.
+Every piece has its word-start signs at its beginning, so every path passes
+each place before a run of them: the text is cut there and the sum goes on from
+stretch to stretch, as sums of 64-bit numbers depend on what they start from.
+Where all scores are multiples of one power of two, and small enough for exact
+sums, they do not: recent stretches are then remembered. One scan, no shuffle.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
 from hitloom.llm.bpe import _field
-from hitloom.llm.common import Recent, map_rows, read
+from hitloom.llm.common import Recent, map_rows, read, sent
 
 START = "▁"
 UNKNOWN_COST = 10.0
-#: Stretches up to this length are remembered.
-SHORT = 64
+#: Sums of scores that are multiples of 2^-EXACT_BITS are exact below 2^(53 - EXACT_BITS).
+EXACT_BITS = 8
 
 
 class UnigramCounter:
@@ -42,12 +44,15 @@ class UnigramCounter:
         self.unknown = min(pieces.values()) - UNKNOWN_COST
         self.known = frozenset(p for p in pieces if len(p) == 1)
         self.cut = re.compile(f"{START}*[^{START}]+|{START}+").findall
+        scores = [*pieces.values(), self.unknown]
+        self.most = max(map(abs, scores))
+        self.exact = all(float(v) * 2**EXACT_BITS % 1 == 0 for v in scores)
         self.recent = Recent(self._best)
 
-    def _best(self, s: str) -> tuple[int, float]:
-        """Number of tokens and score of the best path over ``s``."""
+    def _best(self, s: str, before: float = 0.0) -> tuple[int, float]:
+        """Number of tokens of the best path over ``s``, and the score after it if it was ``before``."""
         score, count = [None] * (len(s) + 1), [0] * (len(s) + 1)
-        score[0] = 0.0
+        score[0] = before
         ends: list[list] = [[] for _ in s]
         for end, match in self.machine.iter(s):
             ends[end].append(match)
@@ -66,10 +71,14 @@ class UnigramCounter:
         if not text:
             return 0, 0.0
         n, total = 0, 0.0
+        exact = self.exact and (len(text) + 1) * self.most < 2 ** (53 - EXACT_BITS)
         for part in self.cut(START + text.replace(" ", START)):
-            a, b = self.recent[part] if len(part) <= SHORT else self._best(part)
-            n += a
-            total += b
+            if exact:
+                a, b = self.recent[part]
+                n, total = n + a, total + b
+            else:
+                a, total = self._best(part, total)
+                n += a
         return n, total
 
 
@@ -86,7 +95,7 @@ _loaded: dict[str, UnigramCounter] = {}
 
 
 def counter(path: str) -> UnigramCounter:
-    """One counter for each Python worker and file."""
+    """One counter for each Python worker and file; :func:`count_tokens` sends the file at ``path`` on the driver to the executors."""
     if path not in _loaded:
         _loaded[path] = UnigramCounter(sentencepiece_vocabulary(path))
     return _loaded[path]
@@ -99,8 +108,10 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     columns are not read, repeated rows and null keys stay as they are.
     """
 
+    file = sent(docs.sparkSession, path)
+
     def make():
-        count = counter(path).count
+        count = counter(file()).count
 
         def run(c):
             out = [count(t) for t in c[1]]

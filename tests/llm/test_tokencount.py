@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +39,24 @@ def test_ties(pieces, text):
     assert own._best(text)[0] == len(model.encode(text, add_special_tokens=False).ids)
 
 
+def test_sums_that_are_not_exact():
+    """Whole texts under vocabularies with scores in tenths, where a sum depends on what it starts from."""
+    rng = random.Random(11)
+    for _ in range(3000):
+        letters = [T.START + "a", T.START + "b", T.START, "a", "b", "c"]
+        pieces = {"".join(rng.choice(letters[3:] if k else letters) for k in range(rng.randint(1, 4))): -rng.randint(0, 40) / 10 for _ in range(rng.randint(2, 14))}
+        text = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 60)))
+        model = Tokenizer(Unigram([("<unk>", 0.0), *BYTES, *pieces.items()], 0, byte_fallback=True))
+        own = T.UnigramCounter(pieces)
+        assert own.count(text)[0] == lib(text, model), (pieces, text)
+
+
+def test_exact_scores_are_remembered():
+    own = T.UnigramCounter({T.START + "a": -1.5, "b": -2.25, "c": -3.0})
+    assert own.exact and own.count("ab ab cb")[1] == T.UnigramCounter({T.START + "a": -1.5, "b": -2.25, "c": -3.0})._best("▁ab▁ab▁cb")[1] and own.recent
+    assert not T.UnigramCounter({T.START + "a": -0.1}).exact
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = {r.doc_id: r.n_tokens for r in T.op9_token_counts(spark, sf_dir).collect()}
