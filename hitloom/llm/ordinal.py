@@ -29,7 +29,8 @@ from hitloom.runtime import Scratch
 #: Rated documents that are learned from, at most.
 SAMPLE = 3_000
 BUCKETS = 1 << 13
-BROADCAST_RATINGS = 2_000_000
+#: Ratings that one broadcast may hold (about 50 bytes each).
+BROADCAST_RATINGS = 500_000
 PARTS = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -45,7 +46,7 @@ def _chunk(chunk: str) -> tuple[int, ...]:
             shape = "digit" if part.isdigit() else "upper" if len(part) > 1 and part.isupper() else "title" if part[0].isupper() else "lower"
             out += [_bucket(f"w{part.lower()}"), _bucket(f"s{shape}")]
         else:
-            out.append(_bucket(f"m{part[:8]}"))
+            out.append(_bucket(f"m{part}"))
     return tuple(out)
 
 
@@ -62,7 +63,7 @@ class Hasher:
         total[_bucket("repeat")] += sum(map(eq, words, words[1:]))
         lines = [x for x in text.split("\n") if x.strip()] if text else []
         total[_bucket("line again")] += 5 * (len(lines) - len(set(lines)))
-        total[_bucket(f"length {min(len(words), 4000).bit_length()}")] += 1
+        total[_bucket(f"length {len(words).bit_length()}")] += 1
         at = np.flatnonzero(total)
         v = np.sqrt(total[at])
         return at, v / np.linalg.norm(v)
@@ -119,17 +120,19 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200, ra
 
 
 def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", rating: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` rated documents, chosen by a hash of the key.
+    """Learn from at most ``sample`` rated documents, chosen by a hash of key and text.
 
     Any number of grades; null ratings teach nothing; of several ratings of one
-    key the largest counts. With fewer than two grades there is no threshold.
+    key the largest counts, and equal rows teach once. With fewer than two
+    grades there is no threshold.
     """
     marks = ratings.where(F.col(rating).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(rating).cast("double")).alias("y"))
-    marks = Scratch(docs.sparkSession, "ordinal").table(marks, "ratings")
-    few = marks.limit(BROADCAST_RATINGS + 1).count() <= BROADCAST_RATINGS
-    keys = docs.select(F.col(key).alias("k")).join(F.broadcast(marks) if few else marks, "k")
-    chosen = keys.orderBy(F.xxhash64("k"), "k").limit(sample).distinct()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("y", "t")
+    scratch = Scratch(docs.sparkSession, "ordinal")
+    marks, seen = scratch.counted(marks, "ratings")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    keys = rows.select("k", "h").join(F.broadcast(marks) if seen["n"] <= BROADCAST_RATINGS else marks, "k")
+    chosen = keys.orderBy(F.xxhash64("k", "h"), "k", "h").limit(sample).distinct()
+    rows = rows.join(F.broadcast(chosen), ["k", "h"]).dropDuplicates(["k", "h"]).select("y", "t")
 
     def make():
         hasher = Hasher()
@@ -140,7 +143,8 @@ def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
 
         return run
 
-    found = map_rows(rows, make, "y double, i array<int>, v array<float>").limit(2 * sample).toPandas()
+    found = map_rows(rows, make, "y double, i array<int>, v array<float>").orderBy("y", "i", "v").toPandas()
+    scratch.release(marks)
     grades = sorted(found["y"].unique())
     if len(grades) < 2:
         return Model([float(g) for g in grades])
