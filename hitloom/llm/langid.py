@@ -109,15 +109,17 @@ def fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.5,
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` rows with text and language, chosen by a hash of the key.
+    """Learn from at most ``sample`` rows with text and language, chosen by a hash of key and text.
 
-    Rows with a null language or no letter teach nothing. Without any row the
-    model answers ``und``; with one language it answers that one.
+    Rows with a null key or language or no letter teach nothing, equal rows
+    teach once. Without any row the model answers ``und``; with one language it
+    answers that one.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    order = [F.xxhash64("k"), F.col("k"), F.col("l")]
-    chosen = known.select("k", "l").orderBy(*order).limit(sample)
-    rows = known.join(F.broadcast(chosen.distinct()), ["k", "l"])
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    known = known.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.xxhash64(text).alias("h"))
+    own = ["k", "h", "l"]
+    chosen = known.select(*own).orderBy(F.xxhash64("k", "h"), *own).limit(sample)
+    rows = known.join(F.broadcast(chosen.distinct()), own).dropDuplicates(own)
 
     def make():
         def run(c):
@@ -127,7 +129,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
         return run
 
-    found = map_rows(rows.select("l", "t"), make, "l string, i array<int>, c array<float>").limit(2 * sample).toPandas()
+    found = map_rows(rows.select("l", "t"), make, "l string, i array<int>, c array<float>").orderBy("l", "i", "c").toPandas()
     labels = sorted(found["l"].unique())
     codes = code(len(labels)) if len(labels) > 1 else np.ones((len(labels), 1))
     x = np.zeros((len(found), BUCKETS), np.float32)

@@ -1,4 +1,10 @@
+import math
+import re
+import unicodedata
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hitloom.llm import langid as L
@@ -24,6 +30,32 @@ def test_wrong_bit_is_corrected():
             assert model.losses(np.zeros(L.BUCKETS)).argmin() == c
 
 
+def test_as_all_codewords(spark, sf_dir):
+    """The query's rows by plain Python: n-grams one by one, every codeword's weighted loss, the least of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = L.fit(docs.where(~held_out()))
+    got = {r.doc_id: r for r in L.op3_language_id(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in r.text or "")
+        plain = re.sub(" +", " ", letters).lower()
+        if not plain.strip():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        raw, n = f" {plain} ".encode(), Counter()
+        for i in range(len(raw)):
+            pair = raw[i] * 257 + raw[i + 1] if i + 1 < len(raw) else None
+            grams = [raw[i], pair, pair * 263 + raw[i + 2] if i + 2 < len(raw) else None]
+            n.update((g * 0x9E3779B1 + k * 0x85EBCA6B) % 2**32 >> 19 for k, g in enumerate(grams) if g is not None)
+        size = math.sqrt(sum(n.values()))
+        bits = [sum(math.sqrt(v) / size * float(model.weights[b, k]) for b, v in n.items()) + float(model.bias[k]) for k in range(model.codes.shape[1])]
+        loss = {lang: sum(t * math.log1p(math.exp(-f * c)) for f, c, t in zip(bits, word, model.trust, strict=True)) for lang, word in zip(model.labels, model.codes, strict=True)}
+        best = min(loss, key=loss.get)
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(loss[best] - v) for v in loss.values()), abs=1e-4)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     got = L.op3_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out").toPandas()
@@ -47,3 +79,6 @@ def test_cases(spark):
     one = L.fit(docs.where("lang = 'en'"))
     assert one.predict("das haus")[0] == "en"
     assert docs.where(held_out()).where("doc_id IS NULL").count() == 0
+    assert L.language_stage(spark, docs, "").where("doc_id IS NULL").count() == 1
+    two = L.fit(docs.unionAll(docs).repartition(5))
+    assert (two.weights == model.weights).all() and (two.trust == model.trust).all()
