@@ -4,10 +4,14 @@ Rows arrive as a stream of (digest, stable identifier, content locator). Keyed
 state on disk (RocksDB store, no expiry, no watermark) keeps for each digest
 the largest identifier, the locator of its row and the number of rows. A later
 batch updates the state and appends the changed keys to a log of states in the
-shared folder, so a restarted run goes on from the stream's checkpoint. Each
-group with more than one row is then checked byte for byte: texts are compared
-with the text that the locator points at, and rows that share a digest without
-sharing the bytes are grouped by the text itself.
+shared folder. Each group with more than one row is then checked byte for byte:
+texts are compared with the text that the locator points at, and rows that
+share a digest without sharing the bytes are grouped by the text itself.
+
+With a ``state`` folder arrivals, state and log outlive the call: documents of
+further calls meet those of earlier ones, and a call that was broken off and is
+made again with the same ``batch`` name goes on from the stream's checkpoint.
+Without one each call has a folder of its own.
 
 Only the narrow arrival rows are shuffled by digest. Texts are read again for
 groups with more than one row; the digests of these groups are broadcast below
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 from hitloom.llm.common import read
 from hitloom.runtime import Scratch
 
-#: Digests of groups to check that one broadcast may hold (64 characters each).
-BROADCAST_KEYS = 500_000
+#: Groups to check that one broadcast may hold (a digest of 32 bytes, a locator and two numbers each).
+BROADCAST_KEYS = 200_000
 #: Settings of the stream: state on disk, and a store closed once its task has committed, so that
 #: the executors' disks hold the stores of running tasks and not one of every partition.
 STORE = {
@@ -35,11 +39,12 @@ STORE = {
 }
 #: Copies of one text that are compared with the kept one in one task, about.
 GROUP_ROWS = 500
-ARRIVAL = "digest string, doc_id long, locator string"
+ARRIVAL = "digest binary, doc_id long, locator string"
 
 
 def sha256(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    """The 32 bytes of a text's SHA-256 in UTF-8; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def located(docs: DataFrame, scratch: Scratch, name: str = "locator") -> DataFrame:
@@ -86,33 +91,48 @@ def run_stream(arrivals: DataFrame, log: str, checkpoint: str) -> None:
 
 def latest(spark: SparkSession, log: str) -> DataFrame:
     """The newest state of each digest: counts only grow."""
-    rows = spark.read.schema("digest string, doc_id long, locator string, group_size long, batch long").parquet(log)
+    rows = spark.read.schema("digest binary, doc_id long, locator string, group_size long, batch long").parquet(log)
     return rows.groupBy("digest").agg(F.max(F.struct("group_size", "doc_id", "locator")).alias("s")).select(
         "digest", F.col("s.doc_id").alias("keep_id"), F.col("s.locator").alias("keep_locator"), F.col("s.group_size").alias("group_size")
     )
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, state: str | None = None, batch: str = "0") -> DataFrame:
     """One row for each row of ``docs``: key, locator, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. Of rows with equal texts the one with the
     largest key stays; of repeated rows with that key, the one whose locator is
     the greatest string. A null key is smaller than any other. Other columns
     are not read. An empty table gives an empty result.
+
+    ``state`` names a folder that all executors reach and that later calls may
+    name again: groups then cover the rows of all batches, a row of ``docs``
+    stays if no row of a batch so far with the same text has a larger key, and a
+    ``batch`` that is there already is not counted twice. Files of earlier
+    batches must stay where they were, as texts are compared with them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
+    if state and not docs.inputFiles():
+        docs = once(docs, f"{state}/documents/batch={batch}")
     rows = located(docs, scratch).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), "locator")
-    arrivals = scratch.table(rows.select(digest(F.col("text")).alias("digest"), "doc_id", "locator", sha256(F.col("text")).alias("text_sha256")), "arrivals")
-    log, path = scratch.path("states"), arrivals.inputFiles()
+    made = rows.select(digest(F.col("text")).cast("binary").alias("digest"), "doc_id", "locator", *([] if digest is sha256 else [sha256(F.col("text")).alias("sha")]))
+    arrivals = once(made, f"{state}/arrivals/batch={batch}") if state else scratch.table(made, "arrivals")
+    log, path = f"{state}/states" if state else scratch.path("states"), arrivals.inputFiles()
+    own = F.lower(F.hex("digest" if digest is sha256 else "sha")).alias("text_sha256")
     if not path:
-        return arrivals.selectExpr(f"doc_id AS `{key}`", "locator", "doc_id AS keep_id", "0L AS group_size", "true AS kept", "text_sha256")
-    run_stream(spark.readStream.schema(ARRIVAL).parquet(path[0].rsplit("/", 1)[0]), log, scratch.path("progress"))
-    state = latest(spark, log)
+        return arrivals.select(F.col("doc_id").alias(key), "locator", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), own)
+    source = spark.readStream.schema(ARRIVAL).option("recursiveFileLookup", "true")
+    run_stream(source.parquet(f"{state}/arrivals" if state else path[0].rsplit("/", 1)[0]), log, f"{state}/progress" if state else scratch.path("progress"))
+    groups = latest(spark, log)
 
-    hits = state.where("group_size > 1")
+    hits = groups.where("group_size > 1")
     hits = F.broadcast(hits) if hits.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hits
-    copies = rows.select(digest(F.col("text")).alias("digest"), "doc_id", "locator", "text").join(hits, "digest")
+    copies = rows.select(digest(F.col("text")).cast("binary").alias("digest"), "doc_id", "locator", "text").join(hits, "digest")
+    if state:  # texts of earlier batches that share a digest with one of this batch
+        earlier = earlier_rows(spark, arrivals, state, batch, key, text)
+        if earlier is not None:
+            copies = copies.unionByName(earlier.join(groups.where("group_size > 1"), "digest"))
     # a large group is dealt to several tasks, and its kept text to each of them
     shares = F.ceil(F.col("group_size") / F.lit(float(GROUP_ROWS)))
     kept_text = copies.where("locator = keep_locator").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.col("text").alias("keep_text"))
@@ -120,17 +140,40 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     clash = dealt.join(kept_text, ["digest", "share"]).where("text <> keep_text").select("digest").distinct()
     clash = scratch.table(clash, "clashes")
 
-    found = arrivals.join(state, "digest")
+    found = arrivals.join(groups, "digest")
     if clash.isEmpty():
         out = found
     else:  # different bytes under one digest: these groups are formed by the text
         apart = copies.join(clash, "digest", "left_semi").select("digest", "doc_id", "locator", "text")
-        groups = apart.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("group_size"))
-        apart = apart.join(groups, ["digest", "text"]).select("locator", "keep.doc_id", F.col("keep.locator").alias("keep_locator"), "group_size")
+        by_text = apart.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("group_size"))
+        apart = apart.join(by_text, ["digest", "text"]).select("locator", "keep.doc_id", F.col("keep.locator").alias("keep_locator"), "group_size")
         apart = arrivals.join(apart.withColumnRenamed("doc_id", "keep_id"), "locator")
-        names = ["doc_id", "locator", "keep_id", "keep_locator", "group_size", "text_sha256"]
-        out = found.join(clash, "digest", "left_anti").select(names).unionByName(apart.select(names))
-    return out.select(F.col("doc_id").alias(key), "locator", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"), "text_sha256")
+        out = found.join(clash, "digest", "left_anti").unionByName(apart)
+    return out.select(F.col("doc_id").alias(key), "locator", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"), own)
+
+
+def once(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` unless a whole table is there already, and read back."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def earlier_rows(spark: SparkSession, arrivals: DataFrame, state: str, batch: str, key: str, text: str) -> DataFrame | None:
+    """Rows (digest, doc_id, locator, text) of other batches whose digest is in ``arrivals``; None without such rows.
+
+    Only the names of the files in which they stand reach the driver.
+    """
+    old = spark.read.schema(f"{ARRIVAL}, batch string").parquet(f"{state}/arrivals").where(F.col("batch") != batch).drop("batch")
+    old = old.join(arrivals.select("digest").distinct(), "digest", "left_semi")
+    files = [r[0] for r in old.select(F.substring_index("locator", "#", 1)).distinct().collect()]
+    if not files:
+        return None
+    where = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
+    texts = spark.read.parquet(*files).select(where.alias("locator"), F.coalesce(text, F.lit("")).alias("text"))
+    return old.join(texts, "locator").select("digest", "doc_id", "locator", "text")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +181,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that stay, with the same columns."""
+    """The rows of ``docs`` that stay, with the same columns, whatever their names; each row follows its own verdict."""
+    name = unused(docs)
     scratch = Scratch(spark, "stage")
     docs = docs if docs.inputFiles() else scratch.table(docs, "documents")
-    rows = located(docs, scratch)
-    kept = exact_dedup(docs).where("kept").select("locator")
-    return rows.join(kept, "locator", "left_semi").drop("locator")
+    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("locator").alias(name))
+    return located(docs, scratch, name).join(kept, name, "left_semi").drop(name)
 
 
 ORACLE = """

@@ -48,12 +48,48 @@ def test_null_key_and_colliding_digest(spark):
 
 
 def test_later_batches_and_restart(spark, tmp_path):
-    rows = spark.createDataFrame([("x", 1, "f#0"), ("y", 2, "f#1")], E.ARRIVAL)
+    rows = spark.createDataFrame([(b"x", 1, "f#0"), (b"y", 2, "f#1")], E.ARRIVAL)
     rows.write.parquet(str(tmp_path / "in"))
     run = lambda: E.run_stream(spark.readStream.schema(E.ARRIVAL).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "ck"))
     run()
-    spark.createDataFrame([("x", 7, "g#0"), ("z", 3, "g#1")], E.ARRIVAL).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(b"x", 7, "g#0"), (b"z", 3, "g#1")], E.ARRIVAL).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     run()
-    got = {r.digest: (r.keep_id, r.keep_locator, r.group_size) for r in E.latest(spark, str(tmp_path / "log")).collect()}
+    got = {bytes(r.digest).decode(): (r.keep_id, r.keep_locator, r.group_size) for r in E.latest(spark, str(tmp_path / "log")).collect()}
     assert got == {"x": (7, "g#0", 2), "y": (2, "f#1", 1), "z": (3, "g#1", 1)}
+
+
+def test_own_columns_stay(spark):
+    rows = [(1, "a", "own 1"), (2, "a", "own 2"), (None, "b", "own 3"), (None, "b", "own 4"), (3, None, "own 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    for name in ("locator", "Locator_", "digest", "keep_id", "share"):
+        docs = docs.withColumn(name, F.col("mark"))
+    out = E.dedup_stage(spark, docs, "")
+    got = out.collect()
+    assert out.columns == docs.columns and len(got) == 3 and {"own 2", "own 5"} < {r.mark for r in got}
+    assert all(len({r.mark, r.locator, r.Locator_, r.digest, r.keep_id, r.share}) == 1 for r in got)
+
+
+def test_state_over_calls(spark, tmp_path):
+    """A repeated batch counts once, and documents of a later one meet those of the first."""
+    first, second = [(1, "a"), (2, "b"), (5, "a"), (6, None)], [(3, "a"), (9, "b"), (10, "c"), (4, "")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    state = f"file://{tmp_path}/state"
+    verdicts = lambda df: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect())
+    one = verdicts(E.exact_dedup(frame(first), state=state, batch="one"))
+    assert one == [(1, 5, 2, False), (2, 2, 1, True), (5, 5, 2, True), (6, 6, 1, True)]
+    assert verdicts(E.exact_dedup(frame(first), state=state, batch="one")) == one
+    want = [(3, 5, 3, False), (4, 6, 2, False), (9, 9, 2, True), (10, 10, 1, True)]
+    assert verdicts(E.exact_dedup(frame(second), state=state, batch="two")) == want
+    assert verdicts(E.exact_dedup(frame(second), state=state, batch="two")) == want
+    assert verdicts(E.exact_dedup(frame(first), state=state, batch="one")) == [(1, 5, 3, False), (2, 9, 2, False), (5, 5, 3, True), (6, 6, 2, True)]
+
+
+def test_state_checks_bytes(spark, tmp_path):
+    """Under a digest that clashes, texts of earlier batches are read again and groups are those of equal texts."""
+    weak = lambda c: F.lit("same").cast("binary")
+    state = f"file://{tmp_path}/state"
+    for batch, rows in (("one", [(1, "a"), (2, "b")]), ("two", [(3, "a"), (4, "c")])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{batch}")
+        got = E.exact_dedup(spark.read.parquet(f"{tmp_path}/{batch}"), digest=weak, state=state, batch=batch).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(3, 3, 2, True), (4, 4, 1, True)]
