@@ -8,6 +8,7 @@ than once are written as Parquet below the folder that the cluster names in
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,9 +21,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs in one process (tests)."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hitloom-")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
@@ -43,13 +46,29 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(shutil.make_archive(str(folder / root.name), "zip", copy.parent, root.name))
 
 
+_folders: dict[str, tuple] = {}
+
+
+@atexit.register
+def _delete_folders() -> None:
+    """Results are lazy and read their tables until the application ends: only then are all folders free to go."""
+    while _folders:
+        folder, (jvm, conf) = _folders.popitem()
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # noqa: BLE001  the JVM has ended before, with the folders left to the cluster
+            return
+
+
 class Scratch:
-    """Parquet tables of one computation, in a folder of their own."""
+    """Parquet tables of one computation, in a folder of their own that is deleted when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str = "work"):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/hitloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _folders[self.root] = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def path(self, name: str) -> str:
         self._n += 1

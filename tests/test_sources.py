@@ -65,3 +65,21 @@ def test_scratch(spark, tmp_path):
     s.release(t)
     with pytest.raises(Exception):
         s.spark.read.parquet(t.inputFiles()[0]).count()
+
+
+def test_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from hitloom.runtime import shared_dir
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    for master, fails in (("local[4]", False), ("local", False), ("yarn", True), ("local-cluster[3,2,1000]", True), ("spark://host:7077", True)):
+        session = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master))
+        if fails:
+            with pytest.raises(RuntimeError):
+                shared_dir(session)
+        else:
+            assert shared_dir(session).startswith("file:/")
+    assert shared_dir(SimpleNamespace(conf=Conf({"spark.checkpoint.dir": "hdfs://x/y/"}))) == "hdfs://x/y"
