@@ -4,8 +4,13 @@ Each page's containers are scored by their running text against link text and
 boilerplate below them, and the page votes for the tag-class path of its best
 container (digits generalised). Votes are counted per host by Spark, and every
 page is extracted again from the elements on its host's winning path; a page
-that has none, or no text there, falls back to its own best container. An
-off-topic name condemns an element only if the page's article is not in it.
+that has none, or no text there, falls back to its own best container.
+
+A name (class, id or role) that says what is beside the article marks an
+element. Names that end in such a word count unless the page's article is in
+the element; where the word only qualifies another ("share-price"), stands
+beside a name of an article or is one of those that are common inside articles
+("story links"), the element goes only if half of it is links and form fields.
 
 Two scans of the pages; between them only (host, path) votes are shuffled,
 summed in the task first, so a host with a third of all pages is no hot task.
@@ -30,12 +35,14 @@ BROADCAST_HOSTS = 200_000
 
 # Element names of HTML by their role, and names that sites give to what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes svg math object canvas audio video".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var td th".split()
+RAW = frozenset("script style textarea title iframe template noembed noframes".split())
+BLOCK = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header"
+    " hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead tr caption ul xmp".split()
 )
 CLOSES_ITSELF = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr table", "th": "tr table", "option": "select datalist"}
-NOT_ARTICLE = frozenset("nav footer aside form button select dialog menu fieldset head".split())
+NOT_ARTICLE = frozenset("nav footer aside button select dialog menu fieldset head".split())
+FIELDS = frozenset("input select textarea button".split())
 NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar banner footer sidebar rail aside widget ad ads advert adverts"
     " advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter"
@@ -44,9 +51,16 @@ NAMES = frozenset(
 )
 #: Names of what may hold article elements or long texts of its own beside the page's article.
 OTHERS = frozenset("recommended related comment comments reply replies respond disqus".split())
+#: Names that are as common inside articles as beside them.
+EITHER = frozenset("links search share sharing social alert subscription promotion".split())
+#: Last parts of names that say no more than that something is a container, and first parts that say that something is not there.
+NEUTRAL = frozenset("container wrapper wrap inner outer list area box block section bar bars slot item items unit group row col column button buttons icons panel zone holder top bottom left right".split())
+NEGATIVE = frozenset("no not without hide has with".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_NAMES = frozenset("article content post entry story main text body".split())
 WORTH = {"article": 1.3, "main": 1.15}
+#: Letters of running text that one form field outweighs.
+FIELD_TEXT = 40
 
 TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -57,10 +71,26 @@ SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _off_topic(name: str) -> int:
-    """Whether a class, id or role names something beside the article (1; 2 if it is of ``OTHERS``); the header of an article is its own."""
-    parts = {p.lower() for p in NAME_PART.findall(name)}
-    return (2 if parts & OTHERS else 1) if parts & (NAMES - {"header"} if parts & GOOD_NAMES else NAMES) else 0
+WEAK, NAMED, OTHER = 1, 2, 3
+
+
+def _off_topic(name: str, beside_good: bool = False) -> int:
+    """Whether a class, id or role names something beside the article.
+
+    0 no, ``WEAK`` to be judged by what the element holds, ``NAMED`` yes,
+    ``OTHER`` yes and of ``OTHERS``; the header of an article is its own.
+    """
+    parts = [p.lower() for p in NAME_PART.findall(name)]
+    good = beside_good or not GOOD_NAMES.isdisjoint(parts)
+    found = {p for p in parts if p in NAMES and not (good and p == "header")}
+    if not found:
+        return 0
+    while len(parts) > 1 and parts[-1] in NEUTRAL:
+        parts.pop()
+    last = parts[-1]
+    if last not in found or NEGATIVE & set(parts) or last in EITHER and (good or len(parts) > 1 and found == {last}):
+        return WEAK
+    return OTHER if found & OTHERS else NAMED
 
 
 class Page:
@@ -68,11 +98,13 @@ class Page:
 
     def __init__(self, source: str | None):
         self.tag, self.label, self.parent, self.bad = ["document"], ["document"], [-1], [False]
-        self.named = [0]
+        self.named, self.fields = [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.stack, self.open, self.block = [0], Counter(), 0
         self._parse(source or "")
         if any(self.named):
+            if WEAK in self.named:
+                self._judge_weak()
             self._clear_wrappers()
             for i in range(1, len(self.tag)):
                 self.bad[i] = self.bad[i] or self.named[i] > 0 or self.bad[self.parent[i]]
@@ -112,12 +144,14 @@ class Page:
     def _start(self, name: str, inside: str) -> None:
         if name == "br" or name in ("td", "th"):
             self.pieces.append((self.stack[-1], self.block, " "))
-        if name not in INLINE and name not in VOID or name == "hr":
+        if name in BLOCK:
             self.block += 1
             if self.open["p"]:
-                self._close("p", INLINE)
+                self._close("p", False)
+        if name in FIELDS:
+            self.fields[self.stack[-1]] += 1
         if name in CLOSES_ITSELF and self.open[name]:
-            self._close(name, None, frozenset(CLOSES_ITSELF[name].split()))
+            self._close(name, True, frozenset(CLOSES_ITSELF[name].split()))
         if name in VOID:
             return
         label, bad, named = self._judge(name, inside)
@@ -126,24 +160,46 @@ class Page:
         self.parent.append(self.stack[-1])
         self.bad.append(bad or self.bad[self.stack[-1]])
         self.named.append(named)
+        self.fields.append(0)
         if not inside.endswith("/") or name not in RAW:
             self.stack.append(len(self.tag) - 1)
             self.open[name] += 1
 
     def _judge(self, name: str, inside: str) -> tuple[str, bool, int]:
-        label, named, bad = name, 0, name in NOT_ARTICLE or name in RAW or name == "header" and not (self.open["article"] or self.open["main"])
+        label, named, bad = name, NAMED if name == "form" else 0, name in NOT_ARTICLE or name in RAW or name == "header" and not (self.open["article"] or self.open["main"])
         if inside.strip("/ \t\r\n"):
             for key, value in ATTRIBUTE.findall(inside):
                 key, value = key.lower(), html.unescape(value.strip("\"'"))
                 if key in ("class", "id", "role"):
                     if name not in ("html", "body"):
-                        named = max(named, *map(_off_topic, value.split()), 0)
+                        tokens = value.split()
+                        good = len(tokens) > 1 and any(p.lower() in GOOD_NAMES for t in tokens for p in NAME_PART.findall(t))
+                        named = max(named, *(_off_topic(t, good) for t in tokens), 0)
                     if key == "class":
                         label = ".".join([name, *sorted({DIGITS.sub("#", v) for v in value.split()})])
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
                     bad = True
         return label, bad, named
 
+    def _judge_weak(self) -> None:
+        """Keep the weak marks of elements of which at least half is links and form fields, as if their names were plain; drop the others."""
+        n = len(self.tag)
+        linked, total, links, fields = [False] * n, [0] * n, [0] * n, list(self.fields)
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+        for node, _, piece in self.pieces:
+            if self.tag[node] not in RAW:
+                size = len(piece) - piece.count(" ") - piece.count("\n")
+                total[node] += size
+                links[node] += size * linked[node]
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            total[up] += total[i]
+            links[up] += links[i]
+            fields[up] += fields[i]
+            if self.named[i] == WEAK:
+                self.named[i] = NAMED if 2 * (links[i] + FIELD_TEXT * fields[i]) >= total[i] else 0
+
     def _clear_wrappers(self) -> None:
         """Take the mark of its name from each element that holds the page's article.
 
@@ -185,7 +241,7 @@ class Page:
         heapify(queue)
         while queue:
             size, i = heappop(queue)
-            other = self.named[i] > 1
+            other = self.named[i] == OTHER
             elsewhere = clean_content > 0 if other else -size < 4 * clean_content or clean_article > 0 and not article[self.parent[i]]
             wraps = has_main[i] or not other and 4 * articles[i] > clean and articles[i] > 4 * clean_content or -2 * size > text[0] and not elsewhere
             if size and wraps:
@@ -200,13 +256,13 @@ class Page:
         return any(p.lower() in GOOD_NAMES for p in NAME_PART.findall(self.label[node].partition(".")[2]))
 
     def _end(self, name: str) -> None:
-        if name not in INLINE:
+        if name in BLOCK:
             self.block += 1
         if self.open[name]:
-            self._close(name, INLINE if name in INLINE and name not in ("td", "th") else None)
+            self._close(name, name in BLOCK or name in ("td", "th"))
 
-    def _close(self, name: str, through: frozenset | None, until: frozenset = frozenset()) -> None:
-        """Close the innermost open ``name`` if only elements of ``through`` (None: any) stand above it, and none of ``until``."""
+    def _close(self, name: str, through_blocks: bool, until: frozenset = frozenset()) -> None:
+        """Close the innermost open ``name`` if no block (unless ``through_blocks``) stands above it, and none of ``until``."""
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.tag[self.stack[depth]]
             if tag == name:
@@ -214,7 +270,7 @@ class Page:
                     self.open[self.tag[node]] -= 1
                 del self.stack[depth:]
                 return
-            if tag in until or through is not None and tag not in through:
+            if tag in until or not through_blocks and tag in BLOCK:
                 return
 
     def path(self, node: int) -> str:
@@ -238,7 +294,7 @@ class Page:
             other[self.parent[i]] += other[i]
         first, top = 0, good[0] - 2.0 * other[0]
         for i in range(1, n):
-            if good[i] and not self.bad[i] and self.tag[i] not in INLINE and self.tag[i] not in ("p", "li", "ul", "ol", "html", "blockquote"):
+            if good[i] and not self.bad[i] and (self.tag[i] in BLOCK or "-" in self.tag[i]) and self.tag[i] not in ("p", "li", "ul", "ol", "html", "blockquote"):
                 worth = WORTH.get(self.tag[i], 1.0) * (1.15 if self._good_name(i) else 1.0)
                 if good[i] * worth - 2.0 * other[i] >= top:
                     first, top = i, good[i] * worth - 2.0 * other[i]

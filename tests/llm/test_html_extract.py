@@ -88,3 +88,31 @@ def test_layout_wrappers(source, text):
 
 def test_nested_wrappers():
     assert own("<div class=has-sidebar>" * 20_000 + LONG) == LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<p>The energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> ends</p>", "The energy E=m ends"),
+        ("<p>See <svg><text>label</text></svg> here <x-note>and there</x-note></p>", "See label here and there"),
+        ("<p>a<object>b</object> <video>c</video> <audio>d</audio> <canvas>e</canvas></p><noscript><p>f</p></noscript>", "ab c d e\nf"),
+        (f"<p class='story links'>{LONG}</p>", LONG.strip()),
+        (f"<section class='search-results-discussion'><p>{LONG}</p></section>", LONG.strip()),
+        (f"<p class='article-story__share-price'>{LONG}</p>", LONG.strip()),
+        (f"<p class='alert-levels'>{LONG}</p><p class='story-links'>{LONG} <a href=x>one</a></p>", f"{LONG.strip()}\n{LONG.strip()} one"),
+        ("<p class='story links'><a href=a>one</a> <a href=b>two</a></p>", ""),
+        ("<div class='search-results-page'><p>Find</p><input name=q></div>", ""),
+        ("<div class='share-buttons'><a href=x>Share this</a></div><div class='ad-slot'>Buy</div><div class='cookie-notice'>We use</div>", ""),
+        ("<div class='reader-comments'><p>I think so</p></div><div class='comment-list'><p>Me too</p></div>", ""),
+    ],
+)
+def test_inside_an_article(inner, text):
+    """Only what the contract names is left out of an article, whatever words its names contain."""
+    parts = [LONG.strip(), text, LONG.strip()]
+    assert own(f"<body><article><p>{LONG}</p>{inner}<p>{LONG}</p></article></body>") == "\n".join(p for p in parts if p)
+
+
+def test_page_in_a_form():
+    page = f"<body><form id='aspnetForm'><div class='nav'><a href=x>n</a></div><div class='content'><p>{LONG}</p></div><input><div class='login-form'><input>Name</div></form></body>"
+    assert own(page) == LONG.strip()
+    assert own(f"<body><form><p>Your name</p><input></form><div><p>{LONG}</p></div></body>") == LONG.strip()
