@@ -6,22 +6,26 @@ Matching: the Levenshtein automaton (one edit) is run along the lexicon's trie
 as one machine whose states are sets of (trie node, edits); states are made
 deterministic when first reached and remembered, so a word costs about one
 look-up for each letter. Whole terms of ``FUZZY_FROM`` letters or more may be
-misspelled, beginnings may not.
+misspelled, beginnings may not. Letters joined by a single digit or sign are
+read both apart and as one word, in which the digit or sign is an edit.
 
 Context: a hit weighs ``QUOTED`` of its weight if, within ``WINDOW`` words, it
 stands between quotation marks or a word of reporting precedes it; else it
-counts in full. A logistic regression on a few sums of these weights, fitted on
-a bounded sample, turns them into a score from 0 to 1.
+counts in full. Words of reporting are a short list, which the caller may
+replace, and the words that training documents without the label have before
+hits much more often than toxic ones. A logistic regression on a few sums of
+these weights, fitted on a bounded sample, turns them into a score from 0 to 1.
 
 Learning needs two narrow counts (candidates from toxic documents, then their
-counts in all training documents) and prediction is one scan. Labels are
-joined to documents by broadcast below a counted bound, else by shuffle.
+counts in all training documents), summed in the task first, and prediction is
+one scan. Candidates reach the tasks by broadcast and labels their documents by
+a broadcast join below counted bounds, else by shuffle. The model has at most
+``TERMS`` terms, those of the highest odds.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,22 +33,27 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import Recent, held_out, map_rows, read
+from hitloom.llm.common import Recent, held_out, map_rows, read, sum_terms
 from hitloom.runtime import Scratch
 
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
+#: Words with what joins them: single digits or signs between letters.
+TOKENS = regex.compile(r"[\p{L}\p{M}]+(?:[^\p{L}\p{M}\s][\p{L}\p{M}]+)*")
 #: Lengths of word beginnings that may become terms.
 STEMS = (4, 5, 6, 7)
 #: A term is found in so many toxic training documents, at least, and in this share of them.
 LEAST_DOCS, LEAST_SHARE = 3, 0.002
 #: Smoothed log odds ratio from which a term is in the lexicon.
 LEAST_ODDS = 2.0
+#: A word of reporting is learned from so many clean documents with hits, at least, and from this share of them.
+REPORTED_DOCS, REPORTED_SHARE = 10, 0.1
 FUZZY_FROM = 5
 WINDOW = 8
 QUOTED = 0.35
 #: Labelled documents that the regression reads, at most; the lexicon's counts cover all.
 SAMPLE = 20_000
-BROADCAST_LABELS = 2_000_000
+#: Labels (about 50 bytes each) and candidate terms (about 100) that one broadcast may hold, and terms of a model.
+BROADCAST_LABELS, BROADCAST_TERMS, TERMS = 500_000, 200_000, 100_000
 #: Marks and words that tell quotation from abuse (fixed values).
 MARKS = "\"“”„«»‹›"
 REPORTING = frozenset(
@@ -135,13 +144,13 @@ class FuzzyTrie:
         return stem, 0.0
 
 
-def quoted(text: str, words: list[tuple[int, int, str]], i: int) -> bool:
+def quoted(text: str, words: list[tuple[int, int, str]], i: int, reporting: frozenset = REPORTING) -> bool:
     """Whether the ``i``-th word stands in quotation marks or after a reporting word, within the window."""
     lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
     before = text[words[lo][0] : words[i][0]]
     after = text[words[i][1] : words[hi - 1][1] + 2]
     marked = sum(map(before.count, MARKS)) % 2 == 1 and any(m in after for m in MARKS)
-    return marked or any(w in REPORTING for _, _, w in words[lo:i])
+    return marked or any(w in reporting for _, _, w in words[lo:i])
 
 
 FEATURES = ["best", "best_fuzzy", "total", "share", "quoted"]
@@ -153,6 +162,7 @@ class Model:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    reporting: frozenset = REPORTING
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
     bias: float = -2.0
 
@@ -163,23 +173,46 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.trie = FuzzyTrie(model.words, model.stems)
-        self.seen = Recent(self.trie.match)
-
-    def features(self, text: str | None) -> list[float]:
+        self.seen = Recent(self._match)
+
+    def _match(self, token: str) -> tuple[float, float]:
+        """Best match of a token's words and, if one digit or sign joins two of them, of the whole."""
+        words = WORDS.findall(token)
+        found = [self.trie.match(w) for w in words]
+        exact, near = max(a for a, _ in found), max(b for _, b in found)
+        if len(words) == 2:
+            near = max(near, self.trie.match(token)[1])
+        return exact, near
+
+    def hits(self, text: str | None) -> tuple[str, list, list, int]:
+        """The text in lower case, its tokens with their places, the matches of each, and the number of tokens; no lists without a match."""
         low = text.lower() if text else ""
-        found = list(map(self.seen.__getitem__, plain := WORDS.findall(low)))
+        found = list(map(self.seen.__getitem__, TOKENS.findall(low)))
         if not any(a or b for a, b in found):
+            return low, [], [], len(found)
+        return low, [(m.start(), m.end(), m[0]) for m in TOKENS.finditer(low)], found, len(found)
+
+    def before(self, text: str | None) -> set[str] | None:
+        """Words that stand before hits of a text, within the window, and are no hits; None without hits."""
+        _, words, found, _ = self.hits(text)
+        if not found:
+            return None
+        spots = [i for i, (a, b) in enumerate(found) if a or b]
+        return {words[j][2] for i in spots for j in range(max(0, i - WINDOW), i) if not any(found[j])}
+
+    def features(self, text: str | None) -> list[float]:
+        low, words, found, n = self.hits(text)
+        if not found:
             return [0.0] * len(FEATURES)
-        words = [(m.start(), m.end(), m[0]) for m in WORDS.finditer(low)]
         best = fuzzy = total = told = 0.0
         for i, (exact, near) in enumerate(found):
             if exact or near:
                 factor = 1.0
-                if quoted(low, words, i):
+                if quoted(low, words, i, self.model.reporting):
                     factor, told = QUOTED, max(told, exact, near)
                 best, fuzzy = max(best, factor * exact), max(fuzzy, factor * near)
                 total += factor * (exact + 0.5 * near)
-        return [best, fuzzy, math.log1p(total), total / (10 + len(plain)), told]
+        return [best, fuzzy, math.log1p(total), total / (10 + n), told]
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.weights) + self.model.bias)
@@ -196,56 +229,79 @@ def _document_counts(rows: DataFrame, only: frozenset | None, names: str) -> Dat
     """Documents for each term and class, summed in the task first; ``only`` names the terms of interest."""
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
-    def make():
+    def find():
         keep = shared.value
 
-        def run(c):
-            sums = Counter()
-            for toxic, text in zip(*c, strict=True):
-                found = terms(text)
-                sums.update((t, toxic) for t in (found if keep is None else found & keep))
-            return [[t for t, _ in sums], [x for _, x in sums], list(sums.values())]
+        def run(row):
+            found = terms(row[1])
+            return [(t, row[0]) for t in (found if keep is None else found & keep)]
 
         return run
 
-    return map_rows(rows, make, "term string, toxic int, n bigint").groupBy("term").agg(*(F.sum(F.when(F.col("toxic") == int(k), F.col("n")).otherwise(0)).alias(k2) for k, k2 in zip("10", names.split(), strict=True)))
-
-
-def log_odds(a: float, b: float, toxic: int, clean: int) -> float:
-    """Smoothed log odds ratio of a term in ``a`` of ``toxic`` and ``b`` of ``clean`` documents."""
-    return math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (clean - b + 0.5))
+    counts = sum_terms(rows, find, "term string, toxic int, n bigint")
+    return counts.groupBy("term").agg(*(F.sum(F.when(F.col("toxic") == int(k), F.col("n")).otherwise(0)).alias(k2) for k, k2 in zip("10", names.split(), strict=True)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learn from documents with a label of 0 or 1. Without both classes the model finds nothing."""
+def lexicon(rows: DataFrame, toxic: int, clean: int, scratch: Scratch) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of words and of word beginnings from all labelled documents ``rows`` (y, t)."""
+    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
+    first = _document_counts(rows.where("y = 1"), None, "a b").where(F.col("a") >= least).select("term")
+    first, seen = scratch.counted(first, "candidates")
+    if seen["n"] <= BROADCAST_TERMS:
+        second = _document_counts(rows, frozenset(r[0] for r in first.collect()), "a b")
+    else:
+        second = _document_counts(rows, None, "a b").join(first, "term", "left_semi")
+    odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
+    kept = second.withColumn("w", F.round(odds, 6)).where((F.col("w") >= LEAST_ODDS) & (F.col("a") >= least))
+    found = kept.select("term", "w").orderBy(F.desc("w"), "term").limit(TERMS).collect()
+    return tuple({r["term"][1:]: r["w"] for r in found if r["term"][0] == kind} for kind in "=^")
+
+
+def reporting_words(chosen: DataFrame, model: Model) -> frozenset:
+    """Words that a good part of the clean documents with hits has before them and toxic ones have much less often, in the sample ``chosen`` (y, t)."""
+    shared = chosen.sparkSession.sparkContext.broadcast(model)
+
+    def find():
+        before = Scorer(shared.value).before
+        return lambda row: [(w, row[0]) for w in {"", *words}] if (words := before(row[1])) is not None else []
+
+    counts = sum_terms(chosen, find, "term string, toxic int, n bigint").groupBy("term").agg(*(F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+    total = counts.where("term = ''").first()
+    if total is None:
+        return frozenset()
+    a, b = F.col("n0"), F.col("n1")
+    odds = F.log((a + 0.5) / (total["n0"] - a + 0.5)) - F.log((b + 0.5) / (total["n1"] - b + 0.5))
+    rows = counts.where((F.col("term") != "") & (a >= max(REPORTED_DOCS, REPORTED_SHARE * total["n0"]))).withColumn("w", F.round(odds, 6)).where(F.col("w") >= LEAST_ODDS)
+    return frozenset(r["term"] for r in rows.orderBy(F.desc("w"), "term").limit(TERMS).collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", reporting: frozenset = REPORTING) -> Model:
+    """Learn from documents with a label of 0 or 1; of several labels of one key the largest counts.
+
+    Without both classes the model finds nothing. The regression and the words
+    of reporting are learned from at most ``SAMPLE`` documents, chosen by a hash
+    of key and text; equal rows teach these once.
+    """
+    scratch = Scratch(docs.sparkSession, "toxic")
     marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
-    marks = Scratch(docs.sparkSession, "toxic").table(marks, "labels")
-    few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(marks) if few else marks, "k")
+    marks, seen = scratch.counted(marks, "labels")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(marks) if seen["n"] <= BROADCAST_LABELS else marks, "k")
     sums = rows.agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).first()
     toxic, clean = sums["toxic"], sums["clean"]
     if not toxic or not clean:
-        return Model()
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
-    # at most toxic documents x terms a document / least candidates: the share bounds them
-    first = _document_counts(rows.where("y = 1").select("y", "t"), None, "a b").where(F.col("a") >= least)
-    candidates = frozenset(r["term"] for r in first.select("term").collect())
-    second = _document_counts(rows.select("y", "t"), candidates, "a b").collect()
-    words, stems = {}, {}
-    for r in second:
-        w = log_odds(r["a"], r["b"], toxic, clean)
-        if w >= LEAST_ODDS and r["a"] >= least:
-            (words if r["term"][0] == "=" else stems)[r["term"][1:]] = round(w, 6)
-    model = Model(words, stems)
-    sample = rows.select("k", "y").orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    chosen = rows.join(F.broadcast(sample.select("k")), "k").select("y", "t")
+        return Model(reporting=reporting)
+    model = Model(*lexicon(rows.select("y", "t"), toxic, clean, scratch), reporting)
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    sample = rows.select("k", "h", "y").orderBy(F.xxhash64("k", "h"), "k", "h").limit(SAMPLE).select("k", "h").distinct()
+    chosen = scratch.table(rows.join(F.broadcast(sample), ["k", "h"]).dropDuplicates(["k", "h"]).select("y", "t"), "sample")
+    model.reporting = reporting | reporting_words(chosen, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         scorer = Scorer(shared.value)
         return lambda c: [c[0], [scorer.features(t) for t in c[1]]]
 
-    found = map_rows(chosen, make, "y int, x array<double>").limit(2 * SAMPLE).toPandas()
+    found = map_rows(chosen, make, "y int, x array<double>").orderBy("y", "x").toPandas()
     x, y = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES)), found["y"].to_numpy(float)
     model.weights, model.bias = _logistic(x, y)
     return model
