@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
         return _apart(texts, key, width, percent, recall, carry)
     links = _Join(texts.drop(*carry), sets.drop("k1", "k2"), width, percent, trees, scratch).run()
-    labels = connected_components(links, scratch=scratch)
+    labels = scratch.table(connected_components(links, scratch=scratch), "components")
+    scratch.release(sets)
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     rows = made.select("doc_id", "n", "k1", "k2", *carry)
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(named, ["k1", "k2"]).select("doc_id", "n", "component", *carry)
