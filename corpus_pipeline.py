@@ -10,7 +10,12 @@ from hitloom.runtime import Scratch
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row that the mix has taken."""
+    """Token counts and digests of every row that the mix has taken: key, n_tokens, ids_sha256, decoded_sha256.
+
+    A null or empty text has no tokens and the digests of nothing; repeated
+    rows and null keys stay as they are, other columns are not read, and an
+    empty table gives an empty result.
+    """
     return bpe.digests(docs, bpe.word_bpe_path())
 
 
