@@ -9,21 +9,45 @@ from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pixel pitch in micrometres and matrix size of known detectors (fixed values).
+#: Pixel pitch in micrometres, matrix size and primitive cell in pixels of known detectors (fixed values).
 MODELS = {
-    "FEI4": (250.0, 50.0, 80, 336),
-    "RD53A": (50.0, 50.0, 400, 192),
-    "ITkPix": (50.0, 50.0, 400, 384),
-    "TJMonopix1": (40.0, 36.0, 112, 224),
-    "PSI46": (150.0, 100.0, 52, 80),
-    "Mimosa26": (18.4, 18.4, 1152, 576),
-    "DepfetInner": (50.0, 55.0, 64, 64),
-    "DepfetOuter": (50.0, 85.0, 64, 64),
-    "Timepix3": (55.0, 55.0, 256, 256),
+    "FEI4": (250.0, 50.0, 80, 336, 2, 1),
+    "RD53A": (50.0, 50.0, 400, 192, 1, 1),
+    "RD53A_8x8": (50.0, 50.0, 400, 192, 8, 8),
+    "ITkPix": (50.0, 50.0, 400, 384, 1, 1),
+    "ITkPix_8x8": (50.0, 50.0, 400, 384, 8, 8),
+    "TJMonopix1": (40.0, 36.0, 112, 224, 1, 1),
+    "TJMonopix1_2x2": (40.0, 36.0, 112, 224, 2, 2),
+    "PSI46": (150.0, 100.0, 52, 80, 2, 1),
+    "Mimosa26": (18.4, 18.4, 1152, 576, 1, 1),
+    "DepfetInner": (50.0, 55.0, 64, 64, 1, 1),
+    "DepfetOuter": (50.0, 85.0, 64, 64, 1, 1),
+    "Timepix3": (55.0, 55.0, 256, 256, 1, 1),
+    "Diamond3D": (250.0, 50.0, 80, 336, 2, 1),
+    "DiamondPseudo3D": (250.0, 50.0, 80, 336, 2, 1),
+}
+
+# Fixed values of diamond sensors, which stand on an FEI4 matrix (micrometres; columns and rows from the sensor's first pixel).
+#: Bump bonds of odd and even columns are away from the centre by so much in x.
+BONDS = (-100.0, 100.0)
+#: Columns and rows of the sensor; the first 30 rows are square cells, the others hexagonal.
+SENSOR = (12, 30, 62)
+#: Shift of a square cell by column % 4 and row % 2, in the sensor with and without columns of electrodes.
+SQUARE_CELLS = {
+    "Diamond3D": {(0, 0): (100.0, 25.0), (0, 1): (225.0, -25.0), (1, 1): (-100.0, -25.0), (2, 1): (100.0, -25.0), (3, 0): (-100.0, 25.0), (3, 1): (-225.0, -25.0)},
+    "DiamondPseudo3D": {(0, 0): (100.0, 25.0), (0, 1): (225.0, -25.0), (1, 1): (-100.0, -25.0), (2, 0): (100.0, 25.0), (3, 0): (-100.0, 25.0), (3, 1): (-225.0, -25.0)},
+}
+#: Shift of a hexagonal cell by row % 4 (x counts against the bond's side); in the fourth row only columns 1 and 2 of four move.
+HEXAGONS = ((167.265, 75.0), (51.785, 25.0), (109.525, 75.0), (225.0, 25.0))
+#: Cells that are not connected: first column, column after the last, first row, row after the last.
+DEFECTS = {
+    "Diamond3D": [(1, 2, 8, 12), (4, 5, 12, 16), (3, 4, 24, 30), (8, 9, 0, 8), (10, 12, 8, 18), (10, 12, 30, 31), (10, 12, 32, 35)],
+    "DiamondPseudo3D": [],
 }
 
 
@@ -64,8 +88,8 @@ class Plane:
     cell_rows: int = 1
 
     def of_model(self, model: str) -> Plane:
-        c, r, n, m = MODELS[model]
-        return replace(self, column_size=c, row_size=r, n_columns=n, n_rows=m)
+        c, r, n, m, cc, cr = MODELS[model]
+        return replace(self, column_size=c, row_size=r, n_columns=n, n_rows=m, cell_columns=cc, cell_rows=cr)
 
     def row(self) -> dict:
         m = rotation(self.alpha, self.beta, self.gamma)
@@ -125,8 +149,12 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def local_from_index(column: Column, row: Column) -> tuple[Column, Column]:
-    """Centre of a pixel; pixels are numbered from 1 and the matrix is centred on the origin."""
+def local_from_index(column: Column, row: Column, strict: bool = False) -> tuple[Column, Column]:
+    """Centre of a pixel; pixels are numbered from 1 and the matrix is centred on the origin. Indices outside it are an error if ``strict``."""
+    if strict:
+        wrong = F.raise_error(F.concat_ws(" ", F.lit("outside the matrix:"), column.cast("string"), row.cast("string"))).cast("double")
+        fits = column.between(0.5, _c("n_columns") + 0.5) & row.between(0.5, _c("n_rows") + 0.5)
+        return tuple(F.when(fits, v).otherwise(wrong) for v in local_from_index(column, row))
     return _c("column_size") * (column - 0.5 - _c("n_columns") * 0.5), _c("row_size") * (row - 0.5 - _c("n_rows") * 0.5)
 
 
@@ -135,6 +163,48 @@ def index_from_local(x: Column, y: Column) -> tuple[Column, Column]:
     return x / _c("column_size") + 0.5 + _c("n_columns") * 0.5, y / _c("row_size") + 0.5 + _c("n_rows") * 0.5
 
 
+def diamond_shift(model: str, sensor: tuple[int, int], column: Column, row: Column) -> tuple[Column, Column]:
+    """How far a diamond sensor's pixel stands from its place in the matrix; ``sensor`` is the column and row of its first pixel."""
+    c, r = column - sensor[0], row - sensor[1]
+    width, square, height = SENSOR
+    dx, dy = F.when(column % 2 == 1, BONDS[0]).otherwise(BONDS[1]), F.lit(0.0)
+    on = (c >= 0) & (c < width) & (r >= 0) & (r < height)
+    for c0, c1, r0, r1 in DEFECTS[model]:
+        on = on & ~((c >= c0) & (c < c1) & (r >= r0) & (r < r1))
+    for (i, j), (x, y) in SQUARE_CELLS[model].items():
+        here = on & (r < square) & (c % 4 == i) & (r % 2 == j)
+        dx, dy = dx + F.when(here, x).otherwise(0.0), dy + F.when(here, y).otherwise(0.0)
+    for j, (x, y) in enumerate(HEXAGONS):
+        here = on & (r >= square) & ((r - square) % 4 == j) & (F.lit(True) if j < 3 else (c % 4).isin(1, 2))
+        dx, dy = dx + F.when(here, F.when(c % 2 == 0, x).otherwise(-x)).otherwise(0.0), dy + F.when(here, y).otherwise(0.0)
+    return dx, dy
+
+
+def pixel_positions(spark: SparkSession, planes: list[Plane], sensors: dict[int, tuple[str, tuple[int, int]]]) -> DataFrame:
+    """Rows (dut, column, row, px, py) with every pixel's centre; ``sensors`` names the planes with a diamond, its model and first pixel."""
+    parts = []
+    for p in planes:
+        at = spark.range(p.n_columns * p.n_rows).select((F.col("id") % p.n_columns + 1).cast("int").alias("column"), (F.floor(F.col("id") / p.n_columns) + 1).cast("int").alias("row"))
+        x, y = p.column_size * (F.col("column") - 0.5 - p.n_columns * 0.5), p.row_size * (F.col("row") - 0.5 - p.n_rows * 0.5)
+        dx, dy = diamond_shift(*sensors[p.dut], F.col("column"), F.col("row")) if p.dut in sensors else (F.lit(0.0), F.lit(0.0))
+        parts.append(at.select(F.lit(p.dut).alias("dut"), "column", "row", (x + dx).alias("px"), (y + dy).alias("py")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def extent(axis: int) -> tuple[Column, Column]:
+    """Least and greatest global coordinate of a plane's corners on an axis (0 x, 1 y, 2 z)."""
+    corners = [to_global(a * _c("column_size") * _c("n_columns") * 0.5, b * _c("row_size") * _c("n_rows") * 0.5, F.lit(0.0))[axis] for a in (-1, 1) for b in (-1, 1)]
+    return F.least(*corners), F.greatest(*corners)
+
+
+def extent_bin(position: Column, axis: int, width: float) -> Column:
+    """Bin of a global position on a histogram that is centred on the plane and covers its extent in whole bins; null outside."""
+    lo, hi = extent(axis)
+    n = F.ceil((hi - lo) / width)
+    b = F.floor((position - (_c("t" + "xyz"[axis]) - n * (width / 2))) / width)
+    return F.when((b >= 0) & (b < n), b)
+
+
 def in_matrix(column: Column, row: Column) -> Column:
     return column.between(1, _c("n_columns")) & row.between(1, _c("n_rows"))
 

@@ -1,4 +1,4 @@
-"""Hits to clusters: neighbour pairs in an event, components, one row per cluster."""
+"""Hits to clusters: neighbouring pixels of an event, components, one row per cluster."""
 
 from __future__ import annotations
 
@@ -6,34 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.functions.expressions import morton
-from hitloom.operators.joins import close_pairs
+from hitloom.operators.components import connected_components
+from hitloom.operators.events import EVENT, clusters_by_kernel
+from hitloom.runtime import Scratch
 
-EVENT = ["event_number", "dut"]
+#: Hits of one event and plane above which its clusters are found by joins instead of in one task.
+DENSE = 1_000_000
 
 
-def cluster_ids(hits: DataFrame, d_column: int, d_row: int, d_frame: int | None = None) -> DataFrame:
+def cluster_ids(hits: DataFrame, d_column: int, d_row: int, d_frame: int | None = None, dense: int = DENSE) -> DataFrame:
     """``hits`` with the number of their cluster in the event, counted in the order of first hits, and ``n_cluster``.
 
-    An event's neighbour pairs are taken one by one and join the labels of
-    their two ends, so chains of any length are whole. Work per event is the
-    number of pairs times the number of hits, which suits events of up to some
-    hundred hits a plane; the union-find kernel does denser ones. The label of
-    a cluster is its smallest ordinal; ordinals are distinct in an event and plane.
+    Two hits are neighbours if they are no further apart than the given number
+    of columns, rows and (if given) frames; a cluster is what neighbours
+    connect. Ordinals are distinct in an event and plane. Events are dealt to
+    tasks, in which whole batches of them are joined up at once; an event with
+    more than ``dense`` hits on a plane is taken apart and its clusters are
+    connected components of a pixel table.
     """
-    near = (F.abs(F.col("a.column") - F.col("b.column")) <= d_column) & (F.abs(F.col("a.row") - F.col("b.row")) <= d_row)
-    if d_frame is not None:
-        near = near & (F.abs(F.col("a.frame") - F.col("b.frame")) <= d_frame)
-    pairs = close_pairs(hits, near, EVENT).groupBy(*EVENT).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    event = hits.groupBy(*EVENT).agg(F.sort_array(F.collect_list("ordinal")).alias("h")).join(pairs, EVENT, "left")
+    scratch = Scratch(hits.sparkSession, "clusters")
+    sizes = hits.groupBy(*EVENT).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*EVENT)
+    crowded, seen = scratch.counted(sizes, "dense")
+    if not seen["n"]:
+        return clusters_by_kernel(hits, d_column, d_row, d_frame)
+    # few at any size: each stands for more than ``dense`` rows
+    rest = hits.join(F.broadcast(crowded), EVENT, "left_anti")
+    own = clusters_by_joins(hits.join(F.broadcast(crowded), EVENT, "left_semi"), d_column, d_row, d_frame, scratch)
+    return clusters_by_kernel(rest, d_column, d_row, d_frame).unionByName(own)
 
-    def join_ends(labels: Column, pair: Column) -> Column:
-        one, two = (F.get(labels, (F.array_position("h", pair[end]) - 1).cast("int")) for end in "ab")
-        return F.transform(labels, lambda v: F.when(v == F.greatest(one, two), F.least(one, two)).otherwise(v))
 
-    event = event.withColumn("l", F.when(F.col("pairs").isNull(), F.col("h")).otherwise(F.aggregate("pairs", F.col("h"), join_ends)))
-    number = F.transform("h", lambda o, i: F.struct(o.alias("ordinal"), (F.array_position(F.array_sort(F.array_distinct("l")), F.get("l", i)) - 1).cast("int").alias("cluster_id")))
-    found = event.select(*EVENT, F.size(F.array_distinct("l")).alias("n_cluster"), F.explode(number).alias("x")).select(*EVENT, "n_cluster", "x.*")
-    return hits.join(found, [*EVENT, "ordinal"])
+def clusters_by_joins(hits: DataFrame, d_column: int, d_row: int, d_frame: int | None, scratch: Scratch) -> DataFrame:
+    """The same as one job over all hits: occupied pixels meet their neighbours by an equi-join and components do the rest."""
+    axes = {"column": d_column, "row": d_row} | ({} if d_frame is None else {"frame": d_frame})
+    pixel = [*EVENT, *axes]
+    # the numbers are drawn once, as the table is written
+    vertices = scratch.table(hits.groupBy(*pixel).agg(F.min("ordinal").alias("first")).withColumn("id", F.monotonically_increasing_id()), "pixels")
+    steps = [F.struct(F.lit(0).alias("none"))]
+    for c, d in axes.items():
+        steps = [F.struct(*(s[n] for n in names), F.lit(k).alias(c)) for s, names in [(s, [*list(axes)[: list(axes).index(c)]]) for s in steps] for k in range(-d, d + 1)]
+    moved = vertices.withColumn("s", F.explode(F.array(*steps))).select("id", *EVENT, *((F.col(c) + F.col(f"s.{c}")).alias(c) for c in axes))
+    links = moved.join(vertices.withColumnRenamed("id", "other"), pixel).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    found = connected_components(links, scratch=scratch)
+    named = vertices.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = scratch.table(named, "named")
+    firsts = named.groupBy(*EVENT, "component").agg(F.min("first").alias("first"))
+    by_event = Window.partitionBy(*EVENT)
+    numbers = firsts.withColumns({"cluster_id": (F.row_number().over(by_event.orderBy("first")) - 1).cast("int"), "n_cluster": F.count("*").over(by_event).cast("int")})
+    return hits.join(named.select(*pixel, "component"), pixel).join(numbers.drop("first"), [*EVENT, "component"]).select(*hits.columns, "cluster_id", "n_cluster")
 
 
 def build_clusters(cluster_hits: DataFrame, weighted: bool = False, charge_correction: float = 0.0, extra: list[Column] = ()) -> DataFrame:
@@ -64,7 +83,7 @@ def build_clusters(cluster_hits: DataFrame, weighted: bool = False, charge_corre
 
 
 def drop_noisy(cluster_hits: DataFrame, noisy: DataFrame) -> DataFrame:
-    """Hits of clusters that have a pixel outside the (dut, column, row) list ``noisy``."""
-    rows = cluster_hits.join(F.broadcast(noisy.withColumn("noisy", F.lit(True))), ["dut", "column", "row"], "left")
+    """Hits of clusters that have a pixel outside the (dut, column, row) list ``noisy``, which is joined as its size suggests."""
+    rows = cluster_hits.join(noisy.select("dut", "column", "row").distinct().withColumn("noisy", F.lit(True)), ["dut", "column", "row"], "left")
     good = rows.where("noisy IS NULL").select(*EVENT, "cluster_id").distinct()
     return rows.drop("noisy").join(good, [*EVENT, "cluster_id"], "left_semi")

@@ -7,11 +7,11 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.functions.geometry import Plane, rotation
-from hitloom.operators.joins import plane_pairs
+from hitloom.operators.joins import plane_correlation
 from hitloom.runtime import Scratch, ship
 
 
@@ -70,13 +70,68 @@ def fit_histograms(hist: DataFrame, by: list[str], at: str, n: str = "n", shape:
             ok = False
         if not ok:
             p = np.array([height, mean, rms, 0.0])
-        row = {k: group[k].iloc[0] for k in by} | {"height": p[0], "mean": p[1], "sigma": abs(p[2]), "half_width": abs(p[3]) if len(p) > 3 else 0.0, "fitted": ok}
+        row = {k: group[k].iloc[0] for k in by} | {"height": p[0], "mean": p[1], "sigma": abs(p[2]), "half_width": abs(p[3]) if len(p) > 3 else 0.0, "fitted": ok, "total": int(y.sum()), "moment_mean": mean, "moment_rms": rms}
         return pd.DataFrame([row])
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", height double, mean double, sigma double, half_width double, fitted boolean"
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", height double, mean double, sigma double, half_width double, fitted boolean, total long, moment_mean double, moment_rms double"
     return hist.groupBy(*by).applyInPandas(fit, ddl)
 
 
+def damped_sine(x, p):
+    """p is the height and length of the damped term, the height, phase and period of the sine."""
+    return p[0] * np.exp(-x / p[1]) + p[2] * np.sin(2 * np.pi * x / p[4] + p[3])
+
+
+def fit_damped_sine(points: DataFrame, by: list[str], at: str, value: str, n: str, period: float) -> DataFrame:
+    """Fit ``damped_sine`` to the few points of each group, each counting by its number ``n``; the best of a few starts around ``period``."""
+    ship(points.sparkSession)
+    fields = points.select(*by).schema
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x, y, w = (group[c].to_numpy(float) for c in (at, value, n))
+        w = np.sqrt(w / w.mean())
+        best = None
+        for factor in (0.5, 1.0, 2.0, 4.0):
+            for phase in (0.0, np.pi / 2, np.pi):
+                try:
+                    p = least_squares(lambda v, q: damped_sine(v, q) * w, np.array([0.1, x.mean() or 1.0, 0.1, phase, factor * period]), x, y * w)
+                except np.linalg.LinAlgError:
+                    continue
+                cost = float((((damped_sine(x, p) - y) * w) ** 2).sum())
+                if np.isfinite(cost) and (best is None or cost < best[0]):
+                    best = cost, p
+        names = ["damped", "length", "sine", "phase", "period"]
+        row = {k: group[k].iloc[0] for k in by} | dict(zip(names, best[1] if best else [None] * 5, strict=True)) | {"cost": best[0] if best else None, "points": len(x)}
+        return pd.DataFrame([row])
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", damped double, length double, sine double, phase double, period double, cost double, points int"
+    return points.groupBy(*by).applyInPandas(fit, ddl)
+
+
+def line_angles(step: float, tolerance: float = 0.1) -> list[float]:
+    """Angles in degrees, in steps, of normals whose lines have a slope within ``tolerance`` of 1 or -1."""
+    angles = [k * step for k in range(1, int(180 / step))]
+    return [t for t in angles if abs(abs(math.cos(math.radians(t)) / math.sin(math.radians(t))) - 1) <= tolerance]
+
+
+def hough_lines(cells: DataFrame, by: list[str], step: float = 0.1, most: int = 1) -> DataFrame:
+    """Lines ref = slope * bin + offset through correlation cells (by, bin_ref, bin, n): (by, rank, votes, theta, rho, slope, offset).
+
+    The fullest reference bin (of equals the smallest) of each bin votes for
+    all lines of a slope near 1 or -1 through it, in whole bins of their distance
+    from the origin; the ``most`` lines with the most votes are returned. Cells
+    and votes are as many as bins of a plane allow, whatever the number of hits.
+    """
+    top = cells.groupBy(*by, "bin").agg(F.max(F.struct("n", (-F.col("bin_ref")).alias("r")))["r"].alias("r")).withColumn("r", -F.col("r"))
+    votes = top.withColumn("theta", F.explode(F.array(*map(F.lit, line_angles(step)))))
+    a = F.radians("theta")
+    rho = F.floor(F.col("bin") * F.cos(a) + F.col("r") * F.sin(a) + 0.5 + 1e-6).cast("int")
+    counts = votes.groupBy(*by, "theta", rho.alias("rho")).agg(F.count("*").alias("votes"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("votes"), "theta", "rho"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= most)
+    return best.select(*by, "rank", "votes", "theta", "rho", (-F.cos(a) / F.sin(a)).alias("slope"), (F.col("rho") / F.sin(a)).alias("offset"))
+
+
 def reduce_background(cells: DataFrame, by: list[str]) -> DataFrame:
     """Take the rank-one part of each correlation matrix away and shift the rest to a minimum of 0.
 
@@ -108,29 +163,82 @@ def shortest_interval(k: int, n: int, mass: float = 0.68) -> tuple[float, float]
     return float(p[inside].min() - k / n), float(p[inside].max() - k / n)
 
 
-def prealign(hits: DataFrame, planes: list[Plane], reference: int, width: float) -> list[Plane]:
-    """Translations (and reflections) of planes from correlations with a reference plane.
+def prealign(hits: DataFrame, planes: list[Plane], reference: int, width: float, reduce: bool = True) -> list[Plane]:
+    """Translations, reflections and area limits of planes from their correlations with a reference plane.
 
-    ``hits`` has local x, y. Pairs of an event are counted in bins of the sum
-    and of the difference of the two positions: the sharper peak tells whether
-    the axis is reflected, and its mode is the offset. Only peaks reach the driver.
+    ``hits`` has local x, y. Global positions are counted over each plane's
+    extent in bins of ``width``; after the background is taken off (``reduce``)
+    the best line of a slope near 1 or -1 is voted for. Its offset at the
+    plane's centre is the translation, a negative slope turns the plane over.
+    Limits are set (or narrowed) to the pixels where the density of bins that
+    follow the line is at least half of its maximum. What reaches the driver is
+    a row per plane and axis and the fullest cell of each bin of a plane.
     """
-    out = {p.dut: p for p in planes}
-    for axis in ("x", "y"):
-        cells = plane_pairs(hits.where(F.col(axis).isNotNull()), F.floor(F.col(axis) / width), [reference])
-        lines = cells.select("dut", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("sign"), (F.col("bin_ref") - s * F.col("bin")).alias("d")) for s in (1, -1)))).alias("a")).select("dut", "n", "a.sign", "a.d")
-        votes = lines.groupBy("dut", "sign", "d").agg(F.sum("n").alias("n"))
-        peaks = votes.groupBy("dut", "sign").agg(F.max(F.struct("n", "d")).alias("m")).select("dut", "sign", "m.n", "m.d").collect()
-        for dut in {r["dut"] for r in peaks}:
-            best = max((r for r in peaks if r["dut"] == dut), key=lambda r: r["n"])
-            p = out[dut]
-            shift = {f"t{axis}": getattr(out[reference], f"t{axis}") + (best["d"] + (0.0 if best["sign"] == 1 else 1.0)) * width}
-            if best["sign"] == -1:
-                shift["beta" if axis == "x" else "alpha"] = math.pi
-            out[dut] = replace(p, **shift)
+    from hitloom.functions import geometry as G
+
+    at = {p.dut: p for p in planes}
+    rows = G.with_geometry(hits.where("x IS NOT NULL AND y IS NOT NULL").select("event_number", "dut", "x", "y"), G.geometry(hits.sparkSession, planes))
+    g = G.to_global(F.col("x"), F.col("y"), F.lit(0.0))
+    scratch = Scratch(hits.sparkSession, "prealign")
+    keys = ["ref", "dut", "axis"]
+    cells = scratch.table(plane_correlation(rows, {a: G.extent_bin(g[i], i, width) for i, a in enumerate("xy")}, [reference]), "cells")
+    if reduce:
+        cells = scratch.table(reduce_background(cells, keys).where("n > 0"), "reduced")
+    lines = {(r["dut"], r["axis"]): r for r in hough_lines(cells, keys).collect()}
+    tops = cells.groupBy(*keys, "bin").agg(F.max(F.struct("n", (-F.col("bin_ref")).alias("r")))["r"].alias("r")).select("dut", "axis", "bin", (-F.col("r")).alias("r")).toPandas()
+    out = {}
+    for p in planes:
+        if p.dut == reference or (p.dut, "x") not in lines or (p.dut, "y") not in lines:
+            out[p.dut] = p
+            continue
+        r, move, reach = np.array(rotation(p.alpha, p.beta, p.gamma)), {}, {}
+        for i, axis in enumerate("xy"):
+            line, own = lines[p.dut, axis], tops[(tops.dut == p.dut) & (tops.axis == axis)]
+            (lo, n), (ref_lo, _) = (histogram_range(q, i, width) for q in (p, at[reference]))
+            move[f"t{axis}"] = ref_lo + (line["offset"] + line["slope"] * (n - 1) / 2 + 0.5) * width
+            pitch = p.column_size if i == 0 else p.row_size
+            off = np.abs(own["r"] - line["slope"] * own["bin"] - line["offset"]).to_numpy() * width
+            reach[axis] = dense_range(lo + (own["bin"].to_numpy()[off <= 2 * math.sqrt(12) * pitch] + 0.5) * width, lo + (np.arange(n) + 0.5) * width)
+            if line["slope"] < 0:
+                r = np.array(rotation(0, math.pi, 0) if i == 0 else rotation(math.pi, 0, 0)) @ r
+        out[p.dut] = replace(p, **move, **_angles(r), **area_limits(p, reach))
     return [out[p.dut] for p in planes]
 
 
+def histogram_range(p: Plane, axis: int, width: float) -> tuple[float, int]:
+    """First edge and number of bins that ``geometry.extent_bin`` has for a plane."""
+    r = rotation(p.alpha, p.beta, p.gamma)[axis]
+    size = sum(abs(v) * n * c for v, n, c in zip(r, (p.n_columns, p.n_rows), (p.column_size, p.row_size), strict=False))
+    n = math.ceil(size / width)
+    return (p.tx, p.ty, p.tz)[axis] - n * width / 2, n
+
+
+def dense_range(points: np.ndarray, grid: np.ndarray) -> tuple[float, float] | None:
+    """Where on the grid a Gaussian density of the points (bandwidth by their number and spread) is at least half of its maximum."""
+    if len(points) < 2 or not points.std():
+        return None
+    w = points.std() * len(points) ** -0.2
+    density = np.array([np.exp(-0.5 * ((points - x) / w) ** 2).sum() for x in grid])
+    inside = grid[density > 0.5 * density.max()]
+    return float(inside.min()), float(inside.max())
+
+
+def area_limits(p: Plane, reach: dict) -> dict:
+    """The plane's local limits, narrowed to its pixels whose global positions are in the ranges of ``reach``."""
+    r = np.array(rotation(p.alpha, p.beta, p.gamma))
+    x, y = (pitch * (np.arange(n) + 0.5 - n / 2) for pitch, n in ((p.column_size, p.n_columns), (p.row_size, p.n_rows)))
+    x, y = (v.ravel() for v in np.meshgrid(x, y))
+    inside = np.ones(len(x), bool)
+    for i, axis in enumerate("xy"):
+        if reach[axis]:
+            g = x * r[i, 0] + y * r[i, 1] + (p.tx, p.ty)[i]
+            inside &= (g >= reach[axis][0]) & (g <= reach[axis][1])
+    if not inside.any():
+        return {}
+    pick = lambda f, old, new: new if old is None else f(old, new)
+    return {f"{a}_{n}": pick(f, getattr(p, f"{a}_{n}"), float(g(v[inside]))) for a, v in (("x", x), ("y", y)) for n, f, g in (("lo", max, np.min), ("hi", min, np.max))}
+
+
 def align_telescope(planes: list[Plane], selected: list[int], reference: int) -> list[Plane]:
     """Turn and shift the whole telescope so that the line through the selected planes' centres is the z axis.
 
@@ -183,104 +291,192 @@ def alignment_sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dut").agg(F.count("*").alias("n"), *normal, *(dot(a, right).alias(f"b{a}") for a in range(6)))
 
 
-def solve_alignment(sums: dict, plane: Plane, free: list[int]) -> Plane:
-    """One Gauss-Newton step for the ``free`` ones of (three rotations, three shifts); the rest stays."""
+def alignment_solution(sums: dict, free: list[int]) -> np.ndarray:
+    """Three turns and three shifts that solve a plane's normal equations for its ``free`` ones; the rest is zero."""
     a = np.array([[sums[f"n{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
     b = np.array([sums[f"b{i}"] for i in range(6)])
     step = np.zeros(6)
     step[free] = np.linalg.lstsq(a[np.ix_(free, free)], b[free], rcond=None)[0]
+    return step
+
+
+def moved_plane(plane: Plane, step: np.ndarray) -> Plane:
+    """A plane after three small turns and three shifts in the global frame."""
     w = step[:3]
     r = (np.eye(3) + np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])) @ np.array(rotation(plane.alpha, plane.beta, plane.gamma))
     u, _, v = np.linalg.svd(r)
-    r = u @ v
-    return replace(plane, tx=plane.tx + float(step[3]), ty=plane.ty + float(step[4]), tz=plane.tz + float(step[5]), **_angles(r))
+    return replace(plane, tx=plane.tx + float(step[3]), ty=plane.ty + float(step[4]), tz=plane.tz + float(step[5]), **_angles(u @ v))
 
 
-def align(
-    local_hits: DataFrame, planes: list[Plane], fixed: list[int], iterations: int = 5, free: tuple = (2, 3, 4), max_chi: float | None = None, tolerance: float = 1e-3,
-    find_from: int | None = None, telescope: tuple[list[int], int] | None = None,
-) -> tuple[list[Plane], list[dict]]:
-    """Plane positions from straight tracks: fit all hits, one step per plane, until no shift exceeds ``tolerance``.
+def turned(planes: list[Plane], beam: tuple[float, float, float]) -> list[Plane]:
+    """The planes after a rotation of the whole telescope towards the beam."""
+    turn = np.array(rotation(*beam))
+    out = []
+    for p in planes:
+        t = turn @ np.array([p.tx, p.ty, p.tz])
+        out.append(replace(p, tx=float(t[0]), ty=float(t[1]), tz=float(t[2]), **_angles(turn @ np.array(rotation(p.alpha, p.beta, p.gamma)))))
+    return out
+
+
+def global_hits(hits: DataFrame, planes: list[Plane]) -> DataFrame:
+    """Local x, y to global x, y, z; all other columns go along."""
+    from hitloom.functions import geometry as G
 
-    ``max_chi`` drops hits farther from their track; from round ``find_from`` on
-    hits are first re-associated with the geometry so far, and ``telescope``
-    (selected planes, reference plane) turns the telescope to the z axis after
-    each round.
+    rows = G.with_geometry(hits, G.geometry(hits.sparkSession, planes).select("dut", "tx", "ty", "tz", *(f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))))
+    g = G.to_global(F.col("x"), F.col("y"), F.lit(0.0))
+    rest = [c for c in hits.columns if c not in ("x", "y")]
+    return rows.select(*rest, *(v.alias(a) for v, a in zip(g, "xyz", strict=True)))
 
-    ``local_hits`` has event_number, ordinal, dut, x, y (local; null: no hit).
-    ``fixed`` planes keep their place. State on the driver is the list of
-    planes; the hits are written once and each round is one aggregate per step.
-    Also returns the history of rounds.
+
+def fit_planes(selected: DataFrame, planes: list[Plane], free: dict[int, list[int]], steps: int) -> tuple[list[Plane], int]:
+    """Gauss-Newton steps for the planes of ``free`` until shifts fall below 1e-4 micrometres and turns below 1e-5, or ``steps`` are done.
+
+    ``selected`` has per track and plane the local hit px, py and the global
+    line o*, s*. A step is one aggregate of 27 sums per plane. It is damped by
+    0.9, and by less down to 0.3 for a plane that swings back.
     """
     from hitloom.functions import geometry as G
-    from hitloom.operators.tracking import TRACK, find_tracks, line_fit
 
-    spark = local_hits.sparkSession
-    data = Scratch(spark, "align").table(local_hits.select(*TRACK, "dut", "x", "y").where("x IS NOT NULL"), "hits")
-    history = []
-    for round_ in range(iterations):
-        rows = G.with_geometry(data, G.geometry(spark, planes))
-        turned = G.rotate(F.col("x"), F.col("y"), F.lit(0.0))
-        rows = rows.select(*TRACK, "dut", "tx", "ty", "tz", *(v.alias(f"p{a}") for v, a in zip(turned, "xyz", strict=True)))
-        rows = rows.withColumns({a: F.col(f"p{a}") + F.col(f"t{a}") for a in "xyz"})
-        if find_from is not None and round_ >= find_from:
-            found = find_tracks(rows.select(*TRACK, "dut", "x", "y", "z"), planes).select("event_number", "dut", "was", F.col("ordinal").alias("now"))
-            rows = rows.withColumnRenamed("ordinal", "was").join(found, ["event_number", "dut", "was"]).withColumnRenamed("now", "ordinal").drop("was")
-        fits = line_fit(rows, TRACK).where("n >= 3").drop("n")
-        joined = rows.join(fits, TRACK)
-        if max_chi is not None:
-            k = (F.col("z") - F.col("oz")) / F.col("sz")
-            off = F.hypot(F.col("x") - F.col("ox") - k * F.col("sx"), F.col("y") - F.col("oy") - k * F.col("sy"))
-            joined = joined.where(off <= max_chi)
-        sums = {r["dut"]: r.asDict() for r in alignment_sums(joined).collect()}
-        new = [p if p.dut in fixed or p.dut not in sums else solve_alignment(sums[p.dut], p, list(free)) for p in planes]
-        moved = max((max(abs(a.tx - b.tx), abs(a.ty - b.ty), abs(a.tz - b.tz)) for a, b in zip(new, planes, strict=True)), default=0.0)
-        planes = align_telescope(new, *telescope) if telescope else new
-        history.append({"moved": moved, "tracks": int(sum(s["n"] for s in sums.values()))})
-        if moved < tolerance:
+    damp, last, done = dict.fromkeys(free, 0.9), {}, 0
+    moving = set(free)
+    for done in range(1, steps + 1):
+        rows = G.with_geometry(selected.where(F.col("dut").isin(sorted(moving))), G.geometry(selected.sparkSession, planes))
+        turn = G.rotate(F.col("lx"), F.col("ly"), F.lit(0.0))
+        sums = {r["dut"]: r.asDict() for r in alignment_sums(rows.withColumns({f"p{a}": v for a, v in zip("xyz", turn, strict=True)})).collect()}
+        new = []
+        for p in planes:
+            if p.dut not in moving or p.dut not in sums:
+                new.append(p)
+                continue
+            step = alignment_solution(sums[p.dut], free[p.dut])
+            if p.dut in last and float(step @ last[p.dut]) < 0:
+                damp[p.dut] = max(0.3, damp[p.dut] - 0.2)
+            last[p.dut] = step
+            new.append(moved_plane(p, damp[p.dut] * step))
+            if np.abs(step[3:]).max() < 1e-4 and np.abs(step[:3]).max() < 1e-5:
+                moving.discard(p.dut)
+        planes = new
+        if not moving:
             break
-    return planes, history
+    return planes, done
 
 
-def align_kalman(local_hits: DataFrame, planes: list[Plane], fixed: list[int], batches: int = 8, annealing: float = 1e4, errors: tuple = (50.0, 50.0, 0.01)) -> tuple[list[Plane], list[dict]]:
-    """Kalman filter alignment by mini-batches of tracks for shifts in x and y and the rotation about z.
-
-    For a fixed geometry a batch of events adds D'WD and D'Wr of its residuals
-    as plain sums; one information-filter update follows each batch. The
-    measurement variance is raised by ``annealing`` at first and falls to one
-    with the batches, so early, poorly known residuals weigh little.
+def align(
+    local_hits: DataFrame, planes: list[Plane], groups: list[list[int]], fit_duts: list[int], iterations: int = 3, free: tuple = (2, 3, 4), telescope: list[int] = (),
+    max_chi_red: float | None = 10.0, shapes: tuple = (), quality: tuple[float, float] = (250.0, 250.0), isolation: tuple[float, float] | None = (500.0, 500.0),
+    find: bool = True, steps: int = 8, tolerance: float = 1e-3,
+) -> tuple[list[Plane], tuple[float, float, float], list[dict]]:
+    """Planes and the beam's direction from tracks, one group of planes after another: ``(planes, beam, history)``.
+
+    ``local_hits`` has event_number, ordinal, dut, x, y (local; null: no hit),
+    x_err, y_err and, if ``shapes`` are named, cluster_shape. Each round for a
+    group: the telescope is turned to the z axis if planes of the group belong
+    to ``telescope``; from the second round on hits are associated anew in the
+    frame of the beam; tracks are fitted for each plane of the group with all
+    hits of ``fit_duts``, its residuals counted from their mode; tracks with a
+    hit on the plane that is good and alone, a reduced chi2 below
+    ``max_chi_red`` and a cluster of one of the ``shapes`` are selected; if fit
+    planes are in the group their mean angles become the beam's; and the plane is
+    moved along its ``free`` parameters (three turns, three shifts). State on
+    the driver is the list of planes; each round writes its tracks once.
     """
     from hitloom.functions import geometry as G
-    from hitloom.operators.tracking import TRACK, line_fit
+    from hitloom.operators.tracking import TRACK, find_tracks, fit_tracks
+
+    spark, beam, history = local_hits.sparkSession, (0.0, 0.0, 0.0), []
+    scratch = Scratch(spark, "align")
+    columns = [*TRACK, "dut", "x", "y", "x_err", "y_err", *(["cluster_shape"] if shapes else [])]
+    data = scratch.table(local_hits.select(*columns).where("x IS NOT NULL AND y IS NOT NULL"), "hits")
+    for group in groups:
+        candidates = data
+        for round_ in range(iterations):
+            own = [d for d in group if d in telescope]
+            if len(own) > 1:
+                planes = align_telescope(planes, own, own[0])
+            if find and round_:
+                frame = turned(planes, beam)
+                found = find_tracks(global_hits(data, frame), frame, set(fit_duts)).select("event_number", "dut", F.col("was").alias("ordinal"), F.col("ordinal").alias("now"))
+                candidates = data.join(found, ["event_number", "dut", "ordinal"]).drop("ordinal").withColumnRenamed("now", "ordinal").select(*columns)
+            fits = fit_tracks(candidates, planes, fit_duts, group, exclude_own=False, quality=quality, isolation=isolation, use_limits=True, centre=group, keep=["x", "y", *columns[7:]])
+            bit = F.expr("shiftleft(1L, fit_dut)")
+            good = [(F.col(c).bitwiseAND(bit) != 0) for c in ("hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation else []))]
+            good += [F.col("chi_red") < max_chi_red] if max_chi_red else []
+            good += [F.col("cluster_shape").isin(*shapes)] if shapes else []
+            for condition in good:
+                fits = fits.where(condition)
+            chosen = fits.select(*TRACK, F.col("fit_dut").alias("dut"), F.col("x").alias("lx"), F.col("y").alias("ly"), "ox", "oy", "oz", "sx", "sy", "sz")
+            selected, seen = scratch.counted(chosen, "tracks")
+            if not seen["n"]:
+                break
+            if set(group) & set(fit_duts):
+                _, alpha, beta = G.angles(F.col("sx"), F.col("sy"), F.col("sz"))
+                beam = (*selected.agg(F.avg(alpha), F.avg(beta)).first(), 0.0)
+            before = planes
+            planes, done = fit_planes(selected, planes, {d: list(free) for d in group}, steps)
+            scratch.release(selected)
+            moved = max(max(abs(a.tx - b.tx), abs(a.ty - b.ty), abs(a.tz - b.tz)) for a, b in zip(planes, before, strict=True))
+            history.append({"group": group, "round": round_, "tracks": seen["n"], "steps": done, "moved": moved})
+            if moved < tolerance:
+                break
+    return planes, beam, history
+
+
+def align_kalman(
+    local_hits: DataFrame, planes: list[Plane], fixed: list[int], batches: int = 8, annealing: float = 1e4, errors: tuple = (50.0, 50.0, 0.0, 0.0, 0.0, 0.01),
+    max_chi_red: float | None = None, deviation: float | None = 3.0,
+) -> tuple[list[Plane], list[dict]]:
+    """Kalman filter alignment by mini-batches of tracks: ``(planes, history)``.
+
+    The filter knows six parameters of each plane in its own frame, three shifts
+    and three turns, with ``errors`` (0: frozen). The sequential form takes one
+    track after another; here a batch of events adds D'WD and D'Wr of the
+    residuals of all its tracks as plain sums, for a fixed geometry, and one
+    information-filter update follows. The measurement variance is raised by
+    ``annealing`` at first and falls to one with the batches, so early, poorly
+    known residuals weigh little. A track is fitted without the plane's own hit;
+    tracks with a reduced chi2 (by the raised variance) above ``max_chi_red``
+    are skipped, and an update that changes a parameter by more than
+    ``deviation`` of its errors is rejected.
+    """
+    from hitloom.operators.tracking import TRACK, fit_tracks
 
     spark = local_hits.sparkSession
-    cov = {p.dut: np.diag(np.square(errors)) for p in planes}
-    data = Scratch(spark, "kalman-align").table(local_hits.select(*TRACK, "dut", "x", "y", "x_err", "y_err").where("x IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("event_number"), F.lit(batches))), "hits")
-    history = []
+    free = [i for i, e in enumerate(errors) if e > 0]
+    cov = {p.dut: np.diag(np.square(np.array(errors)[free])) for p in planes}
+    rows = local_hits.select(*TRACK, "dut", "x", "y", "x_err", "y_err").where("x IS NOT NULL AND y IS NOT NULL")
+    data = Scratch(spark, "kalman-align").table(rows.withColumn("batch", F.pmod(F.xxhash64("event_number"), F.lit(batches))), "hits")
+    duts, history = [p.dut for p in planes], []
     for t in range(batches):
         heat = annealing ** ((batches - 1 - t) / max(1, batches - 1))
-        rows = G.with_geometry(data.where(F.col("batch") == t), G.geometry(spark, planes))
-        g = G.to_global(F.col("x"), F.col("y"), F.lit(0.0))
-        rows = rows.select(*TRACK, "dut", "tx", "ty", "x_err", "y_err", *(v.alias(f"g{a}") for v, a in zip(g, "xyz", strict=True)))
-        pairs = rows.select(*TRACK, F.col("dut").alias("other"), *(F.col(f"g{a}") for a in "xyz"))
-        mates = rows.select(*TRACK, "dut").join(pairs, TRACK).where("other <> dut")
-        fits = line_fit(mates, [*TRACK, "dut"], "gx", "gy", "gz").where("n >= 3").drop("n")  # without the plane's own hit
-        k = (F.col("gz") - F.col("oz")) / F.col("sz")
-        rx, ry = F.col("ox") + k * F.col("sx") - F.col("gx"), F.col("oy") + k * F.col("sy") - F.col("gy")
-        px, py = F.col("gx") - F.col("tx"), F.col("gy") - F.col("ty")
-        wx, wy = 1 / (F.col("x_err") ** 2 * heat), 1 / (F.col("y_err") ** 2 * heat)
-        sums = rows.join(fits, [*TRACK, "dut"]).groupBy("dut").agg(
-            F.sum(wx).alias("a00"), F.lit(0.0).alias("a01"), F.sum(-wx * py).alias("a02"), F.sum(wy).alias("a11"), F.sum(wy * px).alias("a12"), F.sum(wx * py * py + wy * px * px).alias("a22"),
-            F.sum(wx * rx).alias("b0"), F.sum(wy * ry).alias("b1"), F.sum(-wx * py * rx + wy * px * ry).alias("b2"), F.count("*").alias("n"),
+        fits = fit_tracks(data.where(F.col("batch") == t), planes, duts, [d for d in duts if d not in fixed], keep=["x", "y", "x_err", "y_err"]).where("x IS NOT NULL")
+        if max_chi_red is not None:
+            fits = fits.where(F.col("chi_red") < max_chi_red * heat)
+        u, v = F.col("offset_x"), F.col("offset_y")
+        tu, tv, zero, one = F.col("slope_x") / F.col("slope_z"), F.col("slope_y") / F.col("slope_z"), F.lit(0.0), F.lit(1.0)
+        change = [(-one, zero), (zero, -one), (tu, tv), (tu * v, tv * v), (-tu * u, -tv * u), (v, -u)]  # of the crossing point with each parameter
+        weight = [1 / (F.col(f"{a}_err") ** 2 * heat) for a in "xy"]
+        residual = [F.col("x") - u, F.col("y") - v]
+        total = lambda a, b: F.sum(sum((weight[k] * a[k] * b[k] for k in (0, 1)), zero))  # noqa: B023, E731
+        sums = fits.groupBy("fit_dut").agg(
+            F.count("*").alias("n"), *(total(change[i], change[j]).alias(f"a{i}{j}") for i in free for j in free if i <= j), *(total(change[i], residual).alias(f"b{i}") for i in free),
         )
         for r in sums.collect():
-            i = next(i for i, p in enumerate(planes) if p.dut == r["dut"])
-            if r["dut"] in fixed:
-                continue
-            info = np.array([[r[f"a{min(a, b)}{max(a, b)}"] for b in range(3)] for a in range(3)])
-            new = np.linalg.inv(np.linalg.inv(cov[r["dut"]]) + info)
-            step = new @ np.array([r["b0"], r["b1"], r["b2"]])
-            cov[r["dut"]] = new
-            planes = [replace(p, tx=p.tx + step[0], ty=p.ty + step[1], gamma=p.gamma + step[2]) if j == i else p for j, p in enumerate(planes)]
-            history.append({"batch": t, "dut": r["dut"], "tracks": r["n"], "dx": float(step[0]), "dy": float(step[1]), "dgamma": float(step[2])})
+            d = r["fit_dut"]
+            info = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in free] for i in free])
+            new = np.linalg.inv(np.linalg.inv(cov[d]) + info)
+            step = np.zeros(6)
+            step[free] = new @ np.array([r[f"b{i}"] for i in free])
+            kept = deviation is None or bool((np.abs(step[free]) <= deviation * np.sqrt(np.diag(cov[d]))).all())
+            if kept:
+                cov[d] = new
+                planes = [_moved_in_frame(p, step) if p.dut == d else p for p in planes]
+            history.append({"batch": t, "dut": d, "tracks": r["n"], "kept": kept} | dict(zip(("dx", "dy", "dz", "dalpha", "dbeta", "dgamma"), step.tolist(), strict=True)))
     return planes, history
+
+
+def _moved_in_frame(p: Plane, step: np.ndarray) -> Plane:
+    """A plane after three shifts and three small turns in its own frame."""
+    r = np.array(rotation(p.alpha, p.beta, p.gamma))
+    t, w = r @ step[:3], step[3:]
+    u, _, v = np.linalg.svd(r @ (np.eye(3) + np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])))
+    return replace(p, tx=p.tx + float(t[0]), ty=p.ty + float(t[1]), tz=p.tz + float(t[2]), **_angles(u @ v))

@@ -11,57 +11,140 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructType
 
 from hitloom.runtime import ship
 
+EVENT = ["event_number", "dut"]
+
+
+def whole_events(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole events from batches that are sorted by ``key``."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        events = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(events, events[-1]))  # first row of the batch's last event
+        first = waiting[-1].column(waiting[-1].schema.get_field_index(key))[-1].as_py() if waiting else None
+        if waiting and (cut or first != events[-1]):
+            done = waiting + ([batch.slice(0, cut)] if cut else [])
+            yield pa.Table.from_batches(done)
+            waiting = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
 
 def map_events(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "event_number", order: tuple = ("ordinal",)) -> DataFrame:
     """Apply ``fn`` to event-aligned batches; it may return any number of rows of ``schema``."""
+    from pyspark.sql.types import _parse_datatype_string
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for batch in batches:
-            if rest is not None and len(rest):
-                batch = pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            events = batch[key].to_numpy()
-            cut = np.searchsorted(events, events[-1])  # first row of the last event: rows are sorted
-            if cut:
-                yield fn(batch.iloc[:cut])
-            rest = batch.iloc[cut:]
-        if rest is not None and len(rest):
-            yield fn(rest)
+    fields = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_events(batches, key):
+            found = fn(table.to_pandas())
+            yield from pa.Table.from_arrays([pa.Array.from_pandas(found[f.name], type=f.type) for f in fields], schema=fields).to_batches()
 
     ship(df.sparkSession)
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
-def event_slices(events: np.ndarray) -> list[tuple[int, int]]:
-    """First and end row of each run of equal event numbers."""
-    starts = np.flatnonzero(np.r_[True, events[1:] != events[:-1]])
-    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(events)], strict=True))
-
-
-def clusters_by_kernel(hits: DataFrame, d_column: int, d_row: int) -> DataFrame:
-    """Cluster numbers by union-find in each event and plane: the alternative to the array form for dense events."""
-
-    def fn(batch: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(len(batch), np.int32)
-        c, r, d = (batch[k].to_numpy() for k in ("column", "row", "dut"))
-        for lo, hi in event_slices(batch["event_number"].to_numpy()):
-            for plane in np.unique(d[lo:hi]):
-                own = lo + np.flatnonzero(d[lo:hi] == plane)
-                own = own[np.argsort(batch["ordinal"].to_numpy()[own], kind="stable")]
-                near = (np.abs(c[own][:, None] - c[own]) <= d_column) & (np.abs(r[own][:, None] - r[own]) <= d_row)
-                label = np.arange(len(own))
-                while True:  # the smallest label of the neighbours, until nothing changes
-                    new = np.where(near, label, len(own)).min(axis=1)
-                    if (new == label).all():
-                        break
-                    label = new
-                out[own] = np.unique(label, return_inverse=True)[1]
-        return batch[["event_number", "dut", "ordinal"]].assign(cluster_id=out)
-
-    return map_events(hits, fn, "event_number long, dut int, ordinal int, cluster_id int")
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def first_rows(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def label_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest vertex of each of ``n`` vertices' component: roots of edges are hooked to the smaller one and paths are halved."""
+    root = np.arange(n)
+    while len(a):
+        u, v = root[a], root[b]
+        apart = u != v
+        if not apart.any():
+            break
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return root
+
+
+def close_pixels(group: np.ndarray, at: list[np.ndarray], reach: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different pixels of one group that are no further apart than ``reach`` on each axis.
+
+    Pixels are met over cells of reach + 1: a cell holds a bounded number of
+    distinct pixels, so the pairs grow with the pixels and not with their square.
+    """
+    cells = np.stack([group, *(c // (d + 1) for c, d in zip(at, reach, strict=True))], axis=1)
+    low = cells.min(axis=0)
+    size = cells.max(axis=0) - low + 3  # room for neighbours at both ends
+    if np.prod(size.astype(float)) > 2.0**62:
+        cells[:, 0] = np.unique(group, return_inverse=True)[1]
+        low, size = cells.min(axis=0), cells.max(axis=0) - cells.min(axis=0) + 3
+    step = np.r_[np.cumprod(size[:0:-1])[::-1], 1]
+    key = ((cells - low + 1) * step).sum(axis=1)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    left, right = [], []
+    for offset in np.ndindex(*[3] * len(at)):
+        shift = int(((np.array(offset) - 1) * step[1:]).sum())
+        if shift < 0:
+            continue
+        first, end = np.searchsorted(ordered, key + shift), np.searchsorted(ordered, key + shift, "right")
+        n = end - first
+        a = np.repeat(np.arange(len(key)), n)
+        b = order[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        near = a < b if shift == 0 else np.ones(len(a), bool)
+        for c, d in zip(at, reach, strict=True):
+            near &= np.abs(c[a] - c[b]) <= d
+        left.append(a[near])
+        right.append(b[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def number_clusters(event: np.ndarray, dut: np.ndarray, at: list[np.ndarray], reach: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster of each hit, numbered in its event and plane by first hits, and how many there are; rows stand by event, plane and ordinal."""
+    group = np.cumsum(first_rows(event, dut)) - 1
+    pixels, first, own = np.unique(np.stack([group, *at], axis=1), axis=0, return_index=True, return_inverse=True)
+    by_first = np.argsort(first)  # pixels in the order of their first hits, so that the smallest label is the first
+    rank = np.empty_like(by_first)
+    rank[by_first] = np.arange(len(by_first))
+    pixels = pixels[by_first]
+    root = label_components(len(pixels), *close_pixels(pixels[:, 0], list(pixels[:, 1:].T), reach))
+    label = root[rank[own.ravel()]]
+    tops = np.flatnonzero(root == np.arange(len(root)))  # one per cluster, by group and first hit
+    starts = np.flatnonzero(first_rows(pixels[tops, 0]))
+    counts = np.diff(np.r_[starts, len(tops)])
+    number = np.empty(len(root), np.int32)
+    number[tops] = np.arange(len(tops)) - np.repeat(starts, counts)
+    return number[label], counts[group].astype(np.int32)
+
+
+def clusters_by_kernel(hits: DataFrame, d_column: int, d_row: int, d_frame: int | None = None) -> DataFrame:
+    """``hits`` with ``cluster_id`` and ``n_cluster``: union of neighbouring pixels, whole batches of events at a time.
+
+    Time and memory follow the number of hits, also in dense events; one event
+    must fit into a task (``clusters.cluster_ids`` takes larger ones apart).
+    """
+    schema = StructType(hits.schema.fields).add("cluster_id", IntegerType()).add("n_cluster", IntegerType())
+    fields = to_arrow_schema(schema)
+    axes = {"column": d_column, "row": d_row} | ({} if d_frame is None else {"frame": d_frame})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_events(batches, "event_number"):
+            get = lambda c: table.column(c).to_numpy().astype(np.int64)  # noqa: B023, E731
+            ids, n = number_clusters(get("event_number"), get("dut"), [get(c) for c in axes], list(axes.values()))
+            columns = [table.column(f.name) for f in fields if f.name not in ("cluster_id", "n_cluster")]
+            yield from pa.Table.from_arrays([*columns, pa.array(ids), pa.array(n)], schema=fields).to_batches()
+
+    ship(hits.sparkSession)
+    return hits.repartition("event_number").sortWithinPartitions(*EVENT, "ordinal").mapInArrow(run, schema)

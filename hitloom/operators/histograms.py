@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitloom.runtime import Scratch
+
 
 def unit_bin(c: Column, n: int, strict: bool = False) -> Column:
     """Whole-number bin 0 to n - 1. Outside: null, or an error if ``strict``."""
@@ -67,29 +69,101 @@ def median_filter(cells: DataFrame, by: list[str], size: int = 3) -> DataFrame:
     return near.select(*by, "col", "row_", F.when(zeros > rank, F.lit(0)).otherwise(F.get("v", F.lit(rank) - zeros)).cast("long").alias("expected"))
 
 
-def noise_mask(cells: DataFrame, by: list[str], threshold: float, size: int, rounds: int) -> DataFrame:
-    """Pixels that stand out of their median neighbourhood by ``threshold`` sigmas, found in ``rounds`` rounds.
+def noise_mask(cells: DataFrame, by: list[str], threshold: float, size: int, rounds: int | None = None) -> DataFrame:
+    """Pixels that stand out of their median neighbourhood by ``threshold`` sigmas: (by, col, row_, n, masked).
 
-    Masked pixels take the expected value for the next round. The occupancy
-    table has one row per pixel of the detector, whatever the number of hits.
+    Masked pixels take the expected value for the next round. A detector is done
+    after the round that finds no new pixel, or after ``rounds``. The occupancy
+    table has one row per pixel of the detector, whatever the number of hits;
+    each round is written, so that the next one's plan starts there.
+    """
+    scratch = Scratch(cells.sparkSession, "noise")
+    state, done = cells.select(*by, "col", "row_", "n").withColumn("masked", F.lit(False)), 0
+    state = scratch.table(state, "round")
+    while rounds is None or done < rounds:
+        known = state.join(median_filter(state, by, size), [*by, "col", "row_"])
+        known = known.withColumn("diff", F.when(F.col("n") != 0, (F.col("n") - F.col("expected")) / F.sqrt("n")))
+        known = known.join(known.groupBy(*by).agg(F.stddev_pop("diff").alias("sigma")), by)
+        known = known.withColumn("new", F.coalesce(F.col("diff") > threshold * F.col("sigma"), F.lit(False)))
+        fresh = F.col("new") & ~F.col("masked")
+        live = known.groupBy(*by).agg(F.bool_or(fresh).alias("live"))
+        known = known.join(live, by).withColumn("fresh", fresh).withColumn("masked", F.col("masked") | F.col("new") & F.col("live"))
+        after = known.select(*by, "col", "row_", F.when(F.col("masked") & F.col("live"), F.col("expected")).otherwise(F.col("n")).cast("long").alias("n"), "masked", "fresh")
+        before, (state, seen) = state, scratch.counted(after, "round", fresh=F.count_if("fresh"))
+        state, done = state.drop("fresh"), done + 1
+        scratch.release(before)
+        if not seen["fresh"]:
+            break
+    return state
+
+
+def nearest_fill(cells: DataFrame, wanted: DataFrame, by: list[str], reach: int = 2) -> DataFrame:
+    """Missing cells take the value of the nearest filled one (ties: smallest column, then row); null only where none is filled.
+
+    Cells within ``reach`` columns and rows are looked at first; the cells that
+    have no filled one as near as ``reach`` go on with a reach twice as large,
+    until the largest distance of the grid is covered.
+    """
+    scratch = Scratch(cells.sparkSession, "fill")
+    cell = [*by, "col", "row_"]
+    filled = cells.select(*cell, "n")
+    out, missing = filled, scratch.table(wanted.select(*cell).join(filled, cell, "left_anti"), "missing")
+    ends = wanted.select("col", "row_").unionAll(cells.select("col", "row_")).agg(*(f(c).alias(f"{n}_{c}") for c in ("col", "row_") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    span = max((ends["hi_col"] or 0) - (ends["lo_col"] or 0), (ends["hi_row_"] or 0) - (ends["lo_row_"] or 0), 1)
+    while True:
+        last = reach >= 2 * span
+        steps = F.explode(F.sequence(F.lit(-min(reach, span)), F.lit(min(reach, span))))
+        around = missing.withColumn("i", steps).withColumn("j", steps).withColumn("d", F.col("i") * F.col("i") + F.col("j") * F.col("j"))
+        around = around.where(F.lit(last) | (F.col("d") <= reach * reach)).select(*cell, "d", (F.col("col") + F.col("i")).alias("c2"), (F.col("row_") + F.col("j")).alias("r2"))
+        met = around.join(filled.select(*by, F.col("col").alias("c2"), F.col("row_").alias("r2"), "n"), [*by, "c2", "r2"])
+        best = met.groupBy(*cell).agg(F.min(F.struct("d", "c2", "r2", "n"))["n"].alias("n"))
+        tried, seen = scratch.counted(missing.join(best, cell, "left").select(*cell, "n"), "tried", left=F.count_if(F.col("n").isNull()))
+        if last or not seen["left"]:
+            return out.unionByName(tried)
+        out, missing, reach = out.unionByName(tried.where("n IS NOT NULL")), tried.where("n IS NULL").drop("n"), 2 * reach
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 256) -> DataFrame:
+    """Exact quantiles of each group, interpolated between ranks as usual: a column for each entry of ``shares``.
+
+    A group is cut into ``bins`` equal ranges and only the distinct values of
+    the ranges that hold a wanted rank are put in order, so that no group is
+    sorted or held as a whole. Nulls do not count; keys must not be null.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    spans = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    placed = rows.join(spans, by).withColumn("cell", cell.cast("int"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.lit(float(q)) * (F.col("total") - 1)).alias("r")) for k, q in shares.items())))
+    ranks = spans.select(*by, wanted.alias("w")).select(*by, "w.name", "w.r", F.floor("w.r").alias("k0"), F.ceil("w.r").alias("k1"))
+    up_to = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    counts = placed.groupBy(*by, "cell").agg(F.count("*").alias("m")).withColumn("end", F.sum("m").over(up_to(by, "cell"))).withColumn("start", F.col("end") - F.col("m"))
+    holds = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("end"))
+    cells = counts.join(ranks, by).where(holds("k0") | holds("k1")).select(*by, "cell", F.col("start").alias("before")).distinct()
+    values = placed.join(cells, [*by, "cell"]).groupBy(*by, "cell", "before", "v").agg(F.count("*").alias("m"))
+    values = values.withColumn("end", F.col("before") + F.sum("m").over(up_to([*by, "cell"], "v"))).withColumn("start", F.col("end") - F.col("m"))
+    ends = values.join(ranks, by).groupBy(*by, "name", "r", "k0").agg(F.max(F.when(holds("k0"), F.col("v"))).alias("v0"), F.max(F.when(holds("k1"), F.col("v"))).alias("v1"))
+    found = ends.withColumn("q", F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("r") - F.col("k0")))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in shares))
+
+
+def density_modes(df: DataFrame, by: list[str], value: str, width: str) -> DataFrame:
+    """Mode of a Gaussian density estimate of each group: (by, n, median, sigma, mode); groups of ten rows or fewer have none.
+
+    ``width`` is a column with the group's bandwidth. The density is taken on a
+    grid of about one point a unit, half a standard deviation around the
+    median, from a histogram with eight bins a bandwidth; of equal densities the
+    first point counts.
     """
-    masked = cells.withColumn("masked", F.lit(False))
-    for _ in range(rounds):
-        exp = median_filter(masked.where("n <> 0"), by, size)
-        diff = (F.col("n") - F.col("expected")) / F.sqrt(F.col("n"))
-        known = masked.join(exp, [*by, "col", "row_"], "left").withColumn("diff", F.when(F.col("n") != 0, diff))
-        sigma = known.groupBy(*by).agg(F.stddev_pop("diff").alias("sigma"))
-        new = F.coalesce(F.col("diff") > threshold * F.col("sigma"), F.lit(False))
-        known = known.join(F.broadcast(sigma), by).withColumn("masked", F.col("masked") | new)
-        masked = known.select(*by, "col", "row_", F.when(F.col("masked"), F.coalesce("expected", F.lit(0))).otherwise(F.col("n")).cast("long").alias("n"), "masked")
-    return masked
-
-
-def nearest_fill(cells: DataFrame, wanted: DataFrame, by: list[str], reach: int) -> DataFrame:
-    """Missing cells take the value of the nearest filled one within ``reach`` (ties: smallest column, then row); else null."""
-    missing = wanted.join(cells, [*by, "col", "row_"], "left_anti")
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    around = missing.select(*by, "col", "row_", F.explode(offsets).alias("o")).select(*by, "col", "row_", "o.d", (F.col("col") + F.col("o.i")).alias("c2"), (F.col("row_") + F.col("o.j")).alias("r2"))
-    found = around.join(cells.select(*by, F.col("col").alias("c2"), F.col("row_").alias("r2"), "n"), [*by, "c2", "r2"])
-    best = found.groupBy(*by, "col", "row_").agg(F.min(F.struct("d", "c2", "r2", "n"))["n"].alias("n"))
-    return cells.select(*by, "col", "row_", "n").unionByName(missing.join(best, [*by, "col", "row_"], "left").select(*by, "col", "row_", "n"))
+    rows = df.where(F.col(value).isNotNull())
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop(value).alias("sigma"), F.max(width).alias("w")).where("n > 10 AND sigma > 0")
+    stats = stats.join(quantiles(rows, by, value, {"median": 0.5}), by)
+    step, points = F.col("w") / 8, F.greatest(F.ceil("sigma"), F.lit(1)).cast("int")
+    lo = F.col("median") - 0.5 * F.col("sigma")
+    hist = rows.select(*by, value).join(stats.select(*by, "w"), by).groupBy(*by, F.floor(F.col(value) / (F.col("w") / 8)).alias("bin")).agg(F.count("*").alias("m"))
+    near = hist.join(stats, by).withColumn("at", (F.col("bin") + 0.5) * step).where(F.abs(F.col("at") - F.col("median")) <= 0.5 * F.col("sigma") + 6 * F.col("w"))
+    grid = near.withColumn("i", F.explode(F.sequence(F.lit(0), points - 1)))
+    grid = grid.withColumn("g", F.when(points > 1, lo + F.col("i") * (F.col("sigma") / (points - 1))).otherwise(lo))
+    u = (F.col("at") - F.col("g")) / F.col("w")
+    density = grid.groupBy(*by, "n", "median", "sigma", "i", "g").agg(F.round(F.sum(F.col("m") * F.exp(-0.5 * u * u)), 6).alias("d"))
+    return density.groupBy(*by, "n", "median", "sigma").agg(F.max_by("g", F.struct("d", (-F.col("i")).alias("i"))).alias("mode"))

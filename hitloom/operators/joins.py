@@ -63,6 +63,69 @@ def plane_pairs(df: DataFrame, bin_: Column, references: list[int]) -> DataFrame
     return ref.join(cells, "event_number").where("ref <> dut").groupBy("ref", "dut", "bin_ref", "bin").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
 
 
+def plane_correlation(df: DataFrame, bins: dict[str, Column], references: list[int]) -> DataFrame:
+    """Counts (ref, dut, axis, bin_ref, bin) of row pairs of an event, each axis of ``bins`` with itself; rows with a null bin do not count.
+
+    The axes are told apart by a key, so all of them share one pass.
+    """
+    axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), c.cast("long").alias("bin")) for a, c in bins.items())))
+    rows = df.select("event_number", "dut", axes.alias("a")).select("event_number", "dut", "a.axis", "a.bin").where("bin IS NOT NULL")
+    keys = ["event_number", "axis"]
+    cells = rows.repartition("event_number").groupBy(*keys, "dut", "bin").agg(F.count("*").alias("n"))
+    ref = cells.where(F.col("dut").isin(references)).select(*keys, F.col("dut").alias("ref"), F.col("bin").alias("bin_ref"), F.col("n").alias("m"))
+    return ref.join(cells, keys).where("ref <> dut").groupBy("ref", "dut", "axis", "bin_ref", "bin").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+
+def event_correlation(df: DataFrame, bins: dict[str, Column], width: int) -> DataFrame:
+    """Counts (dut, axis, early, late) of pairs of a plane's rows with e - width <= e' < e, each axis with itself."""
+    axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), c.cast("long").alias("bin")) for a, c in bins.items())))
+    rows = df.select("event_number", "dut", axes.alias("a")).select("event_number", "dut", "a.axis", "a.bin").where("bin IS NOT NULL")
+    cells = rows.groupBy("event_number", "dut", "axis", "bin").agg(F.count("*").alias("n"))
+    pairs = band_pairs(cells, width, same=("dut", "axis"))
+    return pairs.groupBy("dut", "axis", F.col("bin_early").alias("early"), F.col("bin").alias("late")).agg(F.sum(F.col("n") * F.col("n_early")).alias("n"))
+
+
+def nearest_pixel(points: DataFrame, pixels: DataFrame, x: str, y: str, cell: float, half_x: float, half_y: float) -> DataFrame:
+    """``points`` (with ``dut``) with the ``column`` and ``row`` of the pixel of their plane whose centre ``px, py`` is nearest.
+
+    For planes of any pixel positions. Points outside the matrix (``half_x``,
+    ``half_y`` from its centre), which would be nearest to a pixel mirrored at its edge,
+    are dropped. No point of a matrix may be farther than ``cell`` from its
+    nearest pixel: pixels stand in nine cells of a grid, a point in one, and
+    both meet by an equi-join on it. Of equally near pixels the one of the
+    smaller column, then row is taken.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    around = F.array(*(F.struct((at("px") + i).alias("cx"), (at("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    table = pixels.select("dut", "column", "row", "px", "py", F.explode(around).alias("c")).select("dut", "column", "row", "px", "py", "c.cx", "c.cy")
+    listed = table.groupBy("dut", "cx", "cy").agg(F.collect_list(F.struct("px", "py", "column", "row")).alias("near"))  # as many as pixels fit in nine cells
+    inside = points.where((F.abs(F.col(x)) <= half_x) & (F.abs(F.col(y)) <= half_y)).withColumns({"cx": at(x), "cy": at(y)})
+    d = lambda p: (p["px"] - F.col(x)) * (p["px"] - F.col(x)) + (p["py"] - F.col(y)) * (p["py"] - F.col(y))
+    best = F.array_min(F.transform("near", lambda p: F.struct(d(p).alias("d"), p["column"].alias("column"), p["row"].alias("row"))))
+    return inside.join(listed, ["dut", "cx", "cy"]).withColumn("b", best).select(*points.columns, F.col("b.column").alias("column"), F.col("b.row").alias("row"))
+
+
+def nearest_of(value: Column, values: list) -> Column:
+    """The closest of a short sorted list; of two equally close ones the larger."""
+    return -F.array_min(F.array(*(F.struct(F.abs(value - v).alias("d"), F.lit(-v).alias("v")) for v in values)))["v"]
+
+
+def row_before(df: DataFrame, value: str, order: list[str], by: list[str], width: int, name: str = "before") -> DataFrame:
+    """``df`` with ``value`` of the row before it in ``order`` among the rows of equal ``by``.
+
+    No window spans a group: the first column of ``order`` is cut into ranges
+    of ``width``, rows look back inside their range, and a range's first row
+    takes the last value of the ranges before it, found on one row per range.
+    """
+    rows = df.withColumn("range_", F.floor(F.col(order[0]) / width))
+    own = Window.partitionBy(*by, "range_").orderBy(*order)
+    last = rows.groupBy(*by, "range_").agg(F.max_by(value, F.struct(*order)).alias("last_"))
+    edges = last.withColumn("edge_", F.lag("last_").over(Window.partitionBy(*by).orderBy("range_"))).drop("last_")
+    rows = rows.withColumns({"inside_": F.lag(value).over(own), "first_": F.row_number().over(own) == 1})
+    out = rows.join(edges, [*by, "range_"])
+    return out.withColumn(name, F.when(F.col("first_"), F.col("edge_")).otherwise(F.col("inside_"))).drop("range_", "inside_", "first_", "edge_")
+
+
 def close_pairs(df: DataFrame, near: Column, keys: list[str], row: str = "ordinal") -> DataFrame:
     """Pairs a, b of rows with equal keys, a before b, that meet a condition on the two sides."""
     a, b = df.alias("a"), df.alias("b")
@@ -75,6 +138,7 @@ def close_pairs(df: DataFrame, near: Column, keys: list[str], row: str = "ordina
 def nearest_value(df: DataFrame, value: str, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Closest value of a sorted list (column ``v`` of ``grid``, per ``keys``); of two equally close ones the larger.
 
+    The value stands in ``nearest_`` (null where the list of the keys is empty).
     As-of join both ways by one window over the union of rows and grid values.
     """
     points = grid.select(*keys, F.col("v").alias("at"), F.col("v").alias("g"), F.lit(0).alias("is_row"), F.lit(None).alias("payload"))
@@ -85,7 +149,24 @@ def nearest_value(df: DataFrame, value: str, grid: DataFrame, keys: list[str]) -
         "below": F.last("g", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first("g", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
     }).where("is_row = 1")
     nearest = F.when(F.col("below").isNull() | (F.col("above") - F.col("at") <= F.col("at") - F.col("below")), F.coalesce("above", "below")).otherwise(F.col("below"))
-    return both.select(*keys, "payload.*", nearest.alias("nearest"))
+    return both.select(*keys, "payload.*", nearest.alias("nearest_"))
+
+
+def later_pairs(tracks: DataFrame, axis: str, far: float, width: float, near: float = 5.0) -> DataFrame:
+    """Pairs (axis, e1, o1, e2, o2, bin, r1, r2) of tracks of different events, the earlier first: no further apart than ``far`` on ``axis`` (in bins of ``width``) and closer than ``near`` on the other.
+
+    ``tracks`` has event_number, ordinal, x, y and residuals rx, ry; every track
+    is a reference for all later ones.
+    """
+    v = "y" if axis == "x" else "x"
+    d = F.abs(F.col(f"a.{axis}") - F.col(f"b.{axis}"))
+    close = (F.col("b.event_number") > F.col("a.event_number")) & (d <= far) & (F.abs(F.col(f"a.{v}") - F.col(f"b.{v}")) < near)
+    sides = {"x": far, "y": near} if axis == "x" else {"x": near, "y": far}
+    pairs = grid_pairs(tracks, tracks, sides["x"], close, sides["y"])
+    return pairs.select(
+        F.lit(axis).alias("axis"), F.col("a.event_number").alias("e1"), F.col("a.ordinal").alias("o1"), F.col("b.event_number").alias("e2"), F.col("b.ordinal").alias("o2"),
+        F.floor(d / width).cast("int").alias("bin"), F.col(f"a.r{axis}").alias("r1"), F.col(f"b.r{axis}").alias("r2"),
+    )
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, cell: float, near: Column, cell_y: float | None = None) -> DataFrame:

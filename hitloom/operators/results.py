@@ -9,11 +9,11 @@ aggregates; bins are sparse rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
-from hitloom.functions.expressions import in_window
+from hitloom.functions.expressions import chi2_pvalue, in_window
 from hitloom.operators import histograms as H
 
 
@@ -51,12 +51,103 @@ def efficiency_map(tracks: DataFrame, cut, lo: tuple[float, float], width: float
     return rows.where(F.col("n_tracks") >= least)
 
 
+MEANS = ("rx", "ry", "distance", "charge", "frame", "size")
+
+
 def efficiency_by(tracks: DataFrame, cut, *by: str) -> DataFrame:
-    """Tracks, valid hits, efficiency and mean charge of valid hits for any grouping."""
-    out = tracks.withColumn("v", valid_hit(cut)).groupBy(*by).agg(F.count("*").alias("n_tracks"), F.count_if("v").alias("n_valid"), F.avg(F.when(F.col("v"), F.col("charge"))).alias("mean_charge"))
+    """Tracks, valid hits, efficiency and means over valid hits (residuals, distance, charge, frame, cluster size) for any grouping."""
+    values = {"rx": rx(), "ry": ry(), "distance": distance(), "charge": F.col("charge"), "frame": F.col("frame"), "size": F.col("n_hits")}
+    means = (F.avg(F.when(F.col("v"), values[k])).alias(f"mean_{k}") for k in MEANS)
+    out = tracks.withColumn("v", valid_hit(cut)).groupBy(*by).agg(F.count("*").alias("n_tracks"), F.count_if("v").alias("n_valid"), *means)
     return out.withColumn("efficiency", F.col("n_valid") / F.col("n_tracks"))
 
 
+def distributions(tracks: DataFrame, cut, *by: str, angle_width: float = 1e-6) -> DataFrame:
+    """Counts (by, kind, bin, n) of valid hits by charge, frame, cluster size and shape, and by alpha and beta in bins of ``angle_width``, in one pass."""
+    _, alpha, beta = G.angles(F.col("sx"), F.col("sy"), F.col("sz"))
+    kinds = {"charge": F.col("charge"), "frame": F.col("frame"), "size": F.col("n_hits"), "shape": F.col("cluster_shape"), "alpha": F.floor(alpha / angle_width), "beta": F.floor(beta / angle_width)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("long").alias("bin")) for k, c in kinds.items())))
+    rows = tracks.where(valid_hit(cut)).select(*by, each.alias("a"))
+    return rows.groupBy(*by, F.col("a.kind").alias("kind"), F.col("a.bin").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def residual_position_maps(tracks: DataFrame, position_width: float, residual_width: float, lo: tuple[float, float]) -> DataFrame:
+    """Four two-dimensional histograms per plane: residual x or y against position x or y, with count and mean residual of each position bin.
+
+    Positions are the crossing points. Histograms over x take the hits inside
+    the plane's y limits, those over y the hits inside its x limits.
+    """
+    within = {"x": F.coalesce(F.col("y") >= F.col("y_lo"), F.lit(True)) & F.coalesce(F.col("y") <= F.col("y_hi"), F.lit(True)), "y": F.coalesce(F.col("x") >= F.col("x_lo"), F.lit(True)) & F.coalesce(F.col("x") <= F.col("x_hi"), F.lit(True))}
+    kinds = [F.struct(F.lit(r).alias("residual"), F.lit(p).alias("position"), v.alias("r"), position_bin(f"i{p}", at, position_width).alias("bin_pos"), within[p].alias("ok")) for r, v in (("x", rx()), ("y", ry())) for p, at in zip("xy", lo, strict=True)]
+    rows = tracks.where("x IS NOT NULL").select("dut", F.explode(F.array(*kinds)).alias("a")).select("dut", "a.*").where("ok")
+    keys = ["dut", "residual", "position", "bin_pos"]
+    cells = rows.groupBy(*keys, F.floor(F.col("r") / residual_width).cast("int").alias("bin_res")).agg(F.count("*").alias("n"), F.sum("r").alias("s"))
+    w = Window.partitionBy(*keys)  # as many rows as there are residual bins
+    return cells.withColumns({"pos_n": F.sum("n").over(w), "pos_mean": F.sum("s").over(w) / F.sum("n").over(w)}).drop("s")
+
+
+def residual_slope(bins: DataFrame, by: list[str], at: str, mean: str, n: str = "n", share: float = 0.32, limits: tuple[float | None, float | None] | None = None) -> DataFrame:
+    """Weighted line (by, n_bins, slope, offset) through the mean residuals of position bins; a bin weighs by the square of its count.
+
+    Used are the bins whose position lies inside ``limits``, or without limits
+    those with more rows than the ``share`` quantile of the bins' counts. A
+    plane has as many bins as its size allows, so these sums are small.
+    """
+    if limits is None:
+        w = Window.partitionBy(*by)
+        kept = bins.withColumn("least_", F.percentile(n, F.lit(share)).over(w)).where(F.col(n) > F.col("least_"))
+    else:
+        kept = bins.where((F.lit(True) if limits[0] is None else F.col(at) >= limits[0]) & (F.lit(True) if limits[1] is None else F.col(at) <= limits[1]))
+    w, p, m = F.col(n).cast("double") * F.col(n), F.col(at), F.col(mean)
+    sums = kept.groupBy(*by).agg(F.count("*").alias("n_bins"), *(F.sum(v).alias(k) for k, v in (("s", w), ("sp", w * p), ("sm", w * m), ("spp", w * p * p), ("spm", w * p * m))))
+    under = F.col("s") * F.col("spp") - F.col("sp") * F.col("sp")
+    slope, offset = (F.col("s") * F.col("spm") - F.col("sp") * F.col("sm")), (F.col("spp") * F.col("sm") - F.col("sp") * F.col("spm"))
+    return sums.select(*by, "n_bins", F.when(under > 0, slope / under).alias("slope"), F.when(under > 0, offset / under).alias("offset"))
+
+
+def hit_pattern(cluster_hits: DataFrame, places: DataFrame, key: list[str], width: float, lo: float, half: int) -> DataFrame:
+    """Counts (dut, bx, by_, d_column, d_row, n, mode) of clusters' pixels relative to the pixel under the centre of the map bin ``bx, by_`` that ``places`` has for the cluster.
+
+    Map bins are ``width`` pixels wide and start at ``lo``; pixels up to ``half``
+    away count; ``mode`` marks the most frequent one (of equals the smallest
+    column, then row).
+    """
+    centre = lambda c: F.floor((F.col(c) + 0.5) * width + lo + 0.5).cast("int")
+    d = (F.col("column") - centre("bx")).alias("d_column"), (F.col("row") - centre("by_")).alias("d_row")
+    cells = cluster_hits.join(places, key).select("dut", "bx", "by_", *d).where((F.abs("d_column") <= half) & (F.abs("d_row") <= half)).groupBy("dut", "bx", "by_", "d_column", "d_row").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("dut", "bx", "by_").orderBy(F.desc("n"), "d_column", "d_row"))  # one row per pixel of the window
+    return cells.withColumn("mode", first == 1)
+
+
+def angle_histograms(tracks: DataFrame, bins: int, span: float = 5.0) -> DataFrame:
+    """Histograms (dut, frame, angle, bin, n, mean, sigma) of the total, alpha and beta angle of tracks, in each plane's frame and the global one, over mean +- ``span`` sigma.
+
+    ``tracks`` has global slopes sx, sy, sz and plane constants. A bit of slack
+    keeps values at bin edges on one side.
+    """
+    own = G.rotate(F.col("sx"), F.col("sy"), F.col("sz"), back=True)
+    frames = {"local": own, "global": (F.col("sx"), F.col("sy"), F.col("sz"))}
+    kinds = [F.struct(F.lit(f).alias("frame"), F.lit(n).alias("angle"), v.alias("v")) for f, s in frames.items() for n, v in zip(("total", "alpha", "beta"), G.angles(*s), strict=True)]
+    rows = tracks.select("dut", F.explode(F.array(*kinds)).alias("a")).select("dut", "a.frame", "a.angle", "a.v")
+    keys = ["dut", "frame", "angle"]
+    range_ = rows.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sigma"))
+    lo, hi = F.col("mean") - span * F.col("sigma"), F.col("mean") + span * F.col("sigma")
+    placed = rows.join(F.broadcast(range_), keys).where(F.col("v").between(lo, hi) & (F.col("sigma") > 0))  # six rows a plane
+    bin_ = F.least(F.floor((F.col("v") - lo) * (bins / (hi - lo)) + 1e-9), F.lit(bins - 1)).cast("int")
+    return placed.groupBy(*keys, "mean", "sigma", bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def chi2_histograms(tracks: DataFrame, ndof: Column) -> DataFrame:
+    """Counts (kind, bin, n): chi2 up to its 99th percentile in 250 bins and up to 20 in 100, reduced chi2 up to 10 in 50, the p-value in 50."""
+    rows = tracks.withColumns({"one": F.lit(1), "p": chi2_pvalue(F.col("chi2"), ndof)})
+    top = H.quantiles(rows, ["one"], "chi2", {"top": 0.99})
+    rows = rows.join(F.broadcast(top), "one")  # one row
+    full = F.when(F.col("chi2").between(0, F.col("top")), F.least(F.floor(F.col("chi2") * (250 / F.col("top"))), F.lit(249)).cast("int"))
+    kinds = {"full": full, "narrow": H.edge_bin(F.col("chi2"), 0.0, 20.0, 100), "reduced": H.edge_bin(F.col("chi_red"), 0.0, 10.0, 50), "p": H.edge_bin(F.col("p"), 0.0, 1.0, 50)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("bin")) for k, c in kinds.items())))
+    return rows.select(each.alias("a")).where("a.bin IS NOT NULL").groupBy(F.col("a.kind").alias("kind"), F.col("a.bin").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def in_regions(tracks: DataFrame, regions: list[tuple[str, float, float, float, float]]) -> DataFrame:
     """Rows once for each open rectangle (name, x_lo, x_hi, y_lo, y_hi) that holds their crossing point."""
     box = lambda a, b, c, d: (F.col("ix") > a) & (F.col("ix") < b) & (F.col("iy") > c) & (F.col("iy") < d)

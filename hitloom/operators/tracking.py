@@ -7,16 +7,17 @@ Arrow batches of many tracks at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.functions.expressions import chi2_pvalue, in_window
 from hitloom.functions.geometry import Plane, rotation
-from hitloom.operators.events import event_slices, map_events
+from hitloom.operators.events import first_rows, map_events
+from hitloom.operators.histograms import density_modes
 from hitloom.runtime import ship
 
 TRACK = ["event_number", "ordinal"]
@@ -34,53 +35,159 @@ def line_fit(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", z:
     pairs = {"xx": (x, x), "xy": (x, y), "xz": (x, z), "yy": (y, y), "yz": (y, z), "zz": (z, z)}
     sums = known.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"o{a}") for a, c in zip("xyz", (x, y, z), strict=True)), *(F.covar_pop(*p).alias(k) for k, p in pairs.items()))
 
+    out = sums.withColumn("d", F.when(F.col("n") > 1, _direction()(*pairs)))
+    return out.select(*keys, "n", "ox", "oy", "oz", "d.sx", "d.sy", "d.sz")
+
+
+def planes_side_by_side(hits: DataFrame, duts: list[int], columns: list[str]) -> DataFrame:
+    """One row per track with a struct ``h_<dut>`` of ``columns`` for each plane (null without a row): one aggregate, one shuffle."""
+    at = lambda d: F.max(F.when(F.col("dut") == d, F.struct(*columns))).alias(f"h_{d}")
+    return hits.where(F.col("dut").isin(duts)).groupBy(*TRACK).agg(*map(at, duts))
+
+
+def _moments(used: list[tuple[Column, list[Column]]]) -> tuple[Column, list[Column], dict[str, Column]]:
+    """Number, mean point and centred second moments of the points with a true flag, as expressions."""
+    add = lambda values: sum(values[1:], values[0])
+    n = add([u.cast("int") for u, _ in used])
+    mean = [add([F.when(u, p[i]).otherwise(0.0) for u, p in used]) / n for i in range(3)]
+    return n, mean, {f"{a}{b}": lambda m, i=i, j=j: add([F.when(u, (p[i] - m[i]) * (p[j] - m[j])).otherwise(0.0) for u, p in used]) for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j}
+
+
+def _direction():
     @F.pandas_udf("sx double, sy double, sz double")
     def direction(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]], float).transpose(2, 0, 1)
-        v = np.linalg.eigh(m)[1][:, :, -1]
+        v = np.linalg.eigh(np.nan_to_num(m))[1][:, :, -1]
         v *= np.where(v[:, 2:] < 0, -1.0, 1.0)
         return pd.DataFrame(v, columns=["sx", "sy", "sz"])
 
-    out = sums.withColumn("d", F.when(F.col("n") > 1, direction(*pairs)))
-    return out.select(*keys, "n", "ox", "oy", "oz", "d.sx", "d.sy", "d.sz")
+    return direction
+
+
+def near_rows(rows: DataFrame, by: list[str], x: Callable[[int], str], y: Callable[[int], str], duts: list[int], reach: dict[int, tuple[float, float]], ellipse: dict[int, bool]) -> DataFrame:
+    """Rows (by, ordinal, near): a bit per plane on which another row of the same ``by`` is within ``reach`` (ellipse, or rectangle)."""
+    a, b = rows.alias("a"), rows.alias("b")
+    same = F.col("a.ordinal") != F.col("b.ordinal")
+    for k in by:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    bits = F.lit(0).cast("long")
+    for d in duts:
+        dx, dy = reach[d]
+        u, v = F.abs(F.col(f"a.{x(d)}") - F.col(f"b.{x(d)}")), F.abs(F.col(f"a.{y(d)}") - F.col(f"b.{y(d)}"))
+        inside = (u / dx) * (u / dx) + (v / dy) * (v / dy) <= 1 if ellipse[d] and dx > 0 and dy > 0 else (u <= dx) & (v <= dy)
+        bits = bits.bitwiseOR(F.when(inside, F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")))
+    pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in [*by, "ordinal"]), bits.alias("near")).where("near <> 0")
+    return pairs.groupBy(*by, "ordinal").agg(F.bit_or("near").alias("near"))
 
 
 def fit_tracks(
-    hits: DataFrame, geo: DataFrame, fit_duts: list[int], for_duts: list[int], exclude_own: bool = True, min_hits: int = 3,
-    quality: tuple[float, float] = (1e9, 1e9),
+    hits: DataFrame, planes: list[Plane], fit_duts: list[int], for_duts: list[int], exclude_own: bool = True, min_hits: int = 3,
+    quality: tuple[float, float] = (1e9, 1e9), isolation: tuple[float, float] | None = None, use_limits: bool = False, centre: list[int] = (), keep: list[str] = (),
 ) -> DataFrame:
     """Straight-line fits of long-form tracks: one row per (event, ordinal, fit_dut).
 
-    ``hits`` has global positions x, y, z (null: no hit) and errors x_err,
-    y_err per plane. A plane of ``for_duts`` is fitted from ``fit_duts``,
-    without its own hit if ``exclude_own``; planes with the same fit set share
-    a fit. chi2 sums over fit planes; the quality flag covers all planes.
+    ``hits`` has local positions x, y (null: no hit) with errors x_err, y_err
+    per plane. A plane of ``for_duts`` is fitted from ``fit_duts``, without its
+    own hit if ``exclude_own``. chi2 sums over fit planes; the flags cover all
+    planes: a hit within ``quality`` (and the plane's limits), no other track
+    of the event (fitted for the same plane) within ``isolation`` where the
+    line crosses, no other hit. Residuals of planes in ``centre`` are counted
+    from the mode of their density. offset_x, offset_y is where the line
+    crosses the fitted plane, slope_* its unit direction there, both in the
+    plane's frame; o*, s* are the line in the global frame. ``keep`` names
+    columns of the fitted plane's own row that go along.
+
+    Hits are dealt by track once: the planes stand side by side in a row, the
+    fits and flags are expressions of it. Isolation joins rows of an event.
     """
-    sets: dict[tuple, list[int]] = {}
-    for d in for_duts:
-        sets.setdefault(tuple(p for p in fit_duts if not (exclude_own and p == d)), []).append(d)
-    rows = [(k, p) for k, s in enumerate(sets) for p in s]
-    plan = F.broadcast(hits.sparkSession.createDataFrame(rows, "fit_set int, dut int"))
-    fits = line_fit(hits.join(plan, "dut"), [*TRACK, "fit_set"]).where(F.col("n") >= min_hits)
-    owners = F.broadcast(hits.sparkSession.createDataFrame([(k, d) for k, ds in enumerate(sets.values()) for d in ds], "fit_set int, fit_dut int"))
-    member = F.broadcast(hits.sparkSession.createDataFrame(rows, "fit_set int, dut int").withColumn("used", F.lit(True)))
-    on = hits.join(F.broadcast(geo), "dut").join(fits, TRACK).join(member, ["fit_set", "dut"], "left")
-    k = (F.col("tz") - F.col("oz")) / F.col("sz")
-    dx, dy = F.col("x") - (F.col("ox") + k * F.col("sx")), F.col("y") - (F.col("oy") + k * F.col("sy"))
-    bit = F.expr("shiftleft(1L, dut)")
-    has = F.col("x").isNotNull()
-    good = has & in_window(dx, dy, F.lit(quality[0]), F.lit(quality[1]), F.col("column_size"), F.col("row_size"))
-    pull = dx * dx / (F.col("x_err") * F.col("x_err")) + dy * dy / (F.col("y_err") * F.col("y_err"))
-    out = on.groupBy(*TRACK, "fit_set", "n", "ox", "oy", "oz", "sx", "sy", "sz").agg(
-        F.sum(F.when(F.col("used") & has, pull)).alias("chi2"), F.bit_or(F.when(has, bit).otherwise(0)).alias("hit_flag"), F.bit_or(F.when(good, bit).otherwise(0)).alias("quality_flag"),
-    )
-    out = out.withColumn("chi_red", F.when(F.col("n") > 2, F.col("chi2") / (2 * (F.col("n") - 2)))).join(owners, "fit_set").join(F.broadcast(geo.select(F.col("dut").alias("fit_dut"), "tz")), "fit_dut")
-    k = (F.col("tz") - F.col("oz")) / F.col("sz")
-    return out.withColumns({"offset_x": F.col("ox") + k * F.col("sx"), "offset_y": F.col("oy") + k * F.col("sy"), "offset_z": F.col("tz")}).drop("fit_set", "ox", "oy", "oz", "tz")
+    ship(hits.sparkSession)
+    at = {p.dut: p for p in planes}
+    duts = list(at)
+    turn = {d: rotation(p.alpha, p.beta, p.gamma) for d, p in at.items()}
+    wide = planes_side_by_side(hits, duts, list(dict.fromkeys(["x", "y", "x_err", "y_err", *keep])))
+    h = lambda d, c: F.col(f"h_{d}")[c]
+    has = lambda d: h(d, "x").isNotNull() & h(d, "y").isNotNull()
+    flag = lambda conditions: F.array(*(F.when(c, F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")) for d, c in conditions))
+    union = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(v))
+    globally = {d: [h(d, "x") * turn[d][i][0] + h(d, "y") * turn[d][i][1] + t for i, t in enumerate((p.tx, p.ty, p.tz))] for d, p in at.items()}
+    wide = wide.withColumns({f"g_{d}": F.struct(*(c.alias(n) for c, n in zip(globally[d], "xyz", strict=True))) for d in fit_duts})
+    point = lambda d: [F.col(f"g_{d}")[n] for n in "xyz"]
+    wide = wide.withColumn("hit_flag", union(flag([(d, has(d)) for d in duts])))
+
+    rows = wide.withColumn("fit_dut", F.explode(F.array(*map(F.lit, for_duts))))
+    used = [(has(d) & (F.col("fit_dut") != d) if exclude_own else has(d), point(d)) for d in fit_duts]
+    n, mean, second = _moments(used)
+    rows = rows.withColumn("n", n).where(F.col("n") >= min_hits).withColumns(dict(zip(("ox", "oy", "oz"), mean, strict=True)))
+    m = [F.col(f"o{a}") for a in "xyz"]
+    names = ["xx", "xy", "xz", "yy", "yz", "zz"]
+    rows = rows.withColumn("d", _direction()(*(second[k](m).alias(k) for k in names)))
+    rows = rows.withColumns({f"s{a}": F.col(f"d.s{a}") for a in "xyz"}).drop("d")
+    s = [F.col(f"s{a}") for a in "xyz"]
+
+    crossing, slope = {}, {}
+    for d, p in at.items():
+        r, t = turn[d], (p.tx, p.ty, p.tz)
+        over, under = (sum((f(i) for i in range(1, 3)), f(0)) for f in (lambda i, r=r, t=t: (F.lit(t[i]) - m[i]) * r[i][2], lambda i, r=r: s[i] * r[i][2]))
+        k = F.when(under != 0, over / under)
+        away = [m[i] + k * s[i] - t[i] for i in range(3)]
+        crossing[d] = [sum((away[i] * r[i][j] for i in range(1, 3)), away[0] * r[0][j]) for j in (0, 1)]
+        own = [sum((s[i] * r[i][j] for i in range(1, 3)), s[0] * r[0][j]) for j in range(3)]
+        slope[d] = [F.when(own[2] < 0, -v).otherwise(v) for v in own]
+    rows = rows.withColumns({f"c_{d}": F.struct(crossing[d][0].alias("x"), crossing[d][1].alias("y")) for d in duts})
+    residual = {d: [h(d, "x") - F.col(f"c_{d}")["x"], h(d, "y") - F.col(f"c_{d}")["y"]] for d in duts}
+    for d in centre:
+        modes = residual_modes(rows.where(F.col("fit_dut") == d).select(*(v.alias(a) for v, a in zip(residual[d], "xy", strict=True))), at[d])
+        residual[d] = [v - F.lit(c) for v, c in zip(residual[d], modes, strict=True)]
+    pull = lambda d: F.when(u, (residual[d][0] / h(d, "x_err")) ** 2 + (residual[d][1] / h(d, "y_err")) ** 2).otherwise(0.0)  # noqa: B023, E731
+    chi2 = F.lit(0.0)
+    for (u, _), d in zip(used, fit_duts, strict=True):
+        chi2 = chi2 + pull(d)
+    good = []
+    for d, p in at.items():
+        inside = in_window(*residual[d], F.lit(float(quality[0])), F.lit(float(quality[1])), F.lit(p.column_size), F.lit(p.row_size))
+        if use_limits:
+            for c, lo, hi in (("x", p.x_lo, p.x_hi), ("y", p.y_lo, p.y_hi)):
+                inside = inside & (F.lit(True) if lo is None else h(d, c) >= lo) & (F.lit(True) if hi is None else h(d, c) <= hi)
+        good.append((d, has(d) & inside))
+    pick = lambda values: F.coalesce(*(F.when(F.col("fit_dut") == d, values(d)) for d in for_duts))
+    rows = rows.withColumns({
+        "chi2": chi2, "quality_flag": union(flag(good)), "offset_x": pick(lambda d: F.col(f"c_{d}")["x"]), "offset_y": pick(lambda d: F.col(f"c_{d}")["y"]),
+        **{f"slope_{a}": pick(lambda d, j=j: slope[d][j]) for j, a in enumerate("xyz")}, **{k: pick(lambda d, k=k: h(d, k)) for k in keep},
+    })
+    rows = rows.withColumn("chi_red", F.when(F.col("n") > 2, F.col("chi2") / (2 * (F.col("n") - 2))))
+    flags = ["hit_flag", "quality_flag"]
+    if isolation is not None:
+        reach, everywhere = dict.fromkeys(duts, isolation), F.lit(sum(1 << d for d in duts)).cast("long")
+        round_ = {d: quality[0] >= 2.5 * p.column_size and quality[1] >= 2.5 * p.row_size for d, p in at.items()}
+        lines = rows.select(*TRACK, "fit_dut", *(F.col(f"c_{d}")[a].alias(f"{a}{d}") for d in duts for a in "xy"))
+        spots = wide.select(*TRACK, *(h(d, a).alias(f"{a}{d}") for d in duts for a in "xy"))
+        x, y = (lambda d: f"x{d}"), (lambda d: f"y{d}")
+        by_line = near_rows(lines, ["event_number", "fit_dut"], x, y, duts, reach, dict.fromkeys(duts, True)).withColumnRenamed("near", "near_track")
+        by_hit = near_rows(spots, ["event_number"], x, y, duts, reach, round_).withColumnRenamed("near", "near_hit")
+        rows = rows.join(by_line, [*TRACK, "fit_dut"], "left").join(by_hit, TRACK, "left")
+        rows = rows.withColumns({f"isolated_{k}_flag": everywhere.bitwiseAND(F.bitwise_not(F.coalesce(f"near_{k}", F.lit(0).cast("long")))) for k in ("track", "hit")})
+        flags += ["isolated_track_flag", "isolated_hit_flag"]
+    return rows.select(*TRACK, "fit_dut", "n", "chi2", "chi_red", *flags, "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", *keep)
+
+
+def residual_modes(residuals: DataFrame, plane: Plane) -> list[float]:
+    """Modes of the densities of x and y, searched half a deviation around the medians; 0 for ten rows or fewer."""
+    rows = residuals.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("v"), F.lit(w / 12**0.5).alias("w")) for a, w in (("x", plane.column_size), ("y", plane.row_size))))).alias("r"))
+    found = {r["axis"]: r["mode"] for r in density_modes(rows.select("r.*").where("v IS NOT NULL"), ["axis"], "v", "w").collect()}
+    return [found.get(a, 0.0) for a in "xy"]
 
 
 class Finder:
-    """Re-association of the hits of one event, plane by plane downstream."""
+    """Re-association of the hits of many events with equally many rows, plane by plane downstream.
+
+    While a plane is worked on, the rows' upstream hits stand still: where each
+    row leads to, and its distance to each of the plane's hits, are found once
+    for all events. Rows are then settled one after another, in all events at
+    once, by exchanging which hit of the plane each row holds.
+    """
+
+    #: Distances that are held at once.
+    ROOM = 4_000_000
 
     def __init__(self, planes: list[Plane], extrapolate: set[int] | None = None):
         self.planes = sorted(planes, key=lambda p: p.tz)
@@ -88,80 +195,101 @@ class Finder:
         self.points = np.array([[p.tx, p.ty, p.tz] for p in self.planes])
         self.normals = np.array([[row[2] for row in rotation(p.alpha, p.beta, p.gamma)] for p in self.planes])
 
-    def expect(self, pos: np.ndarray, k: int) -> np.ndarray | None:
-        """Where a row's upstream hits lead to on plane ``k``: the line of the two nearest usable ones, else the first hit."""
-        up = [r for r in range(k) if not np.isnan(pos[r, 0])]
-        if not up:
-            return None
-        base = [r for r in reversed(up) if self.usable[r]][:2]
-        if len(base) < 2:
-            return pos[up[0], :2]
-        near, far = pos[base[0]], pos[base[1]]
+    def expect(self, pos: np.ndarray, k: int) -> np.ndarray:
+        """Where rows' upstream hits lead to on plane ``k`` (nan: nowhere): the line of the two nearest usable ones, else the first hit."""
+        shape = pos.shape[:-2]
+        first, near, far = (np.full((*shape, 3), np.nan) for _ in range(3))
+        found = np.zeros(shape, int)  # usable hits so far, going upstream
+        for r in range(k - 1, -1, -1):
+            have = ~np.isnan(pos[..., r, 0])
+            first[have] = pos[..., r, :][have]
+            if self.usable[r]:
+                near[have & (found == 0)] = pos[..., r, :][have & (found == 0)]
+                far[have & (found == 1)] = pos[..., r, :][have & (found == 1)]
+                found += have
         run = near - far
-        step = self.normals[k] @ (self.points[k] - near) / (self.normals[k] @ run)
-        return (near + step * run)[:2]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            step = (self.points[k] - near) @ self.normals[k] / (run @ self.normals[k])
+        return np.where((found >= 2)[..., None], (near + step[..., None] * run)[..., :2], first[..., :2])
 
     def solve(self, pos: np.ndarray) -> np.ndarray:
-        """``pos`` is rows x planes (z order) x 3 with nan for no hit, changed in place; returns the row each hit came from."""
-        n = len(pos)
-        source = np.repeat(np.arange(n)[:, None], len(self.planes), axis=1)
-        for k in range(1, len(self.planes)):
-            for first in range(n):
-                t: int | None = first
-                while t is not None:
-                    t = self._settle(pos, source, t, k)
+        """``pos`` is events x rows x planes (z order) x 3 with nan for no hit, changed in place; returns the row each hit came from."""
+        events, n = pos.shape[:2]
+        source = np.tile(np.arange(n)[None, :, None], (events, 1, len(self.planes)))
+        if n > 1:
+            size = max(1, self.ROOM // (n * n))
+            for lo in range(0, events, size):
+                part = slice(lo, lo + size)
+                for k in range(1, len(self.planes)):
+                    held = self._plane(pos[part], k)
+                    for table in (pos, source):
+                        own = held if table[part, :, k].ndim == 2 else held[..., None]
+                        table[part, :, k] = np.take_along_axis(table[part, :, k], own, axis=1)
         return source
 
-    def _settle(self, pos: np.ndarray, source: np.ndarray, t: int, k: int) -> int | None:
-        """Give row ``t`` its best hit on plane ``k``; returns a row that must be looked at again."""
-        goal = self.expect(pos[t], k)
-        if goal is None:
-            return None
-        gap = np.hypot(pos[:, k, 0] - goal[0], pos[:, k, 1] - goal[1])
-        best, chosen = gap[t], t
-        for h in range(len(pos)):
-            if h == t or np.isnan(gap[h]) or best < gap[h]:
-                continue
-            own = self.expect(pos[h], k)
-            if own is not None and gap[h] > np.hypot(*(pos[h, k, :2] - own)):
-                continue
-            best, chosen = gap[h], h
-        if chosen == t:
-            return None
-        for table in (pos, source):
-            table[[t, chosen], k] = table[[chosen, t], k]
-        return chosen if chosen < t and self.expect(pos[chosen], k) is not None else None
+    def _plane(self, pos: np.ndarray, k: int) -> np.ndarray:
+        """For each event and row the row whose hit on plane ``k`` it holds in the end."""
+        events, n = pos.shape[:2]
+        goal = self.expect(pos, k)
+        leads = ~np.isnan(goal[..., 0])
+        off = np.hypot(goal[:, :, None, 0] - pos[:, None, :, k, 0], goal[:, :, None, 1] - pos[:, None, :, k, 1])  # row, hit
+        held = np.tile(np.arange(n), (events, 1))
+        row = np.arange(n)
+        for first in range(n):
+            e = np.flatnonzero(leads[:, first])
+            t = np.full(len(e), first)
+            while len(e):
+                mine = held[e]
+                gap = np.take_along_axis(off[e, t], mine, axis=1)  # row t to the hit of each row
+                own = np.take_along_axis(off[e], mine[:, :, None], axis=2)[:, :, 0]  # each row to its hit
+                now = gap[np.arange(len(e)), t]
+                with np.errstate(invalid="ignore"):
+                    free = ~np.isnan(gap) & (row != t[:, None]) & ~(now[:, None] < gap) & ~(leads[e] & (gap > own))
+                best = np.where(free, gap, np.inf)
+                chosen = n - 1 - best[:, ::-1].argmin(axis=1)  # the last of equally near ones
+                swap = free[np.arange(len(e)), chosen]
+                e, t, chosen = e[swap], t[swap], chosen[swap]
+                held[e, t], held[e, chosen] = held[e, chosen], held[e, t]
+                again = (chosen < t) & leads[e, chosen]
+                e, t = e[again], chosen[again]
+        return held
 
 
 def find_tracks(hits: DataFrame, planes: list[Plane], extrapolate: set[int] | None = None) -> DataFrame:
     """Long-form rows with a new ``ordinal`` per hit: which track of the event it belongs to (``was`` is the old one).
 
-    Positions are global. Events with one track need no kernel and bypass it.
+    Positions are global. Rows are dealt by event once; the events of a batch
+    with equally many rows are worked on together.
     """
-    sizes = hits.groupBy("event_number").agg(F.max("ordinal").alias("rows"))
-    rows = hits.join(sizes, "event_number")
-    single = rows.where("rows = 1").select(*TRACK, "dut", F.col("ordinal").alias("was"), "x", "y", "z")
     finder = Finder(planes, extrapolate)
     rank = {p.dut: i for i, p in enumerate(finder.planes)}
 
     def fn(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch[batch.dut.isin(rank)]
-        new = batch["ordinal"].to_numpy().copy()
-        k = batch["dut"].map(rank).to_numpy()
-        xyz = batch[["x", "y", "z"]].to_numpy(float)
-        for lo, hi in event_slices(batch["event_number"].to_numpy()) if len(batch) else []:
-            names, t = np.unique(batch["ordinal"].to_numpy()[lo:hi], return_inverse=True)
-            pos = np.full((len(names), len(rank), 3), np.nan)
-            pos[t, k[lo:hi]] = xyz[lo:hi]
+        event, old, xyz = batch["event_number"].to_numpy(), batch["ordinal"].to_numpy(), batch[["x", "y", "z"]].to_numpy(float)
+        new, k = old.copy(), batch["dut"].map(rank).to_numpy()
+        heads = first_rows(event, old)  # rows of a track stand together
+        track = np.cumsum(heads) - 1
+        start = np.flatnonzero(first_rows(event))
+        group = np.cumsum(first_rows(event)) - 1
+        t = track - track[start][group]
+        sizes = np.diff(np.r_[track[start], track[-1] + 1])
+        names = old[heads]
+        for n in np.unique(sizes[sizes > 1]):
+            events = np.flatnonzero(sizes == n)
+            at = np.full(len(sizes), -1)
+            at[events] = np.arange(len(events))
+            own = np.flatnonzero(sizes[group] == n)
+            pos = np.full((len(events), n, len(rank), 3), np.nan)
+            pos[at[group[own]], t[own], k[own]] = xyz[own]
             source = finder.solve(pos)
             target = np.empty_like(source)
-            for plane in range(source.shape[1]):
-                target[source[:, plane], plane] = np.arange(len(names))
-            new[lo:hi] = names[target[t, k[lo:hi]]]
-        return pd.DataFrame({"event_number": batch["event_number"], "ordinal": new, "dut": batch["dut"], "was": batch["ordinal"], "x": batch["x"], "y": batch["y"], "z": batch["z"]})
+            np.put_along_axis(target, source, np.broadcast_to(np.arange(n)[None, :, None], source.shape), axis=1)
+            new[own] = names[track[start][group[own]] + target[at[group[own]], t[own], k[own]]]
+        return pd.DataFrame({"event_number": event, "ordinal": new, "dut": batch["dut"], "was": old, "x": batch["x"], "y": batch["y"], "z": batch["z"]})
 
     schema = "event_number long, ordinal int, dut int, was int, x double, y double, z double"
-    return single.unionByName(map_events(rows.where("rows > 1").drop("rows"), fn, schema, order=("ordinal", "dut")))
+    rows = hits.where(F.col("dut").isin(list(rank))).select(*TRACK, "dut", "x", "y", "z")
+    return map_events(rows, fn, schema, order=("ordinal", "dut"))
 
 
 class Smoother:
@@ -264,23 +392,19 @@ def kalman_fit(hits: DataFrame, planes: list[Plane], fit_duts: list[int], min_hi
     ship(hits.sparkSession)
     smoother = Smoother(planes, set(fit_duts), energy, mass)
     order = [p.dut for p in smoother.planes]
-    known = hits.where(F.col("dut").isin(order))
-    enough = F.count_if(F.col("x").isNotNull() & F.col("dut").isin(fit_duts))
-    tracks = known.groupBy(*TRACK).agg(enough.alias("n"), F.collect_list(F.struct("dut", "x", "y", "x_err", "y_err")).alias("h")).where(F.col("n") >= min_hits)
-    rank = {d: i for i, d in enumerate(order)}
+    known = planes_side_by_side(hits, order, ["x", "y", "x_err", "y_err"])
+    there = [F.col(f"h_{d}")["x"].isNotNull().cast("int") for d in order if d in fit_duts]
+    columns = {c: [f"{c}_{d}" for d in order] for c in ("x", "y", "x_err", "y_err")}
+    tracks = known.withColumn("n", sum(there[1:], there[0]).cast("long")).where(F.col("n") >= min_hits)
+    tracks = tracks.select(*TRACK, "n", *(F.col(f"h_{d}")[c].alias(f"{c}_{d}") for c in columns for d in order))
     axes, centre = smoother.axes, np.array([[p.tx, p.ty, p.tz] for p in smoother.planes])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            meas, err = np.full((len(b), len(order), 2), np.nan), np.ones((len(b), len(order), 2))
-            for i, row in enumerate(b["h"]):
-                for p in row:
-                    k = rank[p["dut"]]
-                    if p["x"] is not None:
-                        meas[i, k] = p["x"], p["y"]
-                    err[i, k] = p["x_err"], p["y_err"]
+            both = lambda *names: np.stack([b[columns[c]].to_numpy(float) for c in names], axis=2)  # noqa: B023, E731
+            meas, err = both("x", "y"), np.nan_to_num(both("x_err", "y_err"), nan=1.0)
             glob = np.einsum("kij,nkj->nki", axes[:, :, :2], meas) + centre
             ok = ~np.isnan(meas[:, :, 0]) & np.array(smoother.used)
             first, last = ok.argmax(axis=1), len(order) - 1 - ok[:, ::-1].argmax(axis=1)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitloom.operators import clusters as C
 from hitloom.operators import histograms as H
+from hitloom.operators import results as R
 from hitloom.plans.positions import local_hits, sql as _sql
 from hitloom.plans.registry import query
 from hitloom.sources import views
@@ -53,12 +55,15 @@ def cluster_build(spark, sf_dir):
 _BIT = " + ".join(f"((({v} >> {k}) & 1) << {2 * k + o})" for k in range(3) for v, o in (('(c - c0)', 0), ('(r - r0)', 1)))
 
 
-@query("cluster_shape", sql(f"""
+_SHAPES = f"""
     WITH box AS (SELECT event_number, dut, cluster_id, "column" AS c, "row" AS r, min("column") OVER k AS c0, min("row") OVER k AS r0, max("column") OVER k AS c1, max("row") OVER k AS r1,
         first("column") OVER (k ORDER BY ordinal) AS cf, first("row") OVER (k ORDER BY ordinal) AS rf FROM cluster_hits WINDOW k AS (PARTITION BY event_number, dut, cluster_id)),
       bits AS (SELECT *, CASE WHEN abs(c - cf) < 8 AND abs(r - rf) < 8 AND c - c0 < 8 AND r - r0 < 8 THEN CAST({_BIT} AS INT) END AS bit FROM box)
     SELECT event_number, dut, cluster_id, CAST(CASE WHEN max(c1 - c0) >= 8 OR max(r1 - r0) >= 8 OR coalesce(max(bit) = 63, false) THEN -1 ELSE bit_or(CAST(1 AS BIGINT) << least(bit, 62)) END AS BIGINT) AS cluster_shape
-    FROM bits GROUP BY ALL"""))
+    FROM bits GROUP BY ALL"""
+
+
+@query("cluster_shape", sql(_SHAPES))
 def cluster_shape(spark, sf_dir):
     return built(spark, sf_dir).select(*KEY, "cluster_shape")
 
@@ -81,12 +86,11 @@ def cluster_shape_hist(spark, sf_dir):
 NAMED = (1, 3, 5, 6, 9, 13, 14, 7, 11, 19, 261, 15, 95, 783, 4959)  # fixed values: cluster shapes with a name
 
 
-@query("cluster_shape_summary", _sql("SELECT dut, CASE WHEN cluster_shape IN (1, 3, 5, 6, 9, 13, 14, 7, 19, 261, 95, 783, 4959) THEN cluster_shape ELSE -1 END AS shape, count(*) AS n FROM tracks GROUP BY ALL"))
+@query("cluster_shape_summary", sql(f"WITH shapes AS ({_SHAPES}) SELECT dut, CASE WHEN cluster_shape IN (1, 3, 5, 6, 9, 13, 14, 7, 11, 19, 261, 15, 95, 783, 4959) THEN cluster_shape ELSE -1 END AS shape, count(*) AS n FROM shapes GROUP BY ALL"))
 def cluster_shape_summary(spark, sf_dir):
-    """Named shapes (here without 11 and 15) and one row for all others."""
-    named = [s for s in NAMED if s not in (11, 15)]
-    shape = F.when(F.col("cluster_shape").isin(named), F.col("cluster_shape")).otherwise(F.lit(-1).cast("long"))
-    return views.tracks(spark, sf_dir).groupBy("dut", shape.alias("shape")).agg(F.count("*").alias("n"))
+    """Named shapes and one row for all others, over the clusters of the hits."""
+    shape = F.when(F.col("cluster_shape").isin(*NAMED), F.col("cluster_shape")).otherwise(F.lit(-1).cast("long"))
+    return built(spark, sf_dir).groupBy("dut", shape.alias("shape")).agg(F.count("*").alias("n"))
 
 
 @query("cluster_errors", _sql("SELECT event_number, dut, ordinal, round(column_size / sqrt(12e0), 6) AS err_x, round(row_size / sqrt(12e0), 6) AS err_y FROM local_"))
@@ -106,13 +110,18 @@ def occupancy(spark, sf_dir):
     return occupancy_of(spark, sf_dir)
 
 
-@query("occupancy_projection", _sql(f"SELECT dut, 'column' AS axis, col AS bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN row_ <= 12 THEN n ELSE 0 END) AS BIGINT) AS n_unmasked FROM ({OCC}) AS o GROUP BY ALL UNION ALL SELECT dut, 'row', row_, CAST(sum(n) AS BIGINT), CAST(sum(CASE WHEN row_ <= 12 THEN n ELSE 0 END) AS BIGINT) FROM ({OCC}) AS o GROUP BY ALL"))
+@query("occupancy_projection", _sql(f"""
+    WITH occ AS ({OCC}), sums AS (SELECT dut, 'column' AS axis, col AS bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN row_ <= 12 THEN n ELSE 0 END) AS BIGINT) AS n_unmasked FROM occ GROUP BY ALL
+      UNION ALL SELECT dut, 'row', row_, CAST(sum(n) AS BIGINT), CAST(sum(CASE WHEN row_ <= 12 THEN n ELSE 0 END) AS BIGINT) FROM occ GROUP BY ALL)
+    SELECT *, round(quantile_cont(n, 0.99) OVER (PARTITION BY dut, axis), 6) AS scale, round(quantile_cont(n_unmasked, 0.99) OVER (PARTITION BY dut, axis), 6) AS scale_unmasked FROM sums"""))
 def occupancy_projection(spark, sf_dir):
-    """Sums over columns and rows, with and without masked pixels (rows above 12)."""
+    """Sums over columns and rows, with and without masked pixels (rows above 12), and the 99 % scale of each projection."""
     occ = occupancy_of(spark, sf_dir)
     axes = F.explode(F.array(F.struct(F.lit("column").alias("axis"), F.col("col").alias("bin")), F.struct(F.lit("row").alias("axis"), F.col("row_").alias("bin"))))
     rows = occ.withColumn("a", axes).select("dut", "a.axis", "a.bin", "n", (F.col("row_") <= 12).alias("ok"))
-    return rows.groupBy("dut", "axis", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("n_unmasked"))
+    sums = rows.groupBy("dut", "axis", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("n_unmasked"))
+    w = Window.partitionBy("dut", "axis")  # as many rows as the matrix has columns or rows
+    return sums.withColumns({f"scale{k}": F.round(F.percentile(f"n{k}", F.lit(0.99)).over(w), 6) for k in ("", "_unmasked")})
 
 
 _MED = f"""WITH occ AS ({OCC}), med AS (SELECT a.dut, a.col, a.row_, a.n, coalesce(list_sort(list(b.n) || [0 FOR x IN range(0, 9 - CAST(count(*) AS INT))])[5], 0) AS expected
@@ -131,11 +140,25 @@ def noise_std(spark, sf_dir):
     return known.groupBy("dut").agg(F.round(F.stddev_pop((F.col("n") - F.col("expected")) / F.sqrt("n")), 6).alias("sigma"))
 
 
-@query("noisy_pixels", _sql(f"""{_MED}, s AS (SELECT dut, stddev_pop((n - expected) / sqrt(n)) AS sigma FROM med GROUP BY dut)
-    SELECT dut, col, row_ FROM med JOIN s USING (dut) WHERE (n - expected) / sqrt(n) > 2 * sigma"""))
+def _noise_sql(rounds: int) -> str:
+    """The rounds one after another: a plane that finds no new pixel stands still, so further rounds change nothing."""
+    steps = [f"r0 AS MATERIALIZED (SELECT dut, col, row_, n, false AS masked FROM ({OCC}) AS o)"]
+    for k in range(rounds):
+        steps += [
+            f"""e{k} AS MATERIALIZED (SELECT a.dut, a.col, a.row_, a.n, a.masked, coalesce(list_sort(list(b.n) || [0 FOR x IN range(0, 9 - CAST(count(*) AS INT))])[5], 0) AS e
+              FROM r{k} AS a JOIN r{k} AS b ON a.dut = b.dut AND abs(a.col - b.col) <= 1 AND abs(a.row_ - b.row_) <= 1 GROUP BY ALL)""",
+            f"s{k} AS (SELECT dut, stddev_pop(CASE WHEN n <> 0 THEN (n - e) / sqrt(n) END) AS sigma FROM e{k} GROUP BY dut)",
+            f"f{k} AS MATERIALIZED (SELECT e{k}.*, coalesce(n <> 0 AND (n - e) / sqrt(greatest(n, 1)) > 2 * sigma, false) AS found FROM e{k} JOIN s{k} USING (dut))",
+            f"v{k} AS (SELECT dut, bool_or(found AND NOT masked) AS live FROM f{k} GROUP BY dut)",
+            f"r{k + 1} AS MATERIALIZED (SELECT dut, col, row_, CASE WHEN live AND (masked OR found) THEN e ELSE n END AS n, masked OR live AND found AS masked FROM f{k} JOIN v{k} USING (dut))",
+        ]
+    return f"WITH {', '.join(steps)} SELECT dut, col, row_ FROM r{rounds} WHERE masked"
+
+
+@query("noisy_pixels", _sql(_noise_sql(12)))
 def noisy_pixels(spark, sf_dir):
-    """One round with a threshold of two sigmas."""
-    return H.noise_mask(occupancy_of(spark, sf_dir), ["dut"], 2.0, 3, 1).where("masked").select("dut", "col", "row_")
+    """Pixels two sigmas above their neighbourhood, in rounds until no plane finds a new one (twelve in the SQL, of which the last ones change nothing)."""
+    return H.noise_mask(occupancy_of(spark, sf_dir), ["dut"], 2.0, 3).where("masked").select("dut", "col", "row_")
 
 
 @query("unique_neighbours", _sql(f"WITH occ AS ({OCC}) SELECT a.dut, a.col, a.row_, count(DISTINCT b.n) AS n_unique FROM occ AS a JOIN occ AS b ON a.dut = b.dut AND abs(a.col - b.col) <= 1 AND abs(a.row_ - b.row_) <= 1 GROUP BY ALL"))
@@ -143,24 +166,23 @@ def unique_neighbours(spark, sf_dir):
     return H.stencil(occupancy_of(spark, sf_dir), ["dut"], 3).groupBy("dut", "col", "row_").agg(F.countDistinct("n2").alias("n_unique"))
 
 
-@query("nearest_fill", _sql(f"""WITH occ AS ({OCC} HAVING ("column" + "row") % 3 = 0), want AS (SELECT d AS dut, c AS col, r AS row_ FROM (SELECT unnest([0, 1, 2]) AS d), (SELECT CAST(unnest(range(1, 17)) AS INT) AS c), (SELECT CAST(unnest(range(1, 17)) AS INT) AS r))
-    SELECT w.dut, w.col, w.row_, (SELECT o.n FROM occ AS o WHERE o.dut = w.dut AND abs(o.col - w.col) <= 2 AND abs(o.row_ - w.row_) <= 2 ORDER BY (o.col - w.col) ** 2 + (o.row_ - w.row_) ** 2, o.col, o.row_ LIMIT 1) AS n FROM want AS w"""))
+@query("nearest_fill", _sql(f"""WITH occ AS ({OCC} HAVING "column" % 9 = 0 AND "row" % 5 = 0), want AS (SELECT d AS dut, c AS col, r AS row_ FROM (SELECT unnest([0, 1, 2]) AS d), (SELECT CAST(unnest(range(1, 17)) AS INT) AS c), (SELECT CAST(unnest(range(1, 17)) AS INT) AS r))
+    SELECT w.dut, w.col, w.row_, (SELECT o.n FROM occ AS o WHERE o.dut = w.dut ORDER BY (o.col - w.col) ** 2 + (o.row_ - w.row_) ** 2, o.col, o.row_ LIMIT 1) AS n FROM want AS w"""))
 def nearest_fill(spark, sf_dir):
-    """A third of the pixels known, the others filled from the nearest."""
-    occ = occupancy_of(spark, sf_dir).where("(col + row_) % 3 = 0")
+    """A few pixels known, the others filled from the nearest, however far."""
+    occ = occupancy_of(spark, sf_dir).where("col % 9 = 0 AND row_ % 5 = 0")
     grid = spark.range(3 * 256).select((F.col("id") % 3).cast("int").alias("dut"), (F.floor(F.col("id") / 3) % 16 + 1).cast("int").alias("col"), (F.floor(F.col("id") / 48) + 1).cast("int").alias("row_"))
-    return H.nearest_fill(occ, grid, ["dut"], 2)
+    return H.nearest_fill(occ, grid, ["dut"])
 
 
 @query("hit_pattern", sql("""
-    SELECT s.dut, h."column" - s.c AS d_column, h."row" - s.r AS d_row, count(*) AS n
-    FROM (SELECT event_number, dut, cluster_id, arg_max("column", charge * 1000 - ordinal) AS c, arg_max("row", charge * 1000 - ordinal) AS r FROM cluster_hits GROUP BY ALL) AS s
-    JOIN cluster_hits AS h ON s.event_number = h.event_number AND s.dut = h.dut AND s.cluster_id = h.cluster_id GROUP BY ALL"""))
+    WITH places AS (SELECT event_number, dut, cluster_id, CAST(floor(avg("column") / 5e-1) AS INT) AS bx, CAST(floor(avg("row") / 5e-1) AS INT) AS by_ FROM cluster_hits GROUP BY ALL),
+      counts AS (SELECT p.dut, bx, by_, h."column" - CAST(floor((bx + 5e-1) * 5e-1 + 5e-1) AS INT) AS d_column, h."row" - CAST(floor((by_ + 5e-1) * 5e-1 + 5e-1) AS INT) AS d_row, count(*) AS n
+        FROM places AS p JOIN cluster_hits AS h ON p.event_number = h.event_number AND p.dut = h.dut AND p.cluster_id = h.cluster_id GROUP BY ALL),
+      near AS (SELECT * FROM counts WHERE abs(d_column) <= 5 AND abs(d_row) <= 5)
+    SELECT *, row_number() OVER (PARTITION BY dut, bx, by_ ORDER BY n DESC, d_column, d_row) = 1 AS mode FROM near"""))
 def hit_pattern(spark, sf_dir):
-    """Pixels of clusters relative to the seed."""
+    """For each bin of half a pixel in which a cluster lies: its hits' pixels relative to the pixel under the bin's centre, in a window of 11 x 11, and which is the most frequent."""
     rows = clustered(spark, sf_dir)
-    seeds = C.build_clusters(rows).select(*KEY, "seed_column", "seed_row")
-    d = (F.col("column") - F.col("seed_column")).alias("d_column"), (F.col("row") - F.col("seed_row")).alias("d_row")
-    return rows.join(seeds, KEY).groupBy("dut", *d).agg(F.count("*").alias("n"))
-
-
+    at = {n: F.floor(F.col(f"mean_{c}") / 0.5).cast("int").alias(n) for n, c in (("bx", "column"), ("by_", "row"))}
+    return R.hit_pattern(rows, C.build_clusters(rows).select(*KEY, *at.values()), KEY, 0.5, 0.0, 5)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitloom.functions import expressions as X
 from hitloom.functions import geometry as G
 from hitloom.functions.expressions import r6
+from hitloom.operators import clusters as C
 from hitloom.operators import joins as J
 from hitloom.operators.selection import isolation_flags, query_filter, select_tracks
-from hitloom.plans.positions import plane_tracks, sql
+from hitloom.plans.clusters import clustered, sql as cluster_sql
+from hitloom.plans.positions import DIAMONDS, global_hits, plane_tracks, sql
 from hitloom.plans.registry import query
 from hitloom.sources import views
 
@@ -62,17 +66,30 @@ def lookup_join(spark, sf_dir):
     return J.lookup(h.where("dut = 0").select(*TK), h.where("dut = 1"), TK, "charge", fill=-1.0)
 
 
-@query("plane_correlation", sql('SELECT a.dut AS ref, b.dut, CAST(floor(a."column" / 2) AS BIGINT) AS bin_ref, CAST(floor(b."column" / 2) AS BIGINT) AS bin, count(*) AS n FROM hits AS a JOIN hits AS b ON a.event_number = b.event_number AND a.dut <> b.dut AND a.dut IN (0, 1) GROUP BY ALL'))
+_EXTENT = """SELECT dut, """ + ", ".join(f"max(c{a}) - min(c{a}) AS size_{a}" for a in "xy") + """ FROM (
+      SELECT dut, """ + ", ".join(f"r{i}1 * p * column_size * n_columns * 5e-1 + r{i}2 * q * row_size * n_rows * 5e-1 + t{a} AS c{a}" for i, a in enumerate("xy", 1)) + """
+      FROM geo, (VALUES (-1), (1)) AS s(p), (VALUES (-1), (1)) AS t(q)) AS corners GROUP BY dut"""
+_PLACED = "CAST(floor((g{a} - (t{a} - ceil(size_{a} / 100) * 50)) / 100) AS BIGINT)"
+
+
+@query("plane_correlation", sql(f"""
+    WITH extents AS ({_EXTENT}),
+      bins AS (SELECT event_number, dut, 'column' AS axis, CAST(floor("column" / 2) AS BIGINT) AS bin FROM hits UNION ALL SELECT event_number, dut, 'row', CAST(floor("row" / 2) AS BIGINT) FROM hits
+        {" ".join(f"UNION ALL SELECT event_number, dut, '{a}', b FROM (SELECT event_number, dut, size_{a}, {_PLACED.format(a=a)} AS b FROM global_ JOIN extents USING (dut)) AS t WHERE b >= 0 AND b < ceil(size_{a} / 100)" for a in "xy")})
+    SELECT a.dut AS ref, b.dut, a.axis, a.bin AS bin_ref, b.bin, count(*) AS n FROM bins AS a JOIN bins AS b ON a.event_number = b.event_number AND a.axis = b.axis AND a.dut <> b.dut AND a.dut IN (0, 1) GROUP BY ALL"""))
 def plane_correlation(spark, sf_dir):
-    return J.plane_pairs(views.hits(spark, sf_dir), F.floor(F.col("column") / 2), [0, 1])
+    """By indices (two pixels a bin) and by global positions (100 micrometres a bin, over each plane's extent), on both axes in one pass."""
+    bins = {"column": F.floor(F.col("column") / 2), "row": F.floor(F.col("row") / 2)} | {a: G.extent_bin(F.col(f"g{a}"), i, 100.0) for i, a in enumerate("xy")}
+    return J.plane_correlation(global_hits(spark, sf_dir), bins, [0, 1])
 
 
-@query("event_correlation", sql('SELECT a."column" AS early, b."column" AS late, count(*) AS n FROM hits AS a JOIN hits AS b ON a.dut = 0 AND b.dut = 0 AND a.event_number >= b.event_number - 3 AND a.event_number < b.event_number GROUP BY ALL'))
+@query("event_correlation", sql("""
+    WITH bins AS (SELECT event_number, dut, 'column' AS axis, CAST("column" AS BIGINT) AS bin FROM hits UNION ALL SELECT event_number, dut, 'row', CAST("row" AS BIGINT) FROM hits)
+    SELECT a.dut, a.axis, a.bin AS early, b.bin AS late, count(*) AS n FROM bins AS a JOIN (SELECT *, unnest([1, 2, 3]) AS back FROM bins) AS b
+      ON a.dut = b.dut AND a.axis = b.axis AND a.event_number = b.event_number - b.back GROUP BY ALL"""))
 def event_correlation(spark, sf_dir):
-    """Columns of each plane in an event and the three before it, summed per event first; the SQL has plane 0 only."""
-    cells = views.hits(spark, sf_dir).groupBy("event_number", "dut", "column").agg(F.count("*").alias("n"))
-    pairs = J.band_pairs(cells, 3, same=("dut",))
-    return pairs.groupBy("dut", F.col("column_early").alias("early"), F.col("column").alias("late")).agg(F.sum(F.col("n") * F.col("n_early")).alias("n"))
+    """Columns and rows of each plane in an event and the three before it, summed per event first."""
+    return J.event_correlation(views.hits(spark, sf_dir), {"column": F.col("column"), "row": F.col("row")}, 3)
 
 
 @query("isolation_flags", sql("""
@@ -92,13 +109,26 @@ def nearest_pixel(spark, sf_dir):
     return t.where(inside).select(*TK, "dut", (F.floor(F.col("ix") / 18.4 + 576) + 1).cast("int").alias("col"), (F.floor(F.col("iy") / 18.4 + 288) + 1).cast("int").alias("row_"))
 
 
+@query("nearest_pixel_irregular")
+def nearest_pixel_irregular(spark, sf_dir):
+    """Crossing points to the pixels of two diamond sensors (planes by turns), met over a grid; without SQL, as a nested loop over all pixels is too slow."""
+    planes = [replace(DIAMONDS[i % 2], dut=i) for i in range(6)]
+    pixels = G.pixel_positions(spark, planes, {p.dut: (p.name, (38, 140)) for p in planes})
+    t = views.tracks(spark, sf_dir).select(*TK, "dut", "ix", "iy")
+    found = J.nearest_pixel(t, pixels, "ix", "iy", 500.0, 40 * 250.0, 168 * 50.0)
+    return found.select(*TK, "dut", F.col("column").alias("col"), F.col("row").alias("row_"))
+
+
 @query("nearest_value", sql("""
-    SELECT event_number, ordinal, (SELECT v FROM (VALUES (1), (4), (9), (16)) AS g(v) ORDER BY abs(v - "column"), v DESC LIMIT 1) AS nearest FROM hits WHERE dut = 1"""))
+    SELECT h.event_number, h.ordinal, h.dut, max((SELECT v FROM (VALUES (1), (4), (9), (16)) AS g(v) ORDER BY abs(v - h."column"), v DESC LIMIT 1)) AS nearest,
+      arg_min(p."column", abs(p."column" - h."column") * 1000 - p."column") AS nearest_hit
+    FROM hits AS h LEFT JOIN (SELECT * FROM hits WHERE dut = 0) AS p ON p.event_number = h.event_number GROUP BY h.event_number, h.ordinal, h.dut"""))
 def nearest_value(spark, sf_dir):
-    """Columns to the nearest of 1, 4, 9, 16, keyed by event and plane so that no window spans the table; the SQL has plane 1 only."""
+    """Columns to the nearest of a fixed list, and to the nearest column that plane 0 has in the event (null: none)."""
     h = views.hits(spark, sf_dir).select("event_number", "dut", "ordinal", "column")
-    grid = h.select("event_number", "dut").distinct().withColumn("v", F.explode(F.array(*map(F.lit, (1, 4, 9, 16)))))
-    return J.nearest_value(h, "column", grid, ["event_number", "dut"]).select(*TK, "dut", "nearest")
+    own = h.withColumn("nearest", J.nearest_of(F.col("column"), [1, 4, 9, 16]))
+    grid = h.where("dut = 0").select("event_number", F.col("column").alias("v"))
+    return J.nearest_value(own, "column", grid, ["event_number"]).select(*TK, "dut", "nearest", F.col("nearest_").alias("nearest_hit"))
 
 
 DISABLED = [(0, 3, 4), (1, 5, 5), (2, 1, 16), (2, 8, 8)]
@@ -114,13 +144,11 @@ def disabled_pixel_anti(spark, sf_dir):
     return views.hits(spark, sf_dir).join(F.broadcast(disabled(spark)), ["dut", "column", "row"], "left_anti").select("event_number", "dut", "ordinal")
 
 
-@query("noisy_cluster_drop", sql('SELECT event_number, dut, "column" AS col, count(*) AS n_hits FROM hits GROUP BY ALL HAVING max(CASE WHEN "row" > 12 THEN 0 ELSE 1 END) = 1'))
+@query("noisy_cluster_drop", cluster_sql('SELECT event_number, dut, ordinal, cluster_id FROM (SELECT *, max(CASE WHEN "row" > 12 THEN 0 ELSE 1 END) OVER (PARTITION BY event_number, dut, cluster_id) AS good FROM cluster_hits) AS t WHERE good = 1'))
 def noisy_cluster_drop(spark, sf_dir):
-    """Groups of hits (here one column of an event) of which every pixel is noisy (rows above 12) are dropped."""
-    noisy = spark.range(256).select((F.col("id") % 16 + 1).cast("int").alias("column"), (F.floor(F.col("id") / 16) + 1).cast("int").alias("row")).where("row > 12").withColumn("noisy", F.lit(1))
-    rows = views.hits(spark, sf_dir).join(F.broadcast(noisy), ["column", "row"], "left")
-    out = rows.groupBy("event_number", "dut", F.col("column").alias("col")).agg(F.count("*").alias("n_hits"), F.min(F.coalesce("noisy", F.lit(0))).alias("noisy"))
-    return out.where("noisy = 0").drop("noisy")
+    """Hits of clusters of which not every pixel is noisy (rows above 12)."""
+    noisy = spark.range(256).select((F.col("id") % 16 + 1).cast("int").alias("column"), (F.floor(F.col("id") / 16) + 1).cast("int").alias("row"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("dut")).where("row > 12")
+    return C.drop_noisy(clustered(spark, sf_dir), noisy).select("event_number", "dut", "ordinal", "cluster_id")
 
 
 @query("enabled_pixel_filter", sql("SELECT event_number, ordinal, dut FROM tracks WHERE NOT (CAST(floor(ix / 184e-1 + 576) + 1 AS INT) % 7 = 3 AND CAST(floor(iy / 184e-1 + 288) + 1 AS INT) % 5 = 2)"))
@@ -138,19 +166,28 @@ def pixel_neighbour_pairs(spark, sf_dir):
     return J.close_pairs(views.hits(spark, sf_dir), near, ["event_number", "dut"])
 
 
-@query("residual_pairs", sql("""
-    WITH t AS (SELECT event_number, ordinal, ix AS x, iy AS y, x - ix AS r FROM tracks WHERE dut = 2 AND x IS NOT NULL), refs AS (SELECT * FROM t ORDER BY event_number, ordinal LIMIT 200)
-    SELECT a.event_number AS e1, a.ordinal AS o1, b.event_number AS e2, b.ordinal AS o2, CAST(floor(abs(a.x - b.x) / 10) AS INT) AS bin
-    FROM refs AS a JOIN t AS b ON b.event_number > a.event_number AND abs(a.x - b.x) <= 100 AND abs(a.y - b.y) < 5"""))
+LATER = "b.event_number > a.event_number AND abs(a.{u} - b.{u}) <= {far} AND abs(a.{v} - b.{v}) < 5"
+#: The tracks of plane 2 met in a grid, as SQL: each goes to its cell and the eight around it.
+GRID_SQL = """t AS (SELECT event_number, ordinal, ix AS x, iy AS y, x - ix AS rx, y - iy AS ry FROM tracks WHERE dut = 2 AND x IS NOT NULL),
+      steps AS (SELECT i, j FROM (VALUES (-1), (0), (1)) AS p(i), (VALUES (-1), (0), (1)) AS q(j))"""
+
+
+def grid_pairs_sql(u: str, v: str, far: int) -> str:
+    return f"""(SELECT *, floor({u} / {far}) + i AS cu, floor({v} / 5e0) + j AS cv FROM t, steps) AS a JOIN t AS b
+      ON a.cu = floor(b.{u} / {far}) AND a.cv = floor(b.{v} / 5e0) AND {LATER.format(u=u, v=v, far=far)}"""
+
+
+@query("residual_pairs", sql(f"""
+    WITH {GRID_SQL} SELECT 'x' AS axis, a.event_number AS e1, a.ordinal AS o1, b.event_number AS e2, b.ordinal AS o2, CAST(floor(abs(a.x - b.x) / 10) AS INT) AS bin FROM {grid_pairs_sql("x", "y", 100)}
+    UNION ALL SELECT 'y', a.event_number, a.ordinal, b.event_number, b.ordinal, CAST(floor(abs(a.y - b.y) / 10) AS INT) FROM {grid_pairs_sql("y", "x", 100)}"""))
 def residual_pairs(spark, sf_dir):
-    """Every track with the tracks of later events close to it, met in a grid of 100 by 5 micrometres.
+    """Every track with the tracks of later events close to it along x, and those along y, met in a grid of 100 by 5 micrometres."""
+    t = plane_2(spark, sf_dir)
+    return J.later_pairs(t, "x", 100.0, 10.0).unionByName(J.later_pairs(t, "y", 100.0, 10.0)).select("axis", "e1", "o1", "e2", "o2", "bin")
 
-    The SQL has the first 200 tracks as references and differs on tables with more.
-    """
-    t = views.tracks(spark, sf_dir).where("dut = 2 AND x IS NOT NULL").select("event_number", "ordinal", F.col("ix").alias("x"), F.col("iy").alias("y"))
-    dx = F.abs(F.col("a.x") - F.col("b.x"))
-    near = (F.col("b.event_number") > F.col("a.event_number")) & (dx <= 100) & (F.abs(F.col("a.y") - F.col("b.y")) < 5)
-    return J.grid_pairs(t, t, 100.0, near, 5.0).select(F.col("a.event_number").alias("e1"), F.col("a.ordinal").alias("o1"), F.col("b.event_number").alias("e2"), F.col("b.ordinal").alias("o2"), F.floor(dx / 10).cast("int").alias("bin"))
+
+def plane_2(spark, sf_dir):
+    return views.tracks(spark, sf_dir).where("dut = 2 AND x IS NOT NULL").select(*TK, F.col("ix").alias("x"), F.col("iy").alias("y"), (F.col("x") - F.col("ix")).alias("rx"), (F.col("y") - F.col("iy")).alias("ry"))
 
 
 @query("residuals", sql("SELECT event_number, ordinal, dut, round(x - ix, 6) + 0e0 AS rx, round(y - iy, 6) + 0e0 AS ry, round(sqrt((x - ix) * (x - ix) + (y - iy) * (y - iy)), 6) AS distance FROM tracks WHERE x IS NOT NULL AND chi2 IS NOT NULL"))
@@ -199,7 +236,7 @@ def fit_candidate_filter(spark, sf_dir):
     return track_flags(spark, sf_dir).where(F.bit_count(F.col("hit_flag").bitwiseAND(F.lit(31).cast("long"))) >= 5).select(*TK)
 
 
-SHAPES = (1, 3, 5, 13, 14, 7, 11, 15)
+SHAPES = (1, 3, 5, 13, 14, 7, 11, 15)  # fixed values: cluster shapes that are used for alignment
 
 
 @query("alignment_track_filter", sql("SELECT event_number, ordinal, dut FROM tracks WHERE x IS NOT NULL AND chi_red < 3 AND cluster_shape IN (1, 3, 5, 13, 14, 7, 11, 15)"))
@@ -233,9 +270,27 @@ def first_last_plane(spark, sf_dir):
     return t.groupBy(*TK).agg(F.min_by("dut", "tz").alias("first_dut"), F.max_by("dut", "tz").alias("last_dut"))
 
 
-@query("fit_statistics", sql("""
-    SELECT dut, count(*) FILTER (h) AS with_hit, count(*) FILTER (h AND q) AS good, round(count(*) FILTER (h AND q) / CAST(count(*) FILTER (h) AS DOUBLE), 9) AS share
-    FROM (SELECT dut, x IS NOT NULL AS h, coalesce(abs(x - ix) <= 4 AND abs(y - iy) <= 3, false) AS q FROM tracks) AS t GROUP BY dut"""))
+_NEAR = """SELECT event_number, ordinal, dut, count(*) AS n FROM (SELECT a.event_number, a.ordinal, a.dut FROM tracks AS a JOIN tracks AS b ON a.event_number = b.event_number AND a.dut = b.dut AND a.ordinal <> b.ordinal
+      AND ((a.{x} - b.{x}) / 1000) ** 2 + ((a.{y} - b.{y}) / 1000) ** 2 <= 1) AS p GROUP BY ALL"""
+
+
+@query("fit_statistics", sql(f"""
+    WITH near_track AS ({_NEAR.format(x="ix", y="iy")}), near_hit AS ({_NEAR.format(x="x", y="y")}),
+      flags AS (SELECT t.dut, t.x IS NOT NULL AS h, coalesce(abs(t.x - ix) <= 4 AND abs(t.y - iy) <= 3, false) AS q, a.n IS NULL AS it, b.n IS NULL AS ih
+        FROM tracks AS t LEFT JOIN near_track AS a USING (event_number, ordinal, dut) LEFT JOIN near_hit AS b USING (event_number, ordinal, dut)),
+      sums AS (SELECT dut, count(*) AS n_tracks, count(*) FILTER (h) AS with_hit, count(*) FILTER (h AND q) AS good, count(*) FILTER (h AND it) AS single_track, count(*) FILTER (h AND ih) AS single_hit, count(*) FILTER (q AND it AND ih) AS all_three FROM flags GROUP BY dut)
+    SELECT *, {", ".join(f"round({k} / CAST({of} AS DOUBLE), 9) AS share_{k}" for k, of in (("with_hit", "n_tracks"), ("good", "with_hit"), ("single_track", "with_hit"), ("single_hit", "with_hit"), ("all_three", "n_tracks")))} FROM sums"""))
 def fit_statistics(spark, sf_dir):
-    t = views.tracks(spark, sf_dir).withColumns({"h": F.col("x").isNotNull(), "q": F.coalesce((F.abs(F.col("x") - F.col("ix")) <= 4) & (F.abs(F.col("y") - F.col("iy")) <= 3), F.lit(False))})
-    return t.groupBy("dut").agg(F.count_if("h").alias("with_hit"), F.count_if(F.col("h") & F.col("q")).alias("good")).withColumn("share", F.round(F.col("good") / F.col("with_hit"), 9))
+    """Shares per plane: tracks with a hit, and of these with a good one, with no other track and no other hit near; all three together of all tracks."""
+    t = views.tracks(spark, sf_dir)
+    alone = [isolation_flags(t, x, y, 1000.0, 1000.0).withColumnRenamed("isolated_flag", k) for k, x, y in (("it", "ix", "iy"), ("ih", "x", "y"))]
+    bit = F.expr("shiftleft(1L, dut)")
+    t = t.join(alone[0], TK, "left").join(alone[1], TK, "left").withColumns({
+        "h": F.col("x").isNotNull(), "q": F.coalesce((F.abs(F.col("x") - F.col("ix")) <= 4) & (F.abs(F.col("y") - F.col("iy")) <= 3), F.lit(False)),
+        "it": F.col("it").bitwiseAND(bit) != 0, "ih": F.col("x").isNull() | (F.col("ih").bitwiseAND(bit) != 0),
+    })
+    h, q, it, ih = (F.col(c) for c in ("h", "q", "it", "ih"))
+    counts = {"with_hit": h, "good": h & q, "single_track": h & it, "single_hit": h & ih, "all_three": q & it & ih}
+    sums = t.groupBy("dut").agg(F.count("*").alias("n_tracks"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+    of = {k: "n_tracks" if k in ("with_hit", "all_three") else "with_hit" for k in counts}
+    return sums.withColumns({f"share_{k}": F.round(F.col(k) / F.col(o), 9) for k, o in of.items()})

@@ -41,9 +41,12 @@ def plane_tracks(spark, sf_dir):
     return G.with_geometry(views.tracks(spark, sf_dir).drop("z"), G.geometry(spark, G.TRACK_PLANES))
 
 
-@query("index_to_local", sql("SELECT event_number, dut, ordinal, lx AS x, ly AS y FROM local_ WHERE \"column\" BETWEEN 1 AND n_columns AND \"row\" BETWEEN 1 AND n_rows"))
+@query("index_to_local", sql("SELECT event_number, dut, ordinal, lx AS x, ly AS y FROM local_"))
 def index_to_local(spark, sf_dir):
-    return local_hits(spark, sf_dir).where(G.in_matrix(F.col("column"), F.col("row"))).select(*KEYS, F.col("lx").alias("x"), F.col("ly").alias("y"))
+    """An index outside its plane's matrix is an error."""
+    rows = G.with_geometry(views.hits(spark, sf_dir), G.geometry(spark, G.HIT_PLANES))
+    x, y = G.local_from_index(F.col("column"), F.col("row"), strict=True)
+    return rows.select(*KEYS, x.alias("x"), y.alias("y"))
 
 
 @query("local_to_index", sql('SELECT event_number, dut, ordinal, round(lx / column_size + 5e-1 + n_columns * 5e-1, 6) AS column_f, CAST(floor(ly / row_size + 5e-1 + n_rows * 5e-1 + 1e-9) AS INT) AS row_i FROM local_'))
@@ -80,22 +83,20 @@ def global_to_index(spark, sf_dir):
     return global_hits(spark, sf_dir).select(*KEYS, F.round(c).cast("int").alias("col"), F.round(r).cast("int").alias("row_"))
 
 
-CORNERS = ", ".join(f"({a} * column_size * n_columns * 5e-1, {b} * row_size * n_rows * 5e-1)" for a in (-1, 1) for b in (-1, 1))
-
-
 @query("plane_extent", sql(f"""
-    SELECT dut, count(*) AS n_hits, round(min(r11 * u + r12 * v + tx), 6) + 0e0 AS x_lo, round(max(r11 * u + r12 * v + tx), 6) + 0e0 AS x_hi,
-      round(min(r21 * u + r22 * v + ty), 6) + 0e0 AS y_lo, round(max(r21 * u + r22 * v + ty), 6) + 0e0 AS y_hi
-    FROM (SELECT geo.*, a * column_size * n_columns * 5e-1 AS u, b * row_size * n_rows * 5e-1 AS v
-      FROM geo, (VALUES (-1), (1)) AS p(a), (VALUES (-1), (1)) AS q(b)) AS c JOIN hits USING (dut) GROUP BY dut"""))
+    WITH corners AS (SELECT geo.*, a * column_size * n_columns * 5e-1 AS u, b * row_size * n_rows * 5e-1 AS v FROM geo, (VALUES (-1), (1)) AS p(a), (VALUES (-1), (1)) AS q(b)),
+      extents AS (SELECT dut, min(u) AS local_x_lo, max(u) AS local_x_hi, min(v) AS local_y_lo, max(v) AS local_y_hi,
+        {", ".join(f"round({f}(r{i}1 * u + r{i}2 * v + t{a}), 6) + 0e0 AS {a}_{n}" for i, a in enumerate("xyz", 1) for n, f in (("lo", "min"), ("hi", "max")))} FROM corners GROUP BY dut),
+      held AS (SELECT dut, count(*) AS n_hits FROM hits GROUP BY dut)
+    SELECT * FROM extents JOIN held USING (dut)"""))
 def plane_extent(spark, sf_dir):
-    """Global extent of each plane from its corners, with the number of hits it holds (four rows a hit, as in the oracle)."""
-    half = [(a * F.col("column_size") * F.col("n_columns") * 0.5, b * F.col("row_size") * F.col("n_rows") * 0.5) for a in (-1, 1) for b in (-1, 1)]
-    corner = [G.to_global(u, v, F.lit(0.0)) for u, v in half]
-    out = {f"{n}_{e}": r6(f(*(c[i] for c in corner))) for i, n in enumerate("xy") for e, f in (("lo", F.least), ("hi", F.greatest))}
-    geo = G.geometry(spark, G.HIT_PLANES).select("dut", *(v.alias(f"e_{k}") for k, v in out.items()))
-    n = views.hits(spark, sf_dir).groupBy("dut").agg((4 * F.count("*")).alias("n_hits"))
-    return n.join(F.broadcast(geo), "dut").select("dut", "n_hits", *(F.col(f"e_{k}").alias(k) for k in out))
+    """Local and global extent of each plane from its corners, with the number of hits it holds."""
+    geo = G.geometry(spark, G.HIT_PLANES)
+    half = {"x": F.col("column_size") * F.col("n_columns") * 0.5, "y": F.col("row_size") * F.col("n_rows") * 0.5}
+    out = {f"local_{a}_{n}": s * h for a, h in half.items() for n, s in (("lo", -1), ("hi", 1))}
+    out |= {f"{a}_{n}": r6(v) for i, a in enumerate("xyz") for n, v in zip(("lo", "hi"), G.extent(i), strict=True)}
+    n = views.hits(spark, sf_dir).groupBy("dut").agg(F.count("*").alias("n_hits"))
+    return n.join(F.broadcast(geo.select("dut", *(v.alias(f"e_{k}") for k, v in out.items()))), "dut").select("dut", "n_hits", *(F.col(f"e_{k}").alias(k) for k in out))
 
 
 @query("primitive_cell", sql("""
@@ -154,18 +155,18 @@ def limit_filter(spark, sf_dir):
     return local_hits(spark, sf_dir).where(G.within_limits(F.col("lx"), F.col("ly"))).select(*KEYS)
 
 
-_MODELS_SQL = ", ".join(f"({i}, '{n}', CAST({v[0]!r} AS DOUBLE), CAST({v[1]!r} AS DOUBLE), {v[2]}, {v[3]})" for i, (n, v) in enumerate(G.MODELS.items()))
+_MODELS_SQL = ", ".join(f"({i}, '{n}', CAST({v[0]!r} AS DOUBLE), CAST({v[1]!r} AS DOUBLE), {v[2]}, {v[3]}, {v[4]}, {v[5]})" for i, (n, v) in enumerate(G.MODELS.items()))
 
 
 @query("detector_models", sql(f"""
-    SELECT name AS model, column_size, row_size, n_columns, n_rows, count(*) AS n_parts
-    FROM (VALUES {_MODELS_SQL}) AS m(i, name, column_size, row_size, n_columns, n_rows) JOIN part ON p_partkey % {len(G.MODELS)} = i GROUP BY ALL"""))
+    SELECT name AS model, column_size, row_size, n_columns, n_rows, cell_columns, cell_rows, count(*) AS n_parts
+    FROM (VALUES {_MODELS_SQL}) AS m(i, name, column_size, row_size, n_columns, n_rows, cell_columns, cell_rows) JOIN part ON p_partkey % {len(G.MODELS)} = i GROUP BY ALL"""))
 def detector_models(spark, sf_dir):
     """Parts dealt to detector models, with the models' constants attached."""
     rows = [(i, n, *v) for i, (n, v) in enumerate(G.MODELS.items())]
-    models = spark.createDataFrame(rows, "i long, model string, column_size double, row_size double, n_columns int, n_rows int")
+    models = spark.createDataFrame(rows, "i long, model string, column_size double, row_size double, n_columns int, n_rows int, cell_columns int, cell_rows int")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy((F.col("p_partkey") % len(rows)).alias("i")).agg(F.count("*").alias("n_parts"))
-    return parts.join(F.broadcast(models), "i").drop("i").select("model", "column_size", "row_size", "n_columns", "n_rows", "n_parts")
+    return parts.join(F.broadcast(models), "i").drop("i").select("model", "column_size", "row_size", "n_columns", "n_rows", "cell_columns", "cell_rows", "n_parts")
 
 
 @query("geometry_dim", sql("SELECT dut, name, column_size, row_size, n_columns, n_rows, tx, ty, tz, x_lo, x_hi, CAST(count(*) AS BIGINT) AS n_hits FROM geo JOIN hits USING (dut) GROUP BY ALL"))
@@ -179,16 +180,37 @@ def geometry_join(spark, sf_dir):
     return G.with_geometry(views.hits(spark, sf_dir), G.geometry(spark, G.HIT_PLANES)).select(*KEYS, "name", "column_size", "tz")
 
 
-@query("pixel_position_lookup", sql("""
-    WITH lut AS (SELECT c, r, (c - 85e-1) * 100 + CASE WHEN r % 2 = 0 THEN 25e0 ELSE -25e0 END AS px, (r - 85e-1) * 50 + CASE WHEN c % 3 = 0 THEN 5e0 ELSE 0e0 END AS py
-      FROM (SELECT unnest(range(1, 17)) AS c), (SELECT unnest(range(1, 17)) AS r))
-    SELECT event_number, dut, ordinal, px AS x, py AS y FROM hits JOIN lut ON "column" = c AND "row" = r"""))
+#: First pixel of the diamonds of the queries, and their planes.
+SENSOR_AT = (3, 2)
+DIAMONDS = [G.Plane(i, name).of_model(name) for i, name in enumerate(("Diamond3D", "DiamondPseudo3D"))]
+
+
+def _diamond_sql(model: str) -> str:
+    """x and y of pixel (c, r) of a diamond; i and j count from the sensor's first pixel."""
+    width, square, height = G.SENSOR
+    defects = " OR ".join(f"i BETWEEN {a} AND {b - 1} AND j BETWEEN {c} AND {d - 1}" for a, b, c, d in G.DEFECTS[model]) or "false"
+    on = f"i BETWEEN 0 AND {width - 1} AND NOT ({defects})"
+    parts = [[], []]
+    for axis in (0, 1):
+        for (i, j), v in G.SQUARE_CELLS[model].items():
+            parts[axis].append(f"WHEN {on} AND j BETWEEN 0 AND {square - 1} AND i % 4 = {i} AND j % 2 = {j} THEN CAST({v[axis]!r} AS DOUBLE)")
+        for k, v in enumerate(G.HEXAGONS):
+            which = "" if k < 3 else " AND i % 4 IN (1, 2)"
+            sign = "" if axis else "CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * "
+            parts[axis].append(f"WHEN {on} AND j BETWEEN {square} AND {height - 1} AND (j - {square}) % 4 = {k}{which} THEN {sign}CAST({v[axis]!r} AS DOUBLE)")
+    case = lambda axis: "CASE " + " ".join(parts[axis]) + " ELSE 0e0 END"
+    return f"(c - 405e-1) * 250 + CASE WHEN c % 2 = 1 THEN -100 ELSE 100 END + {case(0)} AS x, (r - 1685e-1) * 50 + {case(1)} AS y"
+
+
+@query("pixel_position_lookup", sql(f"""
+    WITH p AS (SELECT event_number, dut AS plane, ordinal, "column" AS c, ("row" - 1) * 4 + frame % 4 + 1 AS r, "column" - {SENSOR_AT[0]} AS i, ("row" - 1) * 4 + frame % 4 + 1 - {SENSOR_AT[1]} AS j FROM hits)
+    SELECT event_number, plane, ordinal, model, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y FROM (SELECT *, 'Diamond3D' AS model, {_diamond_sql("Diamond3D")} FROM p
+      UNION ALL SELECT *, 'DiamondPseudo3D', {_diamond_sql("DiamondPseudo3D")} FROM p) AS t"""))
 def pixel_position_lookup(spark, sf_dir):
-    """Irregular pixel centres from a table of pixels: rows alternate in x, every third column is shifted in y."""
-    pixels = spark.range(256).select((F.col("id") % 16 + 1).cast("int").alias("column"), (F.floor(F.col("id") / 16) + 1).cast("int").alias("row"))
-    x = (F.col("column") - 8.5) * 100 + F.when(F.col("row") % 2 == 0, 25.0).otherwise(-25.0)
-    y = (F.col("row") - 8.5) * 50 + F.when(F.col("column") % 3 == 0, 5.0).otherwise(0.0)
-    return views.hits(spark, sf_dir).join(F.broadcast(pixels.withColumns({"x": x, "y": y})), ["column", "row"]).select(*KEYS, "x", "y")
+    """Centres of the pixels of two diamond sensors, looked up in a table of all pixels of the matrix."""
+    pixels = G.pixel_positions(spark, DIAMONDS, {p.dut: (p.name, SENSOR_AT) for p in DIAMONDS}).withColumn("model", F.when(F.col("dut") == 0, DIAMONDS[0].name).otherwise(DIAMONDS[1].name))
+    rows = views.hits(spark, sf_dir).select("event_number", F.col("dut").alias("plane"), "ordinal", "column", ((F.col("row") - 1) * 4 + F.col("frame") % 4 + 1).alias("row"))
+    return rows.join(F.broadcast(pixels), ["column", "row"]).select("event_number", "plane", "ordinal", "model", r6(F.col("px")).alias("x"), r6(F.col("py")).alias("y"))
 
 
 @query("track_angles", sql("SELECT event_number, ordinal, dut, round(acos(abs(sz) / sqrt(sx * sx + sy * sy + sz * sz)), 6) + 0e0 AS total, round(atan2(sy, abs(sz)), 9) + 0e0 AS alpha, round(atan2(-sx, abs(sz)), 9) + 0e0 AS beta FROM tracks"))
@@ -259,9 +281,8 @@ def morton(spark, sf_dir):
     return rows.select(*KEYS, "code", x.cast("int").alias("x"), y.cast("int").alias("y"))
 
 
-@query("shape_to_pixels", sql("SELECT event_number, ordinal, dut, k AS pixel FROM tracks, (SELECT CAST(unnest(range(0, 63)) AS INT) AS k) WHERE (cluster_shape >> k) & 1 = 1 AND dut < 2"))
+@query("shape_to_pixels", sql("SELECT event_number, ordinal, dut, k AS pixel FROM tracks, (SELECT CAST(unnest(range(0, 63)) AS INT) AS k) WHERE (cluster_shape >> k) & 1 = 1"))
 def shape_to_pixels(spark, sf_dir):
-    """All planes; the SQL has the first two."""
     return views.tracks(spark, sf_dir).select("event_number", "ordinal", "dut", F.explode(X.shape_pixels(F.col("cluster_shape"))).alias("pixel"))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
 from hitloom.functions.expressions import r6
+from hitloom.operators import joins as J
 from hitloom.operators import selection
-from hitloom.plans.positions import global_hits, sql
+from hitloom.plans.positions import global_hits, local_hits, sql
 from hitloom.plans.registry import query
+from hitloom.runtime import Scratch
 from hitloom.sources import tables as T
 from hitloom.sources import views
 
@@ -35,10 +37,11 @@ def event_range_scan(spark, sf_dir):
     return T.event_range(views.hits(spark, sf_dir), 500, 3000).select(*K, "charge")
 
 
-@query("import_hits_rename", sql('SELECT event_number, frame % 16 AS frame, "column" AS col, charge FROM hits WHERE dut = 0'))
+@query("import_hits_rename", sql('SELECT event_number, dut, frame % 16 AS frame, "column" AS col, charge FROM hits'))
 def import_hits_rename(spark, sf_dir):
-    raw = views.hits(spark, sf_dir).where("dut = 0").withColumn("relative_BCID", F.col("frame") % 16).drop("frame").withColumnRenamed("charge", "tot")
-    return T.import_renamed(raw).select("event_number", "frame", F.col("column").alias("col"), "charge")
+    """Raw tables of all planes; an event number that decreases in the order of arrival would be an error."""
+    raw = views.hits(spark, sf_dir).withColumn("relative_BCID", F.col("frame") % 16).drop("frame").withColumnRenamed("charge", "tot").withColumn("arrival", F.col("event_number") * 16 + F.col("ordinal"))
+    return T.import_renamed(raw, ["arrival", "ordinal"]).select("event_number", "dut", "frame", F.col("column").alias("col"), "charge")
 
 
 @query("import_hits_split_planes", sql('SELECT event_number, CASE dut WHEN 2 THEN 0 ELSE 1 END AS dut, 0 AS frame, "column" AS col, "row" AS row_, 0e0 AS charge FROM hits WHERE dut <> 1'))
@@ -50,26 +53,42 @@ def import_hits_split_planes(spark, sf_dir):
 
 @query("write_table", sql('SELECT event_number, dut, ordinal, "column" AS col, charge FROM hits'))
 def write_table(spark, sf_dir):
-    return T.round_trip(views.hits(spark, sf_dir).select(*K, F.col("column").alias("col"), "charge"), "hits")
+    """A table written in three ways: early events first, later ones appended, then plane 2 as a whole replaced."""
+    path = Scratch(spark, "hits").path("hits")
+    rows = views.hits(spark, sf_dir).select(*K, F.col("column").alias("col"), "charge")
+    early = F.col("event_number") % 2 == 0
+    T.write_by_plane(rows.where(early & (F.col("dut") < 2)), path)
+    T.write_by_plane(rows.where(~early | (F.col("dut") == 2)).where("dut < 2 OR charge > 10"), path, "append")
+    T.write_by_plane(rows.where("dut = 2"), path, "replace")
+    return spark.read.schema(rows.schema).parquet(path).select(rows.columns)
 
 
-@query("write_histogram", sql("""SELECT dut, 'occupancy' AS hist, "column" AS bin_x, "row" AS bin_y, count(*) AS n FROM hits GROUP BY ALL UNION ALL SELECT dut, 'charge', CAST(charge AS INT), 0, count(*) FROM hits GROUP BY ALL"""))
+def _hist_sql(name: str, x: str, y: str, width_x: float, width_y: float) -> str:
+    return (f"""SELECT dut, '{name}' AS hist, {x} AS bin_x, {y} AS bin_y, count(*) AS n, CAST({x} * {width_x} AS DOUBLE) AS x_lo, CAST(({x} + 1) * {width_x} AS DOUBLE) AS x_hi,
+      CAST({y} * {width_y} AS DOUBLE) AS y_lo, CAST(({y} + 1) * {width_y} AS DOUBLE) AS y_hi, count(*) < 20 AS masked FROM hits GROUP BY ALL""")
+
+
+@query("write_histogram", sql(_hist_sql("occupancy", '"column" - 1', '"row" - 1', 100, 50) + " UNION ALL " + _hist_sql("charge", "CAST(floor(charge / 2) AS INT)", "0", 2, 1)))
 def write_histogram(spark, sf_dir):
+    """Two histograms in one table, with the edges of their bins and a mask of bins with fewer than 20 hits; edges stand in a table of their own."""
     hits = views.hits(spark, sf_dir)
-    occ = hits.groupBy("dut", F.col("column").alias("bin_x"), F.col("row").alias("bin_y")).agg(F.count("*").alias("n")).withColumn("hist", F.lit("occupancy"))
-    charge = hits.groupBy("dut", F.col("charge").cast("int").alias("bin_x")).agg(F.count("*").alias("n")).withColumns({"hist": F.lit("charge"), "bin_y": F.lit(0)})
-    from hitloom.runtime import Scratch
-
-    return Scratch(spark, "histograms").table(occ.unionByName(charge), "histograms")
+    occ = hits.groupBy("dut", (F.col("column") - 1).alias("bin_x"), (F.col("row") - 1).alias("bin_y")).agg(F.count("*").alias("n")).withColumn("hist", F.lit("occupancy"))
+    charge = hits.groupBy("dut", F.floor(F.col("charge") / 2).cast("int").alias("bin_x")).agg(F.count("*").alias("n")).withColumns({"hist": F.lit("charge"), "bin_y": F.lit(0)})
+    cells = occ.unionByName(charge).withColumn("masked", F.col("n") < 20)
+    edges = {"occupancy": ((0.0, 100.0, 16), (0.0, 50.0, 16)), "charge": ((0.0, 2.0, 64), (0.0, 1.0, 1))}
+    return T.read_histograms(spark, T.write_histograms(cells, edges, Scratch(spark, "histograms").path("histograms"))).select("dut", "hist", "bin_x", "bin_y", "n", "x_lo", "x_hi", "y_lo", "y_hi", "masked")
 
 
 @query("combine_runs", sql("""
     WITH ends AS (SELECT dut, max(event_number) + 1 AS n FROM hits GROUP BY dut), offs AS (SELECT dut, coalesce(sum(n) OVER (ORDER BY dut ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM ends)
-    SELECT CAST(dut AS INT) AS run, CAST(event_number + o AS BIGINT) AS event_number, ordinal, charge FROM hits JOIN offs USING (dut)"""))
+    SELECT 'after' AS offsets, CAST(dut AS INT) AS run, CAST(event_number + o AS BIGINT) AS event_number, ordinal, charge FROM hits JOIN offs USING (dut)
+    UNION ALL SELECT 'given', CAST(dut AS INT), event_number + CASE dut WHEN 0 THEN 0 WHEN 1 THEN 1000000 ELSE 5000 END, ordinal, charge FROM hits"""))
 def combine_runs(spark, sf_dir):
-    """The planes' tables taken as three runs."""
+    """The planes' tables taken as three runs, one after another and with given offsets."""
     hits = views.hits(spark, sf_dir)
-    return T.combine_runs([hits.where(F.col("dut") == i).drop("dut") for i in range(3)]).select("run", "event_number", "ordinal", "charge")
+    runs = [hits.where(F.col("dut") == i).drop("dut") for i in range(3)]
+    both = [T.combine_runs(runs, o).withColumn("offsets", F.lit(name)) for name, o in (("after", None), ("given", [0, 1_000_000, 5_000]))]
+    return both[0].unionByName(both[1]).select("offsets", "run", "event_number", "ordinal", "charge")
 
 
 @query("z_order", sql("SELECT dut, CAST(row_number() OVER (ORDER BY tz) - 1 AS INT) AS z_rank, count(*) AS n_hits FROM geo JOIN hits USING (dut) GROUP BY dut, tz"))
@@ -103,12 +122,16 @@ def event_display(spark, sf_dir):
     return rows.select(*K, *(r6(F.col(f"g{a}") / 1000).alias(f"{a}_mm") for a in "xyz"))
 
 
-@query("hit_checks", sql("""
-    SELECT dut, count(*) FILTER ("column" < 1 OR "row" < 1) AS below, count(*) FILTER ("column" > 14 OR "row" > 15) AS above, count(*) FILTER (abs(lx) > 700) AS outside, count(*) FILTER (event_number < 0) AS negative FROM local_ GROUP BY dut"""))
-def hit_checks(spark, sf_dir):
-    """Violations per plane against a matrix of 14 x 15 pixels and an extent of 700."""
-    from hitloom.plans.positions import local_hits
+ARRIVAL = "event_number + 5 * (ordinal % 2), event_number, ordinal"
+
 
+@query("hit_checks", sql(f"""
+    WITH rows AS (SELECT *, lag(event_number) OVER (PARTITION BY dut ORDER BY {ARRIVAL}) AS before FROM local_)
+    SELECT dut, count(*) FILTER ("column" < 1 OR "row" < 1) AS below, count(*) FILTER ("column" > 14 OR "row" > 15) AS above, count(*) FILTER (abs(lx) > 700) AS outside, count(*) FILTER (event_number < 0) AS negative,
+      count(*) FILTER (before > event_number) AS decreasing FROM rows GROUP BY dut"""))
+def hit_checks(spark, sf_dir):
+    """Violations per plane against a matrix of 14 x 15 pixels, an extent of 700 and events that do not decrease in an order of arrival in which some do."""
     c, r = F.col("column"), F.col("row")
-    rules = {"below": (c < 1) | (r < 1), "above": (c > 14) | (r > 15), "outside": F.abs("lx") > 700, "negative": F.col("event_number") < 0}
-    return local_hits(spark, sf_dir).groupBy("dut").agg(*(F.count_if(v).alias(k) for k, v in rules.items()))
+    rows = J.row_before(local_hits(spark, sf_dir).withColumn("arrival", F.expr(ARRIVAL.split(",")[0])), "event_number", ["arrival", "event_number", "ordinal"], ["dut"], 1000)
+    rules = {"below": (c < 1) | (r < 1), "above": (c > 14) | (r > 15), "outside": F.abs("lx") > 700, "negative": F.col("event_number") < 0, "decreasing": F.col("before") > F.col("event_number")}
+    return rows.groupBy("dut").agg(*(F.count_if(v).alias(k) for k, v in rules.items()))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
 from hitloom.functions.expressions import r6
+from hitloom.operators import clusters as C
 from hitloom.operators import estimate as E
 from hitloom.operators import events as EV
 from hitloom.operators import tracking as T
-from hitloom.operators.joins import plane_pairs
+from hitloom.operators.joins import plane_correlation
 from hitloom.plans.clusters import sql as cluster_sql
 from hitloom.plans.positions import sql
 from hitloom.plans.registry import query
@@ -45,9 +47,25 @@ def line_fit(spark, sf_dir):
     return f.select(*TK, "n", *(r6(F.col(f"o{a}")).alias(f"o{a}") for a in "xyz"))
 
 
+def fitted(spark, sf_dir):
+    return T.fit_tracks(track_hits(spark, sf_dir), G.TRACK_PLANES, [0, 1, 2, 3, 4, 5], [1, 2, 3, 4], quality=(36.8, 36.8), isolation=(1000.0, 1000.0))
+
+
 @query("fit_tracks")
 def fit_tracks(spark, sf_dir):
-    return T.fit_tracks(track_hits(spark, sf_dir), geo(spark), [0, 1, 2, 3, 4, 5], [1, 2, 3, 4], quality=(36.8, 36.8))
+    """Unbiased fits for the four inner planes, with all flags; counts and flags of the rows are in ``fit_track_flags``."""
+    return fitted(spark, sf_dir)
+
+
+@query("fit_track_flags", sql("""
+    WITH duts AS (SELECT unnest([1, 2, 3, 4]) AS d), rows AS (SELECT event_number, ordinal, d AS fit_dut, count(x) FILTER (dut <> d) AS n, CAST(bit_or(CASE WHEN x IS NULL THEN 0 ELSE 1 << dut END) AS BIGINT) AS hit_flag,
+        round(avg(x) FILTER (dut <> d), 6) + 0e0 AS ox, round(avg(y) FILTER (dut <> d), 6) + 0e0 AS oy FROM tracks, duts GROUP BY ALL),
+      near AS (SELECT a.event_number, a.ordinal, a.dut FROM tracks AS a JOIN tracks AS b ON a.event_number = b.event_number AND a.dut = b.dut AND a.ordinal <> b.ordinal AND abs(a.x - b.x) <= 1000 AND abs(a.y - b.y) <= 1000 GROUP BY ALL),
+      bits AS (SELECT event_number, ordinal, CAST(bit_or(1 << dut) AS BIGINT) AS near FROM near GROUP BY ALL)
+    SELECT event_number, ordinal, fit_dut, n, hit_flag, 63 & ~coalesce(near, 0) AS isolated_hit_flag, ox, oy FROM rows LEFT JOIN bits USING (event_number, ordinal) WHERE n >= 3"""))
+def fit_track_flags(spark, sf_dir):
+    """What SQL can say of the fits: rows, hits used, hit and isolation flags, and the point of each line. Cuts of two pixels are below 2.5, so hits are met in a rectangle."""
+    return fitted(spark, sf_dir).select(*TK, "fit_dut", F.col("n").cast("long").alias("n"), "hit_flag", "isolated_hit_flag", r6(F.col("ox")).alias("ox"), r6(F.col("oy")).alias("oy"))
 
 
 @query("find_tracks")
@@ -79,9 +97,18 @@ def box_fit(spark, sf_dir):
     return E.fit_histograms(residual_histogram(spark, sf_dir), ["dut"], "bin", shape="box")
 
 
+@query("fit_moments", sql("""
+    WITH h AS (SELECT dut, CAST(floor((x - ix) * 2) AS INT) AS bin, count(*) AS n FROM tracks WHERE x IS NOT NULL GROUP BY ALL)
+    SELECT dut, CAST(sum(n) AS BIGINT) AS total, round(sum(n * bin) / sum(n), 6) + 0e0 AS moment_mean, round(sqrt(sum(n * bin * bin) / sum(n) - (sum(n * bin) / sum(n)) ** 2), 6) AS moment_rms FROM h GROUP BY dut"""))
+def fit_moments(spark, sf_dir):
+    """Rows and moments of the histograms that the fits start from."""
+    return E.fit_histograms(residual_histogram(spark, sf_dir), ["dut"], "bin", shape="box").select("dut", "total", r6(F.col("moment_mean")).alias("moment_mean"), F.round("moment_rms", 6).alias("moment_rms"))
+
+
 @query("background_reduction")
 def background_reduction(spark, sf_dir):
-    return E.reduce_background(plane_pairs(views.hits(spark, sf_dir), F.col("column"), [0]), ["ref", "dut"])
+    h = views.hits(spark, sf_dir)
+    return E.reduce_background(plane_correlation(h, {"column": F.col("column"), "row": F.col("row")}, [0]), ["ref", "dut", "axis"])
 
 
 @query("efficiency_interval")
@@ -92,9 +119,9 @@ def efficiency_interval(spark, sf_dir):
     found = efficiency_total(spark, sf_dir)
     ship(spark)
 
-    @F.udf("lo double, hi double")
-    def interval(k, n):
-        return E.shortest_interval(k, n)
+    @F.pandas_udf("lo double, hi double")
+    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([E.shortest_interval(int(a), int(b)) for a, b in zip(k, n, strict=True)], columns=["lo", "hi"])
 
     return found.withColumn("i", interval("k", "n")).select("dut", "k", "n", "efficiency", "i.lo", "i.hi")
 
@@ -124,20 +151,34 @@ def alignment_rows(spark, sf_dir):
     return rows.withColumns({"px": F.col("x"), "py": F.col("y"), "pz": F.lit(0.0)}).select(*TK, "dut", "tx", "ty", "tz", "px", "py", "pz").join(t, TK)
 
 
-@query("alignment_step", sql("""
-    SELECT dut, count(*) AS n, round(sum(1 - ux * ux) / count(*), 9) AS n33, round(sum(-ux * uy) / count(*), 9) + 0e0 AS n34, round(sum(dx - ux * (ux * dx + uy * dy + uz * dz)) / count(*), 6) + 0e0 AS b3,
-      round(sum(dy - uy * (ux * dx + uy * dy + uz * dz)) / count(*), 6) + 0e0 AS b4
-    FROM (SELECT t.dut, f.sx / sqrt(f.sx * f.sx + f.sy * f.sy + 1) AS ux, f.sy / sqrt(f.sx * f.sx + f.sy * f.sy + 1) AS uy, 1 / sqrt(f.sx * f.sx + f.sy * f.sy + 1) AS uz, f.ix - t.x AS dx, f.iy - t.y AS dy, -t.z AS dz
+def _alignment_sql() -> str:
+    """All 27 sums over the count: changes of a hit with the six parameters, taken across the track."""
+    u = ["ux", "uy", "uz"]
+    turns = [["0e0", "0e0", "py"], ["0e0", "0e0", "-px"], ["-py", "px", "0e0"]]
+    shifts = [["1e0", "0e0", "0e0"], ["0e0", "1e0", "0e0"], ["0e0", "0e0", "1e0"]]
+    m = turns + shifts
+    across = lambda v: [f"({v[i]} - {u[i]} * ({' + '.join(f'{u[k]} * ({v[k]})' for k in range(3))}))" for i in range(3)]
+    dot = lambda a, b: " + ".join(f"({a[i]}) * {b[i]}" for i in range(3))
+    out = [f"round(sum({dot(m[a], across(m[b]))}) / count(*) / {10 ** (3 * ((a < 3) + (b < 3)))}e0, 6) + 0e0 AS n{a}{b}" for a in range(6) for b in range(a, 6)]
+    return ", ".join(out + [f"round(sum({dot(m[a], across(['dx', 'dy', 'dz']))}) / count(*) / {10 ** (3 * (a < 3))}e0, 6) + 0e0 AS b{a}" for a in range(6)])
+
+
+@query("alignment_step", sql(f"""
+    SELECT dut, count(*) AS n, {_alignment_sql()}
+    FROM (SELECT t.dut, t.x AS px, t.y AS py, f.sx / sqrt(f.sx * f.sx + f.sy * f.sy + 1) AS ux, f.sy / sqrt(f.sx * f.sx + f.sy * f.sy + 1) AS uy, 1 / sqrt(f.sx * f.sx + f.sy * f.sy + 1) AS uz, f.ix - t.x AS dx, f.iy - t.y AS dy, -t.z AS dz
       FROM tracks AS t JOIN tracks AS f ON t.event_number = f.event_number AND t.ordinal = f.ordinal AND f.dut = 0 WHERE t.x IS NOT NULL) AS r GROUP BY dut"""))
 def alignment_step(spark, sf_dir):
-    """Means of the normal equations' shift terms; the six by six step is tested by closure."""
+    """Means of all terms of the normal equations (turns in thousandths); the damped steps are tested by closure."""
     s = E.alignment_sums(alignment_rows(spark, sf_dir))
-    return s.select("dut", "n", F.round(F.col("n33") / F.col("n"), 9).alias("n33"), (F.round(F.col("n34") / F.col("n"), 9) + 0.0).alias("n34"), r6(F.col("b3") / F.col("n")).alias("b3"), r6(F.col("b4") / F.col("n")).alias("b4"))
+    scale = lambda *k: F.col("n") * float(10 ** (3 * sum(v < 3 for v in k)))
+    pairs = [r6(F.col(f"n{a}{b}") / scale(a, b)).alias(f"n{a}{b}") for a in range(6) for b in range(a, 6)]
+    return s.select("dut", "n", *pairs, *(r6(F.col(f"b{a}") / scale(a)).alias(f"b{a}") for a in range(6)))
 
 
 @query("align")
 def align(spark, sf_dir):
-    return planes_table(spark, E.align(shifted(spark, sf_dir)[1], G.TRACK_PLANES, fixed=[0, 5], iterations=4)[0])
+    """The four inner planes between the outer ones, in three rounds with new tracks in each."""
+    return planes_table(spark, E.align(shifted(spark, sf_dir)[1], G.TRACK_PLANES, [[1, 2, 3, 4]], [0, 1, 2, 3, 4, 5], isolation=None)[0])
 
 
 @query("align_kalman")
@@ -154,7 +195,11 @@ def map_events(spark, sf_dir):
 
 @query("cluster_hits_kernel", cluster_sql("SELECT event_number, dut, ordinal, cluster_id FROM cluster_hits"))
 def cluster_hits_kernel(spark, sf_dir):
-    return EV.clusters_by_kernel(views.hits(spark, sf_dir), 3, 3)
+    """In batches of whole events, and for crowded ones by joins; the query has both ways, each for half of the events."""
+    hits, even = views.hits(spark, sf_dir), F.col("event_number") % 2 == 0
+    one = EV.clusters_by_kernel(hits.where(even), 3, 3)
+    two = C.clusters_by_joins(hits.where(~even), 3, 3, None, Scratch(spark, "clusters"))
+    return one.unionByName(two).select("event_number", "dut", "ordinal", "cluster_id")
 
 
 _STREAM = "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start, CAST(user_id % 3 AS INT) AS dut, "
