@@ -168,8 +168,8 @@ def prealign(hits: DataFrame, planes: list[Plane], reference: int, width: float,
 
     ``hits`` has local x, y. Global positions are counted over each plane's
     extent in bins of ``width``; after the background is taken off (``reduce``)
-    the best line of a slope near 1 or -1 is voted for. Its offset at the
-    plane's centre is the translation, a negative slope turns the plane over.
+    the best line of a slope near 1 or -1 is voted for. What it says amid its
+    bins is the translation, a negative slope turns the plane over.
     Limits are set (or narrowed) to the pixels where the density of bins that
     follow the line is at least half of its maximum. What reaches the driver is
     a row per plane and axis and the fullest cell of each bin of a plane.
@@ -195,10 +195,12 @@ def prealign(hits: DataFrame, planes: list[Plane], reference: int, width: float,
         for i, axis in enumerate("xy"):
             line, own = lines[p.dut, axis], tops[(tops.dut == p.dut) & (tops.axis == axis)]
             (lo, n), (ref_lo, _) = (histogram_range(q, i, width) for q in (p, at[reference]))
-            move[f"t{axis}"] = ref_lo + (line["offset"] + line["slope"] * (n - 1) / 2 + 0.5) * width
             pitch = p.column_size if i == 0 else p.row_size
             off = np.abs(own["r"] - line["slope"] * own["bin"] - line["offset"]).to_numpy() * width
-            reach[axis] = dense_range(lo + (own["bin"].to_numpy()[off <= 2 * math.sqrt(12) * pitch] + 0.5) * width, lo + (np.arange(n) + 0.5) * width)
+            near = own["bin"].to_numpy()[off <= 2 * math.sqrt(12) * pitch]
+            middle = near.mean() if len(near) else (n - 1) / 2  # the slope's error must not grow on the way to the plane's centre
+            move[f"t{axis}"] = ref_lo + (line["offset"] + line["slope"] * middle + 0.5 - math.copysign(1.0, line["slope"]) * (middle - (n - 1) / 2)) * width
+            reach[axis] = dense_range(lo + (near + 0.5) * width, lo + (np.arange(n) + 0.5) * width)
             if line["slope"] < 0:
                 r = np.array(rotation(0, math.pi, 0) if i == 0 else rotation(math.pi, 0, 0)) @ r
         out[p.dut] = replace(p, **move, **_angles(r), **area_limits(p, reach))

@@ -135,7 +135,7 @@ def clusters_by_kernel(hits: DataFrame, d_column: int, d_row: int, d_frame: int
     Time and memory follow the number of hits, also in dense events; one event
     must fit into a task (``clusters.cluster_ids`` takes larger ones apart).
     """
-    schema = StructType(hits.schema.fields).add("cluster_id", IntegerType()).add("n_cluster", IntegerType())
+    schema = StructType([*hits.schema.fields]).add("cluster_id", IntegerType()).add("n_cluster", IntegerType())  # a copy, as add changes the list
     fields = to_arrow_schema(schema)
     axes = {"column": d_column, "row": d_row} | ({} if d_frame is None else {"frame": d_frame})
 
