@@ -64,8 +64,8 @@ def write_table(spark, sf_dir):
 
 
 def _hist_sql(name: str, x: str, y: str, width_x: float, width_y: float) -> str:
-    return (f"""SELECT dut, '{name}' AS hist, {x} AS bin_x, {y} AS bin_y, count(*) AS n, CAST({x} * {width_x} AS DOUBLE) AS x_lo, CAST(({x} + 1) * {width_x} AS DOUBLE) AS x_hi,
-      CAST({y} * {width_y} AS DOUBLE) AS y_lo, CAST(({y} + 1) * {width_y} AS DOUBLE) AS y_hi, count(*) < 20 AS masked FROM hits GROUP BY ALL""")
+    return (f"""SELECT dut, '{name}' AS hist, {x} AS bin_x, {y} AS bin_y, count(*) AS n, CAST(({x}) * {width_x} AS DOUBLE) AS x_lo, CAST(({x} + 1) * {width_x} AS DOUBLE) AS x_hi,
+      CAST(({y}) * {width_y} AS DOUBLE) AS y_lo, CAST(({y} + 1) * {width_y} AS DOUBLE) AS y_hi, count(*) < 20 AS masked FROM hits GROUP BY ALL""")
 
 
 @query("write_histogram", sql(_hist_sql("occupancy", '"column" - 1', '"row" - 1', 100, 50) + " UNION ALL " + _hist_sql("charge", "CAST(floor(charge / 2) AS INT)", "0", 2, 1)))
