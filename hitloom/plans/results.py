@@ -364,8 +364,8 @@ def residual_correlation_fit(spark, sf_dir):
 @query("residual_slope", sql("""
     WITH b AS (SELECT dut, (CAST(floor((ix + 6000) / 500) AS INT) + 5e-1) * 500 - 6000 AS p, count(*) AS n, avg(x - ix) AS m FROM tracks WHERE x IS NOT NULL GROUP BY ALL),
       kept AS (SELECT dut, p, m, CAST(n AS DOUBLE) * n AS w FROM (SELECT *, quantile_cont(n, 0.32) OVER (PARTITION BY dut) AS least FROM b) AS c WHERE n > least)
-    SELECT dut, count(*) AS n_bins, round((sum(w) * sum(w * p * m) - sum(w * p) * sum(w * m)) / (sum(w) * sum(w * p * p) - sum(w * p) * sum(w * p)), 9) + 0e0 AS slope,
-      round((sum(w * p * p) * sum(w * m) - sum(w * p) * sum(w * p * m)) / (sum(w) * sum(w * p * p) - sum(w * p) * sum(w * p)), 6) + 0e0 AS offset_ FROM kept GROUP BY dut"""))
+    SELECT dut, count(*) AS n_bins, round((sum(w) * sum(w * p * m) - sum(w * p) * sum(w * m)) / nullif(greatest(sum(w) * sum(w * p * p) - sum(w * p) * sum(w * p), 0), 0), 9) + 0e0 AS slope,
+      round((sum(w * p * p) * sum(w * m) - sum(w * p) * sum(w * p * m)) / nullif(greatest(sum(w) * sum(w * p * p) - sum(w * p) * sum(w * p), 0), 0), 6) + 0e0 AS offset_ FROM kept GROUP BY dut"""))
 def residual_slope(spark, sf_dir):
     """Weighted line through the mean residual of each position bin with more hits than the 32nd percentile of bins."""
     b = with_hit(spark, sf_dir).groupBy("dut", bin_x().alias("b")).agg(F.count("*").alias("n"), F.avg(rx()).alias("m")).withColumn("p", (F.col("b") + 0.5) * RES - 6000)
