@@ -198,7 +198,7 @@ def test_alignment_closes(spark):
     truth, rows = P.shifted(spark, "/root/testdata/sf0.001")
     start = E.prealign(rows, G.TRACK_PLANES, 0, 25.0)
     assert all(abs(a.tx - b.tx) < 40 and abs(a.ty - b.ty) < 40 for a, b in zip(start, truth, strict=True))
-    planes, history = E.align(rows, G.TRACK_PLANES, fixed=[0, 5], iterations=14)
+    planes, _, history = E.align(rows, G.TRACK_PLANES, groups=[[1, 2, 3, 4]], fit_duts=[0, 1, 2, 3, 4, 5], isolation=None, find=False)
     assert history[-1]["moved"] < history[0]["moved"]
     assert all(abs(a.tx - b.tx) < 3 and abs(a.ty - b.ty) < 3 and abs(a.gamma - b.gamma) < 3e-4 for a, b in zip(planes, truth, strict=True))
     planes, history = E.align_kalman(rows, G.TRACK_PLANES, fixed=[0, 5], batches=8)
@@ -218,7 +218,7 @@ def test_telescope_turns_to_the_axis(spark, tmp_path):
 
 def test_alignment_finds_tracks(spark):
     truth, rows = P.shifted(spark, "/root/testdata/sf0.001")
-    planes, _ = E.align(rows.where("event_number < 1500"), truth, fixed=[0, 5], iterations=2, find_from=1, max_chi=60.0)
+    planes, _, _ = E.align(rows.where("event_number < 1500"), truth, groups=[[1, 2, 3, 4]], fit_duts=[0, 1, 2, 3, 4, 5], iterations=2, isolation=None)
     assert all(abs(a.tx - b.tx) < 5 and abs(a.ty - b.ty) < 5 for a, b in zip(planes, truth, strict=True))
 
 
@@ -253,7 +253,7 @@ def test_total_purity(spark):
 
 
 def test_own_hit_changes_the_fit(spark):
-    rows, geo = P.track_hits(spark, "/root/testdata/sf0.001").where("event_number < 200"), P.geo(spark)
+    rows, geo = P.track_hits(spark, "/root/testdata/sf0.001").where("event_number < 200"), G.TRACK_PLANES
     biased = T.fit_tracks(rows, geo, [0, 1, 2, 3, 4, 5], [2, 3], exclude_own=False)
     assert biased.groupBy("event_number", "ordinal").agg(F.countDistinct("sx").alias("n")).where("n > 1").count() == 0
     unbiased = T.fit_tracks(rows, geo, [0, 1, 2, 3, 4, 5], [2, 3])
