@@ -18,7 +18,7 @@ from hitloom.functions.expressions import chi2_pvalue, in_window
 from hitloom.functions.geometry import Plane, rotation
 from hitloom.operators.events import first_rows, map_events
 from hitloom.operators.histograms import density_modes
-from hitloom.runtime import ship
+from hitloom.runtime import Scratch, ship
 
 TRACK = ["event_number", "ordinal"]
 
@@ -135,9 +135,9 @@ def fit_tracks(
         slope[d] = [F.when(own[2] < 0, -v).otherwise(v) for v in own]
     rows = rows.withColumns({f"c_{d}": F.struct(crossing[d][0].alias("x"), crossing[d][1].alias("y")) for d in duts})
     residual = {d: [h(d, "x") - F.col(f"c_{d}")["x"], h(d, "y") - F.col(f"c_{d}")["y"]] for d in duts}
+    modes = residual_modes(rows, {d: residual[d] for d in centre}, at) if centre else {}
     for d in centre:
-        modes = residual_modes(rows.where(F.col("fit_dut") == d).select(*(v.alias(a) for v, a in zip(residual[d], "xy", strict=True))), at[d])
-        residual[d] = [v - F.lit(c) for v, c in zip(residual[d], modes, strict=True)]
+        residual[d] = [v - F.lit(modes.get((d, a), 0.0)) for v, a in zip(residual[d], "xy", strict=True)]
     pull = lambda d: F.when(u, (residual[d][0] / h(d, "x_err")) ** 2 + (residual[d][1] / h(d, "y_err")) ** 2).otherwise(0.0)  # noqa: B023, E731
     chi2 = F.lit(0.0)
     for (u, _), d in zip(used, fit_duts, strict=True):
@@ -170,11 +170,19 @@ def fit_tracks(
     return rows.select(*TRACK, "fit_dut", "n", "chi2", "chi_red", *flags, "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", *keep)
 
 
-def residual_modes(residuals: DataFrame, plane: Plane) -> list[float]:
-    """Modes of the densities of x and y, searched half a deviation around the medians; 0 for ten rows or fewer."""
-    rows = residuals.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("v"), F.lit(w / 12**0.5).alias("w")) for a, w in (("x", plane.column_size), ("y", plane.row_size))))).alias("r"))
-    found = {r["axis"]: r["mode"] for r in density_modes(rows.select("r.*").where("v IS NOT NULL"), ["axis"], "v", "w").collect()}
-    return [found.get(a, 0.0) for a in "xy"]
+def residual_modes(rows: DataFrame, residual: dict, planes: dict[int, Plane]) -> dict[tuple[int, str], float]:
+    """Modes by plane and axis of the ``residual`` columns in the rows fitted for the plane, searched half a deviation around the medians; none for ten rows or fewer.
+
+    The fits are done once for all planes and written; a mode per plane and axis reaches the driver.
+    """
+    one = lambda d, a, v, w: F.struct(F.lit(d).alias("dut"), F.lit(a).alias("axis"), v.alias("v"), F.lit(w / 12**0.5).alias("w"))
+    sizes = lambda d: (planes[d].column_size, planes[d].row_size)
+    own = F.coalesce(*(F.when(F.col("fit_dut") == d, F.array(*map(one, (d, d), "xy", v, sizes(d)))) for d, v in residual.items()))
+    scratch = Scratch(rows.sparkSession, "residuals")
+    written = scratch.table(rows.select(F.explode(own).alias("r")).select("r.*").where("v IS NOT NULL"), "residuals")
+    found = {(r["dut"], r["axis"]): r["mode"] for r in density_modes(written, ["dut", "axis"], "v", "w").collect()}
+    scratch.release(written)
+    return found
 
 
 class Finder:
