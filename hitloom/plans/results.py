@@ -119,13 +119,13 @@ def _position_sql(r: str, p: str) -> str:
 
 
 @query("residual_vs_position", sql(f"""
-    WITH rows AS ({" UNION ALL ".join(_position_sql(r, p) for r in "xy" for p in "xy")}), bins AS (SELECT dut, residual, position, bin_pos, count(*) AS pos_n, round(avg(r), 6) + 0e0 AS pos_mean FROM rows GROUP BY ALL)
+    WITH rows AS ({" UNION ALL ".join(_position_sql(r, p) for r in "xy" for p in "xy")}), bins AS (SELECT dut, residual, position, bin_pos, count(*) AS pos_n, round(round(sum(r), 6) / count(*), 6) + 0e0 AS pos_mean FROM rows GROUP BY ALL)
     SELECT dut, residual, position, bin_pos, CAST(floor(r / 5e-1) AS INT) AS bin_res, count(*) AS n, pos_n, pos_mean FROM rows JOIN bins USING (dut, residual, position, bin_pos) GROUP BY ALL"""))
 def residual_vs_position(spark, sf_dir):
     """Both residuals against both positions, with the count and mean of each position bin; every second plane has limits."""
     t = G.with_geometry(views.tracks(spark, sf_dir).drop("z"), G.geometry(spark, LIMITED))
     m = R.residual_position_maps(t, RES, 0.5, (-6000.0, -3000.0))
-    return m.select("dut", "residual", "position", "bin_pos", "bin_res", "n", "pos_n", r6(F.col("pos_mean")).alias("pos_mean"))
+    return m.select("dut", "residual", "position", "bin_pos", "bin_res", "n", "pos_n", r6(r6(F.col("pos_mean") * F.col("pos_n")) / F.col("pos_n")).alias("pos_mean"))
 
 
 @query("residual_map", sql(f"SELECT dut, CAST(floor(ix / 184e-1) AS INT) AS px, CAST(floor(iy / 184e-1) AS INT) AS py, round(avg({D_SQL}), 6) AS mean_distance, count(*) AS n FROM tracks WHERE x IS NOT NULL GROUP BY ALL"))
