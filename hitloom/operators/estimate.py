@@ -330,37 +330,66 @@ def global_hits(hits: DataFrame, planes: list[Plane]) -> DataFrame:
     return rows.select(*rest, *(v.alias(a) for v, a in zip(g, "xyz", strict=True)))
 
 
+def plane_moments(selected: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """All that steps of a plane need of its tracks: ``S`` (3, 3, 3, 3) and ``T`` (3, 3) per dut, from one aggregate.
+
+    ``selected`` has per track and plane the local hit lx, ly and the global line
+    o*, s*. With u = (lx, ly, 1) a hit lies at A u, where A has the first two
+    columns of the plane's rotation and its translation, and the squared distance
+    across the track, L = 1 - s s', is quadratic in A. S[i, a, j, b] sums
+    L[i, j] u[a] u[b] and T[i, a] sums (L o)[i] u[a].
+    """
+    s, o, u = [F.col(f"s{a}") for a in "xyz"], [F.col(f"o{a}") for a in "xyz"], [F.col("lx"), F.col("ly"), F.lit(1.0)]
+    across = [[(1.0 if i == j else 0.0) - s[i] * s[j] for j in range(3)] for i in range(3)]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    squares = [F.sum(across[i][j] * u[a] * u[b]).alias(f"s{i}{j}{a}{b}") for i, j in pairs for a, b in pairs]
+    mixed = [F.sum(sum(across[i][k] * o[k] for k in range(3)) * u[a]).alias(f"t{i}{a}") for i in range(3) for a in range(3)]
+    out = {}
+    for r in selected.groupBy("dut").agg(*squares, *mixed).collect():
+        big = np.empty((3, 3, 3, 3))
+        for i, j in pairs:
+            for a, b in pairs:
+                for k, m in {(i, j), (j, i)}:
+                    for c, d in {(a, b), (b, a)}:
+                        big[k, c, m, d] = r[f"s{i}{j}{a}{b}"]
+        out[r["dut"]] = big, np.array([[r[f"t{i}{a}"] for a in range(3)] for i in range(3)])
+    return out
+
+
+def moment_sums(plane: Plane, big: np.ndarray, mixed: np.ndarray) -> dict:
+    """The sums of ``alignment_sums`` for a plane where it stands now, from its moments."""
+    at = np.array(rotation(plane.alpha, plane.beta, plane.gamma))
+    at[:, 2] = plane.tx, plane.ty, plane.tz
+    change = np.zeros((6, 3, 3))  # of A with three turns and three shifts
+    for k in range(3):
+        change[k, :, :2] = np.cross(np.eye(3)[k], at[:, :2].T).T
+        change[3 + k, k, 2] = 1
+    left = mixed - np.einsum("iajb,jb->ia", big, at)
+    normal = np.einsum("kia,iajb,ljb->kl", change, big, change)
+    right = np.einsum("kia,ia->k", change, left)
+    return {f"n{a}{b}": normal[a, b] for a in range(6) for b in range(a, 6)} | {f"b{a}": right[a] for a in range(6)}
+
+
 def fit_planes(selected: DataFrame, planes: list[Plane], free: dict[int, list[int]], steps: int) -> tuple[list[Plane], int]:
     """Gauss-Newton steps for the planes of ``free`` until shifts fall below 1e-4 micrometres and turns below 1e-5, or ``steps`` are done.
 
-    ``selected`` has per track and plane the local hit px, py and the global
-    line o*, s*. A step is one aggregate of 27 sums per plane. It is damped by
-    0.9, and by less down to 0.3 for a plane that swings back.
+    The tracks are read once, for the moments of each plane; the steps need no
+    more than these. A step is damped by 0.9, and by less down to 0.3 for a
+    plane that swings back.
     """
-    from hitloom.functions import geometry as G
-
-    damp, last, done = dict.fromkeys(free, 0.9), {}, 0
-    moving = set(free)
-    for done in range(1, steps + 1):
-        rows = G.with_geometry(selected.where(F.col("dut").isin(sorted(moving))), G.geometry(selected.sparkSession, planes))
-        turn = G.rotate(F.col("lx"), F.col("ly"), F.lit(0.0))
-        sums = {r["dut"]: r.asDict() for r in alignment_sums(rows.withColumns({f"p{a}": v for a, v in zip("xyz", turn, strict=True)})).collect()}
-        new = []
-        for p in planes:
-            if p.dut not in moving or p.dut not in sums:
-                new.append(p)
-                continue
-            step = alignment_solution(sums[p.dut], free[p.dut])
-            if p.dut in last and float(step @ last[p.dut]) < 0:
-                damp[p.dut] = max(0.3, damp[p.dut] - 0.2)
-            last[p.dut] = step
-            new.append(moved_plane(p, damp[p.dut] * step))
+    known, out, longest = plane_moments(selected), [], 0
+    for p in planes:
+        damp, last = 0.9, np.zeros(6)
+        for done in range(1, steps + 1) if p.dut in free and p.dut in known else ():
+            longest = max(longest, done)
+            step = alignment_solution(moment_sums(p, *known[p.dut]), free[p.dut])
+            if float(step @ last) < 0:
+                damp = max(0.3, damp - 0.2)
+            last, p = step, moved_plane(p, damp * step)
             if np.abs(step[3:]).max() < 1e-4 and np.abs(step[:3]).max() < 1e-5:
-                moving.discard(p.dut)
-        planes = new
-        if not moving:
-            break
-    return planes, done
+                break
+        out.append(p)
+    return out, longest
 
 
 def align(

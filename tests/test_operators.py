@@ -194,6 +194,20 @@ def test_kalman_chi2_has_its_mean(spark):
     assert np.median(chi2, axis=0)[1:] == pytest.approx(2 * math.log(2), rel=0.15)
 
 
+def test_moments_give_the_normal_equations(spark):
+    rng, plane = np.random.default_rng(3), G.Plane(1, tx=30.0, ty=-20.0, tz=5e4, alpha=0.02, beta=-0.03, gamma=0.4)
+    rows = []
+    for _ in range(200):
+        s = np.array([*rng.normal(size=2) * 1e-2, 1.0])
+        rows.append((1, *map(float, rng.normal(size=2) * 3000), *map(float, rng.normal(size=3) * 1000), *map(float, s / np.linalg.norm(s))))
+    df = spark.createDataFrame(rows, "dut int, lx double, ly double, ox double, oy double, oz double, sx double, sy double, sz double")
+    got = E.moment_sums(plane, *E.plane_moments(df)[1])
+    turn = G.rotate(F.col("lx"), F.col("ly"), F.lit(0.0))
+    full = G.with_geometry(df, G.geometry(spark, [plane]))
+    want = E.alignment_sums(full.withColumns({f"p{a}": v for a, v in zip("xyz", turn, strict=True)})).first().asDict()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-3) for k in got)
+
+
 def test_alignment_closes(spark):
     truth, rows = P.shifted(spark, "/root/testdata/sf0.001")
     start = E.prealign(rows, G.TRACK_PLANES, 0, 25.0)
