@@ -429,22 +429,25 @@ def align(
                 found = find_tracks(global_hits(data, frame), frame, set(fit_duts)).select("event_number", "dut", F.col("was").alias("ordinal"), F.col("ordinal").alias("now"))
                 candidates = data.join(found, ["event_number", "dut", "ordinal"]).drop("ordinal").withColumnRenamed("now", "ordinal").select(*columns)
             fits = fit_tracks(candidates, planes, fit_duts, group, exclude_own=False, quality=quality, isolation=isolation, use_limits=True, centre=group, keep=["x", "y", *columns[7:]])
-            bit = F.expr("shiftleft(1L, fit_dut)")
-            good = [(F.col(c).bitwiseAND(bit) != 0) for c in ("hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation else []))]
-            good += [F.col("chi_red") < max_chi_red] if max_chi_red else []
-            good += [F.col("cluster_shape").isin(*shapes)] if shapes else []
-            for condition in good:
-                fits = fits.where(condition)
-            chosen = fits.select(*TRACK, F.col("fit_dut").alias("dut"), F.col("x").alias("lx"), F.col("y").alias("ly"), "ox", "oy", "oz", "sx", "sy", "sz")
-            selected, seen = scratch.counted(chosen, "tracks")
+            flags = ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation else [])]
+            # written before it is filtered: a filter below the fit would repeat its long expressions many times over
+            fits = scratch.table(fits.select(*TRACK, F.col("fit_dut").alias("dut"), F.col("x").alias("lx"), F.col("y").alias("ly"), "ox", "oy", "oz", "sx", "sy", "sz", "chi_red", *flags, *columns[7:]), "fits")
+            selected = fits
+            for c in flags:
+                selected = selected.where(F.col(c).bitwiseAND(F.expr("shiftleft(1L, dut)")) != 0)
+            if max_chi_red:
+                selected = selected.where(F.col("chi_red") < max_chi_red)
+            if shapes:
+                selected = selected.where(F.col("cluster_shape").isin(*shapes))
+            _, alpha, beta = G.angles(F.col("sx"), F.col("sy"), F.col("sz"))
+            seen = selected.agg(F.count("*").alias("n"), F.avg(alpha).alias("alpha"), F.avg(beta).alias("beta")).first()
             if not seen["n"]:
                 break
             if set(group) & set(fit_duts):
-                _, alpha, beta = G.angles(F.col("sx"), F.col("sy"), F.col("sz"))
-                beam = (*selected.agg(F.avg(alpha), F.avg(beta)).first(), 0.0)
+                beam = (seen["alpha"], seen["beta"], 0.0)
             before = planes
             planes, done = fit_planes(selected, planes, {d: list(free) for d in group}, steps)
-            scratch.release(selected)
+            scratch.release(fits)
             moved = max(max(abs(a.tx - b.tx), abs(a.ty - b.ty), abs(a.tz - b.tz)) for a, b in zip(planes, before, strict=True))
             history.append({"group": group, "round": round_, "tracks": seen["n"], "steps": done, "moved": moved})
             if moved < tolerance:
