@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hitloom.llm import bpe, exact_dedup, hostrules, html_extract, langid, mixing, neardup, ordinal, tokencount, toxicity
+from hitloom.llm import bpe, convtrie, exact_dedup, hardneg, hostrules, html_extract, langid, mixing, neardup, ordinal, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_conversation_trie": convtrie.op13_conversation_trie,
+}
+ORACLE_SQL = {
+    "op2_near_duplicates": neardup.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op6_quality_rules": hostrules.ORACLE,
+    "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_hard_negatives": hardneg.ORACLE,
+    "op13_conversation_trie": convtrie.ORACLE,
 }
-ORACLE_SQL = {"op2_near_duplicates": neardup.ORACLE, "op4_mixing": mixing.ORACLE, "op6_quality_rules": hostrules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
