@@ -126,7 +126,7 @@ class Part:
         bound = (int(np.abs(used).max(initial=0)) + 1) * self.top * 2 * max(1, groups * 8)
         table = tables(used.astype(fitting(bound)), groups)
         got = scores(table, self.packed[:, :, start:stop]).T
-        return np.clip(got, -LONG, LONG - 1).astype(np.int64) if got.dtype == object else got
+        return np.clip(got, 1 - LONG, LONG - 1).astype(np.int64) if got.dtype == object else got
 
     def positives(self, anchors: list[dict], v: np.ndarray, k: int) -> Iterator[tuple]:
         """(anchor_id, positive_id, positive_score): the best of the anchors' own labels."""

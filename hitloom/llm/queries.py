@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hitloom.llm import bpe, convtrie, exact_dedup, hardneg, hostrules, html_extract, langid, mixing, neardup, ordinal, tokencount, toxicity
+from hitloom.llm import bpe, convtrie, exact_dedup, hardneg, hostrules, html_extract, langid, mixing, neardup, ordinal, suffix_dedup, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_conversation_trie": convtrie.op13_conversation_trie,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE,
     "op6_quality_rules": hostrules.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_suffix_dedup": suffix_dedup.ORACLE,
     "op12_hard_negatives": hardneg.ORACLE,
     "op13_conversation_trie": convtrie.ORACLE,
 }

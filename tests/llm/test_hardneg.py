@@ -15,7 +15,7 @@ def brute(rows):
     for a, va, ya in rows:
         if a % 100:
             continue
-        got = sorted((-min(max(sum(p * q for p, q in zip(va, v, strict=False)), -(2**63)), 2**63 - 1), i, y == ya) for i, v, y in rows if i != a)
+        got = sorted((-min(max(sum(p * q for p, q in zip(va, v, strict=False)), 1 - 2**63), 2**63 - 1), i, y == ya) for i, v, y in rows if i != a)
         for ps, p, _ in [g for g in got if g[2]][:5]:
             near = [(s, i) for s, i, same in got if not same and 30 * -ps <= 100 * -s <= 90 * -ps]
             out |= {(a, p, r, i, -ps, -s) for r, (s, i) in enumerate(near[:10], 1)}
