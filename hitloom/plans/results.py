@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
 from hitloom.functions.expressions import r6
+from hitloom.operators import correlation as C
 from hitloom.operators import estimate as E
 from hitloom.operators import histograms as H
 from hitloom.operators import joins as J
 from hitloom.operators import results as R
 from hitloom.operators.results import distance, rx, ry
-from hitloom.plans.joins import GRID_SQL, grid_pairs_sql, plane_2
+from hitloom.plans.joins import GRID_SQL, grid_pairs_sql
 from hitloom.plans.positions import plane_tracks, sql
 from hitloom.plans.registry import query
 from hitloom.sources import views
@@ -337,28 +338,27 @@ def density_and_charge_maps(spark, sf_dir):
     return views.tracks(spark, sf_dir).groupBy("dut", pixel_x(), pixel_y()).agg(F.count("*").alias("n_tracks"), F.count("x").alias("n_hits"), mean6("charge").alias("mean_charge"))
 
 
-_CORR = "SELECT '{u}' AS axis, CAST(floor(abs(a.{u} - b.{u}) / 50) AS INT) AS bin, a.r{u} AS r1, b.r{u} AS r2 FROM "
+_CORR = "SELECT a.dut, '{u}' AS axis, CAST(floor(abs(a.{u} - b.{u}) / 50) AS INT) AS bin, a.r{u} AS r1, b.r{u} AS r2 FROM "
 
 
 @query("residual_correlation", sql(f"""
-    WITH {GRID_SQL}, pairs AS ({_CORR.format(u="x")} {grid_pairs_sql("x", "y", 200)} UNION ALL {_CORR.format(u="y")} {grid_pairs_sql("y", "x", 200)})
-    SELECT axis, bin, count(*) AS n, round(corr(r1, r2), 6) + 0e0 AS r FROM pairs GROUP BY ALL HAVING count(*) > 20"""))
+    WITH {GRID_SQL.replace("WHERE dut = 2 AND", "WHERE").replace("SELECT event_number", "SELECT dut, event_number")}, pairs AS ({_CORR.format(u="x")} {grid_pairs_sql("x", "y", 200)} AND a.dut = b.dut UNION ALL {_CORR.format(u="y")} {grid_pairs_sql("y", "x", 200)} AND a.dut = b.dut)
+    SELECT dut, axis, bin, count(*) AS n, round(corr(r1, r2), 6) + 0e0 AS r FROM pairs GROUP BY ALL HAVING count(*) > 20"""))
 def residual_correlation(spark, sf_dir):
-    """Pearson correlation of residuals of track pairs by their distance, along x and along y; every track is a reference."""
-    return correlations(spark, sf_dir).select("axis", "bin", "n", r6(F.col("r")).alias("r"))
+    """Pearson correlation of residuals of track pairs of a plane by their distance, along x and along y; every track is a reference."""
+    return correlations(spark, sf_dir).select("dut", "axis", "bin", "n", r6(F.col("r")).alias("r"))
 
 
 def correlations(spark, sf_dir):
-    t = plane_2(spark, sf_dir)
-    pairs = J.later_pairs(t, "x", 200.0, 50.0).unionByName(J.later_pairs(t, "y", 200.0, 50.0))
-    return pairs.groupBy("axis", "bin").agg(F.count("*").alias("n"), F.corr("r1", "r2").alias("r")).where("n > 20")
+    tracks = with_hit(spark, sf_dir).select("dut", "event_number", F.col("ix").alias("x"), F.col("iy").alias("y"), rx().alias("rx"), ry().alias("ry"))
+    return C.correlation(C.later_sums(tracks, 200.0, 50.0)).where("n > 20")
 
 
 @query("residual_correlation_fit")
 def residual_correlation_fit(spark, sf_dir):
-    """A damped term and a sine fitted to the correlations of each axis; the period starts at the pitch."""
+    """A damped term and a sine fitted to the correlations of each plane and axis; the period starts at the pitch."""
     points = correlations(spark, sf_dir).withColumn("x", (F.col("bin") + 0.5) * 50.0)
-    return E.fit_damped_sine(points, ["axis"], "x", "r", "n", 18.4)
+    return E.fit_damped_sine(points, ["dut", "axis"], "x", "r", "n", 18.4)
 
 
 @query("residual_slope", sql("""
