@@ -153,14 +153,45 @@ def reduce_background(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def shortest_interval(k: int, n: int, mass: float = 0.68) -> tuple[float, float]:
-    """Signed distances from k / n to the ends of the shortest interval of Beta(k + 1, n - k + 1) with that mass."""
-    p = np.linspace(0, 1, 20001)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log = np.where(k > 0, k * np.log(p), 0.0) + np.where(n > k, (n - k) * np.log1p(-p), 0.0)
-    density = np.exp(log - np.nanmax(log))
-    order = np.argsort(-density, kind="stable")
-    inside = order[: int(np.searchsorted(np.cumsum(density[order]), mass * density.sum())) + 1]
-    return float(p[inside].min() - k / n), float(p[inside].max() - k / n)
+    """Signed distances from k / n to the ends of the shortest interval of Beta(k + 1, n - k + 1) with that mass; NaN without trials.
+
+    Everything is counted from the mode k / n, so nothing cancels at any n: the
+    ends are where the density falls to one level, and the level is found by
+    halving, with the mass integrated in panels between the ends.
+    """
+    if n <= 0:
+        return math.nan, math.nan
+    mode, rest = k / n, (n - k) / n
+    scale = math.sqrt((k + 1) * (n - k + 1) / (n + 3)) / (n + 2)
+    left, right = max(-mode, -40 * scale), min(rest, 40 * scale)  # nothing is left beyond, in an exponential tail too
+    nodes, weights = np.polynomial.legendre.leggauss(16)
+
+    def log_density(d):
+        with np.errstate(divide="ignore"):
+            return (k * np.log1p(np.maximum(d / mode, -1)) if k else 0.0) + ((n - k) * np.log1p(np.maximum(-d / rest, -1)) if n > k else 0.0)
+
+    def integral(a: float, b: float) -> float:
+        edges = np.linspace(a, b, 41)
+        half = (edges[1:] - edges[:-1]) / 2
+        return float((np.exp(log_density((edges[:-1] + half)[:, None] + half[:, None] * nodes)) * weights * half[:, None]).sum())
+
+    def end(far: float, level: float) -> float:
+        """Where the density falls to ``level`` between the mode and ``far``; ``far`` if it does not."""
+        if far == 0 or log_density(far) >= level:
+            return far
+        near = 0.0
+        for _ in range(60):
+            middle = (near + far) / 2
+            near, far = (middle, far) if log_density(middle) >= level else (near, middle)
+        return (near + far) / 2
+
+    wanted = mass * (integral(left, 0.0) + integral(0.0, right))
+    high, low = 0.0, -900.0
+    for _ in range(60):
+        level = (high + low) / 2
+        a, b = end(left, level), end(right, level)
+        high, low = (level, low) if integral(a, 0.0) + integral(0.0, b) < wanted else (high, level)
+    return a, b
 
 
 def prealign(hits: DataFrame, planes: list[Plane], reference: int, width: float, reduce: bool = True) -> list[Plane]:

@@ -123,26 +123,27 @@ def nearest_fill(cells: DataFrame, wanted: DataFrame, by: list[str], reach: int
         out, missing, reach = out.unionByName(tried.where("n IS NOT NULL")), tried.where("n IS NULL").drop("n"), 2 * reach
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 256) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles of each group, interpolated between ranks as usual: a column for each entry of ``shares``.
 
-    A group is cut into ``bins`` equal ranges and only the distinct values of
-    the ranges that hold a wanted rank are put in order, so that no group is
-    sorted or held as a whole. Nulls do not count; keys must not be null.
+    The different values of all groups are dealt by range of (group, value) and
+    written; counts of a group's ranges tell in which ranges its wanted ranks
+    lie, and only these are put in order. Ranges are as large as a partition,
+    whatever the spread of the values and however large one group. Nulls do
+    not count; keys must not be null.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    spans = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    placed = rows.join(spans, by).withColumn("cell", cell.cast("int"))
-    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.lit(float(q)) * (F.col("total") - 1)).alias("r")) for k, q in shares.items())))
-    ranks = spans.select(*by, wanted.alias("w")).select(*by, "w.name", "w.r", F.floor("w.r").alias("k0"), F.ceil("w.r").alias("k1"))
+    scratch = Scratch(df.sparkSession, "quantiles")
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).groupBy(*by, "v").agg(F.count("*").alias("m"))
+    values = scratch.table(values.repartitionByRange(*by, "v").withColumn("range_", F.spark_partition_id()), "values")
+    counts = values.groupBy(*by, "range_").agg(F.sum("m").alias("m"))
     up_to = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    counts = placed.groupBy(*by, "cell").agg(F.count("*").alias("m")).withColumn("end", F.sum("m").over(up_to(by, "cell"))).withColumn("start", F.col("end") - F.col("m"))
+    counts = counts.withColumn("end", F.sum("m").over(up_to(by, "range_"))).withColumn("start", F.col("end") - F.col("m"))  # a row for each range of a group
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.lit(float(q)) * (F.col("total") - 1)).alias("r")) for k, q in shares.items())))
+    ranks = counts.groupBy(*by).agg(F.sum("m").alias("total")).select(*by, wanted.alias("w")).select(*by, "w.name", "w.r", F.floor("w.r").alias("k0"), F.ceil("w.r").alias("k1"))
     holds = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("end"))
-    cells = counts.join(ranks, by).where(holds("k0") | holds("k1")).select(*by, "cell", F.col("start").alias("before")).distinct()
-    values = placed.join(cells, [*by, "cell"]).groupBy(*by, "cell", "before", "v").agg(F.count("*").alias("m"))
-    values = values.withColumn("end", F.col("before") + F.sum("m").over(up_to([*by, "cell"], "v"))).withColumn("start", F.col("end") - F.col("m"))
-    ends = values.join(ranks, by).groupBy(*by, "name", "r", "k0").agg(F.max(F.when(holds("k0"), F.col("v"))).alias("v0"), F.max(F.when(holds("k1"), F.col("v"))).alias("v1"))
+    ranges = counts.join(ranks, by).where(holds("k0") | holds("k1")).select(*by, "range_", F.col("start").alias("before")).distinct()
+    inside = values.join(ranges, [*by, "range_"]).withColumn("end", F.col("before") + F.sum("m").over(up_to([*by, "range_"], "v"))).withColumn("start", F.col("end") - F.col("m"))
+    ends = inside.join(ranks, by).groupBy(*by, "name", "r", "k0").agg(F.max(F.when(holds("k0"), F.col("v"))).alias("v0"), F.max(F.when(holds("k1"), F.col("v"))).alias("v1"))
     found = ends.withColumn("q", F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("r") - F.col("k0")))
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in shares))
 

@@ -86,7 +86,7 @@ def residual_position_maps(tracks: DataFrame, position_width: float, residual_wi
     return cells.withColumns({"pos_n": F.sum("n").over(w), "pos_mean": F.sum("s").over(w) / F.sum("n").over(w)}).drop("s")
 
 
-def residual_slope(bins: DataFrame, by: list[str], at: str, mean: str, n: str = "n", share: float = 0.32, limits: tuple[float | None, float | None] | None = None) -> DataFrame:
+def residual_slope(bins: DataFrame, by: list[str], at: str, mean: str, n: str = "n", share: float = 0.32, limits: tuple[float | Column | None, float | Column | None] | None = None) -> DataFrame:
     """Weighted line (by, n_bins, slope, offset) through the mean residuals of position bins; a bin weighs by the square of its count.
 
     Used are the bins whose position lies inside ``limits``, or without limits
@@ -139,10 +139,10 @@ def angle_histograms(tracks: DataFrame, bins: int, span: float = 5.0) -> DataFra
 
 def chi2_histograms(tracks: DataFrame, ndof: Column) -> DataFrame:
     """Counts (kind, bin, n): chi2 up to its 99th percentile in 250 bins and up to 20 in 100, reduced chi2 up to 10 in 50, the p-value in 50."""
-    rows = tracks.withColumns({"one": F.lit(1), "p": chi2_pvalue(F.col("chi2"), ndof)})
-    top = H.quantiles(rows, ["one"], "chi2", {"top": 0.99})
-    rows = rows.join(F.broadcast(top), "one")  # one row
-    full = F.when(F.col("chi2").between(0, F.col("top")), F.least(F.floor(F.col("chi2") * (250 / F.col("top"))), F.lit(249)).cast("int"))
+    found = H.quantiles(tracks.select(F.lit(1).alias("one"), "chi2"), ["one"], "chi2", {"top": 0.99}).first()
+    top = F.lit(found["top"] if found else None).cast("double")
+    rows = tracks.withColumn("p", chi2_pvalue(F.col("chi2"), ndof))
+    full = F.when(F.col("chi2").between(0, top), F.least(F.floor(F.col("chi2") * (250 / top)), F.lit(249)).cast("int"))
     kinds = {"full": full, "narrow": H.edge_bin(F.col("chi2"), 0.0, 20.0, 100), "reduced": H.edge_bin(F.col("chi_red"), 0.0, 10.0, 50), "p": H.edge_bin(F.col("p"), 0.0, 1.0, 50)}
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("bin")) for k, c in kinds.items())))
     return rows.select(each.alias("a")).where("a.bin IS NOT NULL").groupBy(F.col("a.kind").alias("kind"), F.col("a.bin").alias("bin")).agg(F.count("*").alias("n"))

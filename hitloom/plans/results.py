@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
@@ -375,11 +376,14 @@ def residual_slope(spark, sf_dir):
 
 @query("residual_slope_gauss")
 def residual_slope_gauss(spark, sf_dir):
-    """The same between limits, through the means of Gaussians fitted to each bin's residuals."""
+    """The same between the outermost bins of a plane that have a tenth of its fullest bin, through the means of Gaussians fitted to each bin's residuals."""
     h = with_hit(spark, sf_dir).groupBy("dut", bin_x().alias("b"), F.floor(rx() * 2).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     fits = E.fit_histograms(h, ["dut", "b"], "bin").select("dut", "b", ((F.col("mean") + 0.5) / 2).alias("m"))
     b = h.groupBy("dut", "b").agg(F.sum("n").alias("n")).join(fits, ["dut", "b"]).withColumn("p", (F.col("b") + 0.5) * RES - 6000)
-    return R.residual_slope(b, ["dut"], "p", "m", limits=(-4000.0, 4000.0))
+    w = Window.partitionBy("dut")  # a row for each position bin
+    lit = F.when(F.col("n") >= F.max("n").over(w) / 10, F.col("p"))
+    b = b.withColumn("lit", lit).withColumns({"lo": F.min("lit").over(w), "hi": F.max("lit").over(w)})
+    return R.residual_slope(b, ["dut"], "p", "m", limits=(F.col("lo"), F.col("hi")))
 
 
 @query("kde_mode", sql(f"""
