@@ -378,11 +378,17 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), with the same columns; each row follows its own verdict."""
+    """One row of each group of near-duplicates (five words, 0.8), with the same columns.
+
+    Of a group the row with the smallest key stays; of several rows with that
+    key (repeated rows, or texts that are linked) the one whose place in the
+    files is the smallest string. Rows without words or without a key stay.
+    """
     name = unused(docs)
     rows = located(docs, Scratch(spark, "stage"), name)
-    kept = near_duplicates(rows, row=name).where("kept").select(F.col("row_id").alias(name))
-    return rows.join(kept, name, "left_semi").drop(name)
+    alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row_id"))
+    kept = near_duplicates(rows, row=name).where("kept").groupBy("component_id", alone.alias("alone")).agg(F.min("row_id").alias(name))
+    return rows.join(kept.select(name), name, "left_semi").drop(name)
 
 
 ORACLE = r"""

@@ -121,3 +121,16 @@ def test_stage_by_row(spark):
 def test_stage_keeps_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (1, "g h i")], "doc_id long, text string")
     assert sorted(r.text for r in N.neardup_stage(spark, docs, "").collect()) == ["a b c", "d e f", "g h i"]
+
+
+def test_stage_keeps_one_row_of_a_group(spark, tmp_path):
+    """Near copies and repeated rows under one key, rows without words or key, and files read twice."""
+    words = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, words, "a"), (1, words + " more", "b"), (2, words, "c"), (3, "other text of six plain words", "d"), (3, "other text of six plain words", "d"), (4, None, "e"), (4, None, "e"), (None, words, "f")]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, tag string").coalesce(1).write.parquet(path)
+    once = [(1,), (3,), (4,), (4,), (None,)]
+    assert sorted(map(tuple, N.neardup_stage(spark, spark.read.parquet(path), "").select("doc_id").collect()), key=str) == sorted(once, key=str)
+    twice = N.neardup_stage(spark, spark.read.parquet(path, path), "")
+    assert sorted(map(tuple, twice.select("doc_id").collect()), key=str) == sorted([(1,), (3,), (4,), (4,), (4,), (4,), (None,), (None,)], key=str)
+    assert twice.columns == ["doc_id", "text", "tag"]
