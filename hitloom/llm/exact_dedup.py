@@ -48,12 +48,19 @@ def sha256(text: Column) -> Column:
 
 
 def located(docs: DataFrame, scratch: Scratch, name: str = "locator") -> DataFrame:
-    """``docs`` with a column ``name`` (file and row); frames not read from files are written first."""
+    """``docs`` with a column ``name`` (file and row) that no other row has.
+
+    Frames not read from files, and those that read a file twice, are written
+    first; the latter is found by counting hashes of the places.
+    """
     where = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
     try:
-        return docs.withColumn(name, where)
+        rows = docs.withColumn(name, where)
+        if rows.groupBy(F.xxhash64(name)).count().where("count > 1").isEmpty():
+            return rows
     except AnalysisException:  # no file metadata: the frame is not a plain read
-        return scratch.table(docs, "documents").withColumn(name, where)
+        pass
+    return scratch.table(docs, "documents").withColumn(name, where)
 
 
 def unused(docs: DataFrame, name: str = "locator") -> str:
@@ -97,7 +104,7 @@ def latest(spark: SparkSession, log: str) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, state: str | None = None, batch: str = "0") -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, state: str | None = None, batch: str = "0", locator: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: key, locator, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. Of rows with equal texts the one with the
@@ -110,12 +117,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     stays if no row of a batch so far with the same text has a larger key, and a
     ``batch`` that is there already is not counted twice. Files of earlier
     batches must stay where they were, as texts are compared with them.
+    ``locator`` names a column of ``docs`` that tells rows apart, as
+    :func:`located` makes it; without one it is made here.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     if state and not docs.inputFiles():
         docs = once(docs, f"{state}/documents/batch={batch}")
-    rows = located(docs, scratch).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), "locator")
+    name = locator or unused(docs)
+    rows = (docs if locator else located(docs, scratch, name)).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.col(name).alias("locator"))
     made = rows.select(digest(F.col("text")).cast("binary").alias("digest"), "doc_id", "locator", *([] if digest is sha256 else [sha256(F.col("text")).alias("sha")]))
     arrivals = once(made, f"{state}/arrivals/batch={batch}") if state else scratch.table(made, "arrivals")
     log, path = f"{state}/states" if state else scratch.path("states"), arrivals.inputFiles()
@@ -183,10 +193,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that stay, with the same columns, whatever their names; each row follows its own verdict."""
     name = unused(docs)
-    scratch = Scratch(spark, "stage")
-    docs = docs if docs.inputFiles() else scratch.table(docs, "documents")
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("locator").alias(name))
-    return located(docs, scratch, name).join(kept, name, "left_semi").drop(name)
+    rows = located(docs, Scratch(spark, "stage"), name)
+    kept = exact_dedup(rows, locator=name).where("kept").select(F.col("locator").alias(name))
+    return rows.join(kept, name, "left_semi").drop(name)
 
 
 ORACLE = """

@@ -93,3 +93,12 @@ def test_state_checks_bytes(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{batch}")
         got = E.exact_dedup(spark.read.parquet(f"{tmp_path}/{batch}"), digest=weak, state=state, batch=batch).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(3, 3, 2, True), (4, 4, 1, True)]
+
+
+def test_files_read_twice(spark, tmp_path):
+    """A path named twice gives each row twice, and one row of a group stays."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = E.exact_dedup(spark.read.parquet(path, path)).collect()
+    assert len({r.locator for r in got}) == 6 and sorted((r.doc_id, r.group_size) for r in got if r.kept) == [(2, 4), (3, 2)]
+    assert sorted(r.doc_id for r in E.dedup_stage(spark, spark.read.parquet(path, path), "").collect()) == [2, 3]

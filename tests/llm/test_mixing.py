@@ -117,3 +117,13 @@ def test_stage_by_row(spark, other):
         got[r.text] += 1
         assert {r.k, r.copy, r.copies, r.locator, r.row_id} == {"own " + r.text}
     assert got == {t: n for t, n in want.items() if n} and "" not in got
+
+
+def test_stage_on_files_read_twice(spark, tmp_path):
+    """Each row is taken as often as the mix of all six rows says, though two have the same place in a file."""
+    rows = [(1, "a b c", "s"), (2, "d e f", "s"), (3, "g h i", "t")]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(path)
+    apart = spark.createDataFrame([(*r, str(i)) for i, r in enumerate(rows * 2)], "doc_id long, text string, source string, uid string")
+    want = sum(r.copies for r in M.mix(apart, row="uid").collect())
+    assert M.mixing_stage(spark, spark.read.parquet(path, path), "").count() == want > 0
