@@ -19,8 +19,10 @@ these weights, fitted on a bounded sample, turns them into a score from 0 to 1.
 Learning needs two narrow counts (candidates from toxic documents, then their
 counts in all training documents), summed in the task first, and prediction is
 one scan. Candidates reach the tasks by broadcast and labels their documents by
-a broadcast join below counted bounds, else by shuffle. The model has at most
-``TERMS`` terms, those of the highest odds.
+a broadcast join below counted bounds, else by shuffle. Every term that passes
+is in the model: as each stands in ``LEAST_SHARE`` of the toxic documents, there
+are at most 1 / ``LEAST_SHARE`` times as many as a toxic document has different
+terms on average, however large the corpus.
 """
 
 from __future__ import annotations
@@ -52,8 +54,8 @@ WINDOW = 8
 QUOTED = 0.35
 #: Labelled documents that the regression reads, at most; the lexicon's counts cover all.
 SAMPLE = 20_000
-#: Labels (about 50 bytes each) and candidate terms (about 100) that one broadcast may hold, and terms of a model.
-BROADCAST_LABELS, BROADCAST_TERMS, TERMS = 500_000, 200_000, 100_000
+#: Labels (about 50 bytes each) and candidate terms (about 100) that one broadcast may hold.
+BROADCAST_LABELS, BROADCAST_TERMS = 500_000, 200_000
 #: Marks and words that tell quotation from abuse (fixed values).
 MARKS = "\"“”„«»‹›"
 REPORTING = frozenset(
@@ -253,7 +255,7 @@ def lexicon(rows: DataFrame, toxic: int, clean: int, scratch: Scratch) -> tuple[
         second = _document_counts(rows, None, "a b").join(first, "term", "left_semi")
     odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
     kept = second.withColumn("w", F.round(odds, 6)).where((F.col("w") >= LEAST_ODDS) & (F.col("a") >= least))
-    found = kept.select("term", "w").orderBy(F.desc("w"), "term").limit(TERMS).collect()
+    found = kept.select("term", "w").collect()
     return tuple({r["term"][1:]: r["w"] for r in found if r["term"][0] == kind} for kind in "=^")
 
 
@@ -272,7 +274,7 @@ def reporting_words(chosen: DataFrame, model: Model) -> frozenset:
     a, b = F.col("n0"), F.col("n1")
     odds = F.log((a + 0.5) / (total["n0"] - a + 0.5)) - F.log((b + 0.5) / (total["n1"] - b + 0.5))
     rows = counts.where((F.col("term") != "") & (a >= max(REPORTED_DOCS, REPORTED_SHARE * total["n0"]))).withColumn("w", F.round(odds, 6)).where(F.col("w") >= LEAST_ODDS)
-    return frozenset(r["term"] for r in rows.orderBy(F.desc("w"), "term").limit(TERMS).collect())
+    return frozenset(r["term"] for r in rows.collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", reporting: frozenset = REPORTING) -> Model:
