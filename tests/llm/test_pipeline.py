@@ -56,5 +56,5 @@ def test_entry(spark, sf_dir):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
