@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
@@ -13,6 +14,7 @@ from hitloom.functions.expressions import r6
 from hitloom.operators import clusters as C
 from hitloom.operators import estimate as E
 from hitloom.operators import events as EV
+from hitloom.operators import fits as FIT
 from hitloom.operators import tracking as T
 from hitloom.operators.joins import plane_correlation
 from hitloom.plans.clusters import sql as cluster_sql
@@ -105,6 +107,39 @@ def fit_moments(spark, sf_dir):
     return E.fit_histograms(residual_histogram(spark, sf_dir), ["dut"], "bin", shape="box").select("dut", "total", r6(F.col("moment_mean")).alias("moment_mean"), F.round("moment_rms", 6).alias("moment_rms"))
 
 
+def each_model(spark, sf_dir):
+    """The residual histogram of each plane fitted by every model with a peak."""
+    h = Scratch(spark, "residuals").table(residual_histogram(spark, sf_dir), "histogram")  # a row per bin, read by each model
+    return {m: FIT.fit_models(h, ["dut"], "bin", model=m) for m in FIT.MODELS if FIT.peaks(m)}
+
+
+@query("fit_models")
+def fit_models(spark, sf_dir):
+    """Every peak model fitted to the residuals of each plane, one row per parameter; the tests hold each model against known parameters."""
+    parts = []
+    for m, f in each_model(spark, sf_dir).items():
+        named = F.explode(F.array(*(F.struct(F.lit(k).alias("parameter"), F.col(k).alias("value"), F.col(f"{k}_err").alias("error")) for k in FIT.MODELS[m])))
+        parts.append(f.select("dut", F.lit(m).alias("model"), "fitted", "cost", named.alias("p")).select("dut", "model", "fitted", "cost", "p.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("fit_model_sums", sql(f"""
+    WITH h AS (SELECT dut, CAST(floor((x - ix) * 2) AS INT) AS bin, count(*) AS n FROM tracks WHERE x IS NOT NULL GROUP BY ALL)
+    SELECT dut, model, count(*) AS n_bins, CAST(sum(n) AS BIGINT) AS total FROM h, (SELECT unnest({[m for m in FIT.MODELS if FIT.peaks(m)]}) AS model) GROUP BY ALL"""))
+def fit_model_sums(spark, sf_dir):
+    """Bins and rows that each model is fitted to."""
+    return reduce(DataFrame.unionByName, (f.select("dut", F.lit(m).alias("model"), "n_bins", F.col("total").cast("long").alias("total")) for m, f in each_model(spark, sf_dir).items()))
+
+
+@query("linear_fit", sql("""
+    WITH h AS (SELECT dut, event_number // 100 AS bucket, count(*) AS n FROM hits GROUP BY ALL)
+    SELECT dut, count(*) AS n_bins, CAST(sum(n) AS BIGINT) AS total, round(regr_intercept(n, bucket), 6) + 0e0 AS "offset", round(regr_slope(n, bucket), 6) + 0e0 AS slope FROM h GROUP BY dut"""))
+def linear_fit(spark, sf_dir):
+    """Drift of the hit rate: a line through the hits of each plane per hundred events."""
+    h = views.hits(spark, sf_dir).groupBy("dut", F.expr("event_number div 100").alias("bucket")).agg(F.count("*").alias("n"))
+    return FIT.fit_models(h, ["dut"], "bucket", model="linear").select("dut", "n_bins", F.col("total").cast("long").alias("total"), r6(F.col("offset")).alias("offset"), r6(F.col("slope")).alias("slope"))
+
+
 @query("background_reduction")
 def background_reduction(spark, sf_dir):
     h = views.hits(spark, sf_dir)
