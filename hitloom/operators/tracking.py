@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.functions.expressions import chi2_pvalue, in_window
+from hitloom.functions.expressions import chi2_pvalue
 from hitloom.functions.geometry import Plane, rotation
 from hitloom.operators.events import first_rows, map_events
 from hitloom.operators.histograms import density_modes
@@ -45,14 +45,6 @@ def planes_side_by_side(hits: DataFrame, duts: list[int], columns: list[str]) ->
     return hits.where(F.col("dut").isin(duts)).groupBy(*TRACK).agg(*map(at, duts))
 
 
-def _moments(used: list[tuple[Column, list[Column]]]) -> tuple[Column, list[Column], dict[str, Column]]:
-    """Number, mean point and centred second moments of the points with a true flag, as expressions."""
-    add = lambda values: sum(values[1:], values[0])
-    n = add([u.cast("int") for u, _ in used])
-    mean = [add([F.when(u, p[i]).otherwise(0.0) for u, p in used]) / n for i in range(3)]
-    return n, mean, {f"{a}{b}": lambda m, i=i, j=j: add([F.when(u, (p[i] - m[i]) * (p[j] - m[j])).otherwise(0.0) for u, p in used]) for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j}
-
-
 def _direction():
     @F.pandas_udf("sx double, sy double, sz double")
     def direction(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
@@ -97,94 +89,149 @@ def fit_tracks(
     plane's frame; o*, s* are the line in the global frame. ``keep`` names
     columns of the fitted plane's own row that go along.
 
-    Hits are dealt by track once: the planes stand side by side in a row, the
-    fits and flags are expressions of it. Isolation joins rows of an event.
+    Hits are dealt by track once, so that the planes stand side by side in a row; a
+    kernel fits the rows of a batch. It is an opaque step of the plan, so results
+    can be filtered by any column. What isolation or ``centre`` read again is written
+    first: the rows of tracks, and the fits where isolation joins rows of an event.
+    A plane that a line never crosses has a null crossing and no quality bit; an
+    error of zero makes chi2 null.
     """
     ship(hits.sparkSession)
     at = {p.dut: p for p in planes}
-    duts = list(at)
-    turn = {d: rotation(p.alpha, p.beta, p.gamma) for d, p in at.items()}
-    wide = planes_side_by_side(hits, duts, list(dict.fromkeys(["x", "y", "x_err", "y_err", *keep])))
-    h = lambda d, c: F.col(f"h_{d}")[c]
-    has = lambda d: h(d, "x").isNotNull() & h(d, "y").isNotNull()
-    flag = lambda conditions: F.array(*(F.when(c, F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")) for d, c in conditions))
-    union = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(v))
-    globally = {d: [h(d, "x") * turn[d][i][0] + h(d, "y") * turn[d][i][1] + t for i, t in enumerate((p.tx, p.ty, p.tz))] for d, p in at.items()}
-    wide = wide.withColumns({f"g_{d}": F.struct(*(c.alias(n) for c, n in zip(globally[d], "xyz", strict=True))) for d in fit_duts})
-    point = lambda d: [F.col(f"g_{d}")[n] for n in "xyz"]
-    wide = wide.withColumn("hit_flag", union(flag([(d, has(d)) for d in duts])))
-
-    rows = wide.withColumn("fit_dut", F.explode(F.array(*map(F.lit, for_duts))))
-    used = [(has(d) & (F.col("fit_dut") != d) if exclude_own else has(d), point(d)) for d in fit_duts]
-    n, mean, second = _moments(used)
-    rows = rows.withColumn("n", n).where(F.col("n") >= min_hits).withColumns(dict(zip(("ox", "oy", "oz"), mean, strict=True)))
-    m = [F.col(f"o{a}") for a in "xyz"]
-    names = ["xx", "xy", "xz", "yy", "yz", "zz"]
-    rows = rows.withColumn("d", _direction()(*(second[k](m).alias(k) for k in names)))
-    rows = rows.withColumns({f"s{a}": F.col(f"d.s{a}") for a in "xyz"}).drop("d")
-    s = [F.col(f"s{a}") for a in "xyz"]
-
-    crossing, slope = {}, {}
-    for d, p in at.items():
-        r, t = turn[d], (p.tx, p.ty, p.tz)
-        over, under = (sum((f(i) for i in range(1, 3)), f(0)) for f in (lambda i, r=r, t=t: (F.lit(t[i]) - m[i]) * r[i][2], lambda i, r=r: s[i] * r[i][2]))
-        k = F.when(under != 0, over / under)
-        away = [m[i] + k * s[i] - t[i] for i in range(3)]
-        crossing[d] = [sum((away[i] * r[i][j] for i in range(1, 3)), away[0] * r[0][j]) for j in (0, 1)]
-        own = [sum((s[i] * r[i][j] for i in range(1, 3)), s[0] * r[0][j]) for j in range(3)]
-        slope[d] = [F.when(own[2] < 0, -v).otherwise(v) for v in own]
-    rows = rows.withColumns({f"c_{d}": F.struct(crossing[d][0].alias("x"), crossing[d][1].alias("y")) for d in duts})
-    residual = {d: [h(d, "x") - F.col(f"c_{d}")["x"], h(d, "y") - F.col(f"c_{d}")["y"]] for d in duts}
-    modes = residual_modes(rows, {d: residual[d] for d in centre}, at) if centre else {}
-    for d in centre:
-        residual[d] = [v - F.lit(modes.get((d, a), 0.0)) for v, a in zip(residual[d], "xy", strict=True)]
-    pull = lambda d: F.when(u, (residual[d][0] / h(d, "x_err")) ** 2 + (residual[d][1] / h(d, "y_err")) ** 2).otherwise(0.0)  # noqa: B023, E731
-    chi2 = F.lit(0.0)
-    for (u, _), d in zip(used, fit_duts, strict=True):
-        chi2 = chi2 + pull(d)
-    good = []
-    for d, p in at.items():
-        inside = in_window(*residual[d], F.lit(float(quality[0])), F.lit(float(quality[1])), F.lit(p.column_size), F.lit(p.row_size))
-        if use_limits:
-            for c, lo, hi in (("x", p.x_lo, p.x_hi), ("y", p.y_lo, p.y_hi)):
-                inside = inside & (F.lit(True) if lo is None else h(d, c) >= lo) & (F.lit(True) if hi is None else h(d, c) <= hi)
-        good.append((d, has(d) & inside))
-    pick = lambda values: F.coalesce(*(F.when(F.col("fit_dut") == d, values(d)) for d in for_duts))
-    rows = rows.withColumns({
-        "chi2": chi2, "quality_flag": union(flag(good)), "offset_x": pick(lambda d: F.col(f"c_{d}")["x"]), "offset_y": pick(lambda d: F.col(f"c_{d}")["y"]),
-        **{f"slope_{a}": pick(lambda d, j=j: slope[d][j]) for j, a in enumerate("xyz")}, **{k: pick(lambda d, k=k: h(d, k)) for k in keep},
-    })
-    rows = rows.withColumn("chi_red", F.when(F.col("n") > 2, F.col("chi2") / (2 * (F.col("n") - 2))))
+    scratch = Scratch(hits.sparkSession, "fits")
+    wide = planes_side_by_side(hits, list(at), list(dict.fromkeys(["x", "y", "x_err", "y_err", *keep])))
+    if centre or isolation is not None:
+        wide = scratch.table(wide, "tracks")
+    fits = LineFits(planes, fit_duts, for_duts, exclude_own, min_hits, quality, use_limits, list(keep))
+    if centre:
+        fits.shift = residual_modes(fits.apply(wide).where(F.col("fit_dut").isin(list(centre))), at)
     flags = ["hit_flag", "quality_flag"]
-    if isolation is not None:
-        reach, everywhere = dict.fromkeys(duts, isolation), F.lit(sum(1 << d for d in duts)).cast("long")
+    if isolation is None:
+        rows = fits.apply(wide)
+    else:
+        reach, everywhere = dict.fromkeys(at, isolation), F.lit(sum(1 << d for d in at)).cast("long")
         round_ = {d: quality[0] >= 2.5 * p.column_size and quality[1] >= 2.5 * p.row_size for d, p in at.items()}
-        lines = rows.select(*TRACK, "fit_dut", *(F.col(f"c_{d}")[a].alias(f"{a}{d}") for d in duts for a in "xy"))
-        spots = wide.select(*TRACK, *(h(d, a).alias(f"{a}{d}") for d in duts for a in "xy"))
-        x, y = (lambda d: f"x{d}"), (lambda d: f"y{d}")
-        by_line = near_rows(lines, ["event_number", "fit_dut"], x, y, duts, reach, dict.fromkeys(duts, True)).withColumnRenamed("near", "near_track")
-        by_hit = near_rows(spots, ["event_number"], x, y, duts, reach, round_).withColumnRenamed("near", "near_hit")
+        rows = scratch.table(fits.apply(wide), "fits")
+        spots = wide.select(*TRACK, *(F.col(f"h_{d}")[a].alias(f"c{a}_{d}") for d in at for a in "xy"))
+        x, y = (lambda d: f"cx_{d}"), (lambda d: f"cy_{d}")
+        by_line = near_rows(rows, ["event_number", "fit_dut"], x, y, list(at), reach, dict.fromkeys(at, True)).withColumnRenamed("near", "near_track")
+        by_hit = near_rows(spots, ["event_number"], x, y, list(at), reach, round_).withColumnRenamed("near", "near_hit")
         rows = rows.join(by_line, [*TRACK, "fit_dut"], "left").join(by_hit, TRACK, "left")
         rows = rows.withColumns({f"isolated_{k}_flag": everywhere.bitwiseAND(F.bitwise_not(F.coalesce(f"near_{k}", F.lit(0).cast("long")))) for k in ("track", "hit")})
         flags += ["isolated_track_flag", "isolated_hit_flag"]
-    return rows.select(*TRACK, "fit_dut", "n", "chi2", "chi_red", *flags, "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", *keep)
+    return rows.select(*TRACK, "fit_dut", "n", "chi2", "chi_red", *flags, "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", *(F.col(f"own_{k}").alias(k) for k in keep))
 
 
-def residual_modes(rows: DataFrame, residual: dict, planes: dict[int, Plane]) -> dict[tuple[int, str], float]:
-    """Modes by plane and axis of the ``residual`` columns in the rows fitted for the plane, searched half a deviation around the medians; none for ten rows or fewer.
+def residual_modes(fits: DataFrame, planes: dict[int, Plane]) -> dict[tuple[int, str], float]:
+    """Modes by fitted plane and axis of the residuals ``res_x, res_y`` of its own hits, searched half a deviation around the medians; none for ten rows or fewer.
 
     The fits are done once for all planes and written; a mode per plane and axis reaches the driver.
     """
-    one = lambda d, a, v, w: F.struct(F.lit(d).alias("dut"), F.lit(a).alias("axis"), v.alias("v"), F.lit(w / 12**0.5).alias("w"))
-    sizes = lambda d: (planes[d].column_size, planes[d].row_size)
-    own = F.coalesce(*(F.when(F.col("fit_dut") == d, F.array(*map(one, (d, d), "xy", v, sizes(d)))) for d, v in residual.items()))
-    scratch = Scratch(rows.sparkSession, "residuals")
-    written = scratch.table(rows.select(F.explode(own).alias("r")).select("r.*").where("v IS NOT NULL"), "residuals")
+    width = lambda name: F.coalesce(*(F.when(F.col("fit_dut") == d, F.lit(getattr(p, name) / 12**0.5)) for d, p in planes.items()))
+    own = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"res_{a}").alias("v"), width(name).alias("w")) for a, name in (("x", "column_size"), ("y", "row_size"))))
+    scratch = Scratch(fits.sparkSession, "residuals")
+    written = scratch.table(fits.select(F.col("fit_dut").alias("dut"), F.explode(own).alias("r")).select("dut", "r.*").where("v IS NOT NULL"), "residuals")
     found = {(r["dut"], r["axis"]): r["mode"] for r in density_modes(written, ["dut", "axis"], "v", "w").collect()}
     scratch.release(written)
     return found
 
 
+class LineFits:
+    """Straight lines through the hits of tracks whose planes stand side by side, all tracks of a batch at once.
+
+    Planes that are fitted from the same hits share their lines.
+    """
+
+    def __init__(self, planes: list[Plane], fit_duts: list[int], for_duts: list[int], exclude_own: bool, min_hits: int, quality: tuple[float, float], use_limits: bool, keep: list[str]):
+        self.planes, self.fit_duts, self.for_duts = {p.dut: p for p in planes}, list(fit_duts), list(for_duts)
+        self.exclude_own, self.min_hits, self.quality, self.use_limits, self.keep = exclude_own, min_hits, quality, use_limits, keep
+        self.turn = {d: np.array(rotation(p.alpha, p.beta, p.gamma)) for d, p in self.planes.items()}
+        self.place = {d: np.array([p.tx, p.ty, p.tz]) for d, p in self.planes.items()}
+        self.shift: dict[tuple[int, str], float] = {}
+
+    def apply(self, wide: DataFrame) -> DataFrame:
+        """One row per track and fitted plane with at least ``min_hits`` hits; ``res_*`` is the own hit from the crossing, ``c*_<dut>`` the crossing of each plane."""
+        columns = {f"{c}_{d}": F.col(f"h_{d}")[c] for d in self.planes for c in ("x", "y")} | {f"{c}_{d}": F.col(f"h_{d}")[c] for d in self.fit_duts for c in ("x_err", "y_err")}
+        columns |= {f"own_{k}_{d}": F.col(f"h_{d}")[k] for d in self.for_duts for k in self.keep}
+        flat = wide.select(*TRACK, *(c.cast("double").alias(k) if not k.startswith("own_") else c.alias(k) for k, c in columns.items()))
+        kinds = dict(flat.dtypes)
+        double = ["chi2", "chi_red", "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", "res_x", "res_y", *(f"c{a}_{d}" for d in self.planes for a in "xy")]
+        ddl = [*(f"{k} {kinds[k]}" for k in TRACK), "fit_dut int, n int, hit_flag long, quality_flag long", *(f"{k} double" for k in double)]
+        ddl += [f"`own_{k}` {kinds[f'own_{k}_{self.for_duts[0]}']}" for k in self.keep]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield from self.fit(b)
+
+        return flat.mapInPandas(run, ", ".join(ddl))
+
+    def fit(self, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        local = {d: b[[f"x_{d}", f"y_{d}"]].to_numpy(float) for d in self.planes}
+        has = {d: ~np.isnan(v).any(axis=1) for d, v in local.items()}
+        hit_flag = sum(has[d].astype(np.int64) << d for d in self.planes)
+        points = {d: local[d] @ self.turn[d][:, :2].T + self.place[d] for d in self.fit_duts}
+        lines = {}
+        for d in self.for_duts:
+            left_out = d if self.exclude_own and d in self.fit_duts else None
+            used = {f: has[f] for f in self.fit_duts if f != left_out}
+            n = sum((u.astype(int) for u in used.values()), np.zeros(len(b), int))
+            some = np.flatnonzero((n >= self.min_hits) & (n > 0))
+            if not len(some):
+                continue
+            used, n = {f: u[some] for f, u in used.items()}, n[some]
+            if left_out not in lines:
+                lines[left_out] = self.line(used, n, {f: points[f][some] for f in used})
+            yield self.row(d, b.iloc[some], used, n, hit_flag[some], *lines[left_out], {k: v[some] for k, v in local.items()}, {k: v[some] for k, v in has.items()})
+
+    @staticmethod
+    def line(used: dict, n: np.ndarray, points: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Mean point and unit direction (s_z >= 0) of the points with a true flag."""
+        mean = sum(np.where(u[:, None], points[f], 0.0) for f, u in used.items()) / n[:, None]
+        second = np.zeros((len(n), 3, 3))
+        for f, u in used.items():
+            away = np.where(u[:, None], points[f] - mean, 0.0)
+            second += away[:, :, None] * away[:, None, :]
+        s = np.linalg.eigh(second)[1][:, :, -1]
+        return mean, s * np.where(s[:, 2:] < 0, -1.0, 1.0)
+
+    def cross(self, d: int, m: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where lines cross a plane, in its frame, and their directions there (third part >= 0)."""
+        r, t = self.turn[d], self.place[d]
+        under = s @ r[:, 2]
+        k = ((t - m) @ r[:, 2]) / np.where(under != 0, under, np.nan)
+        own = s @ r
+        return (m + k[:, None] * s - t) @ r[:, :2], own * np.where(own[:, 2:] < 0, -1.0, 1.0)
+
+    def row(self, d: int, b: pd.DataFrame, used: dict, n: np.ndarray, hit_flag: np.ndarray, m: np.ndarray, s: np.ndarray, local: dict, has: dict) -> pd.DataFrame:
+        crossing = {p: self.cross(p, m, s) for p in self.planes}
+        chi2, good = np.zeros(len(b)), np.zeros(len(b), np.int64)
+        for p, plane in self.planes.items():
+            residual = local[p] - crossing[p][0]
+            residual = residual - [self.shift.get((p, a), 0.0) for a in "xy"]
+            if p in used:
+                error = b[[f"x_err_{p}", f"y_err_{p}"]].to_numpy(float)
+                pull = residual / np.where(error != 0, error, np.nan)
+                chi2 += np.where(used[p], pull[:, 0] ** 2 + pull[:, 1] ** 2, 0.0)
+            good |= (has[p] & self.inside(plane, residual, local[p])).astype(np.int64) << p
+        out = {k: b[k].to_numpy() for k in TRACK} | {"fit_dut": d, "n": n, "hit_flag": hit_flag, "quality_flag": good, "chi2": chi2}
+        out["chi_red"] = np.where(n > 2, chi2 / (2.0 * np.maximum(n - 2, 1)), np.nan)
+        groups = {"offset_": crossing[d][0], "slope_": crossing[d][1], "o": m, "s": s, "res_": local[d] - crossing[d][0]}
+        out |= {f"{k}{a}": v[:, i] for k, v in groups.items() for i, a in enumerate("xyz"[: v.shape[1]])}
+        out |= {f"c{a}_{p}": v[:, i] for p, (v, _) in crossing.items() for i, a in enumerate("xy")}
+        return pd.DataFrame(out | {f"own_{k}": b[f"own_{k}_{d}"].to_numpy() for k in self.keep})
+
+    def inside(self, p: Plane, residual: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Within the quality cut (``in_window`` of batches) and the plane's limits."""
+        ax, ay = map(float, self.quality)
+        u, v = residual[:, 0], residual[:, 1]
+        ok = (u / ax) ** 2 + (v / ay) ** 2 <= 1 if ax >= 2.5 * p.column_size and ay >= 2.5 * p.row_size else (np.abs(u) <= ax) & (np.abs(v) <= ay)
+        if self.use_limits:
+            for i, (lo, hi) in enumerate(((p.x_lo, p.x_hi), (p.y_lo, p.y_hi))):
+                ok = ok & (True if lo is None else hit[:, i] >= lo) & (True if hi is None else hit[:, i] <= hi)
+        return ok
+
+
 class Finder:
     """Re-association of the hits of many events with equally many rows, plane by plane downstream.
 
