@@ -71,7 +71,7 @@ def plane_correlation(df: DataFrame, bins: dict[str, Column], references: list[i
     axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), c.cast("long").alias("bin")) for a, c in bins.items())))
     rows = df.select("event_number", "dut", axes.alias("a")).select("event_number", "dut", "a.axis", "a.bin").where("bin IS NOT NULL")
     keys = ["event_number", "axis"]
-    cells = rows.repartition("event_number").groupBy(*keys, "dut", "bin").agg(F.count("*").alias("n"))
+    cells = rows.repartition(*keys).groupBy(*keys, "dut", "bin").agg(F.count("*").alias("n"))  # the join asks for this dealing, too
     ref = cells.where(F.col("dut").isin(references)).select(*keys, F.col("dut").alias("ref"), F.col("bin").alias("bin_ref"), F.col("n").alias("m"))
     return ref.join(cells, keys).where("ref <> dut").groupBy("ref", "dut", "axis", "bin_ref", "bin").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
 

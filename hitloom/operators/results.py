@@ -127,14 +127,20 @@ def angle_histograms(tracks: DataFrame, bins: int, span: float = 5.0) -> DataFra
     """
     own = G.rotate(F.col("sx"), F.col("sy"), F.col("sz"), back=True)
     frames = {"local": own, "global": (F.col("sx"), F.col("sy"), F.col("sz"))}
-    kinds = [F.struct(F.lit(f).alias("frame"), F.lit(n).alias("angle"), v.alias("v")) for f, s in frames.items() for n, v in zip(("total", "alpha", "beta"), G.angles(*s), strict=True)]
-    rows = tracks.select("dut", F.explode(F.array(*kinds)).alias("a")).select("dut", "a.frame", "a.angle", "a.v")
-    keys = ["dut", "frame", "angle"]
-    range_ = rows.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sigma"))
-    lo, hi = F.col("mean") - span * F.col("sigma"), F.col("mean") + span * F.col("sigma")
-    placed = rows.join(F.broadcast(range_), keys).where(F.col("v").between(lo, hi) & (F.col("sigma") > 0))  # six rows a plane
-    bin_ = F.least(F.floor((F.col("v") - lo) * (bins / (hi - lo)) + 1e-9), F.lit(bins - 1)).cast("int")
-    return placed.groupBy(*keys, "mean", "sigma", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    kinds = {(f, n): v for f, s in frames.items() for n, v in zip(("total", "alpha", "beta"), G.angles(*s), strict=True)}
+    name = "_".join
+    angles = tracks.select("dut", *(v.alias(name(k)) for k, v in kinds.items()))
+    sums = angles.groupBy("dut").agg(*(f(name(k)).alias(f"{m}_{name(k)}") for k in kinds for m, f in (("mean", F.avg), ("sigma", F.stddev_pop))))  # a row a plane
+
+    def placed(k: tuple[str, str]) -> Column:
+        v, mean, sigma = F.col(name(k)), F.col(f"mean_{name(k)}"), F.col(f"sigma_{name(k)}")
+        lo, hi = mean - span * sigma, mean + span * sigma
+        return F.when(v.between(lo, hi) & (sigma > 0), F.least(F.floor((v - lo) * (bins / (hi - lo)) + 1e-9), F.lit(bins - 1)).cast("int"))
+
+    each = lambda column: F.explode(F.array(*(F.struct(F.lit(f).alias("frame"), F.lit(n).alias("angle"), *column((f, n))) for f, n in kinds)))
+    counts = angles.join(F.broadcast(sums), "dut").select("dut", each(lambda k: [placed(k).alias("bin")]).alias("a")).where("a.bin IS NOT NULL").groupBy("dut", "a.frame", "a.angle", "a.bin").agg(F.count("*").alias("n"))
+    ranges = sums.select("dut", each(lambda k: [F.col(f"{m}_{name(k)}").alias(m) for m in ("mean", "sigma")]).alias("a")).select("dut", "a.*")  # six rows a plane
+    return counts.join(F.broadcast(ranges), ["dut", "frame", "angle"]).select("dut", "frame", "angle", "mean", "sigma", "bin", "n")
 
 
 def chi2_histograms(tracks: DataFrame, ndof: Column) -> DataFrame:
