@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.runtime import Scratch
+from hitloom.runtime import Scratch, ship
 
 
 def unit_bin(c: Column, n: int, strict: bool = False) -> Column:
@@ -97,30 +99,61 @@ def noise_mask(cells: DataFrame, by: list[str], threshold: float, size: int, rou
     return state
 
 
-def nearest_fill(cells: DataFrame, wanted: DataFrame, by: list[str], reach: int = 2) -> DataFrame:
+def nearest_fill(cells: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     """Missing cells take the value of the nearest filled one (ties: smallest column, then row); null only where none is filled.
 
-    Cells within ``reach`` columns and rows are looked at first; the cells that
-    have no filled one as near as ``reach`` go on with a reach twice as large,
-    until the largest distance of the grid is covered.
+    An exact distance transform in two passes. Along each column that has filled
+    cells, every row that misses one finds the last filled cell above and the next
+    below; these rows are at most the grid. Then the columns of one row compete: the
+    lower envelope of their parabolas, in whole numbers, gives the winner of each
+    missing cell. ``by`` names at least one key; a column or a row of a detector
+    is the largest group. Keys are not null; a cell wanted twice is returned once.
     """
-    scratch = Scratch(cells.sparkSession, "fill")
     cell = [*by, "col", "row_"]
+    ship(cells.sparkSession)
     filled = cells.select(*cell, "n")
-    out, missing = filled, scratch.table(wanted.select(*cell).join(filled, cell, "left_anti"), "missing")
-    ends = wanted.select("col", "row_").unionAll(cells.select("col", "row_")).agg(*(f(c).alias(f"{n}_{c}") for c in ("col", "row_") for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    span = max((ends["hi_col"] or 0) - (ends["lo_col"] or 0), (ends["hi_row_"] or 0) - (ends["lo_row_"] or 0), 1)
-    while True:
-        last = reach >= 2 * span
-        steps = F.explode(F.sequence(F.lit(-min(reach, span)), F.lit(min(reach, span))))
-        around = missing.withColumn("i", steps).withColumn("j", steps).withColumn("d", F.col("i") * F.col("i") + F.col("j") * F.col("j"))
-        around = around.where(F.lit(last) | (F.col("d") <= reach * reach)).select(*cell, "d", (F.col("col") + F.col("i")).alias("c2"), (F.col("row_") + F.col("j")).alias("r2"))
-        met = around.join(filled.select(*by, F.col("col").alias("c2"), F.col("row_").alias("r2"), "n"), [*by, "c2", "r2"])
-        best = met.groupBy(*cell).agg(F.min(F.struct("d", "c2", "r2", "n"))["n"].alias("n"))
-        tried, seen = scratch.counted(missing.join(best, cell, "left").select(*cell, "n"), "tried", left=F.count_if(F.col("n").isNull()))
-        if last or not seen["left"]:
-            return out.unionByName(tried)
-        out, missing, reach = out.unionByName(tried.where("n IS NOT NULL")), tried.where("n IS NULL").drop("n"), 2 * reach
+    missing = wanted.select(*cell).distinct().join(filled, cell, "left_anti")
+    lines = filled.select(*by, "col").distinct().join(missing.select(*by, "row_").distinct(), by)
+    one = F.struct(F.col("row_").alias("at"), "n")
+    points = filled.withColumn("own", one).unionByName(lines.withColumns({"n": F.lit(None).cast(filled.schema["n"].dataType), "own": F.lit(None).cast(filled.select(one).schema[0].dataType)}))
+    column = Window.partitionBy(*by, "col").orderBy("row_")
+    above = F.last("own", ignorenulls=True).over(column.rangeBetween(Window.unboundedPreceding, 0))
+    below = F.first("own", ignorenulls=True).over(column.rangeBetween(0, Window.unboundedFollowing))
+    near = points.withColumns({"a": above, "b": below}).where("own IS NULL")
+    up = F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("row_") - F.col("a.at") <= F.col("b.at") - F.col("row_")))
+    near = near.select(*by, "row_", "col", F.abs(F.col("row_") - F.when(up, F.col("a.at")).otherwise(F.col("b.at"))).cast("long").alias("d"), F.when(up, F.col("a.n")).otherwise(F.col("b.n")).alias("n"))
+    # filled columns carry d, missing cells do not
+    both = near.unionByName(missing.select(*by, "row_", "col", F.lit(None).cast("long").alias("d"), F.lit(None).cast(filled.schema["n"].dataType).alias("n")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in filled.schema)
+
+    def nearest(g: pd.DataFrame) -> pd.DataFrame:
+        seeds, out = g[g["d"].notna()].sort_values("col"), g[g["d"].isna()][[*cell, "n"]]
+        if len(seeds) and len(out):
+            won = envelope(seeds["col"].to_numpy("int64"), seeds["d"].to_numpy("int64"), out["col"].to_numpy("int64"))
+            out = out.assign(n=seeds["n"].to_numpy()[won])
+        return out
+
+    return filled.unionByName(both.groupBy(*by, "row_").applyInPandas(nearest, kinds))
+
+
+def envelope(at: np.ndarray, d: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each ``x`` the index of the smallest (x - at)^2 + d^2, of equal ones the first; ``at`` ascends without repeats."""
+    places, heights = at.tolist(), (d * d + at * at).tolist()
+    kept, begins = [0], [int(x.min())]
+    for i in range(1, len(places)):
+        while True:
+            j = kept[-1]
+            begin = (heights[i] - heights[j]) // (2 * (places[i] - places[j])) + 1  # from here on, i is nearer than j
+            if begin > begins[-1]:
+                kept.append(i)
+                begins.append(begin)
+                break
+            if len(kept) == 1:  # nearer from the first x on
+                kept[0] = i
+                break
+            kept.pop()
+            begins.pop()
+    return np.array(kept)[np.searchsorted(begins, x, side="right") - 1]
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
