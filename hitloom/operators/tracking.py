@@ -136,6 +136,18 @@ def residual_modes(fits: DataFrame, planes: dict[int, Plane]) -> dict[tuple[int,
     return found
 
 
+def line_ends(lines: DataFrame, planes: list[Plane]) -> DataFrame:
+    """``lines`` (global point o*, direction s*) with ``first_*`` and ``last_*``: where they cross the planes of the smallest and largest z; null where a line runs along the plane."""
+    ends = {"first": min(planes, key=lambda p: p.tz), "last": max(planes, key=lambda p: p.tz)}
+    columns = {}
+    for k, p in ends.items():
+        normal = [row[2] for row in rotation(p.alpha, p.beta, p.gamma)]
+        over, under = (sum(f(a, v, t) for a, v, t in zip("xyz", normal, (p.tx, p.ty, p.tz), strict=True)) for f in (lambda a, v, t: (F.lit(t) - F.col(f"o{a}")) * v, lambda a, v, t: F.col(f"s{a}") * v))
+        run = F.when(under != 0, over / under)
+        columns |= {f"{k}_{a}": F.col(f"o{a}") + run * F.col(f"s{a}") for a in "xyz"}
+    return lines.withColumns(columns)
+
+
 class LineFits:
     """Straight lines through the hits of tracks whose planes stand side by side, all tracks of a batch at once.
 

@@ -274,23 +274,36 @@ _NEAR = """SELECT event_number, ordinal, dut, count(*) AS n FROM (SELECT a.event
       AND ((a.{x} - b.{x}) / 1000) ** 2 + ((a.{y} - b.{y}) / 1000) ** 2 <= 1) AS p GROUP BY ALL"""
 
 
-@query("fit_statistics", sql(f"""
+_FIT_FLAGS = f"""
     WITH near_track AS ({_NEAR.format(x="ix", y="iy")}), near_hit AS ({_NEAR.format(x="x", y="y")}),
-      flags AS (SELECT t.dut, t.x IS NOT NULL AS h, coalesce(abs(t.x - ix) <= 4 AND abs(t.y - iy) <= 3, false) AS q, a.n IS NULL AS it, b.n IS NULL AS ih
+      flags AS (SELECT t.dut, t.event_number // 1000 AS bucket, t.x IS NOT NULL AS h, coalesce(abs(t.x - ix) <= 4 AND abs(t.y - iy) <= 3, false) AS q, a.n IS NULL AS it, b.n IS NULL AS ih
         FROM tracks AS t LEFT JOIN near_track AS a USING (event_number, ordinal, dut) LEFT JOIN near_hit AS b USING (event_number, ordinal, dut)),
-      sums AS (SELECT dut, count(*) AS n_tracks, count(*) FILTER (h) AS with_hit, count(*) FILTER (h AND q) AS good, count(*) FILTER (h AND it) AS single_track, count(*) FILTER (h AND ih) AS single_hit, count(*) FILTER (q AND it AND ih) AS all_three FROM flags GROUP BY dut)
-    SELECT *, {", ".join(f"round({k} / CAST({of} AS DOUBLE), 9) AS share_{k}" for k, of in (("with_hit", "n_tracks"), ("good", "with_hit"), ("single_track", "with_hit"), ("single_hit", "with_hit"), ("all_three", "n_tracks")))} FROM sums"""))
-def fit_statistics(spark, sf_dir):
-    """Shares per plane: tracks with a hit, and of these with a good one, with no other track and no other hit near; all three together of all tracks."""
+      sums AS (SELECT {{by}}, count(*) AS n_tracks, count(*) FILTER (h) AS with_hit, count(*) FILTER (h AND q) AS good, count(*) FILTER (h AND it) AS single_track, count(*) FILTER (h AND ih) AS single_hit, count(*) FILTER (q AND it AND ih) AS all_three FROM flags GROUP BY {{by}})
+    SELECT *, {", ".join(f"round({k} / CAST(nullif({of}, 0) AS DOUBLE), 9) AS share_{k}" for k, of in (("with_hit", "n_tracks"), ("good", "with_hit"), ("single_track", "with_hit"), ("single_hit", "with_hit"), ("all_three", "n_tracks")))} FROM sums"""
+
+
+def fit_shares(spark, sf_dir, *by):
     t = views.tracks(spark, sf_dir)
     alone = [isolation_flags(t, x, y, 1000.0, 1000.0).withColumnRenamed("isolated_flag", k) for k, x, y in (("it", "ix", "iy"), ("ih", "x", "y"))]
     bit = F.expr("shiftleft(1L, dut)")
     t = t.join(alone[0], TK, "left").join(alone[1], TK, "left").withColumns({
         "h": F.col("x").isNotNull(), "q": F.coalesce((F.abs(F.col("x") - F.col("ix")) <= 4) & (F.abs(F.col("y") - F.col("iy")) <= 3), F.lit(False)),
-        "it": F.col("it").bitwiseAND(bit) != 0, "ih": F.col("x").isNull() | (F.col("ih").bitwiseAND(bit) != 0),
+        "it": F.col("it").bitwiseAND(bit) != 0, "ih": F.col("x").isNull() | (F.col("ih").bitwiseAND(bit) != 0), "bucket": F.expr("event_number div 1000"),
     })
     h, q, it, ih = (F.col(c) for c in ("h", "q", "it", "ih"))
     counts = {"with_hit": h, "good": h & q, "single_track": h & it, "single_hit": h & ih, "all_three": q & it & ih}
-    sums = t.groupBy("dut").agg(F.count("*").alias("n_tracks"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+    sums = t.groupBy(*by).agg(F.count("*").alias("n_tracks"), *(F.count_if(c).alias(k) for k, c in counts.items()))
     of = {k: "n_tracks" if k in ("with_hit", "all_three") else "with_hit" for k in counts}
-    return sums.withColumns({f"share_{k}": F.round(F.col(k) / F.col(o), 9) for k, o in of.items()})
+    return sums.withColumns({f"share_{k}": F.round(F.when(F.col(o) > 0, F.col(k) / F.col(o)), 9) for k, o in of.items()})
+
+
+@query("fit_statistics", sql(_FIT_FLAGS.format(by="dut")))
+def fit_statistics(spark, sf_dir):
+    """Shares per plane: tracks with a hit, and of these with a good one, with no other track and no other hit near; all three together of all tracks."""
+    return fit_shares(spark, sf_dir, "dut")
+
+
+@query("fit_statistics_trend", sql(_FIT_FLAGS.format(by="dut, bucket")))
+def fit_statistics_trend(spark, sf_dir):
+    """The same shares per thousand events; a share of no tracks is null."""
+    return fit_shares(spark, sf_dir, "dut", "bucket")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from hitloom.functions import geometry as G
 from hitloom.functions.expressions import r6
 from hitloom.operators import joins as J
 from hitloom.operators import selection
+from hitloom.operators.tracking import line_ends
 from hitloom.plans.positions import global_hits, local_hits, sql
 from hitloom.plans.registry import query
 from hitloom.runtime import Scratch
@@ -122,6 +125,22 @@ def event_display(spark, sf_dir):
     return rows.select(*K, *(r6(F.col(f"g{a}") / 1000).alias(f"{a}_mm") for a in "xyz"))
 
 
+#: Planes that stand at an angle, so that lines of an event end at different z.
+LEANING = [replace(p, alpha=0.02 * p.dut, beta=-0.01 * p.dut) for p in G.TRACK_PLANES]
+_RUN = "((tx - ix) * r13 + (ty - iy) * r23 + tz * r33) / (sx * r13 + sy * r23 + sz * r33)"
+
+
+@query("event_display_tracks", sql(f"""
+    WITH ends AS (SELECT event_number, ordinal, g.dut, round((ix + run * sx) / 1000, 6) + 0e0 AS x, round((iy + run * sy) / 1000, 6) + 0e0 AS y, round(run * sz / 1000, 6) + 0e0 AS z
+      FROM (SELECT t.*, g.dut AS at, {_RUN} AS run FROM (SELECT * EXCLUDE (z) FROM tracks WHERE dut = 0 AND event_number >= 100 AND event_number < 400) AS t, ({G.sql_values(LEANING)}) AS g WHERE g.dut IN (0, 5)) AS r JOIN (SELECT unnest([0, 5]) AS dut) AS g ON g.dut = r.at)
+    SELECT a.event_number, a.ordinal, {", ".join(f"{s}.{c} AS {k}_{c}_mm" for s, k in (("a", "first"), ("b", "last")) for c in "xyz")} FROM ends AS a JOIN ends AS b USING (event_number, ordinal) WHERE a.dut = 0 AND b.dut = 5"""))
+def event_display_tracks(spark, sf_dir):
+    """Lines of the tracks of an event range: where they cross the first and the last plane, in millimetres."""
+    rows = T.event_range(views.tracks(spark, sf_dir), 100, 400).where("dut = 0")
+    lines = rows.select("event_number", "ordinal", F.col("ix").alias("ox"), F.col("iy").alias("oy"), F.lit(0.0).alias("oz"), "sx", "sy", "sz")
+    return line_ends(lines, LEANING).select("event_number", "ordinal", *(r6(F.col(f"{k}_{a}") / 1000).alias(f"{k}_{a}_mm") for k in ("first", "last") for a in "xyz"))
+
+
 ARRIVAL = "event_number + 5 * (ordinal % 2), event_number, ordinal"
 
 
