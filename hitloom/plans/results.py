@@ -310,7 +310,7 @@ def turned_tracks(spark, sf_dir):
 
 @query("track_angle_fit")
 def track_angle_fit(spark, sf_dir):
-    """Gaussians fitted to the angle histograms, in bins; the tests hold them against the mean and sigma of the angles."""
+    """Gaussians fitted to the angle histograms, in bins; the fit itself is held against known peaks in the tests, these results are not."""
     return E.fit_histograms(R.angle_histograms(turned_tracks(spark, sf_dir), 100), ["dut", "frame", "angle"], "bin")
 
 
