@@ -2,7 +2,7 @@
 
 Each page's containers are scored by their running text against link text and
 boilerplate below them, and the page votes for the tag-class path of its best
-container (digits generalised). Votes are counted per host by Spark, and every
+container (digits and ">" in names generalised). Votes are counted per host by Spark, and every
 page is extracted again from the elements on its host's winning path; a page
 that has none, or no text there, falls back to its own best container.
 
@@ -11,6 +11,9 @@ element. Names that end in such a word count unless the page's article is in
 the element; where the word only qualifies another ("share-price"), stands
 beside a name of an article or is one of those that are common inside articles
 ("story links"), the element goes only if half of it is links and form fields.
+Inside an article or main element every name but ``FIRM`` and ``OTHERS`` is
+judged by content: the element stays if it holds running text and less than
+half of it is links and form fields.
 
 Two scans of the pages; between them only (host, path) votes are shuffled,
 summed in the task first, so a host with a third of all pages is no hot task.
@@ -51,6 +54,8 @@ NAMES = frozenset(
 )
 #: Names of what may hold article elements or long texts of its own beside the page's article.
 OTHERS = frozenset("recommended related comment comments reply replies respond disqus".split())
+#: Names that are believed inside an article too, as nothing in the text of such an element tells it from the article.
+FIRM = frozenset("header footer sidebar rail aside ad ads advert adverts advertisement advertising sponsored promo cookie cookies consent gdpr notice notices newsletter".split())
 #: Names that are as common inside articles as beside them.
 EITHER = frozenset("links search share sharing social alert subscription promotion".split())
 #: Last parts of names that say no more than that something is a container, and first parts that say that something is not there.
@@ -61,24 +66,28 @@ GOOD_NAMES = frozenset("article content post entry story main text body".split()
 WORTH = {"article": 1.3, "main": 1.15}
 #: Letters of running text that one form field outweighs.
 FIELD_TEXT = 40
+#: Letters outside links that running text has at least, with the end of a sentence among them.
+RUNNING = 25
 
 TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d+|>+")
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f]")
 SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-WEAK, NAMED, OTHER = 1, 2, 3
+WEAK, LOOSE, NAMED, OTHER = 1, 2, 3, 4
 
 
 def _off_topic(name: str, beside_good: bool = False) -> int:
     """Whether a class, id or role names something beside the article.
 
-    0 no, ``WEAK`` to be judged by what the element holds, ``NAMED`` yes,
-    ``OTHER`` yes and of ``OTHERS``; the header of an article is its own.
+    0 no, ``WEAK`` to be judged by what the element holds, ``LOOSE`` the same
+    inside an article and yes elsewhere, ``NAMED`` yes, ``OTHER`` yes and of
+    ``OTHERS``; the header of an article is its own.
     """
     parts = [p.lower() for p in NAME_PART.findall(name)]
     good = beside_good or not GOOD_NAMES.isdisjoint(parts)
@@ -90,7 +99,7 @@ def _off_topic(name: str, beside_good: bool = False) -> int:
     last = parts[-1]
     if last not in found or NEGATIVE & set(parts) or last in EITHER and (good or len(parts) > 1 and found == {last}):
         return WEAK
-    return OTHER if found & OTHERS else NAMED
+    return OTHER if found & OTHERS else NAMED if found & FIRM else LOOSE
 
 
 class Page:
@@ -99,11 +108,12 @@ class Page:
     def __init__(self, source: str | None):
         self.tag, self.label, self.parent, self.bad = ["document"], ["document"], [-1], [False]
         self.named, self.fields = [0], [0]
+        self.place, self.places = [0], {}  # the path of each element as a number, and numbers by (number of the parent's path, label)
         self.pieces: list[tuple[int, int, str]] = []
         self.stack, self.open, self.block = [0], Counter(), 0
         self._parse(source or "")
         if any(self.named):
-            if WEAK in self.named:
+            if WEAK in self.named or LOOSE in self.named:
                 self._judge_weak()
             self._clear_wrappers()
             for i in range(1, len(self.tag)):
@@ -161,6 +171,7 @@ class Page:
         self.bad.append(bad or self.bad[self.stack[-1]])
         self.named.append(named)
         self.fields.append(0)
+        self.place.append(self.places.setdefault((self.place[self.stack[-1]], label), len(self.places) + 1))
         if not inside.endswith("/") or name not in RAW:
             self.stack.append(len(self.tag) - 1)
             self.open[name] += 1
@@ -179,12 +190,14 @@ class Page:
                         label = ".".join([name, *sorted({DIGITS.sub("#", v) for v in value.split()})])
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
                     bad = True
+        if named == LOOSE and not (self.open["article"] or self.open["main"]):
+            named = NAMED
         return label, bad, named
 
     def _judge_weak(self) -> None:
-        """Keep the weak marks of elements of which at least half is links and form fields, as if their names were plain; drop the others."""
+        """Keep the marks to be judged of elements of which at least half is links and form fields, as if their names were plain, and loose ones of those without running text; drop the others."""
         n = len(self.tag)
-        linked, total, links, fields = [False] * n, [0] * n, [0] * n, list(self.fields)
+        linked, total, links, fields, ends = [False] * n, [0] * n, [0] * n, list(self.fields), [False] * n
         for i in range(1, n):
             linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
         for node, _, piece in self.pieces:
@@ -192,13 +205,16 @@ class Page:
                 size = len(piece) - piece.count(" ") - piece.count("\n")
                 total[node] += size
                 links[node] += size * linked[node]
+                ends[node] = ends[node] or not linked[node] and SENTENCE.search(piece) is not None
         for i in range(n - 1, 0, -1):
             up = self.parent[i]
             total[up] += total[i]
             links[up] += links[i]
             fields[up] += fields[i]
-            if self.named[i] == WEAK:
-                self.named[i] = NAMED if 2 * (links[i] + FIELD_TEXT * fields[i]) >= total[i] else 0
+            ends[up] = ends[up] or ends[i]
+            if self.named[i] in (WEAK, LOOSE):
+                goes = 2 * (links[i] + FIELD_TEXT * fields[i]) >= total[i] or self.named[i] == LOOSE and (total[i] - links[i] < RUNNING or not ends[i])
+                self.named[i] = NAMED if goes else 0
 
     def _clear_wrappers(self) -> None:
         """Take the mark of its name from each element that holds the page's article.
@@ -280,6 +296,16 @@ class Page:
             node = self.parent[node]
         return ">".join(reversed(labels)) or "document"
 
+    def on_path(self, path: str) -> set[int]:
+        """Elements on ``path`` that are not boilerplate."""
+        place = 0
+        for label in path.split(">"):
+            place = self.places.get((place, label))
+            if place is None:
+                break
+        found = set() if place is None else {i for i, p in enumerate(self.place) if p == place and not self.bad[i]}
+        return found | {0} if path == "document" else found
+
     def best(self) -> tuple[int, float]:
         """The container of the highest score, the innermost at ties, and its running text's length."""
         n = len(self.tag)
@@ -323,8 +349,7 @@ def vote(source: str | None) -> tuple[str, int]:
 def extract(source: str | None, path: str | None) -> str:
     """Text of the elements on ``path``, or of the page's own best container."""
     page = Page(source)
-    last = (path or "").rpartition(">")[2]
-    on_path = {i for i in range(len(page.tag)) if page.label[i] == last and not page.bad[i] and page.path(i) == path}
+    on_path = page.on_path(path or "")
     return (page.text(on_path) if on_path else "") or page.text({page.best()[0]})
 
 

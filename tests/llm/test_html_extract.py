@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from hypothesis import given
@@ -70,6 +71,21 @@ def test_long_page():
     assert own("<b>" * 50_000 + "x") == "x"
 
 
+def test_deep_markup_is_linear():
+    page = "<div>" * 100_000 + f"<p>{LONG}</p>"
+    path, size = H.vote(page)
+    began = time.perf_counter()
+    assert H.extract(page, path) == LONG.strip() and size > 0
+    assert time.perf_counter() - began < 5
+
+
+def test_path_with_odd_names():
+    page = f"<body><div class='a>b x12'><p>{LONG}</p></div><div class='c'><a href=x>{LONG}</a></div></body>"
+    path, _ = H.vote(page)
+    assert path == "body>div.a#b.x#" and H.extract(page, path) == LONG.strip()
+    assert H.extract("plain <document>text", "document") == "plain text"
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
@@ -103,6 +119,12 @@ def test_nested_wrappers():
         ("<p class='story links'><a href=a>one</a> <a href=b>two</a></p>", ""),
         ("<div class='search-results-page'><p>Find</p><input name=q></div>", ""),
         ("<div class='share-buttons'><a href=x>Share this</a></div><div class='ad-slot'>Buy</div><div class='cookie-notice'>We use</div>", ""),
+        ("<div class='data-widget'><p>A table about rainfall is described here.</p></div>", "A table about rainfall is described here."),
+        ("<section id='menu'><h2>The menu</h2><p>Soup, bread and fish were served at one long table.</p></section>", "The menu\nSoup, bread and fish were served at one long table."),
+        ("<div id='breadcrumb-search'><p>Birds find crumbs by <a href=x>sight</a>, not by smell.</p></div>", "Birds find crumbs by sight, not by smell."),
+        ("<div class='menu'>Home News Sport Weather Business Travel</div><div class='widget'><p>Read on.</p></div>", ""),
+        ("<div class='banner'><a href=x>The ten best kettles of the year, tested.</a></div>", ""),
+        ("<div class='ad'><p>This kettle is the best that money can buy.</p></div><div class='notice'><p>Our office is closed on Monday.</p></div>", ""),
         ("<div class='reader-comments'><p>I think so</p></div><div class='comment-list'><p>Me too</p></div>", ""),
     ],
 )
