@@ -155,6 +155,8 @@ def quoted(text: str, words: list[tuple[int, int, str]], i: int, reporting: froz
     return marked or any(w in reporting for _, _, w in words[lo:i])
 
 
+#: The match of a word that no term resembles.
+NOTHING = (0.0, 0.0)
 FEATURES = ["best", "best_fuzzy", "total", "share", "quoted"]
 
 
@@ -189,10 +191,15 @@ class Scorer:
     def hits(self, text: str | None) -> tuple[str, list, list, int]:
         """The text in lower case, its tokens with their places, the matches of each, and the number of tokens; no lists without a match."""
         low = text.lower() if text else ""
-        found = list(map(self.seen.__getitem__, TOKENS.findall(low)))
-        if not any(a or b for a, b in found):
+        tokens = TOKENS.findall(low)
+        found = list(map(self.seen.__getitem__, tokens))
+        if found.count(NOTHING) == len(found):
             return low, [], [], len(found)
-        return low, [(m.start(), m.end(), m[0]) for m in TOKENS.finditer(low)], found, len(found)
+        words, at = [], 0
+        for t in tokens:  # no letter stands between two tokens, so that the next one is where its text is found first
+            at = low.find(t, at)
+            words.append((at, at := at + len(t), t))
+        return low, words, found, len(found)
 
     def before(self, text: str | None) -> set[str] | None:
         """Words that stand before hits of a text, within the window, and are no hits; None without hits."""
@@ -207,8 +214,9 @@ class Scorer:
         if not found:
             return [0.0] * len(FEATURES)
         best = fuzzy = total = told = 0.0
-        for i, (exact, near) in enumerate(found):
-            if exact or near:
+        for i, match in enumerate(found):
+            if match != NOTHING:
+                exact, near = match
                 factor = 1.0
                 if quoted(low, words, i, self.model.reporting):
                     factor, told = QUOTED, max(told, exact, near)
