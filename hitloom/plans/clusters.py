@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from hitloom.operators import clusters as C
 from hitloom.operators import histograms as H
+from hitloom.operators import position_clusters as P
 from hitloom.operators import results as R
+from hitloom.functions.expressions import r6
 from hitloom.plans.positions import local_hits, sql as _sql
 from hitloom.plans.registry import query
 from hitloom.sources import views
@@ -68,6 +70,25 @@ def cluster_shape(spark, sf_dir):
     return built(spark, sf_dir).select(*KEY, "cluster_shape")
 
 
+_PLACED = "SELECT event_number, dut, ordinal, x, y, charge, frame FROM tracks WHERE x IS NOT NULL"
+_PLACED_LINKS = """SELECT a.event_number, a.dut, a.ordinal AS a, b.ordinal AS b FROM placed AS a JOIN placed AS b ON a.event_number = b.event_number AND a.dut = b.dut
+  AND a.ordinal <> b.ordinal AND abs(a.x - b.x) <= 15e2 AND abs(a.y - b.y) <= 10e2"""
+_POSITIONS = views.with_views("""
+    SELECT event_number, dut, cluster_id, count(*) AS n_hits, sum(charge) AS charge, round(arg_max(x, charge * 1000 - ordinal), 6) + 0e0 AS seed_x, round(arg_max(y, charge * 1000 - ordinal), 6) + 0e0 AS seed_y, round(avg(x), 6) + 0e0 AS mean_x, round(avg(y), 6) + 0e0 AS mean_y,
+      min(frame) AS frame, round(max(x) - min(x), 6) + 0e0 AS err_x, round(max(y) - min(y), 6) + 0e0 AS err_y, max(n_cluster) AS n_cluster, CAST(-1 AS BIGINT) AS cluster_shape
+    FROM (SELECT *, CAST(max(cluster_id) OVER (PARTITION BY event_number, dut) + 1 AS INT) AS n_cluster FROM placed_hits) AS h GROUP BY event_number, dut, cluster_id""",
+    placed=_PLACED, placed_links=_PLACED_LINKS, placed_reach=REACH.replace("FROM hits", "FROM placed").replace("reach", "placed_reach").replace("linked", "placed_links"),
+    placed_hits="""SELECT placed.*, CAST(dense_rank() OVER (PARTITION BY placed.event_number, placed.dut ORDER BY m) - 1 AS INT) AS cluster_id
+  FROM placed JOIN (SELECT event_number, dut, a, min(b) AS m FROM placed_reach GROUP BY ALL) AS l ON placed.event_number = l.event_number AND placed.dut = l.dut AND placed.ordinal = l.a""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("position_clusters", _POSITIONS)
+def position_clusters(spark, sf_dir):
+    """Clusters of the tracks' hits by their positions, within 1500 and 1000 micrometres."""
+    c = P.build_position_clusters(P.position_cluster_ids(views.tracks(spark, sf_dir).select("event_number", "dut", "ordinal", "x", "y", "charge", "frame"), 1500.0, 1000.0))
+    return c.select(*KEY, "n_hits", "charge", *(r6(F.col(k)).alias(k) for k in ("seed_x", "seed_y", "mean_x", "mean_y")), "frame", *(r6(F.col(k)).alias(k) for k in ("err_x", "err_y")), "n_cluster", "cluster_shape")
+
+
 @query("n_cluster", sql("SELECT event_number, dut, count(DISTINCT cluster_id) AS n_cluster FROM cluster_hits GROUP BY ALL"))
 def n_cluster(spark, sf_dir):
     return clustered(spark, sf_dir).groupBy("event_number", "dut").agg(F.max("n_cluster").cast("long").alias("n_cluster"))
