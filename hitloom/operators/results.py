@@ -39,6 +39,12 @@ def valid_hit(cut: tuple[float | None, float | None]) -> Column:
     return F.col("x").isNotNull() & F.coalesce(inside, F.lit(False))
 
 
+def in_area(tracks: DataFrame, width: float, extend: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Rows whose crossing point lies on the plane's matrix, or beside it by no more than ``extend``, rounded up to whole bins of ``width``."""
+    half = lambda n, size, more: F.col(n) * F.col(size) / 2 + F.ceil(F.lit(more) / width) * width
+    return tracks.where((F.abs("ix") <= half("n_columns", "column_size", extend[0])) & (F.abs("iy") <= half("n_rows", "row_size", extend[1])))
+
+
 def efficiency_map(tracks: DataFrame, cut, lo: tuple[float, float], width: float, least: int = 1) -> DataFrame:
     """Counts, efficiency and means of valid hits per plane and bin; bins with fewer than ``least`` tracks are left out."""
     of = lambda c: F.avg(F.when(F.col("v"), c))
@@ -167,6 +173,12 @@ def in_pixel(tracks: DataFrame, width: float) -> DataFrame:
     return tracks.withColumns({"bx": F.floor(x / width).cast("int"), "by_": F.floor(y / width).cast("int")})
 
 
+def in_pixel_shapes(tracks: DataFrame, cut, shapes: tuple[int, ...], *by: str) -> DataFrame:
+    """Counts of valid hits for each of ``shapes`` per bin ``bx, by_`` of the primitive cell and any grouping ``by``."""
+    rows = tracks.where(valid_hit(cut) & F.col("cluster_shape").isin(*shapes))
+    return rows.groupBy(*by, "bx", "by_", "cluster_shape").agg(F.count("*").alias("n"))
+
+
 def wrapped(cells: DataFrame, nx: int, ny: int, pad: int) -> DataFrame:
     """A periodic map with ``pad`` more bins on each side, taken from the opposite edge."""
     copies = [F.struct((F.col("bx") + i * nx).alias("bx"), (F.col("by_") + j * ny).alias("by_")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
@@ -175,9 +187,16 @@ def wrapped(cells: DataFrame, nx: int, ny: int, pad: int) -> DataFrame:
     return out.where(F.col("bx").between(-pad, nx + pad - 1) & F.col("by_").between(-pad, ny + pad - 1))
 
 
-def purity_map(tracks: DataFrame, cut: float, lo: tuple[float, float], width: float, least: int = 1) -> DataFrame:
-    """Share of hits with a track closer than ``cut`` per bin of the hit's position, in percent."""
-    hits = tracks.where("x IS NOT NULL").withColumn("pure", distance() < cut)
+def purity_map(tracks: DataFrame, cut: float, lo: tuple[float, float], width: float, least: int = 1, x_range: tuple[float, float] | None = None, y_range: tuple[float, float] | None = None) -> DataFrame:
+    """Share of hits with a track closer than ``cut`` per bin of the hit's position, in percent.
+
+    With ranges only tracks that cross the plane inside them (ends included) make a hit pure.
+    """
+    inside = [F.col(c).between(*r) for c, r in (("ix", x_range), ("iy", y_range)) if r is not None]
+    pure = distance() < cut
+    for one in inside:
+        pure = pure & one
+    hits = tracks.where("x IS NOT NULL").withColumn("pure", pure)
     rows = hits.groupBy("dut", position_bin("x", lo[0], width).alias("bx"), position_bin("y", lo[1], width).alias("by_")).agg(F.count("*").alias("n_hits"), F.count_if("pure").alias("n_pure"))
     return rows.where(F.col("n_hits") >= least).withColumn("purity", 100 * F.col("n_pure") / F.col("n_hits"))
 

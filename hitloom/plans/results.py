@@ -196,6 +196,18 @@ def means():
     return [r6(F.col(f"mean_{k}")).alias(f"mean_{k}") for k in MEAN_SQL]
 
 
+_EXTENT = f"tracks JOIN ({G.sql_values(LIMITED)}) AS g USING (dut) WHERE abs(ix) <= n_columns * column_size / 2 + 500 AND abs(iy) <= n_rows * row_size / 2 + 0"
+
+
+@query("efficiency_map_area", sql(f"""
+    SELECT dut, {BINS}, count(*) AS n_tracks, count(*) FILTER ({V_SQL}) AS n_valid, round(100e0 * count(*) FILTER ({V_SQL}) / count(*), 6) AS efficiency, {_MEANS},
+      round(avg(atan2(sy, sz)) FILTER ({V_SQL}), 9) + 0e0 AS mean_alpha, round(avg(atan2(-sx, sz)) FILTER ({V_SQL}), 9) + 0e0 AS mean_beta FROM {_EXTENT} GROUP BY ALL"""))
+def efficiency_map_area(spark, sf_dir):
+    """All eight means, on the planes' matrices and one more bin on both sides along x."""
+    m = R.efficiency_map(R.in_area(plane_tracks(spark, sf_dir), RES, (300.0, 0.0)), CUT, (-6000.0, -3000.0), RES)
+    return m.select("dut", "bx", "by_", "n_tracks", "n_valid", r6(F.col("efficiency")).alias("efficiency"), *means(), *((F.round(c, 9) + 0.0).alias(c) for c in ("mean_alpha", "mean_beta")))
+
+
 _IN_REGIONS = f"tracks JOIN (VALUES {_REG}) AS r(region, a, b, c, d) ON ix > a AND ix < b AND iy > c AND iy < d"
 
 
@@ -242,6 +254,16 @@ def in_pixel_shape(spark, sf_dir):
     return top.select("dut", "bx", "by_", "t.n", (-F.col("t.s")).alias("shape"))
 
 
+SHAPES = (1, 3, 5, 13, 14, 7, 11, 15)  # fixed values: shapes of small clusters that are counted inside the pixel
+
+
+@query("in_pixel_shape_counts", sql(f"SELECT region, dut, {_CELL} AS bx, {_CELLY} AS by_, cluster_shape, count(*) AS n FROM {_IN_REGIONS} WHERE {V_SQL} AND cluster_shape IN {SHAPES} GROUP BY ALL"))
+def in_pixel_shape_counts(spark, sf_dir):
+    """Counts of each small shape per quarter cell, region and plane."""
+    rows = R.in_regions(R.in_pixel(plane_tracks(spark, sf_dir), 4.6), REGIONS)
+    return R.in_pixel_shapes(rows, CUT, SHAPES, "region", "dut")
+
+
 EVERYWHERE = ("all", -1e9, 1e9, -1e9, 1e9)
 
 
@@ -279,6 +301,15 @@ def purity(spark, sf_dir):
     return m.withColumn("purity", F.round("purity", 6))
 
 
+@query("purity_ranges", sql(f"""SELECT dut, CAST(floor((x + 6000) / 500) AS INT) AS bx, CAST(floor((y + 3000) / 500) AS INT) AS by_, count(*) AS n_hits,
+    count(*) FILTER ({D_SQL} < 4 AND ix BETWEEN -4000 AND 3000 AND iy BETWEEN -1500 AND 2000) AS n_pure, round(100e0 * count(*) FILTER ({D_SQL} < 4 AND ix BETWEEN -4000 AND 3000 AND iy BETWEEN -1500 AND 2000) / count(*), 6) AS purity
+    FROM tracks WHERE x IS NOT NULL GROUP BY ALL"""))
+def purity_ranges(spark, sf_dir):
+    """Only tracks that cross a plane in the middle make a hit pure."""
+    m = R.purity_map(views.tracks(spark, sf_dir), 4.0, (-6000.0, -3000.0), RES, x_range=(-4000.0, 3000.0), y_range=(-1500.0, 2000.0))
+    return m.withColumn("purity", F.round("purity", 6))
+
+
 @query("purity_total", sql(f"""
     WITH bins AS (SELECT dut, count(*) AS n_hits, count(*) FILTER ({D_SQL} < 4) AS n_pure FROM tracks WHERE x IS NOT NULL GROUP BY dut, floor((x + 6000) / 500), floor((y + 3000) / 500) HAVING count(*) >= 2)
     SELECT dut, round(100e0 * sum(n_pure) / sum(n_hits), 6) AS purity, round(sum(100e0 * n_pure / n_hits * n_hits) / sum(n_hits), 6) AS weighted FROM bins GROUP BY dut"""))
@@ -374,6 +405,27 @@ def residual_slope(spark, sf_dir):
     return s.select("dut", "n_bins", (F.round("slope", 9) + 0.0).alias("slope"), r6(F.col("offset")).alias("offset_"))
 
 
+_PAIR_BINS = " UNION ALL ".join(f"""SELECT dut, '{r}' AS residual, '{p}' AS position, (CAST(floor((i{p} + {lo}) / 500) AS INT) + 5e-1) * 500 - {lo} AS p, count(*) AS n, avg({r} - i{r}) AS m
+      FROM tracks JOIN ({G.sql_values(LIMITED)}) AS g USING (dut) WHERE x IS NOT NULL AND coalesce({v} >= {v}_lo, true) AND coalesce({v} <= {v}_hi, true) GROUP BY dut, floor((i{p} + {lo}) / 500)""" for r in "xy" for p, v, lo in (("x", "y", 6000), ("y", "x", 3000)))
+
+
+@query("residual_slopes", sql(f"""
+    WITH b AS ({_PAIR_BINS}), kept AS (SELECT b.*, CAST(n AS DOUBLE) * n AS w FROM b JOIN ({G.sql_values(LIMITED)}) AS g USING (dut)
+      WHERE CASE position WHEN 'x' THEN coalesce(p >= x_lo, true) AND coalesce(p <= x_hi, true) ELSE coalesce(p >= y_lo, true) AND coalesce(p <= y_hi, true) END)
+    SELECT dut, residual, position, count(*) AS n_bins, round((sum(w) * sum(w * p * m) - sum(w * p) * sum(w * m)) / nullif(greatest(sum(w) * sum(w * p * p) - sum(w * p) * sum(w * p), 0), 0), 9) + 0e0 AS slope,
+      round((sum(w * p * p) * sum(w * m) - sum(w * p) * sum(w * p * m)) / nullif(greatest(sum(w) * sum(w * p * p) - sum(w * p) * sum(w * p), 0), 0), 6) + 0e0 AS offset_ FROM kept GROUP BY ALL"""))
+def residual_slopes(spark, sf_dir):
+    """Lines through the mean residuals of both axes against both positions, between the limits of each plane."""
+    geo = G.geometry(spark, LIMITED)
+    maps = R.residual_position_maps(G.with_geometry(views.tracks(spark, sf_dir).drop("z"), geo), RES, 0.5, (-6000.0, -3000.0))
+    bins = maps.groupBy("dut", "residual", "position", "bin_pos").agg(F.max("pos_n").alias("n"), F.max("pos_mean").alias("m"))
+    along_x = F.col("position") == "x"
+    bins = G.with_geometry(bins, geo).withColumns({"p": (F.col("bin_pos") + 0.5) * RES - F.when(along_x, 6000.0).otherwise(3000.0)})
+    ends = [F.coalesce(F.when(along_x, F.col(f"x_{e}")).otherwise(F.col(f"y_{e}")), F.col("p")) for e in ("lo", "hi")]
+    s = R.residual_slope(bins, ["dut", "residual", "position"], "p", "m", limits=tuple(ends))
+    return s.select("dut", "residual", "position", "n_bins", (F.round("slope", 9) + 0.0).alias("slope"), r6(F.col("offset")).alias("offset_"))
+
+
 @query("residual_slope_gauss")
 def residual_slope_gauss(spark, sf_dir):
     """The same between the outermost bins of a plane that have a tenth of its fullest bin, through the means of Gaussians fitted to each bin's residuals."""
