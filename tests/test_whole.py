@@ -1,12 +1,15 @@
 """Whole results on more rows than a cut would leave, against brute force."""
 
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
+from hitloom.functions import geometry as G
 from hitloom.operators import correlation as C
 from hitloom.plans import registry
+from hitloom.plans.positions import DIAMONDS
 from hitloom.sources import views
 
 
@@ -103,3 +106,24 @@ def test_all_planes(spark, sf_dir):
     pairs = Counter((dut, axis, early, late) for (axis, event, dut), places in at.items() for back in (1, 2, 3) for early in at.get((axis, event - back, dut), ()) for late in places)
     got = registry.QUERIES["event_correlation"](spark, sf_dir).collect()
     assert {(v.dut, v.axis, v.early, v.late): v.n for v in got} == pairs
+
+
+def test_nearest_pixel_irregular(spark, sf_dir):
+    """Every crossing point within reach of a pixel against all pixels of its plane; of equally near ones the smaller column, then row."""
+    planes = [replace(DIAMONDS[i % 2], dut=i) for i in range(6)]
+    pixels = G.pixel_positions(spark, planes, {p.dut: (p.name, (38, 140)) for p in planes}).toPandas().sort_values(["dut", "column", "row"])
+    points = views.tracks(spark, sf_dir).select("event_number", "ordinal", "dut", "ix", "iy").where("abs(ix) <= 10000 AND abs(iy) <= 8400").toPandas()
+    got = {(v.event_number, v.ordinal, v.dut): (v.col, v.row_) for v in registry.QUERIES["nearest_pixel_irregular"](spark, sf_dir).collect()}
+    checked = 0
+    for dut, mine in points.groupby("dut"):
+        table = pixels[pixels["dut"] == dut]
+        px, py, names = table["px"].to_numpy(), table["py"].to_numpy(), table[["column", "row"]].to_numpy()
+        for start in range(0, len(mine), 1000):
+            part = mine.iloc[start : start + 1000]
+            dx, dy = px - part["ix"].to_numpy()[:, None], py - part["iy"].to_numpy()[:, None]
+            d = dx * dx + dy * dy
+            for point, k, far in zip(part.itertuples(), d.argmin(axis=1), d.min(axis=1), strict=True):
+                if far <= 500.0**2:
+                    assert got[point.event_number, point.ordinal, dut] == tuple(names[k])
+                    checked += 1
+    assert checked > 1000
