@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from hitloom.functions.expressions import chi2_pvalue
 from hitloom.functions.geometry import Plane, rotation
-from hitloom.operators.events import first_rows, map_events
+from hitloom.operators.events import Neighbours, dealt, first_rows, map_events, whole_events
 from hitloom.operators.histograms import density_modes
 from hitloom.runtime import Scratch, ship
 
@@ -40,9 +43,13 @@ def line_fit(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", z:
 
 
 def planes_side_by_side(hits: DataFrame, duts: list[int], columns: list[str]) -> DataFrame:
-    """One row per track with a struct ``h_<dut>`` of ``columns`` for each plane (null without a row): one aggregate, one shuffle."""
+    """One row per track with a struct ``h_<dut>`` of ``columns`` for each plane (null without a row), in the order of events and tracks.
+
+    Rows are dealt by event at most once; the aggregate takes them as they stand.
+    """
     at = lambda d: F.max(F.when(F.col("dut") == d, F.struct(*columns))).alias(f"h_{d}")
-    return hits.where(F.col("dut").isin(duts)).groupBy(*TRACK).agg(*map(at, duts))
+    rows = dealt(hits.where(F.col("dut").isin(duts)).select(*TRACK, "dut", *columns))
+    return rows.where("place_ > 0").groupBy(*TRACK).agg(*map(at, duts)).sortWithinPartitions(*TRACK)
 
 
 def _direction():
@@ -56,22 +63,6 @@ def _direction():
     return direction
 
 
-def near_rows(rows: DataFrame, by: list[str], x: Callable[[int], str], y: Callable[[int], str], duts: list[int], reach: dict[int, tuple[float, float]], ellipse: dict[int, bool]) -> DataFrame:
-    """Rows (by, ordinal, near): a bit per plane on which another row of the same ``by`` is within ``reach`` (ellipse, or rectangle)."""
-    a, b = rows.alias("a"), rows.alias("b")
-    same = F.col("a.ordinal") != F.col("b.ordinal")
-    for k in by:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    bits = F.lit(0).cast("long")
-    for d in duts:
-        dx, dy = reach[d]
-        u, v = F.abs(F.col(f"a.{x(d)}") - F.col(f"b.{x(d)}")), F.abs(F.col(f"a.{y(d)}") - F.col(f"b.{y(d)}"))
-        inside = (u / dx) * (u / dx) + (v / dy) * (v / dy) <= 1 if ellipse[d] and dx > 0 and dy > 0 else (u <= dx) & (v <= dy)
-        bits = bits.bitwiseOR(F.when(inside, F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")))
-    pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in [*by, "ordinal"]), bits.alias("near")).where("near <> 0")
-    return pairs.groupBy(*by, "ordinal").agg(F.bit_or("near").alias("near"))
-
-
 def fit_tracks(
     hits: DataFrame, planes: list[Plane], fit_duts: list[int], for_duts: list[int], exclude_own: bool = True, min_hits: int = 3,
     quality: tuple[float, float] = (1e9, 1e9), isolation: tuple[float, float] | None = None, use_limits: bool = False, centre: list[int] = (), keep: list[str] = (),
@@ -89,37 +80,25 @@ def fit_tracks(
     plane's frame; o*, s* are the line in the global frame. ``keep`` names
     columns of the fitted plane's own row that go along.
 
-    Hits are dealt by track once, so that the planes stand side by side in a row; a
-    kernel fits the rows of a batch. It is an opaque step of the plan, so results
-    can be filtered by any column. What isolation or ``centre`` read again is written
-    first: the rows of tracks, and the fits where isolation joins rows of an event.
+    Hits are dealt by event once (not at all if they stand so), the planes of a track
+    stand side by side in a row, and a kernel fits the rows of a batch of whole
+    events and looks for other tracks and hits near: neither fits nor pairs are
+    written or shuffled. One event must fit into a task. The kernel is an opaque step of
+    the plan, so results can be filtered by any column. With ``centre`` the rows of
+    tracks are made twice, first for the modes.
     A plane that a line never crosses has a null crossing and no quality bit; an
     error of zero makes chi2 null.
     """
     ship(hits.sparkSession)
     at = {p.dut: p for p in planes}
-    scratch = Scratch(hits.sparkSession, "fits")
     wide = planes_side_by_side(hits, list(at), list(dict.fromkeys(["x", "y", "x_err", "y_err", *keep])))
-    if centre or isolation is not None:
-        wide = scratch.table(wide, "tracks")
     fits = LineFits(planes, fit_duts, for_duts, exclude_own, min_hits, quality, use_limits, list(keep))
     if centre:
-        fits.shift = residual_modes(fits.apply(wide).where(F.col("fit_dut").isin(list(centre))), at)
-    flags = ["hit_flag", "quality_flag"]
-    if isolation is None:
-        rows = fits.apply(wide)
-    else:
-        reach, everywhere = dict.fromkeys(at, isolation), F.lit(sum(1 << d for d in at)).cast("long")
-        round_ = {d: quality[0] >= 2.5 * p.column_size and quality[1] >= 2.5 * p.row_size for d, p in at.items()}
-        rows = scratch.table(fits.apply(wide), "fits")
-        spots = wide.select(*TRACK, *(F.col(f"h_{d}")[a].alias(f"c{a}_{d}") for d in at for a in "xy"))
-        x, y = (lambda d: f"cx_{d}"), (lambda d: f"cy_{d}")
-        by_line = near_rows(rows, ["event_number", "fit_dut"], x, y, list(at), reach, dict.fromkeys(at, True)).withColumnRenamed("near", "near_track")
-        by_hit = near_rows(spots, ["event_number"], x, y, list(at), reach, round_).withColumnRenamed("near", "near_hit")
-        rows = rows.join(by_line, [*TRACK, "fit_dut"], "left").join(by_hit, TRACK, "left")
-        rows = rows.withColumns({f"isolated_{k}_flag": everywhere.bitwiseAND(F.bitwise_not(F.coalesce(f"near_{k}", F.lit(0).cast("long")))) for k in ("track", "hit")})
-        flags += ["isolated_track_flag", "isolated_hit_flag"]
-    return rows.select(*TRACK, "fit_dut", "n", "chi2", "chi_red", *flags, "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", *(F.col(f"own_{k}").alias(k) for k in keep))
+        modes = LineFits(planes, fit_duts, list(centre), exclude_own, min_hits, quality, use_limits, [])
+        fits.shift = residual_modes(modes.apply(wide), at)
+    fits.isolation = isolation
+    flags = ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation is not None else [])]
+    return fits.apply(wide).select(*TRACK, "fit_dut", "n", "chi2", "chi_red", *flags, "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", *(F.col(f"own_{k}").alias(k) for k in keep))
 
 
 def residual_modes(fits: DataFrame, planes: dict[int, Plane]) -> dict[tuple[int, str], float]:
@@ -160,30 +139,41 @@ class LineFits:
         self.turn = {d: np.array(rotation(p.alpha, p.beta, p.gamma)) for d, p in self.planes.items()}
         self.place = {d: np.array([p.tx, p.ty, p.tz]) for d, p in self.planes.items()}
         self.shift: dict[tuple[int, str], float] = {}
+        self.isolation: tuple[float, float] | None = None
 
     def apply(self, wide: DataFrame) -> DataFrame:
-        """One row per track and fitted plane with at least ``min_hits`` hits; ``res_*`` is the own hit from the crossing, ``c*_<dut>`` the crossing of each plane."""
+        """One row per track and fitted plane with at least ``min_hits`` hits; ``res_*`` is the own hit from the crossing.
+
+        Flags of isolation need rows in the order of events, all of an event in one task.
+        """
         columns = {f"{c}_{d}": F.col(f"h_{d}")[c] for d in self.planes for c in ("x", "y")} | {f"{c}_{d}": F.col(f"h_{d}")[c] for d in self.fit_duts for c in ("x_err", "y_err")}
         columns |= {f"own_{k}_{d}": F.col(f"h_{d}")[k] for d in self.for_duts for k in self.keep}
         flat = wide.select(*TRACK, *(c.cast("double").alias(k) if not k.startswith("own_") else c.alias(k) for k, c in columns.items()))
         kinds = dict(flat.dtypes)
-        double = ["chi2", "chi_red", "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", "res_x", "res_y", *(f"c{a}_{d}" for d in self.planes for a in "xy")]
-        ddl = [*(f"{k} {kinds[k]}" for k in TRACK), "fit_dut int, n int, hit_flag long, quality_flag long", *(f"{k} double" for k in double)]
+        double = ["chi2", "chi_red", "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", "res_x", "res_y"]
+        flags = ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if self.isolation is not None else [])]
+        ddl = [*(f"{k} {kinds[k]}" for k in TRACK), "fit_dut int, n int", *(f"{k} long" for k in flags), *(f"{k} double" for k in double)]
         ddl += [f"`own_{k}` {kinds[f'own_{k}_{self.for_duts[0]}']}" for k in self.keep]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    yield from self.fit(b)
+        fields = to_arrow_schema(_parse_datatype_string(", ".join(ddl)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in (pa.Table.from_batches([b]) for b in batches) if self.isolation is None else whole_events(batches, TRACK[0]):
+                if table.num_rows:
+                    for found in self.fit(table.to_pandas()):
+                        yield from pa.Table.from_arrays([pa.Array.from_pandas(found[f.name], type=f.type) for f in fields], schema=fields).to_batches()
 
-        return flat.mapInPandas(run, ", ".join(ddl))
+        return flat.mapInArrow(run, ", ".join(ddl))
 
     def fit(self, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         local = {d: b[[f"x_{d}", f"y_{d}"]].to_numpy(float) for d in self.planes}
         has = {d: ~np.isnan(v).any(axis=1) for d, v in local.items()}
         hit_flag = sum(has[d].astype(np.int64) << d for d in self.planes)
         points = {d: local[d] @ self.turn[d][:, :2].T + self.place[d] for d in self.fit_duts}
-        lines = {}
+        lines, alone_hit = {}, None
+        if self.isolation is not None:
+            round_ = {d: self.quality[0] >= 2.5 * p.column_size and self.quality[1] >= 2.5 * p.row_size for d, p in self.planes.items()}
+            alone_hit = self.alone(b, local, round_)
         for d in self.for_duts:
             left_out = d if self.exclude_own and d in self.fit_duts else None
             used = {f: has[f] for f in self.fit_duts if f != left_out}
@@ -194,7 +184,17 @@ class LineFits:
             used, n = {f: u[some] for f, u in used.items()}, n[some]
             if left_out not in lines:
                 lines[left_out] = self.line(used, n, {f: points[f][some] for f in used})
-            yield self.row(d, b.iloc[some], used, n, hit_flag[some], *lines[left_out], {k: v[some] for k, v in local.items()}, {k: v[some] for k, v in has.items()})
+            rows, crossing = self.row(d, b.iloc[some], used, n, hit_flag[some], *lines[left_out], {k: v[some] for k, v in local.items()}, {k: v[some] for k, v in has.items()})
+            if alone_hit is not None:
+                rows = rows.assign(isolated_track_flag=self.alone(b.iloc[some], crossing, dict.fromkeys(self.planes, True)), isolated_hit_flag=alone_hit[some])
+            yield rows
+
+    def alone(self, b: pd.DataFrame, at: dict, ellipse: dict[int, bool]) -> np.ndarray:
+        """A bit per plane on which no other row of the event is within the isolation of a row's position; all bits of rows without one."""
+        neighbours, bits = Neighbours(b[TRACK[0]].to_numpy()), np.zeros(len(b), np.int64)
+        for d, v in at.items():
+            bits |= (~neighbours.near(v[:, 0], v[:, 1], *map(float, self.isolation), ellipse[d])).astype(np.int64) << d
+        return bits
 
     @staticmethod
     def line(used: dict, n: np.ndarray, points: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,8 @@ class LineFits:
         own = s @ r
         return (m + k[:, None] * s - t) @ r[:, :2], own * np.where(own[:, 2:] < 0, -1.0, 1.0)
 
-    def row(self, d: int, b: pd.DataFrame, used: dict, n: np.ndarray, hit_flag: np.ndarray, m: np.ndarray, s: np.ndarray, local: dict, has: dict) -> pd.DataFrame:
+    def row(self, d: int, b: pd.DataFrame, used: dict, n: np.ndarray, hit_flag: np.ndarray, m: np.ndarray, s: np.ndarray, local: dict, has: dict) -> tuple[pd.DataFrame, dict]:
+        """The rows of a fitted plane, and where the lines cross each plane."""
         crossing = {p: self.cross(p, m, s) for p in self.planes}
         chi2, good = np.zeros(len(b)), np.zeros(len(b), np.int64)
         for p, plane in self.planes.items():
@@ -230,8 +231,8 @@ class LineFits:
         out["chi_red"] = np.where(n > 2, chi2 / (2.0 * np.maximum(n - 2, 1)), np.nan)
         groups = {"offset_": crossing[d][0], "slope_": crossing[d][1], "o": m, "s": s, "res_": local[d] - crossing[d][0]}
         out |= {f"{k}{a}": v[:, i] for k, v in groups.items() for i, a in enumerate("xyz"[: v.shape[1]])}
-        out |= {f"c{a}_{p}": v[:, i] for p, (v, _) in crossing.items() for i, a in enumerate("xy")}
-        return pd.DataFrame(out | {f"own_{k}": b[f"own_{k}_{d}"].to_numpy() for k in self.keep})
+        rows = pd.DataFrame(out | {f"own_{k}": b[f"own_{k}_{d}"].to_numpy() for k in self.keep})
+        return rows, {p: v for p, (v, _) in crossing.items()}
 
     def inside(self, p: Plane, residual: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Within the quality cut (``in_window`` of batches) and the plane's limits."""
