@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitloom.runtime import Scratch
+
+#: Parts of a cell on each axis that have a list of pixels of their own, and lists up to which they are broadcast.
+FINE, BROADCAST_PARTS = 8, 1_000_000
+#: Tasks that make the lists: of few rows each, but long to work on.
+TASKS = 32
+
 
 def number_rows(df: DataFrame, *keys: str, by: tuple = ("ordinal",), name: str = "k") -> DataFrame:
     """Position of a row in its group, from 0."""
@@ -91,18 +102,50 @@ def nearest_pixel(points: DataFrame, pixels: DataFrame, x: str, y: str, cell: fl
     For planes of any pixel positions. Points outside the matrix (``half_x``,
     ``half_y`` from its centre), which would be nearest to a pixel mirrored at its edge,
     are dropped. No point of a matrix may be farther than ``cell`` from its
-    nearest pixel: pixels stand in nine cells of a grid, a point in one, and
-    both meet by an equi-join on it. Of equally near pixels the one of the
-    smaller column, then row is taken.
+    nearest pixel: pixels stand in nine cells of a grid. Cells are cut into ``FINE`` by
+    ``FINE`` parts, which keep only pixels that can be the nearest to one of their points: no
+    farther from the part than the nearest pixel is from all of it. A point meets the
+    few of its part by an equi-join. Parts are as many as planes allow, whatever the number of
+    points. Of equally near pixels the one of the smaller column, then row is taken.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
+    at = lambda c, side=cell: F.floor(F.col(c) / side)
     around = F.array(*(F.struct((at("px") + i).alias("cx"), (at("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     table = pixels.select("dut", "column", "row", "px", "py", F.explode(around).alias("c")).select("dut", "column", "row", "px", "py", "c.cx", "c.cy")
-    listed = table.groupBy("dut", "cx", "cy").agg(F.collect_list(F.struct("px", "py", "column", "row")).alias("near"))  # as many as pixels fit in nine cells
-    inside = points.where((F.abs(F.col(x)) <= half_x) & (F.abs(F.col(y)) <= half_y)).withColumns({"cx": at(x), "cy": at(y)})
+    listed = table.repartition(TASKS, "dut", "cx", "cy").groupBy("dut", "cx", "cy").agg(F.collect_list(F.struct("px", "py", "column", "row")).alias("near"))  # as many as pixels fit in nine cells
+    side = cell / FINE
+    listed = narrowed(listed, side, FINE)
+    keys = ["dut", "cx", "cy"]
+    listed, seen = Scratch(points.sparkSession, "pixels").counted(listed, "parts")
+    listed = F.broadcast(listed) if seen["n"] <= BROADCAST_PARTS else listed
+    inside = points.where((F.abs(F.col(x)) <= half_x) & (F.abs(F.col(y)) <= half_y)).withColumns({"cx": at(x, side), "cy": at(y, side)})
     d = lambda p: (p["px"] - F.col(x)) * (p["px"] - F.col(x)) + (p["py"] - F.col(y)) * (p["py"] - F.col(y))
     best = F.array_min(F.transform("near", lambda p: F.struct(d(p).alias("d"), p["column"].alias("column"), p["row"].alias("row"))))
-    return inside.join(listed, ["dut", "cx", "cy"]).withColumn("b", best).select(*points.columns, F.col("b.column").alias("column"), F.col("b.row").alias("row"))
+    return inside.join(listed, keys).withColumn("b", best).select(*points.columns, F.col("b.column").alias("column"), F.col("b.row").alias("row"))
+
+
+def narrowed(listed: DataFrame, side: float, n: int) -> DataFrame:
+    """Lists ``near`` of pixels of cells (dut, cx, cy) for the n by n parts, ``side`` wide, of each cell: without pixels that another one is nearer than everywhere in the part."""
+    i, j = (v.ravel() for v in np.indices((n, n)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = "px", "py", "column", "row"
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                near, cx, cy = [np.asarray(getattr(r, k)) for k in names], r.cx * n + i, r.cy * n + j
+                low, high = 0.0, 0.0
+                for cell, at in ((cx, near[0]), (cy, near[1])):
+                    before, behind = cell[:, None] * side - at, at - (cell[:, None] + 1) * side
+                    low = low + np.maximum(np.maximum(before, behind), 0.0) ** 2
+                    high = high + np.maximum(np.abs(before), np.abs(behind)) ** 2
+                kept = low <= high.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-9 * side * side  # well apart from rounding
+                out.append(pd.DataFrame({"dut": r.dut, "cx": cx, "cy": cy} | {k: [v[m] for m in kept] for k, v in zip(names, near, strict=True)}))
+            if out:
+                yield pd.concat(out)
+
+    flat = listed.select("dut", "cx", "cy", *(F.col(f"near.{k}").alias(k) for k in ("px", "py", "column", "row")))
+    kinds = ", ".join(f"`{k}` {v}" for k, v in flat.dtypes)
+    return flat.mapInPandas(run, kinds).select("dut", "cx", "cy", F.arrays_zip("px", "py", "column", "row").alias("near"))
 
 
 def nearest_of(value: Column, values: list) -> Column:
