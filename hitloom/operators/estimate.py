@@ -208,11 +208,13 @@ def prealign(hits: DataFrame, planes: list[Plane], reference: int, width: float,
     from hitloom.functions import geometry as G
 
     at = {p.dut: p for p in planes}
-    rows = G.with_geometry(hits.where("x IS NOT NULL AND y IS NOT NULL").select("event_number", "dut", "x", "y"), G.geometry(hits.sparkSession, planes))
+    geo = G.geometry(hits.sparkSession, planes)
+    rows = G.with_geometry(hits.where("x IS NOT NULL AND y IS NOT NULL").select("event_number", "dut", "x", "y"), geo)
     g = G.to_global(F.col("x"), F.col("y"), F.lit(0.0))
+    rows = G.with_extents(rows.select("event_number", "dut", *(v.alias(a) for v, a in zip(g, "xy", strict=False))), geo, width)
     scratch = Scratch(hits.sparkSession, "prealign")
     keys = ["ref", "dut", "axis"]
-    cells = scratch.table(plane_correlation(rows, {a: G.extent_bin(g[i], i, width) for i, a in enumerate("xy")}, [reference]), "cells")
+    cells = scratch.table(plane_correlation(rows, {a: G.extent_bin(F.col(a), a, width) for a in "xy"}, [reference]), "cells")
     if reduce:
         cells = scratch.table(reduce_background(cells, keys).where("n > 0"), "reduced")
     lines = {(r["dut"], r["axis"]): r for r in hough_lines(cells, keys).collect()}
