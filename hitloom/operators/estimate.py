@@ -363,6 +363,15 @@ def global_hits(hits: DataFrame, planes: list[Plane]) -> DataFrame:
     return rows.select(*rest, *(v.alias(a) for v, a in zip(g, "xyz", strict=True)))
 
 
+def moment_columns() -> list[Column]:
+    """The aggregates of ``plane_moments``."""
+    s, o, u = [F.col(f"s{a}") for a in "xyz"], [F.col(f"o{a}") for a in "xyz"], [F.col("lx"), F.col("ly"), F.lit(1.0)]
+    across = [[(1.0 if i == j else 0.0) - s[i] * s[j] for j in range(3)] for i in range(3)]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    squares = [F.sum(across[i][j] * u[a] * u[b]).alias(f"s{i}{j}{a}{b}") for i, j in pairs for a, b in pairs]
+    return squares + [F.sum(sum(across[i][k] * o[k] for k in range(3)) * u[a]).alias(f"t{i}{a}") for i in range(3) for a in range(3)]
+
+
 def plane_moments(selected: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """All that steps of a plane need of its tracks: ``S`` (3, 3, 3, 3) and ``T`` (3, 3) per dut, from one aggregate.
 
@@ -372,13 +381,13 @@ def plane_moments(selected: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray
     across the track, L = 1 - s s', is quadratic in A. S[i, a, j, b] sums
     L[i, j] u[a] u[b] and T[i, a] sums (L o)[i] u[a].
     """
-    s, o, u = [F.col(f"s{a}") for a in "xyz"], [F.col(f"o{a}") for a in "xyz"], [F.col("lx"), F.col("ly"), F.lit(1.0)]
-    across = [[(1.0 if i == j else 0.0) - s[i] * s[j] for j in range(3)] for i in range(3)]
-    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    squares = [F.sum(across[i][j] * u[a] * u[b]).alias(f"s{i}{j}{a}{b}") for i, j in pairs for a, b in pairs]
-    mixed = [F.sum(sum(across[i][k] * o[k] for k in range(3)) * u[a]).alias(f"t{i}{a}") for i in range(3) for a in range(3)]
-    out = {}
-    for r in selected.groupBy("dut").agg(*squares, *mixed).collect():
+    return moments_of(selected.groupBy("dut").agg(*moment_columns()).collect())
+
+
+def moments_of(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``plane_moments`` from its collected aggregates."""
+    pairs, out = [(i, j) for i in range(3) for j in range(i, 3)], {}
+    for r in rows:
         big = np.empty((3, 3, 3, 3))
         for i, j in pairs:
             for a, b in pairs:
@@ -403,14 +412,13 @@ def moment_sums(plane: Plane, big: np.ndarray, mixed: np.ndarray) -> dict:
     return {f"n{a}{b}": normal[a, b] for a in range(6) for b in range(a, 6)} | {f"b{a}": right[a] for a in range(6)}
 
 
-def fit_planes(selected: DataFrame, planes: list[Plane], free: dict[int, list[int]], steps: int) -> tuple[list[Plane], int]:
+def fit_planes(known: dict[int, tuple[np.ndarray, np.ndarray]], planes: list[Plane], free: dict[int, list[int]], steps: int) -> tuple[list[Plane], int]:
     """Gauss-Newton steps for the planes of ``free`` until shifts fall below 1e-4 micrometres and turns below 1e-5, or ``steps`` are done.
 
-    The tracks are read once, for the moments of each plane; the steps need no
-    more than these. A step is damped by 0.9, and by less down to 0.3 for a
+    The steps need no more of the tracks than ``known``, the moments of each plane. A step is damped by 0.9, and by less down to 0.3 for a
     plane that swings back.
     """
-    known, out, longest = plane_moments(selected), [], 0
+    out, longest = [], 0
     for p in planes:
         damp, last = 0.9, np.zeros(6)
         for done in range(1, steps + 1) if p.dut in free and p.dut in known else ():
@@ -442,7 +450,8 @@ def align(
     ``max_chi_red`` and a cluster of one of the ``shapes`` are selected; if fit
     planes are in the group their mean angles become the beam's; and the plane is
     moved along its ``free`` parameters (three turns, three shifts). State on
-    the driver is the list of planes; each round writes its tracks once.
+    the driver is the list of planes; each round writes its tracks once, side by side, and reads
+    the fits for one aggregate.
     """
     from hitloom.functions import geometry as G
     from hitloom.operators.tracking import TRACK, find_tracks, fit_tracks
@@ -459,12 +468,12 @@ def align(
                 planes = align_telescope(planes, own, own[0])
             if find and round_:
                 frame = turned(planes, beam)
-                found = find_tracks(global_hits(data, frame), frame, set(fit_duts)).select("event_number", "dut", F.col("was").alias("ordinal"), F.col("ordinal").alias("now"))
-                candidates = data.join(found, ["event_number", "dut", "ordinal"]).drop("ordinal").withColumnRenamed("now", "ordinal").select(*columns)
+                rows = data.withColumns({"local_x": F.col("x"), "local_y": F.col("y")})
+                found = find_tracks(global_hits(rows, frame), frame, set(fit_duts), keep=["local_x", "local_y", *columns[5:]])
+                candidates = found.drop("was", "x", "y", "z").withColumnsRenamed({"local_x": "x", "local_y": "y"}).select(*columns)
             fits = fit_tracks(candidates, planes, fit_duts, group, exclude_own=False, quality=quality, isolation=isolation, use_limits=True, centre=group, keep=["x", "y", *columns[7:]])
             flags = ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation else [])]
-            # written before it is filtered: a filter below the fit would repeat its long expressions many times over
-            fits = scratch.table(fits.select(*TRACK, F.col("fit_dut").alias("dut"), F.col("x").alias("lx"), F.col("y").alias("ly"), "ox", "oy", "oz", "sx", "sy", "sz", "chi_red", *flags, *columns[7:]), "fits")
+            fits = fits.select(F.col("fit_dut").alias("dut"), F.col("x").alias("lx"), F.col("y").alias("ly"), "ox", "oy", "oz", "sx", "sy", "sz", "chi_red", *flags, *columns[7:])
             selected = fits
             for c in flags:
                 selected = selected.where(F.col(c).bitwiseAND(F.expr("shiftleft(1L, dut)")) != 0)
@@ -473,16 +482,17 @@ def align(
             if shapes:
                 selected = selected.where(F.col("cluster_shape").isin(*shapes))
             _, alpha, beta = G.angles(F.col("sx"), F.col("sy"), F.col("sz"))
-            seen = selected.agg(F.count("*").alias("n"), F.avg(alpha).alias("alpha"), F.avg(beta).alias("beta")).first()
-            if not seen["n"]:
+            # all that is needed of the tracks, from one pass over them
+            sums = selected.groupBy("dut").agg(F.count("*").alias("n"), F.sum(alpha).alias("alpha"), F.sum(beta).alias("beta"), *moment_columns()).collect()
+            n = sum(r["n"] for r in sums)
+            if not n:
                 break
             if set(group) & set(fit_duts):
-                beam = (seen["alpha"], seen["beta"], 0.0)
+                beam = (math.fsum(r["alpha"] for r in sums) / n, math.fsum(r["beta"] for r in sums) / n, 0.0)
             before = planes
-            planes, done = fit_planes(selected, planes, {d: list(free) for d in group}, steps)
-            scratch.release(fits)
+            planes, done = fit_planes(moments_of(sums), planes, {d: list(free) for d in group}, steps)
             moved = max(max(abs(a.tx - b.tx), abs(a.ty - b.ty), abs(a.tz - b.tz)) for a, b in zip(planes, before, strict=True))
-            history.append({"group": group, "round": round_, "tracks": seen["n"], "steps": done, "moved": moved})
+            history.append({"group": group, "round": round_, "tracks": n, "steps": done, "moved": moved})
             if moved < tolerance:
                 break
     return planes, beam, history

@@ -85,7 +85,7 @@ def fit_tracks(
     events and looks for other tracks and hits near: neither fits nor pairs are
     written or shuffled. One event must fit into a task. The kernel is an opaque step of
     the plan, so results can be filtered by any column. With ``centre`` the rows of
-    tracks are made twice, first for the modes.
+    tracks are written, to be read for the modes first.
     A plane that a line never crosses has a null crossing and no quality bit; an
     error of zero makes chi2 null.
     """
@@ -93,9 +93,12 @@ def fit_tracks(
     at = {p.dut: p for p in planes}
     wide = planes_side_by_side(hits, list(at), list(dict.fromkeys(["x", "y", "x_err", "y_err", *keep])))
     fits = LineFits(planes, fit_duts, for_duts, exclude_own, min_hits, quality, use_limits, list(keep))
-    if centre:
+    if centre:  # written once, read for the modes and for the fits
+        wide = Scratch(hits.sparkSession, "tracks").table(wide, "wide")
         modes = LineFits(planes, fit_duts, list(centre), exclude_own, min_hits, quality, use_limits, [])
         fits.shift = residual_modes(modes.apply(wide), at)
+        if isolation is not None:
+            wide = wide.repartition(TRACK[0]).sortWithinPartitions(*TRACK)
     fits.isolation = isolation
     flags = ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation is not None else [])]
     return fits.apply(wide).select(*TRACK, "fit_dut", "n", "chi2", "chi_red", *flags, "offset_x", "offset_y", "slope_x", "slope_y", "slope_z", "ox", "oy", "oz", "sx", "sy", "sz", *(F.col(f"own_{k}").alias(k) for k in keep))
@@ -323,8 +326,8 @@ class Finder:
         return held
 
 
-def find_tracks(hits: DataFrame, planes: list[Plane], extrapolate: set[int] | None = None) -> DataFrame:
-    """Long-form rows with a new ``ordinal`` per hit: which track of the event it belongs to (``was`` is the old one).
+def find_tracks(hits: DataFrame, planes: list[Plane], extrapolate: set[int] | None = None, keep: list[str] = ()) -> DataFrame:
+    """Long-form rows with a new ``ordinal`` per hit: which track of the event it belongs to (``was`` is the old one); columns ``keep`` go along.
 
     Positions are global. Rows are dealt by event once; the events of a batch
     with equally many rows are worked on together.
@@ -353,10 +356,11 @@ def find_tracks(hits: DataFrame, planes: list[Plane], extrapolate: set[int] | No
             target = np.empty_like(source)
             np.put_along_axis(target, source, np.broadcast_to(np.arange(n)[None, :, None], source.shape), axis=1)
             new[own] = names[track[start][group[own]] + target[at[group[own]], t[own], k[own]]]
-        return pd.DataFrame({"event_number": event, "ordinal": new, "dut": batch["dut"], "was": old, "x": batch["x"], "y": batch["y"], "z": batch["z"]})
+        return pd.DataFrame({"event_number": event, "ordinal": new, "dut": batch["dut"], "was": old, "x": batch["x"], "y": batch["y"], "z": batch["z"]} | {k: batch[k] for k in keep})
 
     schema = "event_number long, ordinal int, dut int, was int, x double, y double, z double"
-    rows = hits.where(F.col("dut").isin(list(rank))).select(*TRACK, "dut", "x", "y", "z")
+    schema += "".join(f", `{k}` {dict(hits.dtypes)[k]}" for k in keep)
+    rows = hits.where(F.col("dut").isin(list(rank))).select(*TRACK, "dut", "x", "y", "z", *keep)
     return map_events(rows, fn, schema, order=("ordinal", "dut"))
 
 

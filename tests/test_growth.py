@@ -5,7 +5,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from hitloom.operators import estimate as E
 from hitloom.operators import joins as J
+from hitloom.plans import tracking
+from hitloom.runtime import Scratch
 
 
 def plan(df):
@@ -28,3 +31,14 @@ def test_plane_correlation_counts_in_tasks(spark, monkeypatch):
     assert {tuple(r)[:5]: r.n for r in found.collect()} == want
     assert "Join" not in plan(found)
     assert J.plane_correlation(df.limit(0), {"one": F.col("a")}, [0]).count() == 0
+
+
+def test_align_writes_a_round_once(spark, monkeypatch):
+    """A round of the alignment writes hits side by side and residuals, no fits, and finds tracks without a join."""
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name="t": written.append((name, plan(df))) or table(self, df, name))
+    truth, rows = tracking.shifted(spark, "/root/testdata/sf0.001")
+    E.align(rows.where("event_number < 300"), truth, groups=[[1, 2]], fit_duts=[0, 1, 2, 3, 4, 5], iterations=2, isolation=None, tolerance=0.0)
+    names = [n for n, _ in written]
+    assert names.count("wide") == 2 and "fits" not in names
+    assert all("SortMergeJoin" not in p for n, p in written if n in ("wide", "residuals"))
