@@ -17,6 +17,8 @@ from hitloom.runtime import Scratch, ship
 BLOCK = 200_000
 #: Events (a power of 2) of a block whose pairs are looked at one by one, and candidates that numpy takes in one go.
 LEAF, AT_ONCE = 2048, 1 << 18
+#: Events (a power of 2) of a block where coordinates have few values, and places (values of u times values of v) up to which they count as few.
+SMALL, PLACES = 256, 20_000
 SUMS = ["n", "s1", "s2", "s11", "s22", "s12"]
 
 
@@ -118,9 +120,53 @@ def earlier_sums(points: tuple, queries: tuple, events: int, far: float, width:
     return total
 
 
-def block_sums(held: tuple, others: tuple | None, far: float, width: float, near: float) -> np.ndarray:
-    """The same for the pairs in one block of ``LEAF`` events, one by one and in either order of events."""
-    bins, leaf = int(far // width) + 1, LEAF.bit_length() - 1
+def placed_sums(points: tuple, queries: tuple, leaf: int, far: float, width: float, near: float) -> np.ndarray:
+    """The same as ``earlier_sums`` with blocks of ``leaf`` events, where the points have few distinct u and v.
+
+    Blocks come in the order of events. A table over the values of u and v sums
+    the points of all blocks so far, so a query takes its ranges from the
+    table's corners: the cost grows with the tracks, by the size of the table
+    for each block.
+    """
+    (pe, pu, pv, pr), (qe, qu, qv, qr) = points, queries
+    total = np.zeros((int(far // width) + 1, 6))
+    if not len(pe) or not len(qe):
+        return total
+    bits = leaf.bit_length() - 1
+    order, asking = np.argsort(pe, kind="stable"), np.argsort(qe, kind="stable")
+    su, at_u = np.unique(pu[order], return_inverse=True)
+    sv, at_v = np.unique(pv[order], return_inverse=True)
+    place, r, known = at_u * len(sv) + at_v, pr[order], pe[order] >> bits
+    qe, qu, qv, qr = (c[asking] for c in (qe, qu, qv, qr))
+    (u, own_u), (v, own_v) = (np.unique(c, return_inverse=True) for c in (qu, qv))
+    edges_u, edges_v = Windows(su, sv, u, sv[:1].repeat(len(u)), far, width, near).u[own_u], Windows(su, sv, su[:1].repeat(len(v)), v, far, width, near).v[own_v]
+    blocks = qe >> bits
+    starts = np.r_[np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]), len(blocks)]
+    table, corner, taken = np.zeros((3, len(su) * len(sv))), np.zeros((3, len(su) + 1, len(sv) + 1)), 0
+    bins = len(total)
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        upto = int(np.searchsorted(known, blocks[lo]))
+        if upto > taken:
+            here, value = place[taken:upto], r[taken:upto]
+            for k, w in enumerate((None, value, value * value)):
+                table[k] += np.bincount(here, w, table.shape[1])
+            corner[:, 1:, 1:] = table.reshape(3, len(su), len(sv)).cumsum(axis=1).cumsum(axis=2)
+            taken = upto
+        if not taken:
+            continue
+        eu, ev, q = edges_u[lo:hi], edges_v[lo:hi], qr[lo:hi, None]
+        strips = np.diff(corner[:, eu, ev[:, 1:]] - corner[:, eu, ev[:, :1]], axis=2)
+        found = strips[:, :, bins - 1 :].copy()
+        found[:, :, 1:] += strips[:, :, : bins - 1][:, :, ::-1]
+        n, s, ss = found
+        for k, c in enumerate((n, s, n * q, ss, n * q * q, s * q)):
+            total[:, k] += c.sum(axis=0)
+    return total
+
+
+def block_sums(held: tuple, others: tuple | None, far: float, width: float, near: float, leaf: int | None = None) -> np.ndarray:
+    """The same for the pairs in one block of ``leaf`` (``LEAF``) events, one by one and in either order of events."""
+    bins, leaf = int(far // width) + 1, (leaf or LEAF).bit_length() - 1
     total = np.zeros((bins, 6))
     order = np.lexsort((held[2], held[0] >> leaf))
     he, hu, hv, hr = (c[order] for c in held)
@@ -161,6 +207,11 @@ def pair_sums(held: tuple, others: tuple | None, far: float, width: float, near:
     events = np.unique(np.concatenate([held[0], two[0]]))
     held = (np.searchsorted(events, held[0]), *held[1:])
     two = held if others is None else (np.searchsorted(events, two[0]), *two[1:])
+    values = [max(len(np.unique(c[k])) for c in (held, two)) for k in (1, 2)]
+    if values[0] * values[1] <= PLACES:
+        leaf = min(LEAF, SMALL)
+        total = block_sums(held, None if others is None else two, far, width, near, leaf) + placed_sums(held, two, leaf, far, width, near)
+        return total if others is None else total + placed_sums(two, held, leaf, far, width, near)
     total = block_sums(held, None if others is None else two, far, width, near) + earlier_sums(held, two, len(events), far, width, near)
     return total if others is None else total + earlier_sums(two, held, len(events), far, width, near)
 
@@ -200,10 +251,11 @@ def later_sums(tracks: DataFrame, far: float, width: float, near: float = 5.0, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
-        key, waiting, held = None, [], None
+        key, waiting, passing, held = None, [], [], None
 
         def settle() -> None:
             nonlocal waiting, held
+            flow(0)
             if waiting:
                 held, waiting = tuple(np.concatenate(c) for c in zip(*waiting, strict=True)), []
                 add(None)
@@ -212,6 +264,12 @@ def later_sums(tracks: DataFrame, far: float, width: float, near: float = 5.0, b
             found = pair_sums(held, others, far, width, near)
             total[key[:2]] = total[key[:2]] + found if key[:2] in total else found
 
+        def flow(least: int) -> None:
+            nonlocal passing
+            if passing and sum(len(p[0]) for p in passing) > least:
+                others, passing = tuple(np.concatenate(c) for c in zip(*passing, strict=True)), []
+                add(others)
+
         for batch in batches:
             columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*keys, "kind", *row]}
             new = np.zeros(batch.num_rows, bool)
@@ -228,9 +286,11 @@ def later_sums(tracks: DataFrame, far: float, width: float, near: float = 5.0, b
                 if columns["kind"][lo] == 0:
                     waiting.append(part)
                 else:
-                    settle()
+                    if waiting:
+                        settle()
                     if held is not None:
-                        add(part)
+                        passing.append(part)
+                        flow(block)
         settle()
         out = [(dut, axis, b, *v) for (dut, axis), sums in total.items() for b, v in enumerate(sums.tolist()) if v[0]]
         if out:
