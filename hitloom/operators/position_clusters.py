@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructType
 
-from hitloom.operators.events import EVENT, first_rows, label_components, whole_events
+from hitloom.operators.events import EVENT, compact, first_rows, label_components, whole_events
 from hitloom.runtime import ship
 
 #: A cell's side by the reach: a little over a half, so that hits of one cell are neighbours and neighbours are two cells apart at most, whatever is rounded.
@@ -53,15 +53,21 @@ def number_by_position(event: np.ndarray, dut: np.ndarray, at: list[np.ndarray],
     at_cell = place[by_cell]
     low, high = np.minimum.reduceat(at_cell, first), np.maximum.reduceat(at_cell, first)
     reached = np.array(reach, float)
-    rows = {c: i for i, c in enumerate(map(tuple, cells.tolist()))}
+    # cells as ordered numbers, with room for two steps at both ends; where they do not fit into a number, steps between groups and far cells are cut to three
+    spread = cells - cells.min(axis=0)
+    if np.prod((spread.max(axis=0, initial=0) + 5).astype(float)) > 2.0**62:
+        spread = np.stack([compact(c) for c in cells.T], axis=1)
+    room = spread.max(axis=0, initial=0) + 5
+    factor = np.r_[np.cumprod(room[:0:-1])[::-1], 1]
+    key = (spread + 2) @ factor  # ascending, as the cells are
     left, right = [], []
     for offset in np.ndindex(*[5] * len(at)):
         move = np.array(offset) - 2
         if tuple(move) <= (0,) * len(at):
             continue
-        there = [rows.get(c, -1) for c in map(tuple, (cells + np.r_[0, move]).tolist())]
-        b = np.array(there)
-        a = np.flatnonzero(b >= 0)
+        wanted = key + int(move @ factor[1:])
+        b = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        a = np.flatnonzero(key[b] == wanted)
         b = b[a]
         left.append(a)
         right.append(b)

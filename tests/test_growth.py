@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hitloom.operators import correlation as C
 from hitloom.operators import estimate as E
 from hitloom.operators import joins as J
+from hitloom.operators import position_clusters as P
 from hitloom.plans import tracking
 from hitloom.runtime import Scratch
 
@@ -62,3 +63,24 @@ def test_places_of_few_values(monkeypatch):
     start = time.process_time()
     C.pair_sums(columns, None, 200.0, 50.0, 5.0)
     assert time.process_time() - start < 1.8  # 30 us a track; more than 35 by range sums
+
+
+def test_cells_are_found_by_search():
+    """Clusters of far and near positions against all pairs, and cells looked up as columns."""
+    rng = np.random.default_rng(2)
+    for scale in (1.0, 1e6):
+        event, dut = np.sort(rng.integers(0, 40, 900)), np.zeros(900, int)
+        x, y = np.floor(rng.uniform(0, 12, 900)) * scale + rng.uniform(0, 0.9, 900), rng.uniform(0, 12, 900)
+        got = P.number_by_position(event, dut, [x, y], [0.8, 0.8])[0]
+        near = (event[:, None] == event) & (abs(x[:, None] - x) <= 0.8) & (abs(y[:, None] - y) <= 0.8)
+        root = np.arange(900)
+        while not np.array_equal(root, new := np.where(near, root, 900).min(axis=1)):
+            root = new
+        for e in np.unique(event):
+            tops = np.unique(root[event == e])
+            assert got[event == e].tolist() == np.searchsorted(tops, root[event == e]).tolist()
+    n = 200_000
+    event = np.repeat(np.arange(n // 4), 4)
+    start = time.process_time()
+    P.number_by_position(event, np.zeros(n, int), [rng.uniform(-5000, 5000, n), rng.uniform(-2500, 2500, n)], [1500.0, 1000.0])
+    assert time.process_time() - start < 2.0
