@@ -33,8 +33,13 @@ def clustered(spark, sf_dir):
     return C.cluster_ids(views.hits(spark, sf_dir), 3, 3)
 
 
+def clustered_by_event(spark, sf_dir):
+    """The same dealt by event in tasks of bounded rows: the steps by cluster need no other shuffle, and their memory does not grow with the table."""
+    return views.by_event(clustered(spark, sf_dir), views.count(spark, sf_dir))
+
+
 def built(spark, sf_dir):
-    return C.build_clusters(clustered(spark, sf_dir))
+    return C.build_clusters(clustered_by_event(spark, sf_dir))
 
 
 KEY = ["event_number", "dut", "cluster_id"]
@@ -50,7 +55,7 @@ def cluster_ids(spark, sf_dir):
       round(avg("column"), 6) AS mean_column, round(avg("row"), 6) AS mean_row, min(frame) AS frame, max("column") - min("column") AS extent_column, max(charge) AS max_charge FROM cluster_hits GROUP BY ALL"""))
 def cluster_build(spark, sf_dir):
     """With the largest charge as an extra aggregate."""
-    c = C.build_clusters(clustered(spark, sf_dir), extra=[F.max("charge").alias("max_charge")])
+    c = C.build_clusters(clustered_by_event(spark, sf_dir), extra=[F.max("charge").alias("max_charge")])
     return c.select(*KEY, "n_hits", "charge", "seed_column", "seed_row", F.round("mean_column", 6).alias("mean_column"), F.round("mean_row", 6).alias("mean_row"), "frame", "extent_column", "max_charge")
 
 

@@ -10,8 +10,9 @@ from hitloom.operators import correlation as C
 from hitloom.operators import estimate as E
 from hitloom.operators import joins as J
 from hitloom.operators import position_clusters as P
-from hitloom.plans import tracking
+from hitloom.plans import registry, tracking
 from hitloom.runtime import Scratch
+from hitloom.sources import views
 
 
 def plan(df):
@@ -84,3 +85,12 @@ def test_cells_are_found_by_search():
     start = time.process_time()
     P.number_by_position(event, np.zeros(n, int), [rng.uniform(-5000, 5000, n), rng.uniform(-2500, 2500, n)], [1500.0, 1000.0])
     assert time.process_time() - start < 2.0
+
+
+def test_clusters_are_built_in_bounded_tasks(spark, monkeypatch):
+    """More tasks than shuffle partitions, and no shuffle by cluster behind them."""
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    found = registry.QUERIES["cluster_shape"](spark, "/root/testdata/sf0.001")
+    tasks = -(-views.count(spark, "/root/testdata/sf0.001") // 500)
+    assert tasks > 4 and plan(found).count("hashpartitioning(event_number") == 1 and f", {tasks}), REPARTITION_BY_NUM" in plan(found)
+    assert "hashpartitioning(event_number#" in plan(found) and ", cluster_id#" not in "".join(v for v in plan(found).splitlines() if "Exchange" in v)
