@@ -41,11 +41,16 @@ def clusters_by_joins(hits: DataFrame, d_column: int, d_row: int, d_frame: int |
     pixel = [*EVENT, *axes]
     # the numbers are drawn once, as the table is written
     vertices = scratch.table(hits.groupBy(*pixel).agg(F.min("ordinal").alias("first")).withColumn("id", F.monotonically_increasing_id()), "pixels")
-    steps = [F.struct(F.lit(0).alias("none"))]
+    # a pixel goes to the few cells that its reach touches, and meets each neighbour in the neighbour's own cell
+    cell = lambda c, by=0: F.floor((F.col(c) + by) / (2 * (axes[c] + 1)))
+    there = vertices
     for c, d in axes.items():
-        steps = [F.struct(*(s[n] for n in names), F.lit(k).alias(c)) for s, names in [(s, [*list(axes)[: list(axes).index(c)]]) for s in steps] for k in range(-d, d + 1)]
-    moved = vertices.withColumn("s", F.explode(F.array(*steps))).select("id", *EVENT, *((F.col(c) + F.col(f"s.{c}")).alias(c) for c in axes))
-    links = moved.join(vertices.withColumnRenamed("id", "other"), pixel).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        there = there.withColumn(f"cell_{c}", F.explode(F.sequence(cell(c, -d), cell(c, d))))
+    own = vertices.select(F.col("id").alias("other"), *EVENT, *(F.col(c).alias(f"other_{c}") for c in axes), *(cell(c).alias(f"cell_{c}") for c in axes))
+    links = there.join(own, [*EVENT, *(f"cell_{c}" for c in axes)]).where("id < other")
+    for c, d in axes.items():
+        links = links.where(F.abs(F.col(c) - F.col(f"other_{c}")) <= d)
+    links = links.select(F.col("id").alias("a"), F.col("other").alias("b"))
     found = connected_components(links, scratch=scratch)
     named = vertices.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = scratch.table(named, "named")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from hitloom.operators import clusters as K
 from hitloom.operators import correlation as C
 from hitloom.operators import estimate as E
 from hitloom.operators import joins as J
@@ -94,3 +95,14 @@ def test_clusters_are_built_in_bounded_tasks(spark, monkeypatch):
     tasks = -(-views.count(spark, "/root/testdata/sf0.001") // 500)
     assert tasks > 4 and plan(found).count("hashpartitioning(event_number") == 1 and f", {tasks}), REPARTITION_BY_NUM" in plan(found)
     assert "hashpartitioning(event_number#" in plan(found) and ", cluster_id#" not in "".join(v for v in plan(found).splitlines() if "Exchange" in v)
+
+
+def test_joins_repeat_a_pixel_for_few_cells(spark, monkeypatch):
+    """The links of a matrix of pixels, from far fewer rows than neighbouring places."""
+    seen = {}
+    monkeypatch.setattr(K, "connected_components", lambda links, scratch: seen.update(links=links) or links.select(links.a.alias("id"), links.a.alias("component")).limit(0))
+    rows = [(1, 0, i, i % 30, i // 30) for i in range(900) if i % 5]
+    K.clusters_by_joins(spark.createDataFrame(rows, "event_number long, dut int, ordinal int, column int, row int"), 3, 3, None, Scratch(spark, "cells"))
+    want = sum(abs(a[3] - b[3]) <= 3 and abs(a[4] - b[4]) <= 3 for k, a in enumerate(rows) for b in rows[:k])
+    assert seen["links"].count() == want == seen["links"].distinct().count()
+    assert "explode(array(" not in plan(seen["links"]) and "explode([" not in plan(seen["links"])
