@@ -106,3 +106,23 @@ def test_joins_repeat_a_pixel_for_few_cells(spark, monkeypatch):
     want = sum(abs(a[3] - b[3]) <= 3 and abs(a[4] - b[4]) <= 3 for k, a in enumerate(rows) for b in rows[:k])
     assert seen["links"].count() == want == seen["links"].distinct().count()
     assert "explode(array(" not in plan(seen["links"]) and "explode([" not in plan(seen["links"])
+
+
+def test_residual_pairs_shuffle_tracks_and_not_pairs(spark, monkeypatch):
+    """Every pair once, across the borders of cells, in portions; tracks are dealt once and no pairs are joined."""
+    monkeypatch.setattr(J, "PAIRS", 40)
+    rng = np.random.default_rng(4)
+    n = 700
+    x, y = np.where(np.arange(n) % 2, rng.integers(-8, 8, n) * 50.0, rng.uniform(-400, 400, n)), np.where(np.arange(n) % 3, rng.integers(-60, 60, n) * 2.5, rng.uniform(-150, 150, n))
+    event = rng.integers(0, 200, n)
+    rows = [(int(e), i, float(a), float(b)) for i, (e, a, b) in enumerate(zip(event, x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (1, n, None, 1.0), (2, n, float("nan"), 1.0), (None, n, 1.0, 1.0)], "event_number long, ordinal int, x double, y double").repartition(3)
+    found = J.later_pairs(df, 100.0, 10.0)
+    assert "Join" not in plan(found) and plan(found).count("hashpartitioning") == 1
+    want = Counter()
+    for axis, u, v in (("x", x, y), ("y", y, x)):
+        d = abs(u[:, None] - u)
+        i, j = np.nonzero((event[:, None] < event) & (d <= 100) & (abs(v[:, None] - v) < 5))
+        want.update((axis, int(event[a]), int(a), int(event[b]), int(b), int(d[a, b] // 10)) for a, b in zip(i, j, strict=True))
+    assert Counter(map(tuple, found.collect())) == want and len(want) > 1000
+    assert J.later_pairs(df.limit(0), 100.0, 10.0).count() == 0
