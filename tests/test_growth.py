@@ -11,6 +11,7 @@ from hitloom.operators import correlation as C
 from hitloom.operators import estimate as E
 from hitloom.operators import joins as J
 from hitloom.operators import position_clusters as P
+from hitloom.operators import selection
 from hitloom.plans import registry, tracking
 from hitloom.runtime import Scratch
 from hitloom.sources import views
@@ -126,3 +127,22 @@ def test_residual_pairs_shuffle_tracks_and_not_pairs(spark, monkeypatch):
         want.update((axis, int(event[a]), int(a), int(event[b]), int(b), int(d[a, b] // 10)) for a, b in zip(i, j, strict=True))
     assert Counter(map(tuple, found.collect())) == want and len(want) > 1000
     assert J.later_pairs(df.limit(0), 100.0, 10.0).count() == 0
+
+
+def test_isolation_joins_no_pairs(spark, sf_dir, monkeypatch):
+    """Flags of both positions of a row against all pairs, small and crowded events, rows without a position; one dealing and no join."""
+    rng = np.random.default_rng(6)
+    event, dut = np.r_[rng.integers(0, 60, 400), np.full(200, 99)], np.r_[rng.integers(0, 3, 400), np.full(200, 1)]
+    at = rng.uniform(-40, 40, (4, 600)).round(1)
+    lost = rng.random(600) < 0.1
+    rows = [(int(e), i, int(d), None if z else float(x), None if z else float(y), float(u), float(v)) for i, (e, d, z, x, y, u, v) in enumerate(zip(event, dut, lost, *at, strict=True))]
+    df = spark.createDataFrame(rows, "event_number long, ordinal int, dut int, x double, y double, ix double, iy double").repartition(3)
+    found = selection.isolated_rows(df, {"own": ("x", "y", 4.0, 2.0), "line": ("ix", "iy", 3.0, 3.0)})
+    same = (event[:, None] == event) & (dut[:, None] == dut) & ~np.eye(600, dtype=bool)
+    near = lambda x, y, a, b: (same & (((x[:, None] - x) / a) ** 2 + ((y[:, None] - y) / b) ** 2 <= 1))
+    own, line = ~(near(at[0], at[1], 4, 2) & ~lost).any(axis=1), ~near(at[2], at[3], 3, 3).any(axis=1)
+    want = {i: (None if lost[i] else bool(own[i]), bool(line[i])) for i in range(600)}
+    assert {r.ordinal: (r.own, r.line) for r in found.collect()} == want and 50 < own.sum() < 550
+    for name in ("isolation_flags", "fit_statistics", "fit_statistics_trend"):
+        p = plan(registry.QUERIES[name](spark, sf_dir))
+        assert "Join" not in p and p.count("hashpartitioning(l_orderkey") + p.count("hashpartitioning(event_number") == 1
