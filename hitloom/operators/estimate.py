@@ -513,19 +513,21 @@ def align_kalman(
     known residuals weigh little. A track is fitted without the plane's own hit;
     tracks with a reduced chi2 (by the raised variance) above ``max_chi_red``
     are skipped, and an update that changes a parameter by more than
-    ``deviation`` of its errors is rejected.
+    ``deviation`` of its errors is rejected. Tracks are written once, their planes
+    side by side, with a folder per batch, so that a batch reads only its own.
     """
-    from hitloom.operators.tracking import TRACK, fit_tracks
+    from hitloom.operators.tracking import TRACK, fit_tracks, planes_side_by_side
 
     spark = local_hits.sparkSession
     free = [i for i, e in enumerate(errors) if e > 0]
     cov = {p.dut: np.diag(np.square(np.array(errors)[free])) for p in planes}
     rows = local_hits.select(*TRACK, "dut", "x", "y", "x_err", "y_err").where("x IS NOT NULL AND y IS NOT NULL")
-    data = Scratch(spark, "kalman-align").table(rows.withColumn("batch", F.pmod(F.xxhash64("event_number"), F.lit(batches))), "hits")
     duts, history = [p.dut for p in planes], []
+    wide = planes_side_by_side(rows, duts, ["x", "y", "x_err", "y_err"]).withColumn("batch", F.pmod(F.xxhash64("event_number"), F.lit(batches)))
+    data = Scratch(spark, "kalman-align").table(wide, "tracks", by="batch")
     for t in range(batches):
         heat = annealing ** ((batches - 1 - t) / max(1, batches - 1))
-        fits = fit_tracks(data.where(F.col("batch") == t), planes, duts, [d for d in duts if d not in fixed], keep=["x", "y", "x_err", "y_err"]).where("x IS NOT NULL")
+        fits = fit_tracks(data.where(F.col("batch") == t), planes, duts, [d for d in duts if d not in fixed], keep=["x", "y", "x_err", "y_err"], wide_rows=True).where("x IS NOT NULL")
         if max_chi_red is not None:
             fits = fits.where(F.col("chi_red") < max_chi_red * heat)
         u, v = F.col("offset_x"), F.col("offset_y")

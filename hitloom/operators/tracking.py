@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from hitloom.functions.expressions import chi2_pvalue
 from hitloom.functions.geometry import Plane, rotation
 from hitloom.operators.events import Neighbours, dealt, first_rows, map_events, whole_events
 from hitloom.operators.histograms import density_modes
@@ -55,17 +54,42 @@ def planes_side_by_side(hits: DataFrame, duts: list[int], columns: list[str]) ->
 def _direction():
     @F.pandas_udf("sx double, sy double, sz double")
     def direction(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
-        m = np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]], float).transpose(2, 0, 1)
-        v = np.linalg.eigh(np.nan_to_num(m))[1][:, :, -1]
+        v = first_axis(*(np.nan_to_num(np.asarray(c, float)) for c in (xx, xy, xz, yy, yz, zz)))
         v *= np.where(v[:, 2:] < 0, -1.0, 1.0)
         return pd.DataFrame(v, columns=["sx", "sy", "sz"])
 
     return direction
 
 
+def first_axis(xx: np.ndarray, xy: np.ndarray, xz: np.ndarray, yy: np.ndarray, yz: np.ndarray, zz: np.ndarray) -> np.ndarray:
+    """Unit eigenvectors (n, 3) of the largest eigenvalues of symmetric matrices: Jacobi rotations of all matrices at once, column by column."""
+    a = {(0, 0): xx.copy(), (0, 1): xy.copy(), (0, 2): xz.copy(), (1, 1): yy.copy(), (1, 2): yz.copy(), (2, 2): zz.copy()}
+    v = [[np.full(len(xx), float(i == j)) for j in range(3)] for i in range(3)]
+    at = lambda i, j: (min(i, j), max(i, j))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+        for _ in range(12):
+            scale = np.abs(a[0, 0]) + np.abs(a[1, 1]) + np.abs(a[2, 2])
+            if not (np.abs(a[0, 1]) + np.abs(a[0, 2]) + np.abs(a[1, 2]) > 1e-17 * scale).any():
+                break
+            for p, q in ((0, 2), (1, 2), (0, 1)):
+                off = a[p, q]
+                theta = (a[q, q] - a[p, p]) / (2 * off)
+                t = np.where(off == 0, 0.0, np.copysign(1.0, theta) / (np.abs(theta) + np.hypot(theta, 1.0)))
+                c = 1 / np.sqrt(t * t + 1)
+                s = t * c
+                a[p, p], a[q, q], a[p, q] = a[p, p] - t * off, a[q, q] + t * off, np.zeros(len(off))
+                r = 3 - p - q
+                u, w = a[at(p, r)], a[at(q, r)]
+                a[at(p, r)], a[at(q, r)] = c * u - s * w, s * u + c * w
+                for row in v:
+                    row[p], row[q] = c * row[p] - s * row[q], s * row[p] + c * row[q]
+    best = 2 - np.argmax(np.stack([a[2, 2], a[1, 1], a[0, 0]]), axis=0)
+    return np.stack([np.choose(best, row) for row in v], axis=1)
+
+
 def fit_tracks(
     hits: DataFrame, planes: list[Plane], fit_duts: list[int], for_duts: list[int], exclude_own: bool = True, min_hits: int = 3,
-    quality: tuple[float, float] = (1e9, 1e9), isolation: tuple[float, float] | None = None, use_limits: bool = False, centre: list[int] = (), keep: list[str] = (),
+    quality: tuple[float, float] = (1e9, 1e9), isolation: tuple[float, float] | None = None, use_limits: bool = False, centre: list[int] = (), keep: list[str] = (), wide_rows: bool = False,
 ) -> DataFrame:
     """Straight-line fits of long-form tracks: one row per (event, ordinal, fit_dut).
 
@@ -84,14 +108,15 @@ def fit_tracks(
     stand side by side in a row, and a kernel fits the rows of a batch of whole
     events and looks for other tracks and hits near: neither fits nor pairs are
     written or shuffled. One event must fit into a task. The kernel is an opaque step of
-    the plan, so results can be filtered by any column. With ``centre`` the rows of
+    the plan, so results can be filtered by any column. ``wide_rows``: ``hits`` are rows of
+    ``planes_side_by_side`` already (with ``isolation`` in the order of events, all of one in a task). With ``centre`` the rows of
     tracks are written, to be read for the modes first.
     A plane that a line never crosses has a null crossing and no quality bit; an
     error of zero makes chi2 null.
     """
     ship(hits.sparkSession)
     at = {p.dut: p for p in planes}
-    wide = planes_side_by_side(hits, list(at), list(dict.fromkeys(["x", "y", "x_err", "y_err", *keep])))
+    wide = hits if wide_rows else planes_side_by_side(hits, list(at), list(dict.fromkeys(["x", "y", "x_err", "y_err", *keep])))
     fits = LineFits(planes, fit_duts, for_duts, exclude_own, min_hits, quality, use_limits, list(keep))
     if centre:  # written once, read for the modes and for the fits
         wide = Scratch(hits.sparkSession, "tracks").table(wide, "wide")
@@ -203,11 +228,13 @@ class LineFits:
     def line(used: dict, n: np.ndarray, points: dict) -> tuple[np.ndarray, np.ndarray]:
         """Mean point and unit direction (s_z >= 0) of the points with a true flag."""
         mean = sum(np.where(u[:, None], points[f], 0.0) for f, u in used.items()) / n[:, None]
-        second = np.zeros((len(n), 3, 3))
+        pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+        second = [np.zeros(len(n)) for _ in pairs]
         for f, u in used.items():
-            away = np.where(u[:, None], points[f] - mean, 0.0)
-            second += away[:, :, None] * away[:, None, :]
-        s = np.linalg.eigh(second)[1][:, :, -1]
+            away = [np.where(u, points[f][:, i] - mean[:, i], 0.0) for i in range(3)]
+            for k, (i, j) in enumerate(pairs):
+                second[k] += away[i] * away[j]
+        s = first_axis(*second)
         return mean, s * np.where(s[:, 2:] < 0, -1.0, 1.0)
 
     def cross(self, d: int, m: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,6 +391,39 @@ def find_tracks(hits: DataFrame, planes: list[Plane], extrapolate: set[int] | No
     return map_events(rows, fn, schema, order=("ordinal", "dut"))
 
 
+def times(*parts: np.ndarray) -> np.ndarray:
+    """Product of stacks of small matrices, entry by entry over all of a stack: far faster than a matrix at a time."""
+    out = parts[0]
+    for m in parts[1:]:
+        n = max(len(out) if out.ndim == 3 else 1, len(m) if m.ndim == 3 else 1)
+        found = np.empty((out.shape[-2], m.shape[-1], n))
+        for i in range(out.shape[-2]):
+            for j in range(m.shape[-1]):
+                terms = [out[..., i, k] * m[..., k, j] for k in range(m.shape[-2]) if out.ndim == 3 or out[i, k] if m.ndim == 3 or m[k, j]]  # zeros of a fixed matrix add nothing
+                found[i, j] = sum(terms[1:], terms[0]) if terms else 0.0
+        out = found.transpose(2, 0, 1)
+    return out
+
+
+def inverse(m: np.ndarray) -> np.ndarray:
+    """Inverses of a stack of 2 x 2 matrices, or of positive ones of 4 x 4 by blocks."""
+    out = np.empty((m.shape[1], m.shape[2], len(m)))
+    if m.shape[1] == 2:
+        a, b, c, d = m[:, 0, 0], m[:, 0, 1], m[:, 1, 0], m[:, 1, 1]
+        det = a * d - b * c
+        out[0, 0], out[0, 1], out[1, 0], out[1, 1] = d / det, -b / det, -c / det, a / det
+        return out.transpose(2, 0, 1)
+    a, b, c, d = m[:, :2, :2], m[:, :2, 2:], m[:, 2:, :2], m[:, 2:, 2:]
+    own = inverse(a)
+    left, right = times(own, b), times(c, own)
+    rest = inverse(d - times(c, left))
+    upper = -times(left, rest)
+    parts = own - times(upper, right), upper, -times(rest, right), rest
+    for (i, j), part in zip(((0, 0), (0, 2), (2, 0), (2, 2)), parts, strict=True):
+        out[i : i + 2, j : j + 2] = part.transpose(1, 2, 0)
+    return out.transpose(2, 0, 1)
+
+
 class Smoother:
     """Kalman filter and Rauch-Tung-Striebel smoother for many tracks at once.
 
@@ -390,7 +450,7 @@ class Smoother:
         slant = d @ axes[:, 2]
         run = -(away @ axes[:, 2]) / slant
         local = (away + run[:, None] * d) @ axes[:, :2]
-        h = np.empty((len(s), 2, 4))
+        h = np.empty((2, 4, len(s))).transpose(2, 0, 1)
         for j in (0, 1):
             move = -axes[j, 2] / slant  # change of the run with the position
             along = axes[j, :2] + move[:, None] * (d @ axes[:, :2])
@@ -399,7 +459,7 @@ class Smoother:
         return local, h
 
     def scatter(self, k: int, s: np.ndarray) -> np.ndarray:
-        q = np.zeros((len(s), 4, 4))
+        q = np.zeros((4, 4, len(s))).transpose(2, 0, 1)
         tx, ty = s[:, 2], s[:, 3]
         length = 1 + tx * tx + ty * ty
         x = self.planes[k].material_budget * np.sqrt(length)
@@ -418,7 +478,7 @@ class Smoother:
             if k:
                 f = np.eye(4)
                 f[0, 2] = f[1, 3] = self.planes[k].tz - self.planes[k - 1].tz
-                c = f @ (c + self.scatter(k - 1, s)) @ f.T
+                c = times(f, c + self.scatter(k - 1, s), f.T)
                 s = s @ f.T
             else:
                 f = None
@@ -426,32 +486,33 @@ class Smoother:
             if self.used[k]:
                 have = ~np.isnan(meas[:, k, 0])
                 local, h = self.measure(k, s)
-                v = np.zeros((n, 2, 2))
+                v = np.zeros((2, 2, n)).transpose(2, 0, 1)
                 v[:, 0, 0], v[:, 1, 1] = err[:, k, 0] ** 2, err[:, k, 1] ** 2
                 ht = h.transpose(0, 2, 1)
-                gain = c @ ht @ np.linalg.inv(np.where(have[:, None, None], h @ c @ ht + v, np.eye(2)))
+                across = times(c, ht)
+                gain = times(across, inverse(np.where(have[:, None, None], times(h, across) + v, np.eye(2))))
                 gain[~have] = 0
                 diff = np.where(have[:, None], np.nan_to_num(meas[:, k]) - local, 0.0)
-                s = s + np.einsum("nij,nj->ni", gain, diff)
-                c = c - gain @ h @ c
+                s = s + times(gain, diff[:, :, None])[:, :, 0]
+                c = c - times(gain, times(h, c))
             filtered.append((s, c))
-        states, covs = np.empty((n, m, 4)), np.empty((n, m, 4, 4))
+        states, covs = np.empty((m, 4, n)).transpose(2, 0, 1), np.empty((m, 4, 4, n)).transpose(3, 0, 1, 2)
         states[:, -1], covs[:, -1] = filtered[-1]
         for k in range(m - 2, -1, -1):
             f, s1, c1 = before[k + 1]
             s, c = filtered[k]
-            g = c @ f.T @ np.linalg.inv(c1)  # slopes before the plane's own scattering
-            states[:, k] = s + np.einsum("nij,nj->ni", g, states[:, k + 1] - s1)
-            covs[:, k] = c + g @ (covs[:, k + 1] - c1) @ g.transpose(0, 2, 1)
+            g = times(c, f.T, inverse(c1))  # slopes before the plane's own scattering
+            states[:, k] = s + times(g, (states[:, k + 1] - s1)[:, :, None])[:, :, 0]
+            covs[:, k] = c + times(g, covs[:, k + 1] - c1, g.transpose(0, 2, 1))
         chi2 = np.full((n, m), np.nan)
         for k in range(m):
             local, h = self.measure(k, states[:, k])
-            v = np.zeros((n, 2, 2))
+            v = np.zeros((2, 2, n)).transpose(2, 0, 1)
             v[:, 0, 0], v[:, 1, 1] = err[:, k, 0] ** 2, err[:, k, 1] ** 2
-            spread = h @ covs[:, k] @ h.transpose(0, 2, 1)
+            spread = times(h, covs[:, k], h.transpose(0, 2, 1))
             r = meas[:, k] - local
             cov = v - spread if self.used[k] else v + spread
-            chi2[:, k] = np.einsum("ni,nij,nj->n", r, np.linalg.inv(cov), r)
+            chi2[:, k] = times(r[:, None, :], inverse(cov), r[:, :, None])[:, 0, 0]
         return states, covs, chi2
 
 
@@ -489,9 +550,17 @@ def kalman_fit(hits: DataFrame, planes: list[Plane], fit_duts: list[int], min_hi
             at = np.tile(order, len(b))
             flat = lambda j: states[:, :, j].ravel()
             rep = lambda v: np.repeat(np.asarray(v), len(order))
-            yield pd.DataFrame({"event_number": rep(b["event_number"]), "ordinal": rep(b["ordinal"]), "fit_dut": at, "n": rep(b["n"]), "offset_x": flat(0), "offset_y": flat(1), "slope_x": flat(2), "slope_y": flat(3), "chi2": rep(total)})
+            yield pd.DataFrame({"event_number": rep(b["event_number"]), "ordinal": rep(b["ordinal"]), "fit_dut": at, "n": rep(b["n"]), "offset_x": flat(0), "offset_y": flat(1), "slope_x": flat(2), "slope_y": flat(3), "chi2": rep(total), "p": rep(upper_tail(total, b["n"].to_numpy() - 2))})
 
-    schema = "event_number long, ordinal int, fit_dut int, n long, offset_x double, offset_y double, slope_x double, slope_y double, chi2 double"
+    schema = "event_number long, ordinal int, fit_dut int, n long, offset_x double, offset_y double, slope_x double, slope_y double, chi2 double, p double"
     out = tracks.mapInPandas(run, schema)
-    ndof = 2 * F.col("n") - 4
-    return out.withColumns({"chi_red": F.col("chi2") / ndof, "p": chi2_pvalue(F.col("chi2"), ndof)})
+    return out.withColumn("chi_red", F.col("chi2") / (2 * F.col("n") - 4)).select(*(c for c in out.columns if c != "p"), "chi_red", "p")
+
+
+def upper_tail(chi2: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """``chi2_pvalue`` for twice ``half`` degrees of freedom, once a track; nan without any."""
+    term, total = np.ones(len(chi2)), np.zeros(len(chi2))
+    for k in range(1, int(half.max(initial=0)) + 1):
+        total += np.where(k <= half, term, 0.0)
+        term = term * (chi2 / 2) / k
+    return np.where(half > 0, np.exp(-chi2 / 2) * total, np.nan)

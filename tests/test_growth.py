@@ -6,12 +6,14 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from hitloom.functions import geometry as G
 from hitloom.operators import clusters as K
 from hitloom.operators import correlation as C
 from hitloom.operators import estimate as E
 from hitloom.operators import joins as J
 from hitloom.operators import position_clusters as P
 from hitloom.operators import selection
+from hitloom.operators import tracking as T
 from hitloom.plans import registry, tracking
 from hitloom.runtime import Scratch
 from hitloom.sources import views
@@ -146,3 +148,39 @@ def test_isolation_joins_no_pairs(spark, sf_dir, monkeypatch):
     for name in ("isolation_flags", "fit_statistics", "fit_statistics_trend"):
         p = plan(registry.QUERIES[name](spark, sf_dir))
         assert "Join" not in p and p.count("hashpartitioning(l_orderkey") + p.count("hashpartitioning(event_number") == 1
+
+
+def test_small_matrices_go_entry_by_entry(monkeypatch):
+    """Products, inverses and first axes of stacks against numpy's, which works on a matrix at a time and is not called by smoothers and fits."""
+    rng = np.random.default_rng(8)
+    a, f = rng.normal(0, 1, (300, 4, 4)), np.eye(4)
+    f[0, 2] = 3.0
+    a = a @ a.transpose(0, 2, 1) + 0.1 * np.eye(4)
+    np.testing.assert_allclose(T.times(f, a, f.T), f @ a @ f.T, rtol=1e-12, atol=1e-12)
+    np.testing.assert_allclose(T.inverse(a), np.linalg.inv(a), rtol=1e-6, atol=1e-8)
+    np.testing.assert_allclose(T.inverse(a[:, :2, :2]), np.linalg.inv(a[:, :2, :2]), rtol=1e-9)
+    b = a[:, :3, :3] * np.array([1e8, 1.0, 1e-8])[rng.integers(0, 3, 300)][:, None, None]
+    axes = T.first_axis(*(b[:, i, j] for i in range(3) for j in range(i, 3)))
+    np.testing.assert_allclose(np.abs((axes * np.linalg.eigh(b)[1][:, :, -1]).sum(axis=1)), 1, atol=1e-12)
+    assert T.first_axis(*np.zeros((6, 1))).tolist() == [[0, 0, 1]]
+    np.testing.assert_allclose(T.upper_tail(np.array([0.0, 3.0, 8.0]), np.array([1, 2, 4])), [1.0, np.exp(-1.5) * 2.5, np.exp(-4.0) * (1 + 4 + 8 + 64 / 6)], rtol=1e-14)
+    meas, err, seed = rng.normal(0, 5, (50, 6, 2)), np.full((50, 6, 2), 5.0), np.zeros((50, 4))
+
+    def one_by_one(*_, **__):
+        raise AssertionError("a matrix at a time")
+
+    monkeypatch.setattr(np.linalg, "inv", one_by_one)
+    monkeypatch.setattr(np.linalg, "eigh", one_by_one)
+    T.Smoother(G.TRACK_PLANES, set(range(6))).run(meas, err, seed)
+    T.LineFits.line({0: np.ones(50, bool), 1: np.ones(50, bool)}, np.full(50, 2), {0: rng.normal(0, 1, (50, 3)), 1: rng.normal(0, 1, (50, 3))})
+
+
+def test_align_kalman_reads_a_batch_from_its_folder(spark, monkeypatch):
+    """Tracks are written once, side by side; a batch neither deals hits nor reads other batches."""
+    written, plans, table, fit = [], [], Scratch.table, T.fit_tracks
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name="t", **k: written.append((name, k)) or table(self, df, name, **k))
+    monkeypatch.setattr(T, "fit_tracks", lambda *a, **k: plans.append(plan(fit(*a, **k))) or fit(*a, **k))
+    truth, rows = tracking.shifted(spark, "/root/testdata/sf0.001")
+    E.align_kalman(rows, G.TRACK_PLANES, fixed=[0, 5], batches=3)
+    assert [n for n, _ in written] == ["tracks"] and len(plans) == 3
+    assert all("Exchange" not in p and "PartitionFilters: [isnotnull(batch" in p for p in plans)
