@@ -372,6 +372,19 @@ def moment_columns() -> list[Column]:
     return squares + [F.sum(sum(across[i][k] * o[k] for k in range(3)) * u[a]).alias(f"t{i}{a}") for i in range(3) for a in range(3)]
 
 
+def moment_totals(lx: np.ndarray, ly: np.ndarray, o: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The sums of ``moment_columns`` over rows, in their order."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    across = {(i, j): (1.0 if i == j else 0.0) - s[i] * s[j] for i, j in pairs}
+    u = np.stack([lx, ly, np.ones(len(lx))])
+    squares = np.stack([across[k] for k in pairs]) @ np.stack([u[a] * u[b] for a, b in pairs]).T
+    moved = np.stack([sum(across[min(i, k), max(i, k)] * o[k] for k in range(3)) for i in range(3)]) @ u.T
+    return np.r_[squares.ravel(), moved.ravel()]
+
+
+MOMENTS = [f"s{i}{j}{a}{b}" for i in range(3) for j in range(i, 3) for a in range(3) for b in range(a, 3)] + [f"t{i}{a}" for i in range(3) for a in range(3)]
+
+
 def plane_moments(selected: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """All that steps of a plane need of its tracks: ``S`` (3, 3, 3, 3) and ``T`` (3, 3) per dut, from one aggregate.
 
@@ -450,40 +463,47 @@ def align(
     ``max_chi_red`` and a cluster of one of the ``shapes`` are selected; if fit
     planes are in the group their mean angles become the beam's; and the plane is
     moved along its ``free`` parameters (three turns, three shifts). State on
-    the driver is the list of planes; each round writes its tracks once, side by side, and reads
-    the fits for one aggregate.
+    the driver is the list of planes; hits are written once, the planes of a track side by side, a round writes
+    its tracks so with their residuals and passes sums of the fits on, no rows.
     """
-    from hitloom.functions import geometry as G
-    from hitloom.operators.tracking import TRACK, find_tracks, fit_tracks
+    from hitloom.operators.tracking import TRACK, LineFits, planes_in_arrays, residual_modes, tracks_found
 
     spark, beam, history = local_hits.sparkSession, (0.0, 0.0, 0.0), []
+    ship(spark)
     scratch = Scratch(spark, "align")
-    columns = [*TRACK, "dut", "x", "y", "x_err", "y_err", *(["cluster_shape"] if shapes else [])]
-    data = scratch.table(local_hits.select(*columns).where("x IS NOT NULL AND y IS NOT NULL"), "hits")
+    columns = ["x", "y", "x_err", "y_err", *(["cluster_shape"] if shapes else [])]
+    hits = local_hits.select(*TRACK, "dut", *columns).where("x IS NOT NULL AND y IS NOT NULL")
+    data = scratch.table(planes_in_arrays(hits, [p.dut for p in planes], columns), "wide")
+    flags = ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation else [])]
+
+    def sums_of(fits: pd.DataFrame) -> np.ndarray:
+        """Number, angles and moments of the selected tracks of a plane."""
+        bit = np.int64(1) << int(fits["fit_dut"].iloc[0])
+        ok = np.logical_and.reduce([fits[c].to_numpy() & bit != 0 for c in flags])
+        if max_chi_red:
+            ok &= fits["chi_red"].to_numpy() < max_chi_red
+        if shapes:
+            ok &= fits["own_cluster_shape"].isin(shapes).to_numpy()
+        lx, ly, *line = fits[["own_x", "own_y", *(f"{k}{a}" for k in "os" for a in "xyz")]].to_numpy(float)[ok].T
+        o, s = np.array(line[:3]), np.array(line[3:])
+        return np.r_[ok.sum(), np.arctan2(s[1], np.abs(s[2])).sum(), np.arctan2(-s[0], np.abs(s[2])).sum(), moment_totals(lx, ly, o, s)]
+
     for group in groups:
-        candidates = data
+        wide = data
         for round_ in range(iterations):
             own = [d for d in group if d in telescope]
             if len(own) > 1:
                 planes = align_telescope(planes, own, own[0])
             if find and round_:
-                frame = turned(planes, beam)
-                rows = data.withColumns({"local_x": F.col("x"), "local_y": F.col("y")})
-                found = find_tracks(global_hits(rows, frame), frame, set(fit_duts), keep=["local_x", "local_y", *columns[5:]])
-                candidates = found.drop("was", "x", "y", "z").withColumnsRenamed({"local_x": "x", "local_y": "y"}).select(*columns)
-            fits = fit_tracks(candidates, planes, fit_duts, group, exclude_own=False, quality=quality, isolation=isolation, use_limits=True, centre=group, keep=["x", "y", *columns[7:]])
-            flags = ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation else [])]
-            fits = fits.select(F.col("fit_dut").alias("dut"), F.col("x").alias("lx"), F.col("y").alias("ly"), "ox", "oy", "oz", "sx", "sy", "sz", "chi_red", *flags, *columns[7:])
-            selected = fits
-            for c in flags:
-                selected = selected.where(F.col(c).bitwiseAND(F.expr("shiftleft(1L, dut)")) != 0)
-            if max_chi_red:
-                selected = selected.where(F.col("chi_red") < max_chi_red)
-            if shapes:
-                selected = selected.where(F.col("cluster_shape").isin(*shapes))
-            _, alpha, beta = G.angles(F.col("sx"), F.col("sy"), F.col("sz"))
+                wide = scratch.table(tracks_found(data, turned(planes, beam), set(fit_duts)), "wide")
+            fits = LineFits(planes, fit_duts, group, False, 3, quality, True, ["x", "y", *columns[4:]])
+            fits.shift = residual_modes(fits.residuals(wide))
+            fits.isolation = isolation
             # all that is needed of the tracks, from one pass over them
-            sums = selected.groupBy("dut").agg(F.count("*").alias("n"), F.sum(alpha).alias("alpha"), F.sum(beta).alias("beta"), *moment_columns()).collect()
+            rows = wide if isolation is None else wide.repartition(TRACK[0]).sortWithinPartitions(*TRACK)
+            sums = fits.totals(rows, sums_of, ["n", "alpha", "beta", *MOMENTS]).where("n > 0").collect()
+            if wide is not data:
+                scratch.release(wide)
             n = sum(r["n"] for r in sums)
             if not n:
                 break
@@ -492,7 +512,7 @@ def align(
             before = planes
             planes, done = fit_planes(moments_of(sums), planes, {d: list(free) for d in group}, steps)
             moved = max(max(abs(a.tx - b.tx), abs(a.ty - b.ty), abs(a.tz - b.tz)) for a, b in zip(planes, before, strict=True))
-            history.append({"group": group, "round": round_, "tracks": n, "steps": done, "moved": moved})
+            history.append({"group": group, "round": round_, "tracks": int(n), "steps": done, "moved": moved})
             if moved < tolerance:
                 break
     return planes, beam, history

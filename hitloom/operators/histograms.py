@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from hitloom.runtime import Scratch, ship
 
+#: Rows of the cells that hold medians up to which they are broadcast, and parts of a bin of the second count.
+BROADCAST_CELLS, FINER = 10_000, 4096
+
 
 def unit_bin(c: Column, n: int, strict: bool = False) -> Column:
     """Whole-number bin 0 to n - 1. Outside: null, or an error if ``strict``."""
@@ -181,21 +184,49 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in shares))
 
 
+def medians(rows: DataFrame, by: list[str], value: str, cells: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Exact medians (by, median) of values that are not null, and the counts (by, cell_0, m, mean, var, least, most) by the first of ``cells``.
+
+    ``cells`` grow with the value and are ever finer; rows are counted by the first one, those of the
+    cells that hold the middle ranks by the next, and by value at last. No value is shuffled or put in order but those of the
+    last cells; ``rows`` are read once for each count.
+    """
+    scratch, keys, found = Scratch(rows.sparkSession, "medians"), list(by), None
+    stats = F.count("*").alias("m"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"), F.min(value).alias("least"), F.max(value).alias("most")
+    first = scratch.table(rows.groupBy(*keys, cells[0].alias("cell_0")).agg(*stats), "cells")
+    rank = 0.5 * (F.sum("m").over(Window.partitionBy(*by)) - 1)
+    counts = first.select(*by, "cell_0", "m").withColumns({"rank_": rank, "base_": F.lit(0).cast("long")})
+    holds = lambda k: (F.col("start") <= k(F.col("rank_"))) & (k(F.col("rank_")) < F.col("end"))
+    for k, cell in enumerate([*cells[1:], F.col(value)], 1):
+        last = f"cell_{k - 1}"
+        counts = counts.withColumn("end", F.col("base_") + F.sum("m").over(Window.partitionBy(*keys).orderBy(last).rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("m"))
+        keys.append(last)
+        middle, seen = scratch.counted(counts.where(holds(F.floor) | holds(F.ceil)).select(*keys, "rank_", F.col("start").alias("base_")), "middle")  # two a group at most
+        inside = rows.withColumns({f"cell_{i}": c for i, c in enumerate(cells[:k])}).join(F.broadcast(middle) if seen["n"] <= BROADCAST_CELLS else middle, keys)
+        counts = inside.groupBy(*keys, "rank_", "base_", cell.alias(f"cell_{k}")).agg(F.count("*").alias("m"))
+    last = f"cell_{len(cells)}"
+    counts = counts.withColumn("end", F.col("base_") + F.sum("m").over(Window.partitionBy(*keys).orderBy(last).rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("m"))
+    ends = counts.groupBy(*by, "rank_").agg(F.max(F.when(holds(F.floor), F.col(last))).alias("v0"), F.max(F.when(holds(F.ceil), F.col(last))).alias("v1"))
+    return ends.select(*by, (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("rank_") - F.floor("rank_"))).alias("median")), first
+
+
 def density_modes(df: DataFrame, by: list[str], value: str, width: str) -> DataFrame:
     """Mode of a Gaussian density estimate of each group: (by, n, median, sigma, mode); groups of ten rows or fewer have none.
 
     ``width`` is a column with the group's bandwidth. The density is taken on a
     grid of about one point a unit, half a standard deviation around the
     median, from a histogram with eight bins a bandwidth; of equal densities the
-    first point counts.
+    first point counts. Values are counted by bin and never shuffled.
     """
-    rows = df.where(F.col(value).isNotNull())
-    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop(value).alias("sigma"), F.max(width).alias("w")).where("n > 10 AND sigma > 0")
-    stats = stats.join(quantiles(rows, by, value, {"median": 0.5}), by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value_"), F.col(width).cast("double").alias("w"))
+    rows = rows.where("w IS NOT NULL")
+    middle, hist = medians(rows, [*by, "w"], "value_", [F.floor(F.col("value_") / (F.col("w") / 8)), F.floor(F.col("value_") / (F.col("w") / 8 / FINER))])
+    total = hist.groupBy(*by, "w").agg(F.sum("m").alias("n"), (F.sum(F.col("m") * F.col("mean")) / F.sum("m")).alias("centre"), (F.min("least") < F.max("most")).alias("varied"))
+    spread = F.sum(F.col("m") * (F.col("var") + (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre"))))
+    stats = hist.join(total, [*by, "w"]).where("n > 10 AND varied").groupBy(*by, "w", "n").agg(F.sqrt(spread / F.col("n")).alias("sigma")).join(middle, [*by, "w"])
     step, points = F.col("w") / 8, F.greatest(F.ceil("sigma"), F.lit(1)).cast("int")
     lo = F.col("median") - 0.5 * F.col("sigma")
-    hist = rows.select(*by, value).join(stats.select(*by, "w"), by).groupBy(*by, F.floor(F.col(value) / (F.col("w") / 8)).alias("bin")).agg(F.count("*").alias("m"))
-    near = hist.join(stats, by).withColumn("at", (F.col("bin") + 0.5) * step).where(F.abs(F.col("at") - F.col("median")) <= 0.5 * F.col("sigma") + 6 * F.col("w"))
+    near = hist.select(*by, "w", F.col("cell_0").alias("bin"), "m").join(stats, [*by, "w"]).withColumn("at", (F.col("bin") + 0.5) * step).where(F.abs(F.col("at") - F.col("median")) <= 0.5 * F.col("sigma") + 6 * F.col("w"))
     grid = near.withColumn("i", F.explode(F.sequence(F.lit(0), points - 1)))
     grid = grid.withColumn("g", F.when(points > 1, lo + F.col("i") * (F.col("sigma") / (points - 1))).otherwise(lo))
     u = (F.col("at") - F.col("g")) / F.col("w")

@@ -4,12 +4,14 @@ import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitloom.functions import geometry as G
 from hitloom.operators import clusters as K
 from hitloom.operators import correlation as C
 from hitloom.operators import estimate as E
+from hitloom.operators import histograms as H
 from hitloom.operators import joins as J
 from hitloom.operators import position_clusters as P
 from hitloom.operators import selection
@@ -52,6 +54,49 @@ def test_align_writes_a_round_once(spark, monkeypatch):
     assert all("SortMergeJoin" not in p for n, p in written if n in ("wide", "residuals"))
 
 
+def test_modes_shuffle_counts_and_not_values(spark, monkeypatch):
+    """Medians, deviations and counts of groups of distinct, equal and few values against numpy; no plan deals values by range or joins them by a shuffle."""
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name="t": written.append((name, plan(df))) or table(self, df, name))
+    rng = np.random.default_rng(9)
+    groups = {0: rng.normal(3, 20, 3001), 1: rng.integers(-3, 4, 2000) * 0.25, 2: np.full(50, 0.1), 3: rng.normal(0, 1, 10), 4: np.r_[np.full(30, -7.5), rng.uniform(100, 600, 71)]}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "dut int, r double").withColumn("w", F.lit(5.3)).repartition(3)
+    got = {v.dut: v for v in H.density_modes(df, ["dut"], "r", "w").collect()}
+    assert sorted(got) == [0, 1, 4]
+    for g, v in got.items():
+        assert v.n == len(groups[g]) and v.median == np.median(groups[g]) and np.isclose(v.sigma, groups[g].std(), rtol=1e-12)
+    assert abs(got[0].mode - 3) < 5 and written and all("rangepartitioning" not in p for _, p in written)
+
+
+def test_alignment_passes_sums_and_whole_hits(spark, monkeypatch):
+    """Hits that are found side by side equal those of the long form, shapes go along; fits reach Spark as a row per plane and task, with and without isolation."""
+    truth, rows = tracking.shifted(spark, "/root/testdata/sf0.001")
+    n = F.max("ordinal").over(Window.partitionBy("event_number"))
+    rows = rows.where("event_number < 200 AND x IS NOT NULL").withColumn("n", n).withColumn("ordinal", F.when(F.col("dut") % 2 == 1, F.col("n") + 1 - F.col("ordinal")).otherwise(F.col("ordinal"))).drop("n")
+    rows = Scratch(spark, "mixed").table(rows.withColumn("cluster_shape", F.col("event_number") * 100 + F.col("dut") * 10 + F.col("ordinal")))
+    data = T.planes_in_arrays(rows, [p.dut for p in truth], ["x", "y", "cluster_shape"])
+    wide = T.tracks_found(data, truth[::-1], {0, 1, 2, 3, 4, 5})
+    assert data.count() == wide.count()  # planes of the arrays stand in the order of the list
+    wide = T.tracks_found(data, truth, {0, 1, 2, 3, 4, 5})
+    got = {(r.event_number, r.ordinal, d): (r.x[d], r.y[d], r.cluster_shape[d]) for r in wide.collect() for d in range(6) if r.x[d] is not None}
+    found = T.find_tracks(E.global_hits(rows.withColumns({"lx": F.col("x"), "ly": F.col("y")}), truth), truth, {0, 1, 2, 3, 4, 5}, keep=["lx", "ly", "cluster_shape"])
+    assert got == {(r.event_number, r.ordinal, r.dut): (r.lx, r.ly, r.cluster_shape) for r in found.collect()}
+    for isolation in (None, (500.0, 500.0)):
+        seen, totals = [], T.LineFits.totals
+        monkeypatch.setattr(T.LineFits, "totals", lambda *a, seen=seen, totals=totals: seen.append(totals(*a)) or seen[-1])
+        _, _, history = E.align(rows, G.TRACK_PLANES, groups=[[1, 2]], fit_duts=[0, 1, 2, 3, 4, 5], iterations=1, isolation=isolation, shapes=tuple(range(0, 20000, 3)))
+        monkeypatch.undo()
+        fits = T.fit_tracks(rows, G.TRACK_PLANES, [0, 1, 2, 3, 4, 5], [1, 2], exclude_own=False, quality=(250.0, 250.0), isolation=isolation, use_limits=True, centre=[1, 2], keep=["x", "y", "cluster_shape"])
+        for c in ["hit_flag", "quality_flag", *(["isolated_track_flag", "isolated_hit_flag"] if isolation else [])]:
+            fits = fits.where(F.col(c).bitwiseAND(F.expr("shiftleft(1L, fit_dut)")) != 0)
+        fits = fits.where("chi_red < 10 AND cluster_shape % 3 = 0").withColumnsRenamed({"fit_dut": "dut", "x": "lx", "y": "ly"})
+        want = {r.dut: r.asDict() for r in fits.groupBy("dut").agg(F.count("*").alias("n"), *E.moment_columns()).collect()}
+        sums = {r.dut: r.asDict() for r in seen[0].collect()}
+        assert sums.keys() == want.keys() and history[0]["tracks"] == sum(v["n"] for v in want.values())
+        assert all(np.isclose(sums[d][k], v, rtol=1e-9, atol=1e-6) for d in want for k, v in want[d].items())
+
+
 def test_places_of_few_values(monkeypatch):
     """Tables over places against range sums, with windows met exactly, and in time that grows as the tracks."""
     monkeypatch.setattr(C, "SMALL", 8)
