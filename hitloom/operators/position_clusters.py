@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructType
 
-from hitloom.operators.events import EVENT, compact, first_rows, label_components, whole_events
+from hitloom.operators.events import EVENT, compact, dealt, first_rows, label_components, whole_events
 from hitloom.runtime import ship
 
 #: A cell's side by the reach: a little over a half, so that hits of one cell are neighbours and neighbours are two cells apart at most, whatever is rounded.
@@ -98,6 +99,17 @@ def position_cluster_ids(hits: DataFrame, d_x: float, d_y: float, d_frame: int |
     them are joined up at once; one event must fit into a task.
     """
     schema = StructType([*hits.schema.fields]).add("cluster_id", IntegerType()).add("n_cluster", IntegerType())
+    return _by_events(hits, d_x, d_y, d_frame, lambda t: t, schema)
+
+
+def position_clusters(hits: DataFrame, d_x: float, d_y: float, d_frame: int | None = None, weighted: bool = False, charge_correction: float = 0.0) -> DataFrame:
+    """The rows of ``build_position_clusters`` of ``position_cluster_ids``, built where the hits are numbered: hits are dealt by event once and not shuffled again."""
+    schema = build_position_clusters(position_cluster_ids(hits, d_x, d_y, d_frame), weighted, charge_correction).schema
+    return _by_events(hits, d_x, d_y, d_frame, lambda t: _built(t, weighted, charge_correction), schema)
+
+
+def _by_events(hits: DataFrame, d_x: float, d_y: float, d_frame: int | None, fn: Callable[[pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """What ``fn`` makes of batches of whole events with ``cluster_id`` and ``n_cluster``; rows that come dealt by event are not dealt again."""
     fields = to_arrow_schema(schema)
     axes = {"x": d_x, "y": d_y} | ({} if d_frame is None else {"frame": d_frame})
 
@@ -105,12 +117,31 @@ def position_cluster_ids(hits: DataFrame, d_x: float, d_y: float, d_frame: int |
         for table in whole_events(batches, "event_number"):
             get = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
             ids, n = number_by_position(get("event_number"), get("dut"), [get(c) for c in axes], list(axes.values()))
-            columns = [table.column(f.name) for f in fields if f.name not in ("cluster_id", "n_cluster")]
-            yield from pa.Table.from_arrays([*columns, pa.array(ids), pa.array(n)], schema=fields).to_batches()
+            found = fn(table.append_column("cluster_id", pa.array(ids)).append_column("n_cluster", pa.array(n)))
+            yield from pa.Table.from_arrays([found.column(f.name).cast(f.type) for f in fields], schema=fields).to_batches()
 
     ship(hits.sparkSession)
     known = hits.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    return known.repartition("event_number").sortWithinPartitions(*EVENT, "ordinal").mapInArrow(run, schema)
+    return dealt(known, order=("dut", "ordinal")).mapInArrow(run, schema)
+
+
+def _built(hits: pa.Table, weighted: bool, charge_correction: float) -> pa.Table:
+    """``build_position_clusters`` of whole events."""
+    charge, unknown = hits.column("charge").to_numpy().astype(float), hits.column("charge").is_null().to_numpy()
+    rank = np.where(np.isnan(charge) & ~unknown, np.inf, np.nan_to_num(charge))  # as Spark orders them: null, numbers, nan
+    keys = [hits.column(c).to_numpy() for c in (*EVENT, "cluster_id")]
+    order = np.lexsort((hits.column("ordinal").to_numpy(), -rank, unknown, *keys[::-1]))
+    heads = first_rows(*(k[order] for k in keys))
+    hits, seeds = hits.take(pa.array(order)), np.flatnonzero(heads)
+    w = pc.add(hits.column("charge").cast(pa.float64()), charge_correction) if weighted else pa.array(np.ones(len(order)))
+    rows = {c: hits.column(c) for c in ("x", "y", "charge", "frame")} | {"g": pa.array(np.cumsum(heads)), "w": w} | {f"w{c}": pc.multiply(w, hits.column(c)) for c in "xy"}
+    found = pa.table(rows).group_by("g", use_threads=False).aggregate([("g", "count"), ("charge", "sum"), ("w", "sum"), ("frame", "min"), *((c, f) for c in "xy" for f in ("min", "max")), ("wx", "sum"), ("wy", "sum")])
+    first = hits.take(pa.array(seeds))
+    under = found.column("w_sum")
+    under = pc.if_else(pc.equal(under, 0.0), None, under)
+    columns = {c: first.column(c) for c in (*EVENT, "cluster_id", "n_cluster")} | {f"seed_{c}": first.column(c) for c in "xy"}
+    columns |= {"n_hits": found.column("g_count"), "charge": found.column("charge_sum"), "frame": found.column("frame_min"), "cluster_shape": pa.array(np.full(len(seeds), -1))}
+    return pa.table(columns | {f"mean_{c}": pc.divide(found.column(f"w{c}_sum"), under) for c in "xy"} | {f"err_{c}": pc.subtract(found.column(f"{c}_max"), found.column(f"{c}_min")) for c in "xy"})
 
 
 def build_position_clusters(cluster_hits: DataFrame, weighted: bool = False, charge_correction: float = 0.0) -> DataFrame:

@@ -90,7 +90,7 @@ _POSITIONS = views.with_views("""
 @query("position_clusters", _POSITIONS)
 def position_clusters(spark, sf_dir):
     """Clusters of the tracks' hits by their positions, within 1500 and 1000 micrometres."""
-    c = P.build_position_clusters(P.position_cluster_ids(views.tracks(spark, sf_dir).select("event_number", "dut", "ordinal", "x", "y", "charge", "frame"), 1500.0, 1000.0))
+    c = P.position_clusters(views.tracks(spark, sf_dir).select("event_number", "dut", "ordinal", "x", "y", "charge", "frame"), 1500.0, 1000.0)
     return c.select(*KEY, "n_hits", "charge", *(r6(F.col(k)).alias(k) for k in ("seed_x", "seed_y", "mean_x", "mean_y")), "frame", *(r6(F.col(k)).alias(k) for k in ("err_x", "err_y")), "n_cluster", "cluster_shape")
 
 

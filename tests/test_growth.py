@@ -136,6 +136,25 @@ def test_cells_are_found_by_search():
     assert time.process_time() - start < 2.0
 
 
+def test_position_clusters_deal_hits_once(spark, monkeypatch):
+    """Clusters built in the tasks that number the hits equal the aggregates over their hits, with null, nan and equal charges; in more tasks than shuffle partitions too there is one shuffle."""
+    rng = np.random.default_rng(12)
+    some = lambda n, share: rng.random(n) < share
+    n = 1500
+    charge = [None if a else float("nan") if b else float(c) for a, b, c in zip(some(n, 0.1), some(n, 0.02), rng.integers(1, 4, n), strict=True)]
+    rows = [(int(e), int(d), i, None if a else float(x), float(y), None if b else int(f), c) for i, (e, d, a, x, y, b, f, c) in enumerate(zip(rng.integers(0, 20, n), rng.integers(0, 2, n), some(n, 0.05), rng.uniform(0, 8, n), rng.uniform(0, 8, n), some(n, 0.1), rng.integers(0, 5, n), charge, strict=True))]
+    df = spark.createDataFrame(rows, "event_number long, dut int, ordinal int, x double, y double, frame int, charge double").repartition(3)
+    for weighted in (False, True):
+        got, want = P.position_clusters(df, 0.4, 0.4, weighted=weighted), P.build_position_clusters(P.position_cluster_ids(df, 0.4, 0.4), weighted)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        clean = lambda r: tuple(None if v is None else "nan" if v != v else round(v, 9) for v in r)
+        assert sorted(map(clean, got.collect()), key=str) == sorted(map(clean, want.collect()), key=str)
+    assert P.position_clusters(df.limit(0), 0.4, 0.4).count() == 0
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    p = plan(registry.QUERIES["position_clusters"](spark, "/root/testdata/sf0.001"))
+    assert p.count("hashpartitioning") == 1
+
+
 def test_clusters_are_built_in_bounded_tasks(spark, monkeypatch):
     """More tasks than shuffle partitions, and no shuffle by cluster behind them."""
     monkeypatch.setattr(views, "TASK_ROWS", 500)
