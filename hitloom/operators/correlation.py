@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from hitloom.operators.events import first_rows, gathered
 from hitloom.runtime import Scratch, ship
 
 #: Tracks of a cell that one task holds while others stream past.
-BLOCK = 200_000
+BLOCK = 1_000_000
+#: Tracks that a task packs together, tracks of a plane that one task sums, and queries of range sums at a time.
+PACK, TASK_TRACKS, QUERIES = 1_000_000, 1_000_000, 1 << 17
 #: Events (a power of 2) of a block whose pairs are looked at one by one, and candidates that numpy takes in one go.
 LEAF, AT_ONCE = 2048, 1 << 18
 #: Events (a power of 2) of a block where coordinates have few values, and places (values of u times values of v) up to which they count as few.
@@ -22,14 +25,21 @@ SMALL, PLACES = 256, 20_000
 SUMS = ["n", "s1", "s2", "s11", "s22", "s12"]
 
 
-def threshold(c: np.ndarray, met) -> np.ndarray:
-    """The least numbers t with ``met(t - c)``, a condition that holds from some difference on, exact in rounded arithmetic; ``c`` holds guesses and centres."""
-    t, centre = c
-    for _ in range(4):
-        lower = np.nextafter(t, -np.inf)
-        t = np.where(met(lower - centre), lower, t)
-        t = np.where(met(t - centre), t, np.nextafter(t, np.inf))
-    return t
+def borders(values: np.ndarray, guess: np.ndarray, met) -> np.ndarray:
+    """The first places in ascending ``values`` where ``met(values)``, a condition per query that holds from some value on, is true.
+
+    ``guess`` holds values near the borders; values are looked at themselves, as rounded differences may hold for some that the guess tells apart.
+    """
+    known = np.unique(values)
+    if not len(known):
+        return np.zeros(len(guess), np.int64)
+    at = np.searchsorted(known, guess)
+    while True:
+        back = (at > 0) & met(known[np.maximum(at - 1, 0)])
+        on = (at < len(known)) & ~met(known[np.minimum(at, len(known) - 1)])
+        if not (back | on).any():
+            return np.searchsorted(values, np.r_[known, np.inf][at])
+        at = at - back + (on & ~back)
 
 
 class Windows:
@@ -40,11 +50,11 @@ class Windows:
         su, sv = pu[self.u_order], pv[self.v_order]
         self.bins = int(far // width) + 1
         edges = [(k * width, lambda d, k=k: np.floor(d / width) >= k) for k in range(1, self.bins)] + [(far, lambda d: d > far)]
-        up = [np.searchsorted(su, threshold((u + e, u), met)) for e, met in edges]
-        down = [np.searchsorted(su, -threshold((-u + e, -u), met), "right") for e, met in edges]
+        up = [borders(su, u + e, lambda t, met=met: met(t - u)) for e, met in edges]
+        down = [borders(su, u - e, lambda t, met=met: ~met(u - t)) for e, met in edges]
         self.u = np.stack([*down[::-1], *up], axis=1)  # borders from the far end on one side to the other's
-        upper = np.searchsorted(sv, threshold((v + near, v), lambda d: d >= near))
-        lower = np.searchsorted(sv, -threshold((-v + near, -v), lambda d: d >= near), "right")
+        upper = borders(sv, v + near, lambda t: t - v >= near)
+        lower = borders(sv, v - near, lambda t: v - t < near)
         self.v = np.stack([lower, np.maximum(upper, lower)], axis=1)
 
 
@@ -80,6 +90,8 @@ def earlier_sums(points: tuple, queries: tuple, events: int, far: float, width:
     """
     (pe, pu, pv, pr), (qe, qu, qv, qr) = points, queries
     total = np.zeros((int(far // width) + 1, 6))
+    if len(qe) > QUERIES:
+        return sum((earlier_sums(points, tuple(c[lo : lo + QUERIES] for c in queries), events, far, width, near) for lo in range(0, len(qe), QUERIES)), total)
     levels = range(LEAF.bit_length() - 1, int(max(events - 1, 0)).bit_length())
     if not levels or not len(pe) or not len(qe):
         return total
@@ -120,47 +132,44 @@ def earlier_sums(points: tuple, queries: tuple, events: int, far: float, width:
     return total
 
 
-def placed_sums(points: tuple, queries: tuple, leaf: int, far: float, width: float, near: float) -> np.ndarray:
-    """The same as ``earlier_sums`` with blocks of ``leaf`` events, where the points have few distinct u and v.
+def placed_sums(points: tuple, queries: tuple, u: np.ndarray, v: np.ndarray, leaf: int, far: float, width: float, near: float) -> np.ndarray:
+    """The same as ``earlier_sums`` with blocks of ``leaf`` events, where u and v have few values: columns are (event, place in ``u``, place in ``v``, r) in the order of events.
 
-    Blocks come in the order of events. A table over the values of u and v sums
-    the points of all blocks so far, so a query takes its ranges from the
-    table's corners: the cost grows with the tracks, by the size of the table
+    A table over the values of u and v sums the points of all blocks so far, up to each u and near each v, so
+    that a query takes its ranges of u from a few places of it. The cost grows with the tracks, by the size of the table
     for each block.
     """
-    (pe, pu, pv, pr), (qe, qu, qv, qr) = points, queries
-    total = np.zeros((int(far // width) + 1, 6))
-    if not len(pe) or not len(qe):
+    bins = int(far // width) + 1
+    total = np.zeros((bins, 6))
+    if not len(points[0]) or not len(queries[0]):
         return total
     bits = leaf.bit_length() - 1
-    order, asking = np.argsort(pe, kind="stable"), np.argsort(qe, kind="stable")
-    su, at_u = np.unique(pu[order], return_inverse=True)
-    sv, at_v = np.unique(pv[order], return_inverse=True)
-    place, r, known = at_u * len(sv) + at_v, pr[order], pe[order] >> bits
-    qe, qu, qv, qr = (c[asking] for c in (qe, qu, qv, qr))
-    (u, own_u), (v, own_v) = (np.unique(c, return_inverse=True) for c in (qu, qv))
-    edges_u, edges_v = Windows(su, sv, u, sv[:1].repeat(len(u)), far, width, near).u[own_u], Windows(su, sv, su[:1].repeat(len(v)), v, far, width, near).v[own_v]
-    blocks = qe >> bits
-    starts = np.r_[np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]), len(blocks)]
-    table, corner, taken = np.zeros((3, len(su) * len(sv))), np.zeros((3, len(su) + 1, len(sv) + 1)), 0
-    bins = len(total)
+    (at, pu, pv, pr), (asked, qu, qv, qr) = (((e >> bits), u[cu.min() : cu.max() + 1], v[cv.min() : cv.max() + 1], r) for e, cu, cv, r in (points, queries))
+    (own_u, own_v), (q_u, q_v) = ((cu - cu.min(), cv - cv.min()) for _, cu, cv, _ in (points, queries))
+    place = own_u * len(pv) + own_v
+    edges = Windows(pu, pv, qu, pv[:1].repeat(len(qu)), far, width, near).u
+    low, high = Windows(pu, pv, pu[:1].repeat(len(qv)), qv, far, width, near).v.T
+    wish, power = edges[q_u] * len(qv) + q_v[:, None], np.stack([np.ones(len(qr)), qr, qr * qr])
+    starts = np.r_[np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]), len(asked)]
+    table, corner, taken = np.zeros((3, len(pu) * len(pv))), np.zeros((3, len(pu) + 1, len(pv) + 1)), 0
+    sums = np.zeros((3, 3 * (2 * bins - 1)))
     for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-        upto = int(np.searchsorted(known, blocks[lo]))
+        upto = int(np.searchsorted(at, asked[lo]))
         if upto > taken:
-            here, value = place[taken:upto], r[taken:upto]
-            for k, w in enumerate((None, value, value * value)):
-                table[k] += np.bincount(here, w, table.shape[1])
-            corner[:, 1:, 1:] = table.reshape(3, len(su), len(sv)).cumsum(axis=1).cumsum(axis=2)
+            here, w = place[taken:upto], pr[taken:upto]
+            for k, w_ in enumerate((None, w, w * w)):
+                table[k] += np.bincount(here, w_, table.shape[1])
+            np.cumsum(np.cumsum(table.reshape(3, len(pu), -1), axis=1), axis=2, out=corner[:, 1:, 1:])
             taken = upto
-        if not taken:
-            continue
-        eu, ev, q = edges_u[lo:hi], edges_v[lo:hi], qr[lo:hi, None]
-        strips = np.diff(corner[:, eu, ev[:, 1:]] - corner[:, eu, ev[:, :1]], axis=2)
-        found = strips[:, :, bins - 1 :].copy()
-        found[:, :, 1:] += strips[:, :, : bins - 1][:, :, ::-1]
-        n, s, ss = found
-        for k, c in enumerate((n, s, n * q, ss, n * q * q, s * q)):
-            total[:, k] += c.sum(axis=0)
+        if taken:
+            inside = np.subtract(corner.take(high, axis=2), corner.take(low, axis=2)).reshape(3, -1)
+            strips = np.diff(inside.take(wish[lo:hi], axis=1), axis=2)
+            sums += power[:, lo:hi] @ strips.transpose(1, 0, 2).reshape(hi - lo, -1)
+    sums = sums.reshape(3, 3, -1)
+    folded = sums[..., bins - 1 :].copy()
+    folded[..., 1:] += sums[..., : bins - 1][..., ::-1]
+    for k, (a, b) in enumerate(((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1))):  # powers of the residuals of points and of queries
+        total[:, k] = folded[b, a]
     return total
 
 
@@ -196,108 +205,169 @@ def block_sums(held: tuple, others: tuple | None, far: float, width: float, near
     return total
 
 
-def pair_sums(held: tuple, others: tuple | None, far: float, width: float, near: float) -> np.ndarray:
-    """Sums (bins, 6) over pairs of columns (event, u, v, r): of ``held`` with ``others``, or among themselves.
+def pair_sums(held: tuple, others: tuple | None, far: float, width: float, near: float, among: bool = False) -> np.ndarray:
+    """Sums (bins, 6) over pairs of columns (event, u, v, r): of ``held`` with ``others``, or among themselves, or (``among``) both.
 
     A pair has different events, is no further apart than ``far`` in u and
     closer than ``near`` in v; bins of |du| are ``width`` wide and r1 is the
     residual of the earlier event.
     """
-    two = held if others is None else others
-    events = np.unique(np.concatenate([held[0], two[0]]))
-    held = (np.searchsorted(events, held[0]), *held[1:])
-    two = held if others is None else (np.searchsorted(events, two[0]), *two[1:])
-    values = [max(len(np.unique(c[k])) for c in (held, two)) for k in (1, 2)]
-    if values[0] * values[1] <= PLACES:
-        leaf = min(LEAF, SMALL)
-        total = block_sums(held, None if others is None else two, far, width, near, leaf) + placed_sums(held, two, leaf, far, width, near)
-        return total if others is None else total + placed_sums(two, held, leaf, far, width, near)
-    total = block_sums(held, None if others is None else two, far, width, near) + earlier_sums(held, two, len(events), far, width, near)
-    return total if others is None else total + earlier_sums(two, held, len(events), far, width, near)
-
-
-def later_sums(tracks: DataFrame, far: float, width: float, near: float = 5.0, block: int = BLOCK) -> DataFrame:
+    two = others or tuple(c[:0] for c in held)
+    n = len(held[0])
+    events, e = np.unique(np.concatenate([held[0], two[0]]), return_inverse=True)
+    u, cu = np.unique(np.concatenate([held[1], two[1]]), return_inverse=True)
+    v, cv = np.unique(np.concatenate([held[2], two[2]]), return_inverse=True)
+    held, two = (e[:n], *held[1:]), (e[n:], *two[1:])
+    few = len(u) * len(v) <= PLACES
+    leaf = min(LEAF, SMALL) if few else LEAF
+    if few:
+        sides = []
+        for part, r in ((slice(0, n), held[3]), (slice(n, None), two[3])):
+            order = np.argsort(e[part], kind="stable")
+            sides.append((e[part][order], cu[part][order], cv[part][order], r[order]))
+        earlier = lambda a, b: placed_sums(sides[a], sides[b], u, v, leaf, far, width, near)
+    else:
+        earlier = lambda a, b: earlier_sums((held, two)[a], (held, two)[b], len(events), far, width, near)
+    total = 0.0
+    if others is None or among:
+        total = total + block_sums(held, None, far, width, near, leaf) + earlier(0, 0)
+    if others is not None:
+        total = total + block_sums(held, two, far, width, near, leaf) + earlier(0, 1) + earlier(1, 0)
+    return total
+
+
+def later_sums(tracks: DataFrame, far: float, width: float, near: float = 5.0, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """Sums (dut, axis, bin, n, s1, s2, s11, s22, s12) over pairs of tracks of different events of a plane, along x and along y.
 
     ``tracks`` has dut, event_number, x, y and residuals rx, ry; every track is
     a reference for all later ones. Pairs are those of :func:`pair_sums`, with u
     along the axis. A plane is cut into cells a few windows wide; a track goes
     to its own cell and, near a border, to the cells before it, so that each
-    pair meets once. A cell with more than ``block`` tracks is dealt to several
+    pair meets once. Tracks go as arrays, a row per cell, and are shuffled once, to ``tasks`` tasks. Only
+    those of a cell with more than ``block`` tracks are written and dealt again to several
     tasks: each holds a share while the shares behind it and the neighbours'
     tracks stream past. Tasks return sums by bin, never pairs.
     """
-    ship(tracks.sparkSession)
-    axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("u"), F.col(b).alias("v"), F.col(f"r{a}").alias("r")) for a, b in ("xy", "yx"))))
-    rows = tracks.select("dut", F.col("event_number").alias("e"), axes.alias("a")).select("dut", "e", "a.*").where("u IS NOT NULL AND v IS NOT NULL AND r IS NOT NULL")
-    side = {"u": 4 * far, "v": 32 * near}
-    at = lambda c, d=0.0: F.floor((F.col(c) + d) / side[c])
-    cell, row = ["dut", "axis", "cu", "cv"], ["e", "u", "v", "r"]
-    rows = Scratch(tracks.sparkSession, "correlation").table(rows.withColumns({"cu": at("u"), "cv": at("v")}), "tracks")  # read four times
-    shares = rows.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(float(block))).alias("shares"))
-    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    own = rows.join(shares, cell).withColumn("share", F.pmod(F.xxhash64("e", "u", "v", "r"), F.col("shares")))
-    behind = own.where("share > 0").withColumn("share", up_to(F.col("share")))
-    there = rows.withColumn("bu", F.explode(F.sequence(at("u", -far), at("u", far)))).withColumn("bv", F.explode(F.sequence(at("v", -near), at("v", near))))
-    there = there.where("bv < cv OR bv = cv AND bu < cu").select("dut", "axis", F.col("bu").alias("cu"), F.col("bv").alias("cv"), *row)
-    guests = there.join(shares, cell).withColumn("share", up_to(F.col("shares")))
-    keys = [*cell, "share"]
-    dealt = own.select(*keys, F.lit(0).alias("kind"), *row)
-    for more in (behind, guests):
-        dealt = dealt.unionByName(more.select(*keys, F.lit(1).alias("kind"), *row))
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "kind")
-    ddl = f"dut {dict(tracks.dtypes)['dut']}, axis string, bin int, " + ", ".join(f"{c} double" for c in SUMS)
-    arrow = to_arrow_schema(_parse_datatype_string(ddl))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, np.ndarray] = {}
-        key, waiting, passing, held = None, [], [], None
-
-        def settle() -> None:
-            nonlocal waiting, held
-            flow(0)
-            if waiting:
-                held, waiting = tuple(np.concatenate(c) for c in zip(*waiting, strict=True)), []
-                add(None)
-
-        def add(others: tuple | None) -> None:
-            found = pair_sums(held, others, far, width, near)
-            total[key[:2]] = total[key[:2]] + found if key[:2] in total else found
-
-        def flow(least: int) -> None:
-            nonlocal passing
-            if passing and sum(len(p[0]) for p in passing) > least:
-                others, passing = tuple(np.concatenate(c) for c in zip(*passing, strict=True)), []
-                add(others)
-
-        for batch in batches:
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*keys, "kind", *row]}
-            new = np.zeros(batch.num_rows, bool)
-            for c in [*keys, "kind"]:
-                new[1:] |= columns[c][1:] != columns[c][:-1]
-            edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo == hi:
-                    continue
-                here, part = tuple(columns[c][lo] for c in keys), tuple(columns[c][lo:hi] for c in row)
-                if here != key:
-                    settle()
-                    key, held = here, None
-                if columns["kind"][lo] == 0:
-                    waiting.append(part)
-                else:
-                    if waiting:
-                        settle()
-                    if held is not None:
-                        passing.append(part)
-                        flow(block)
-        settle()
-        out = [(dut, axis, b, *v) for (dut, axis), sums in total.items() for b, v in enumerate(sums.tolist()) if v[0]]
-        if out:
-            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    found = dealt.mapInArrow(run, ddl)
-    return found.groupBy("dut", "axis", "bin").agg(F.sum("n").cast("long").alias("n"), *(F.sum(c).alias(c) for c in SUMS[1:]))
+    spark = tracks.sparkSession
+    ship(spark)
+    place = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in "xy")
+    rows = tracks.where(f"{place} AND event_number IS NOT NULL AND (rx IS NOT NULL OR ry IS NOT NULL)")
+    rows = rows.select("dut", F.col("event_number").cast("long").alias("e"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "rx", "ry")))
+    cell, plane = ["dut", "axis", "cu", "cv"], f"dut {dict(tracks.dtypes)['dut']}, axis int"
+    values = "e array<long>, u array<double>, v array<double>, r array<double>"
+    ddl = f"{plane}, cu long, cv long, kind int, {values}"
+    fields = to_arrow_schema(_parse_datatype_string(ddl))
+    packed = rows.mapInArrow(lambda b: pack(b, far, near, fields), ddl)
+    packed = packed.repartition(tasks, *cell) if tasks else packed.repartition(*cell)
+    result = f"{plane}, bin int, " + ", ".join(f"{c} double" for c in SUMS) + f", cu long, cv long, share int, kind int, {values}"
+    outcome = to_arrow_schema(_parse_datatype_string(result))
+
+    def summed(dealt: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+        return dealt.sortWithinPartitions(*keys, "kind").mapInArrow(lambda b: cell_sums(b, keys, far, width, near, block, most, outcome), result)
+
+    found, seen = Scratch(spark, "correlation").counted(summed(packed, cell, block), "sums", pieces=F.count("share"))
+    sums = found.where("share IS NULL").select("dut", "axis", "bin", *SUMS)
+    if seen["pieces"]:
+        pieces = found.where("share IS NOT NULL").select(*cell, "share", "kind", "e", "u", "v", "r")
+        up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        own, guests = pieces.where("kind = 0"), pieces.where("kind = 1")
+        shares = own.groupBy(*cell).agg((F.max("share") + 1).alias("shares"))
+        behind = own.where("share > 0").withColumns({"share": up_to(F.col("share")), "kind": F.lit(1)})
+        guests = guests.join(shares, cell).withColumn("share", up_to(F.col("shares"))).select(*pieces.columns)
+        again = own.unionByName(behind).unionByName(guests).repartition(*cell, "share")
+        sums = sums.unionByName(summed(again, [*cell, "share"], None).select("dut", "axis", "bin", *SUMS))
+    total = sums.groupBy("dut", "axis", "bin").agg(F.sum("n").cast("long").alias("n"), *(F.sum(c).alias(c) for c in SUMS[1:]))
+    return total.withColumn("axis", F.when(F.col("axis") == 0, "x").otherwise("y"))
+
+
+def pack(batches: Iterator[pa.RecordBatch], far: float, near: float, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (dut, axis, cu, cv, kind, arrays) of tracks (dut, e, x, y, rx, ry) that share a cell, for both axes; kind 1 are guests of a neighbour."""
+    side = 4 * far, 32 * near
+    reach = 1.01 * far, 1.01 * near  # what is sent too far finds no pair
+    for table in gathered((pa.Table.from_batches([b]) for b in batches if b.num_rows), PACK):
+        column = {c: table.column(c).to_numpy() for c in table.column_names}
+        for axis, (a, b) in enumerate(("xy", "yx")):
+            known = np.flatnonzero(table.column(f"r{a}").is_valid().to_numpy())
+            u, v = column[a][known], column[b][known]
+            cu, cv = (np.floor(c / d).astype(np.int64) for c, d in zip((u, v), side, strict=True))
+            low_u, high_u, low_v = np.floor((u - reach[0]) / side[0]) < cu, np.floor((u + reach[0]) / side[0]) > cu, np.floor((v - reach[1]) / side[1]) < cv
+            parts = [(0, 0, 0, np.arange(len(u)))] + [(1, i, j, np.flatnonzero(m)) for i, j, m in ((-1, 0, low_u), (-1, -1, low_u & low_v), (0, -1, low_v), (1, -1, high_u & low_v))]
+            rows = np.concatenate([m for *_, m in parts])
+            kind, to_u, to_v = (np.concatenate([np.full(len(p[3]), p[k]) for p in parts]) for k in range(3))
+            keys = [column["dut"][known][rows], cu[rows] + to_u, cv[rows] + to_v, kind]
+            order = np.lexsort(keys[::-1])
+            heads = np.flatnonzero(first_rows(*(k[order] for k in keys))) if len(order) else np.zeros(0, np.int64)
+            ends, rows = pa.array(np.r_[heads, len(order)].astype(np.int32)), known[rows[order]]
+            first = dict(zip(("dut", "cu", "cv", "kind"), (k[order][heads] for k in keys), strict=True)) | {"axis": np.full(len(heads), axis)}
+            lists = {k: pa.ListArray.from_arrays(ends, pa.array(column[c][rows])) for k, c in (("e", "e"), ("u", a), ("v", b), ("r", f"r{a}"))}
+            yield from pa.Table.from_arrays([lists[f.name].cast(f.type) if f.name in lists else pa.array(first[f.name], type=f.type) for f in fields], schema=fields).to_batches(max_chunksize=1000)
+
+
+def cell_sums(batches: Iterator[pa.RecordBatch], keys: list[str], far: float, width: float, near: float, block: int, most: int | None, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sums by bin over the pairs of the cells ``keys``, whose rows come together with guests last; a cell with more than ``most`` tracks is passed on as pieces, numbered by shares."""
+    total: dict[tuple, np.ndarray] = {}
+    names = ["e", "u", "v", "r"]
+    key, kept, held, passing, share, waiting, alone = None, [], None, [], None, 0, False  # waiting: tracks in kept or, later, in passing; alone: pairs of held are still to be summed
+
+    def add(others: tuple | None) -> None:
+        nonlocal alone
+        found, alone = pair_sums(held, others, far, width, near, alone), False
+        total[key[:2]] = total[key[:2]] + found if key[:2] in total else found
+
+    def joined(parts: list) -> tuple:
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def piece(parts: list, kind: int) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            row = dict(zip(keys, key, strict=False)) | {"share": share, "kind": kind} | {k: pa.array([v], type=fields.field(k).type) for k, v in zip(names, p, strict=True)}
+            yield pa.RecordBatch.from_arrays([row[f.name] if f.name in names else pa.array([row.get(f.name)], type=f.type) for f in fields], schema=fields)
+
+    for batch in batches:
+        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*keys, "kind"]}
+        ends = batch.column("e").offsets.to_numpy()
+        flat = [batch.column(c).values.to_numpy() for c in names]
+        for i in range(batch.num_rows):
+            here, part = tuple(column[c][i] for c in keys), tuple(v[ends[i] : ends[i + 1]].copy() for v in flat)
+            if here != key:
+                if kept and share is None:
+                    held = joined(kept)
+                    add(None)
+                if passing:
+                    add(joined(passing))
+                if kept and share is not None:
+                    yield from piece(kept, 0)
+                key, kept, held, passing, share, waiting = here, [], None, [], None, 0
+            waiting += len(part[0])
+            if column["kind"][i] == 0:
+                kept.append(part)
+                if most and waiting > most:
+                    share = 0 if share is None else share
+                    yield from piece(kept, 0)
+                    kept, share, waiting = [], share + 1, 0
+            elif share is not None:
+                if kept:
+                    yield from piece(kept, 0)
+                    kept = []
+                yield from piece([part], 1)
+            else:
+                if kept:
+                    held, kept, waiting, alone = joined(kept), [], len(part[0]), True
+                if held is not None:
+                    passing.append(part)
+                    if waiting > block:
+                        add(joined(passing))
+                        passing, waiting = [], 0
+    if kept and share is not None:
+        yield from piece(kept, 0)
+    elif kept:
+        held = joined(kept)
+        add(None)
+    if passing:
+        add(joined(passing))
+    rows = [(dut, axis, b, *v) for (dut, axis), sums in total.items() for b, v in enumerate(sums.tolist()) if v[0]]
+    if rows:
+        columns = dict(zip(["dut", "axis", "bin", *SUMS], zip(*rows, strict=True), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * len(rows)), type=f.type) for f in fields], schema=fields)
 
 
 def correlation(sums: DataFrame) -> DataFrame:

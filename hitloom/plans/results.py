@@ -383,7 +383,8 @@ def residual_correlation(spark, sf_dir):
 
 def correlations(spark, sf_dir):
     tracks = with_hit(spark, sf_dir).select("dut", "event_number", F.col("ix").alias("x"), F.col("iy").alias("y"), rx().alias("rx"), ry().alias("ry"))
-    return C.correlation(C.later_sums(tracks, 200.0, 50.0)).where("n > 20")
+    tasks = -(-len(G.TRACK_PLANES) * views.count(spark, sf_dir) // C.TASK_TRACKS)
+    return C.correlation(C.later_sums(tracks, 200.0, 50.0, tasks=max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))).where("n > 20")
 
 
 @query("residual_correlation_fit")

@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than their input: the same results as brute force, without the plans that grew."""
 
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -115,6 +116,42 @@ def test_places_of_few_values(monkeypatch):
     assert time.process_time() - start < 1.8  # 30 us a track; more than 35 by range sums
 
 
+def test_correlation_shuffles_tracks_once(spark, monkeypatch):
+    """Pairs whose rounded distance just meets a border, by tables and by ranges; tracks are shuffled once, and again only in pieces of crowded cells."""
+    rng = np.random.default_rng(3)
+    n = 1500
+    x = (rng.integers(0, 6, n) - 3) * 1e2 + (rng.integers(1, 8, n) - 4) * 1e-5 * 150000.0
+    y = (rng.integers(0, 12, n) - 5) * 1e2 + (rng.integers(1, 51, n) - 25) * 1e-6 * 150000.0
+    event, r = rng.integers(0, 700, n), rng.normal(0, 5, n)
+    want = Counter()
+    for axis, u, v in (("x", x, y), ("y", y, x)):
+        d = np.abs(u[:, None] - u)
+        near = (event[:, None] < event) & (d <= 200) & (np.abs(v[:, None] - v) < 5)
+        want.update((axis, int(b)) for b in np.floor(d[near] / 50))
+    df = spark.createDataFrame([(1, int(e), *map(float, v)) for e, *v in zip(event, x, y, r, r, strict=True)], "dut int, event_number long, x double, y double, rx double, ry double").repartition(2)
+    written, counted = [], Scratch.counted
+    monkeypatch.setattr(Scratch, "counted", lambda self, frame, name="t", **k: written.append((frame, counted(self, frame, name, **k))) or written[-1][1])
+    for places, block in ((20_000, 1000), (0, 1000), (20_000, 100), (0, 100)):
+        monkeypatch.setattr(C, "PLACES", places)
+        monkeypatch.setattr(C, "LEAF", 64)
+        got = C.later_sums(df, 200.0, 50.0, block=block, tasks=3)
+        assert {(v.axis, v.bin): v.n for v in got.collect()} == want
+        frame, (table, seen) = written[-1]
+        assert "Join" not in plan(frame) and plan(frame).count("hashpartitioning") == 1 and (seen["pieces"] > 0) == (block == 100)
+
+
+def test_tables_of_any_shape_stay_small():
+    """Many values along one axis and one along the other: no table is wider than the places."""
+    rng = np.random.default_rng(13)
+    n = 19_000
+    for a, b in ((np.arange(n) * 0.5, np.zeros(n)), (np.zeros(n), np.arange(n) * 0.05)):
+        columns = np.arange(n), rng.permutation(a), rng.permutation(b), rng.normal(0, 5, n)
+        tracemalloc.start()
+        C.pair_sums(columns, None, 200.0, 50.0, 5.0)
+        assert tracemalloc.get_traced_memory()[1] < 3e8
+        tracemalloc.stop()
+
+
 def test_cells_are_found_by_search():
     """Clusters of far and near positions against all pairs, and cells looked up as columns."""
     rng = np.random.default_rng(2)
