@@ -16,8 +16,8 @@ from hitloom.runtime import Scratch, ship
 
 #: Tracks of a cell that one task holds while others stream past.
 BLOCK = 1_000_000
-#: Tracks that a task packs together, tracks of a plane that one task sums, and queries of range sums at a time.
-PACK, TASK_TRACKS, QUERIES = 1_000_000, 1_000_000, 1 << 17
+#: Tracks that a task packs together and that a row holds at most, tracks of a plane that one task sums, and queries of range sums at a time.
+PACK, LONGEST, TASK_TRACKS, QUERIES = 1_000_000, 50_000, 1_000_000, 1 << 17
 #: Events (a power of 2) of a block whose pairs are looked at one by one, and candidates that numpy takes in one go.
 LEAF, AT_ONCE = 2048, 1 << 18
 #: Events (a power of 2) of a block where coordinates have few values, and places (values of u times values of v) up to which they count as few.
@@ -297,6 +297,7 @@ def pack(batches: Iterator[pa.RecordBatch], far: float, near: float, fields: pa.
             keys = [column["dut"][known][rows], cu[rows] + to_u, cv[rows] + to_v, kind]
             order = np.lexsort(keys[::-1])
             heads = np.flatnonzero(first_rows(*(k[order] for k in keys))) if len(order) else np.zeros(0, np.int64)
+            heads = np.union1d(heads, np.arange(0, len(order), LONGEST))  # a crowded cell has several rows
             ends, rows = pa.array(np.r_[heads, len(order)].astype(np.int32)), known[rows[order]]
             first = dict(zip(("dut", "cu", "cv", "kind"), (k[order][heads] for k in keys), strict=True)) | {"axis": np.full(len(heads), axis)}
             lists = {k: pa.ListArray.from_arrays(ends, pa.array(column[c][rows])) for k, c in (("e", "e"), ("u", a), ("v", b), ("r", f"r{a}"))}

@@ -134,6 +134,7 @@ def test_correlation_shuffles_tracks_once(spark, monkeypatch):
     for places, block in ((20_000, 1000), (0, 1000), (20_000, 100), (0, 100)):
         monkeypatch.setattr(C, "PLACES", places)
         monkeypatch.setattr(C, "LEAF", 64)
+        monkeypatch.setattr(C, "LONGEST", 30)
         got = C.later_sums(df, 200.0, 50.0, block=block, tasks=3)
         assert {(v.axis, v.bin): v.n for v in got.collect()} == want
         frame, (table, seen) = written[-1]
